@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hash_sample
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _PUNCT_ENDS = tuple(".,;:!?")
@@ -178,13 +178,8 @@ def filter_quality(
     """
     spark = documents.sparkSession
     stats = cut(with_features(statistics(documents)), "quality-stats")
-    passing = stats.where(~F.col("base_failed"))
-    sample = (
-        passing.select(F.xxhash64(F.lit(seed), *FEATURES, "doc_id").alias("_h"), *FEATURES)
-        .orderBy("_h", *FEATURES)
-        .limit(trees * per_tree)
-        .toPandas()
-    )
+    passing = stats.where(~F.col("base_failed")).select("doc_id", *FEATURES)
+    sample = hash_sample(passing, trees * per_tree, seed, "doc_id", *FEATURES).toPandas()
     forest = grow_forest(sample[FEATURES].to_numpy(float), trees, per_tree, seed)
     held = spark.sparkContext.broadcast(forest)
 
