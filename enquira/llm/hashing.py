@@ -27,23 +27,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class SpanHashes:
+    """Hashes of spans of words: polynomials over the bytes of the words joined by
+    spaces, from differences of one running sum."""
+
+    def __init__(self, words: list[bytes]):
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        n = len(data)
+        _grow(n + 1)
+        self.run = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=self.run[1:])
+        gaps = np.flatnonzero(data == 32)
+        self.begins = np.r_[0, gaps + 1]
+        self.ends = np.r_[gaps, n]
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the spans from word ``first`` to word ``last``, both included."""
+        at = self.begins[first]
+        return mix((self.run[self.ends[last]] - self.run[at]) * _powers[1][at])
+
+    def windows(self, k: int) -> np.ndarray:
+        k = min(k, len(self.begins))
+        first = np.arange(len(self.begins) - k + 1)
+        return self.spans(first, first + k - 1)
+
+
 def window_hashes(words: list[bytes], k: int) -> np.ndarray:
-    """One hash per window of k words (of all words, if there are fewer): a polynomial over
-    the bytes of the words joined by spaces, from differences of one running sum."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    n = len(data)
-    _grow(n + 1)
-    run = np.empty(n + 1, np.uint64)
-    run[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=run[1:])
-    gaps = np.flatnonzero(data == 32)
-    begins = np.r_[0, gaps + 1]
-    ends = np.r_[gaps, n]
-    k = min(k, len(words))
-    begins, ends = begins[: len(words) - k + 1], ends[k - 1 :]
-    return mix((run[ends] - run[begins]) * _powers[1][begins])
+    """One hash per window of k words (of all words, if there are fewer)."""
+    return SpanHashes(words).windows(k) if words else np.zeros(0, np.uint64)
 
 
 def occurrence_numbers(h: np.ndarray) -> np.ndarray:
