@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
+    "surrogates",
     "ppm",
     "latent_decontamination",
     "ordinal_toxicity",
