@@ -16,6 +16,8 @@ taken alike when they tie; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +62,14 @@ def position_of(share: Column, start: Column, end: Column) -> Column:
     return F.least(F.greatest(F.when(slope == 0, share).otherwise(root), F.lit(0.0)), F.lit(1.0))
 
 
-def assign(documents: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, ramps: tuple = RAMPS, seed: int = 11, extra: list[str] = ()) -> DataFrame:
-    """One row per document: size, source_size, target, taken, and its takes as an array
-    of (copy, words, position)."""
-    sized = documents.select(
-        "doc_id", "source", *extra,
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"),
-    )
+def _keyed(documents: DataFrame, seed: int) -> DataFrame:
+    return documents.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+
+
+def assign(documents: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, ramps: tuple = RAMPS, seed: int = 11) -> DataFrame:
+    """One row per document: size, source_size, target, taken, its hash ``_h`` and its takes as
+    an array of (copy, words, position)."""
+    sized = _keyed(documents, seed).select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "_h")
     sized = cut(sized, "mix-sizes")
     targets = source_targets(sized, weights, share, most)
     placed = prefix_sums(sized.withColumn("_run", F.shiftright("_h", 54)), ["source"], "_run", [F.col("_h"), F.col("doc_id").asc_nulls_first()], {"_at": "size"})
@@ -75,23 +77,28 @@ def assign(documents: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
     joined = placed.join(t, placed["source"].eqNullSafe(t["_source"]), "left")
     pick = F.col("source_no") % len(ramps) + 1
     start, end = (F.element_at(F.array(*(F.lit(float(r[i])) for r in ramps)), pick) for i in (0, 1))
-    copies = int(-(-most // 1)) + 1
     takes = []
-    for k in range(copies):
+    for k in range(math.ceil(most)):
         at = F.col("_at") + k * F.col("source_size")
-        words = F.least(F.greatest(F.round(F.col("target")).cast("long") - at, F.lit(0)), F.col("size"))
+        words = F.least(F.greatest(F.round("target").cast("long") - at, F.lit(0)), F.col("size"))
         where = position_of(at / F.col("target"), start, end)
         takes.append(F.struct(F.lit(k).alias("copy"), words.cast("long").alias("words"), where.alias("position")))
     joined = joined.withColumn("takes", F.filter(F.array(*takes), lambda x: x["words"] > 0))
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return joined.select("doc_id", "source", *extra, "size", "source_size", "target", taken.alias("taken"), "takes")
-
-
-def mix(documents: DataFrame, partitions: int | None = None, **options) -> DataFrame:
-    """The mix itself: a row per take, range-sorted by training position."""
-    takes = assign(documents, **options).select("*", F.explode("takes").alias("_t")).drop("takes")
-    out = takes.select("*", F.col("_t.copy").alias("copy"), F.col("_t.words").alias("words"), F.col("_t.position").alias("position")).drop("_t")
-    order = ["position", "source", "doc_id", "copy"]
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "takes", "_h")
+
+
+def mix(documents: DataFrame, partitions: int | None = None, seed: int = 11, **options) -> DataFrame:
+    """The mix itself: the columns of ``documents`` (_copy, _words and _position are added) with a
+    row per whole take, range-sorted by training position.  The document at a source's boundary
+    is taken whole if half of it or more is within the target.  Identical rows take alike."""
+    per = assign(documents, seed=seed, **options)
+    takes = per.groupBy(F.col("doc_id").alias("_doc"), F.col("_h").alias("_x")).agg(F.min(F.struct(-F.size("takes"), "takes", "size"))["takes"].alias("takes"), F.any_value("size").alias("_size"))
+    takes = takes.select("_doc", "_x", F.explode(F.filter("takes", lambda x: 2 * x["words"] >= F.col("_size"))).alias("_take"))
+    rows = _keyed(documents, seed)
+    joined = rows.join(takes, rows["doc_id"].eqNullSafe(takes["_doc"]) & (rows["_h"] == takes["_x"]))
+    out = joined.select(*documents.columns, F.col("_take.copy").alias("_copy"), F.col("_take.words").alias("_words"), F.col("_take.position").alias("_position"))
+    order = ["_position", "source", "doc_id", "_copy"]
     n = partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
