@@ -88,6 +88,41 @@ def candidate_pairs(sketches: DataFrame, bands: int, values: int = 3, near: int
     return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def colliding_pairs(rows: DataFrame, near: int = 2) -> DataFrame:
+    """Pairs (a, b, agree) of nodes that share a value; ``rows`` is (node, value).
+
+    Rows are range-sorted by value and node, so that a hot value is dealt over many tasks; a
+    node is paired with the ``near`` nodes before it and with the first node of its run, so
+    pairs grow with the nodes and every run stays connected.  ``agree`` counts the shared
+    values at which a pair met.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(n, "value", "node").sortWithinPartitions("value", "node")
+
+    def pair(batches):
+        tail = None
+        for pdf in batches:
+            node, value = pdf["node"].to_numpy(np.int64), pdf["value"].to_numpy(np.int64)
+            old = 0
+            if tail is not None:
+                old = len(tail[0])
+                node, value = np.concatenate([tail[0], node]), np.concatenate([tail[1], value])
+            first = np.maximum.accumulate(np.where(np.r_[True, value[1:] != value[:-1]], np.arange(len(node)), 0))
+            at = np.arange(old, len(node))
+            at = at[first[at] < at]
+            i = np.concatenate([first[at], *(np.maximum(at - lag, first[at]) for lag in range(1, near + 1))])
+            j = np.tile(at, near + 1)
+            x, y = node[i], node[j]
+            ok = x != y
+            yield pd.DataFrame({"a": np.minimum(x, y)[ok], "b": np.maximum(x, y)[ok]}).drop_duplicates()
+            last = len(node) - 1
+            keep = np.unique(np.r_[first[last], np.arange(max(first[last], last - near + 1), last + 1)])
+            tail = (node[keep], value[keep])
+
+    found = ordered.select("node", "value").mapInPandas(pair, "a long, b long")
+    return found.groupBy("a", "b").agg(F.count("*").cast("int").alias("agree"))
+
+
 def verified_components(pairs: DataFrame, verify, best: int = 2) -> tuple[DataFrame, DataFrame]:
     """Components over the pairs that ``verify`` keeps, and the links found.
 
