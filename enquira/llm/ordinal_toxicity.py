@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import cut, hash_sample
 
 GRADES = 3
 MOST_TOXIC = 4_000
@@ -90,45 +90,66 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_words:
     return theta[w], theta[first] + np.r_[0, np.cumsum(np.exp(theta[gaps]))]
 
 
-def fit_model(texts: pd.Series, toxic: np.ndarray, grades: int = GRADES, evidence: float = 8.0) -> OrdinalModel:
-    """Fit on labelled texts; see the module's text for the two passes.
-
-    ``evidence``: log-likelihood ratio that ties a word to one side.
-    """
-    bags = [text_words(t) for t in texts]
-    toxic = np.asarray(toxic, bool)
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1 or not n0:
+def fit_grades(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, words: list[str], grades: int = GRADES) -> OrdinalModel:
+    """Fit on features present (rows, cols) and toxic flags; see the module's text for the
+    two passes."""
+    if not len(toxic) or toxic.all() or not toxic.any():
         return OrdinalModel([], np.zeros(0), np.full(grades, 40.0))
-    count: dict[str, list[int]] = {}
-    for bag, t in zip(bags, toxic):
-        for word in bag:
-            count.setdefault(word, [0, 0])[int(t)] += 1
-    words = []
-    for word, (c0, c1) in count.items():
-        if c0 + c1 < 3:
-            continue
-        q = (c0 + c1) / (n0 + n1)
-        ratio = 0.0
-        for c, n in ((c0, n0), (c1, n1)):
-            for seen, p in ((c, q), (n - c, 1 - q)):
-                if seen:
-                    ratio += 2 * seen * np.log(seen / n / p)
-        if ratio >= evidence:
-            words.append(word)
-    words.sort()
-    index = {w: i for i, w in enumerate(words)}
-    pairs = [(i, index[w]) for i, bag in enumerate(bags) for w in bag if w in index]
-    rows, cols = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
     weights, cuts = fit_ordinal(rows, cols, toxic.astype(np.int64), len(words), 1)
     strong = weights > max(2.0, float(cuts[0]) / 3)
-    hits = np.bincount(rows, weights=strong[cols].astype(float), minlength=len(bags)).astype(np.int64)
+    hits = np.bincount(rows, weights=strong[cols].astype(float), minlength=len(toxic)).astype(np.int64)
     grade = np.where(toxic, np.clip(hits, 1, grades), 0)
     if grades > 1:
         weights, cuts = fit_ordinal(rows, cols, grade, len(words), grades)
     return OrdinalModel(words, weights, cuts)
 
 
+def fit_model(fitting: DataFrame, grades: int = GRADES, evidence: float = 8.0, most_words: int = 20_000) -> OrdinalModel:
+    """Fit on a table (text, toxic).
+
+    Words are counted by Spark; those whose log-likelihood ratio ties them to one side by at
+    least ``evidence`` (the ``most_words`` strongest) are features.  The driver receives these
+    words and, per row, which of them occur.
+    """
+    size = {r["toxic"]: r["n"] for r in fitting.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = size.get(True, 0), size.get(False, 0)
+    if not n1 or not n0:
+        return OrdinalModel([], np.zeros(0), np.full(grades, 40.0))
+
+    def count(batches):
+        for pdf in batches:
+            seen: dict[str, list[int]] = {}
+            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+                for word in text_words(text):
+                    seen.setdefault(word, [0, 0])[int(toxic)] += 1
+            yield pd.DataFrame({"word": list(seen), "c0": [c[0] for c in seen.values()], "c1": [c[1] for c in seen.values()]})
+
+    counts = fitting.mapInPandas(count, "word string, c0 long, c1 long").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c0 + c1 >= 3")
+    q = (F.col("c0") + F.col("c1")) / float(n0 + n1)
+
+    def part(c, n):
+        def term(seen, p):
+            return F.when(seen > 0, 2 * seen * F.log(seen / n / p)).otherwise(0.0)
+
+        return term(c, q) + term(n - c, 1 - q)
+
+    ratio = part(F.col("c0"), float(n0)) + part(F.col("c1"), float(n1))
+    chosen = counts.select("word", ratio.alias("ratio")).where(F.col("ratio") >= evidence).orderBy(F.col("ratio").desc(), "word").limit(most_words)
+    words = sorted(r["word"] for r in chosen.collect())
+    index = {w: i for i, w in enumerate(words)}
+
+    def bags(batches):
+        for pdf in batches:
+            found = [sorted(index[w] for w in text_words(t) if w in index) for t in pdf["text"]]
+            yield pd.DataFrame({"toxic": pdf["toxic"], "features": found})
+
+    rows = fitting.mapInPandas(bags, "toxic boolean, features array<int>")
+    rows = rows.orderBy("toxic", "features").toPandas()
+    lengths = rows["features"].map(len).to_numpy(np.int64)
+    cols = np.concatenate([np.asarray(x, np.int64) for x in rows["features"]]) if lengths.sum() else np.zeros(0, np.int64)
+    return fit_grades(np.repeat(np.arange(len(rows)), lengths), cols, rows["toxic"].to_numpy(bool), words, grades)
+
+
 def score_documents(documents: DataFrame, labels: DataFrame, grades: int = GRADES, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, cutoff: float = 0.5, seed: int = 5) -> DataFrame:
     """Rows of ``documents`` with severity (expected grade), grade (most probable), p_toxic
     and is_toxic (p_toxic at least ``cutoff``); all other columns are kept.  Columns of
@@ -139,14 +160,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, grades: int = GRADE
     # at most most_toxic + most_clean rows of two numbers
     fitting = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
-    def bags(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [" ".join(sorted(text_words(t))) for t in pdf["text"]], "toxic": pdf["_toxic"] > 0})
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = fitting.mapInPandas(bags, f"doc_id {kind}, text string, toxic boolean")
-    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
-    model = spark.sparkContext.broadcast(fit_model(rows["text"], rows["toxic"].to_numpy(bool), grades))
+    fitting = cut(fitting.select("text", (F.col("_toxic") > 0).alias("toxic")), "toxicity-fit")
+    model = spark.sparkContext.broadcast(fit_model(fitting, grades))
 
     names = ["severity", "grade", "p_toxic", "is_toxic"]
     kept = [c for c in documents.columns if c not in names]
