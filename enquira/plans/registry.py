@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from .entries import ORACLES, QUERIES
+
+for _name in ("catalog", "leads", "scoring", "retrieval"):
+    import_module(f"enquira.plans.q_{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
