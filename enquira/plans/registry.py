@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .entries import ORACLES, QUERIES
 
-for _name in ("catalog", "leads", "scoring", "retrieval"):
+for _name in ("catalog", "leads", "scoring", "retrieval", "sessions", "routing", "evaluation"):
     import_module(f"enquira.plans.q_{_name}")
 
 

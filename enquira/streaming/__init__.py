@@ -1,0 +1 @@
+"""Streaming twins of the session operators."""
