@@ -81,7 +81,7 @@ def assign(documents: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
     for k in range(math.ceil(most)):
         at = F.col("_at") + k * F.col("source_size")
         words = F.least(F.greatest(F.round("target").cast("long") - at, F.lit(0)), F.col("size"))
-        where = position_of(at / F.col("target"), start, end)
+        where = position_of(F.coalesce(F.try_divide(at, F.col("target")), F.lit(0.0)), start, end)
         takes.append(F.struct(F.lit(k).alias("copy"), words.cast("long").alias("words"), where.alias("position")))
     joined = joined.withColumn("takes", F.filter(F.array(*takes), lambda x: x["words"] > 0))
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
