@@ -122,7 +122,8 @@ def fit_model(fitting: DataFrame, grades: int = GRADES, evidence: float = 8.0, m
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 for word in text_words(text):
                     seen.setdefault(word, [0, 0])[int(toxic)] += 1
-            yield pd.DataFrame({"word": list(seen), "c0": [c[0] for c in seen.values()], "c1": [c[1] for c in seen.values()]})
+            if seen:
+                yield pd.DataFrame({"word": list(seen), "c0": [c[0] for c in seen.values()], "c1": [c[1] for c in seen.values()]})
 
     counts = fitting.mapInPandas(count, "word string, c0 long, c1 long").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c0 + c1 >= 3")
     q = (F.col("c0") + F.col("c1")) / float(n0 + n1)
@@ -166,18 +167,17 @@ def score_documents(documents: DataFrame, labels: DataFrame, grades: int = GRADE
     names = ["severity", "grade", "p_toxic", "is_toxic"]
     kept = [c for c in documents.columns if c not in names]
 
-    def score(batches):
+    def score(texts):
         m = model.value
-        for pdf in batches:
-            p = m.at_least(np.array([m.margin(text_words(t)) for t in pdf["text"]]))
-            whole = np.c_[np.ones(len(p)), p, np.zeros(len(p))]
-            grade = np.argmax(whole[:, :-1] - whole[:, 1:], axis=1) if len(p) else np.zeros(0)
-            yield pdf.assign(severity=p.sum(1), grade=grade, p_toxic=p[:, 0], is_toxic=p[:, 0] >= cutoff)
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([documents.schema[c] for c in kept] + [T.StructField("severity", T.DoubleType()), T.StructField("grade", T.LongType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("is_toxic", T.BooleanType())])
-    return documents.select(*kept).mapInPandas(score, schema)
+        p = m.at_least(np.array([m.margin(text_words(t)) for t in texts], dtype=float))
+        whole = np.c_[np.ones(len(p)), p, np.zeros(len(p))]
+        grade = np.argmax(whole[:, :-1] - whole[:, 1:], axis=1).astype(np.int64)
+        return pd.DataFrame({"severity": p.sum(1), "grade": grade, "p_toxic": p[:, 0].copy(), "is_toxic": p[:, 0] >= cutoff})
+
+    # only the text goes to Python; the other columns stay where they are
+    judge = F.pandas_udf(score, "severity double, grade long, p_toxic double, is_toxic boolean", F.PandasUDFType.SCALAR)
+    judged = documents.select(*kept, judge("text").alias("_judged"))
+    return judged.select(*kept, *(F.col(f"_judged.{n}").alias(n) for n in names))
 
 
 def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
