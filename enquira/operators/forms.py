@@ -86,3 +86,19 @@ def quality_summary(flagged: DataFrame) -> DataFrame:
     """Counts per flag and per rating as (kind, name, n)."""
     both = F.explode(F.array(F.struct(F.lit("flag").alias("kind"), F.col("quality_flag").alias("name")), F.struct(F.lit("rating").alias("kind"), F.col("rating").alias("name"))))
     return flagged.select(both.alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+def subject_fallback(records: DataFrame, subject: str = "subject") -> DataFrame:
+    """Id, rating and (redacted) counsellor from the mail subject where fields lack them."""
+    named = F.regexp_extract(subject, r"-\s*[^-]+?\s*-\s*(Cold|Good|Excellent)", 1)
+    number = F.regexp_extract(subject, r"\b(\d{6})\b", 1)
+    no_name = F.coalesce(F.col("counsellor_id"), F.lit("")) == ""
+
+    def filled(c: str, other: Column) -> Column:
+        return F.when(F.coalesce(F.col(c), F.lit("")) == "", other).otherwise(F.col(c))
+
+    return records.select(
+        *(c for c in records.columns if c not in ("crm_id", "rating", "counsellor_id")),
+        filled("crm_id", number).alias("crm_id"), F.when(no_name & (named != ""), filled("rating", named)).otherwise(F.coalesce("rating", F.lit(""))).alias("rating"),
+        F.when(no_name & (named != ""), "[NAME_REDACTED]").otherwise(F.coalesce("counsellor_id", F.lit(""))).alias("counsellor_id"),
+    )

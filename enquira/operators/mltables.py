@@ -177,3 +177,29 @@ def bootstrap_with_sampled_labels(pool: DataFrame, n: int, seed: str = "boot") -
     u = uniform(f"{seed}-label", F.col("draw"))
     label = F.when(total <= 0, F.col("label")).when(u < F.col("w_cold") / total, 0).when(u < (F.col("w_cold") + F.col("w_warm")) / total, 1).otherwise(2)
     return draws.join(numbered, "rank").select("draw", F.col("id").alias("source_row_id"), F.col("label").alias("source_label"), label.alias("label"))
+
+
+def seed_robustness(results: DataFrame, baseline: str = "real") -> DataFrame:
+    """Per variant, the gain over the baseline of the same seed: mean, least, most, count and tier.
+
+    ``results`` has (variant, seed, macro_f1)."""
+    base = results.where(F.col("variant") == baseline).select("seed", F.col("macro_f1").alias("_base"))
+    rows = results.where(F.col("variant") != baseline).join(base, "seed").select("variant", (F.col("macro_f1") - F.col("_base")).alias("delta"))
+    per = rows.groupBy("variant").agg(F.round(F.avg("delta"), 6).alias("mean"), F.round(F.min("delta"), 6).alias("least"), F.round(F.max("delta"), 6).alias("most"), F.count("*").alias("n"))
+    tier = (
+        F.when(F.col("least") > 0.02, "ROBUST").when((F.col("least") > 0) & (F.col("most") > 0.15) & (F.col("least") < 0.05), "PARTIALLY")
+        .when(F.col("least") <= 0, "SEED-SENSITIVE").otherwise("INCONCLUSIVE")
+    )
+    return per.withColumn("tier", tier)
+
+
+def macro_f1_by(pred: DataFrame, *keys: str) -> DataFrame:
+    """Macro-F1 over the three labels for every group of keys."""
+    cells = pred.groupBy(*keys, "label", "pred").agg(F.count("*").alias("n"))
+    rows = cells.select(*keys, "label", "pred", "n", F.explode(F.array(*map(F.lit, LABELS))).alias("c"))
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    per = rows.groupBy(*keys, "c").agg(total((F.col("label") == F.col("c")) & (F.col("pred") == F.col("c"))).alias("tp"), (total(F.col("label") == F.col("c")) + total(F.col("pred") == F.col("c"))).alias("both"))
+    return per.groupBy(*keys).agg(F.round(F.avg(F.when(F.col("both") > 0, 2 * F.col("tp") / F.col("both")).otherwise(0.0)), 9).alias("macro_f1"))

@@ -121,3 +121,15 @@ def overlay_patch(base: DataFrame, patch: DataFrame, key: str, value: str, guard
     joined = b.withColumn("_old", F.lit(True)).join(p, key, "full_outer")
     take = F.col("_old").isNull() | (F.col("_new").isNotNull() & F.col("_g").isNotNull())
     return joined.select(key, F.when(take, F.col("_p")).otherwise(F.col("_b")).alias(value), F.when(take, "patch").otherwise("base").alias("origin"))
+
+
+def split_sections(df: DataFrame, key: str, text: str, titles: list[str]) -> DataFrame:
+    """(key, section, start, body): a section starts at a line that equals a title and ends
+    before the next title line; lines before the first title are left out."""
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).select(key, "pos", F.trim("line").alias("line"))
+    marker = F.when(F.lower("line").isin([t.lower() for t in titles]), F.struct(F.lower("line").alias("section"), F.col("pos").alias("start")))
+    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("m", F.last(marker, ignorenulls=True).over(so_far)).where("m is not null")
+    body = F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("m.start"), F.struct("pos", "line"))))
+    per = rows.groupBy(key, "m").agg(body.alias("l"))
+    return per.select(key, "m.section", "m.start", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))

@@ -114,3 +114,22 @@ def quality_summary(spark, d):
 def redact_forms(spark, d):
     rows = forms(spark, d)
     return rows.select("row_id", P.redact(lead_blob(rows)).alias("redacted"))
+
+
+_SUBJ = """(SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '' ELSE CAST(row_id AS VARCHAR) END AS crm_id, CASE WHEN row_id % 4 = 0 THEN 'Good' ELSE '' END AS rating, CASE WHEN row_id % 5 = 0 THEN 'c1' ELSE '' END AS counsellor_id,
+  CASE row_id % 3 WHEN 0 THEN 'Form 123456 - Jo Do - Cold' WHEN 1 THEN 'Re: form' ELSE 'Form - A B - Excellent' END AS subject FROM a_forms)"""
+
+
+@query(
+    "subject_fallback",
+    f"""SELECT row_id, CASE WHEN crm_id = '' THEN regexp_extract(subject, '\\b(\\d{{6}})\\b', 1) ELSE crm_id END AS crm_id, CASE WHEN counsellor_id = '' AND n <> '' AND rating = '' THEN n ELSE rating END AS rating,
+      CASE WHEN counsellor_id = '' AND n <> '' THEN '[NAME_REDACTED]' ELSE counsellor_id END AS counsellor_id FROM (SELECT *, regexp_extract(subject, '-\\s*[^-]+?\\s*-\\s*(Cold|Good|Excellent)', 1) AS n FROM {_SUBJ})""",
+    ("a_forms",),
+)
+def subject_fallback(spark, d):
+    k = F.col("row_id")
+    rows = view(spark, d, "a_forms").select(
+        "row_id", F.when(k % 3 == 0, "").otherwise(k.cast("string")).alias("crm_id"), F.when(k % 4 == 0, "Good").otherwise("").alias("rating"), F.when(k % 5 == 0, "c1").otherwise("").alias("counsellor_id"),
+        F.when(k % 3 == 0, "Form 123456 - Jo Do - Cold").when(k % 3 == 1, "Re: form").otherwise("Form - A B - Excellent").alias("subject"),
+    )
+    return M.subject_fallback(rows).drop("subject")

@@ -201,3 +201,46 @@ def topic_predict(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("topic"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     return P.topic_predict(P.topic_train(docs.where(~held)), docs.where(held)).select("doc_id", "topic", "predicted", "confidence")
+
+
+_VARIANTS = ("real", "v1", "v2")
+_PRED = " UNION ALL ".join(f"SELECT '{v}' AS variant, seed, label, pred_{v} AS pred FROM a_px" for v in _VARIANTS)
+_F1S = f"""SELECT variant, seed, round(avg(CASE WHEN b > 0 THEN 2 * tp::DOUBLE / b ELSE 0 END), 9) AS macro_f1 FROM (SELECT variant, seed, c, count_if(label = c AND pred = c) AS tp, count_if(label = c) + count_if(pred = c) AS b
+  FROM ({_PRED}) CROSS JOIN (VALUES (0), (1), (2)) v(c) GROUP BY variant, seed, c) GROUP BY variant, seed"""
+
+
+def _f1s(spark, d):
+    rows = view(spark, d, "a_px")
+    long = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(f"pred_{v}").alias("pred")) for v in _VARIANTS)))
+    return M.macro_f1_by(rows.select("seed", "label", long.alias("x")).select("seed", "label", "x.variant", "x.pred"), "variant", "seed")
+
+
+@query(
+    "seed_robustness",
+    f"""SELECT *, CASE WHEN least > 0.02 THEN 'ROBUST' WHEN least > 0 AND most > 0.15 AND least < 0.05 THEN 'PARTIALLY' WHEN least <= 0 THEN 'SEED-SENSITIVE' ELSE 'INCONCLUSIVE' END AS tier FROM (
+      SELECT a.variant, round(avg(a.macro_f1 - b.macro_f1), 6) AS mean, round(min(a.macro_f1 - b.macro_f1), 6) AS least, round(max(a.macro_f1 - b.macro_f1), 6) AS most, count(*) AS n
+      FROM ({_F1S}) a JOIN ({_F1S}) b ON a.seed = b.seed AND b.variant = 'real' WHERE a.variant <> 'real' GROUP BY a.variant)""",
+    ("a_px",),
+)
+def seed_robustness(spark, d):
+    return M.seed_robustness(_f1s(spark, d))
+
+
+@query(
+    "cv_interval",
+    f"SELECT variant, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std, round(avg(macro_f1) - 1.96::DOUBLE * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS low, round(avg(macro_f1) + 1.96::DOUBLE * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS high FROM ({_F1S}) GROUP BY variant",
+    ("a_px",),
+)
+def cv_interval(spark, d):
+    """Mean, deviation and normal 95 % interval of repeated scores."""
+    half = 1.96 * F.stddev_samp("macro_f1") / F.sqrt(F.count("*"))
+    mean = F.avg("macro_f1")
+    return _f1s(spark, d).groupBy("variant").agg(F.round(mean, 6).alias("mean"), F.round(F.stddev_samp("macro_f1"), 6).alias("std"), F.round(mean - half, 6).alias("low"), F.round(mean + half, 6).alias("high"))
+
+
+@query("label_corpus", "SELECT d.lang AS topic, l.quality, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang IN ('en', 'de', 'fr') GROUP BY d.lang, l.quality")
+def label_corpus(spark, d):
+    """Labels attached to rows by id, rows of unknown topics left out, counted per label."""
+    topics = spark.range(1).select(F.explode(F.array(F.lit("en"), F.lit("de"), F.lit("fr"))).alias("topic"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("topic")).join(table(spark, d, "labels"), "doc_id")
+    return rows.join(topics, "topic", "left_semi").groupBy("topic", "quality").agg(F.count("*").alias("n"))

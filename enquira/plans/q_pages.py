@@ -115,3 +115,18 @@ def overlay_patch(spark, d):
     base = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderpriority").alias("v"))
     patch = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderstatus").alias("v"), F.when(F.col("o_orderkey") % 5 == 0, 1).alias("g"))
     return P.overlay_patch(base, patch, "o_orderkey", "v", "g")
+
+
+_SECTIONED = "(SELECT doc_id, 'Intro' || chr(10) || 'Fees' || chr(10) || text || chr(10) || ' entry ' || chr(10) || 'needs ' || lang || chr(10) || 'fees' || chr(10) || 'end' AS t FROM documents)"
+
+
+@query(
+    "split_sections",
+    f"""SELECT doc_id, section, CAST(start AS INT) AS start, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos > start), '') AS body FROM (
+      SELECT doc_id, pos, line, last_value(section IGNORE NULLS) OVER w AS section, last_value(CASE WHEN section IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS start FROM (
+        SELECT doc_id, pos, line, CASE WHEN lower(line) IN ('fees', 'entry') THEN lower(line) END AS section FROM (SELECT doc_id, unnest(range(len(l))) AS pos, trim(unnest(l), ' ') AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM {_SECTIONED})))
+      WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) WHERE section IS NOT NULL GROUP BY doc_id, section, start""",
+)
+def split_sections(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Intro\nFees\n"), "text", F.lit("\n entry \nneeds "), "lang", F.lit("\nfees\nend")).alias("t"))
+    return P.split_sections(rows, "doc_id", "t", ["Fees", "Entry"])
