@@ -79,22 +79,31 @@ def candidate_pairs(sketches: DataFrame, bands: int, values: int = 3, near: int
             ok = agree >= min_agree
             x, y, agree = node[i[ok]], node[j[ok]], agree[ok]
             out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "agree": agree.astype(np.int32)})
-            yield out.drop_duplicates()
+            yield out.drop_duplicates().assign(end=False)
+            if tail is None:
+                yield _end(value[0])
             last = len(node) - 1
             keep = np.unique(np.r_[first[last], np.arange(max(first[last], last - near + 1), last + 1)])
             tail = tuple(x[keep] for x in (node, band, value, sig))
+        if tail is not None:
+            yield _end(tail[2][-1])
 
-    found = ordered.select("node", "band", "v0", "sig").mapInPandas(pair, "a long, b long, agree int")
-    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    found = ordered.select("node", "band", "v0", "sig").mapInPandas(pair, "a long, b long, agree int, end boolean")
+    return found.groupBy("a", "b", "end").agg(F.max("agree").alias("agree"))
+
+
+def _end(value: int) -> pd.DataFrame:
+    return pd.DataFrame({"a": [value], "b": [0], "agree": [0], "end": [True]})
 
 
 def colliding_pairs(rows: DataFrame, near: int = 2) -> DataFrame:
     """Pairs (a, b, agree) of nodes that share a value; ``rows`` is (node, value).
 
     Rows are range-sorted by value and node, so that a hot value is dealt over many tasks; a
-    node is paired with the ``near`` nodes before it and with the first node of its run, so
-    pairs grow with the nodes and every run stays connected.  ``agree`` counts the shared
-    values at which a pair met.
+    node is paired with the ``near`` nodes before it and with the first node of its run in the
+    same task, so pairs grow with the nodes.  ``agree`` counts the shared values at which a pair
+    met.  Rows with ``end`` are as in ``candidate_pairs``; so is what is left to
+    ``remaining_links``.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "value", "node").sortWithinPartitions("value", "node")
@@ -114,13 +123,17 @@ def colliding_pairs(rows: DataFrame, near: int = 2) -> DataFrame:
             j = np.tile(at, near + 1)
             x, y = node[i], node[j]
             ok = x != y
-            yield pd.DataFrame({"a": np.minimum(x, y)[ok], "b": np.maximum(x, y)[ok]}).drop_duplicates()
+            yield pd.DataFrame({"a": np.minimum(x, y)[ok], "b": np.maximum(x, y)[ok]}).drop_duplicates().assign(agree=1, end=False)
+            if tail is None:
+                yield _end(value[0])
             last = len(node) - 1
             keep = np.unique(np.r_[first[last], np.arange(max(first[last], last - near + 1), last + 1)])
             tail = (node[keep], value[keep])
+        if tail is not None:
+            yield _end(tail[1][-1])
 
-    found = ordered.select("node", "value").mapInPandas(pair, "a long, b long")
-    return found.groupBy("a", "b").agg(F.count("*").cast("int").alias("agree"))
+    found = ordered.select("node", "value").mapInPandas(pair, "a long, b long, agree int, end boolean")
+    return found.groupBy("a", "b", "end").agg(F.sum("agree").cast("int").alias("agree"))
 
 
 def verified_components(pairs: DataFrame, verify, best: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -147,3 +160,128 @@ def verified_components(pairs: DataFrame, verify, best: int = 2) -> tuple[DataFr
     if more.limit(1).count():
         labels = components(links)
     return labels, links
+
+
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """A join by keys with very unequal numbers of nodes."""
+    dealt = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(dealt, [*keys, "_salt"]).drop("_salt")
+
+
+def remaining_links(
+    sketches: DataFrame, labels: DataFrame, ends: DataFrame, texts_of, features, bound, similar=None, min_agree: int = 1, small: int = 4, block: int = 256
+) -> DataFrame | None:
+    """Links (a, b) between components that the pass over neighbours has not met, or None.
+
+    ``sketches`` is (node, sk array<long>), ``labels`` (node, component), ``ends`` (value) the
+    runs that may be cut.  Nodes that share a value of their sketch make a run.  Of all runs
+    that hold several components and more than ``small`` nodes, or that may be cut, every two
+    nodes of different components are compared, once, at the first value that they share,
+    if they share at least ``min_agree``.  So the components over these links
+    and the former ones are those over all similar pairs that share values.
+
+    A run is dealt into blocks of about ``block`` nodes, a component of that size into blocks
+    of its own; every two blocks that hold different components meet in one task, so a
+    large component costs no more than its nodes.  Inside a task, pairs that its links
+    connect already are not compared.  ``texts_of`` maps (node) to (node, text), ``features`` a text
+    to an array of distinct hashes; ``bound`` tells by the number of common hashes and both
+    sizes whether a pair may be similar, ``similar`` (by texts) whether it is.
+    """
+    run, tile = ["band", "value"], ["band", "value", "lo", "hi"]
+    rows = sketches.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("sk").alias("band", "value"))
+    runs = rows.groupBy(*run).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    cut_ = runs.where(F.col("n") <= small).join(F.broadcast(ends.select("value").distinct()), "value", "left_semi")  # two values a task at most
+    runs = cut(runs.where(F.col("n") > small).select(*run).unionByName(cut_.select(*run)), "open-runs")
+    if runs.limit(1).count() == 0:
+        return None
+    members = cut(_salted(rows, runs, run), "open-rows")
+    parts = members.groupBy(*run, "component").agg(F.count("*").alias("n"))
+    few, large = F.col("n") < block, F.struct("component", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    shape = parts.groupBy(*run).agg(F.sum(F.when(few, F.col("n")).otherwise(0)).alias("few"), F.collect_list(F.when(~few, large)).alias("large"))
+
+    def numbered(home, k):
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(home.alias("home"), F.xxhash64(home, i).alias("id")))
+
+    pool = F.when(F.col("few") > 0, numbered(F.lit(None).cast("long"), F.ceil(F.col("few") / block).cast("int"))).otherwise(F.array())
+    blocks = F.concat(F.flatten(F.transform("large", lambda x: numbered(x["component"], x["k"]))), pool)
+    shape = cut(shape.select(*run, blocks.alias("blocks")), "open-blocks")
+    own = F.filter("blocks", lambda x: x["home"] == F.col("component"))
+    home = F.when(F.size(own) > 0, own).otherwise(F.filter("blocks", lambda x: x["home"].isNull()))
+    met = F.filter("blocks", lambda x: x["home"].isNull() | (x["home"] != F.col("component")))
+    placed = _salted(members, shape, run).withColumn("block", home[F.pmod(F.xxhash64(F.lit(1), "node"), F.size(home)).cast("int")]["id"])
+    placed = placed.withColumn("other", F.explode(F.transform(met, lambda x: x["id"]))).drop("blocks")
+    placed = placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
+
+    def pairs_of(pdf):
+        sk, component, block_ = np.stack(pdf["sk"]), pdf["component"].to_numpy(), pdf["block"].to_numpy()
+        left = np.flatnonzero(block_ == pdf["lo"].iloc[0])
+        right = np.flatnonzero(block_ == pdf["hi"].iloc[0])
+        agree, before = np.zeros((len(left), len(right)), np.int32), np.zeros((len(left), len(right)), bool)
+        for k in range(sk.shape[1]):
+            same = sk[left, k][:, None] == sk[right, k][None, :]
+            agree += same
+            if k < pdf["band"].iloc[0]:
+                before |= same
+        ok = (agree >= min_agree) & ~before & (component[left][:, None] != component[right][None, :])
+        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
+            ok = np.triu(ok, 1)
+        return left, right, ok
+
+    def waiting(pdf):
+        left, right, ok = pairs_of(pdf)
+        at = np.unique(np.r_[left[ok.any(1)], right[ok.any(0)]])
+        return pdf.iloc[at][[*tile, "block", "node", "component", "sk"]]
+
+    def link(pdf):
+        left, right, ok = pairs_of(pdf)
+        texts, node, component = pdf["text"].tolist(), pdf["node"].to_numpy(), pdf["component"].to_numpy()
+        hashes = [features(t) for t in texts]
+        size = np.array([len(x) for x in hashes])
+        common = np.zeros(ok.shape, np.float32)
+        owner, value = np.repeat(np.arange(len(pdf)), size), np.unique(np.concatenate(hashes), return_inverse=True)[1]
+        shared = np.bincount(value) > 1
+        column = np.cumsum(shared) - 1
+        owner, value = owner[shared[value]], column[value[shared[value]]]
+        order = np.argsort(value, kind="stable")
+        owner, value = owner[order], value[order]
+        width = 4096
+        for c in range(0, int(shared.sum()), width):
+            s, e = np.searchsorted(value, [c, c + width])
+            held = np.zeros((len(pdf), width), np.float32)
+            held[owner[s:e], value[s:e] - c] = 1
+            common += held[left] @ held[right].T
+        i, j = np.nonzero(ok & bound(common, size[left][:, None], size[right][None, :]))
+        i, j = left[i], right[j]
+        degree = np.bincount(np.r_[i, j], minlength=len(pdf))
+        first = np.argsort(-np.maximum(degree[i], degree[j]), kind="stable")  # hubs connect most
+        root = {c: c for c in component.tolist()}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for x, y in zip(i[first].tolist(), j[first].tolist()):
+            p, q = top(component[x]), top(component[y])
+            if p != q and (similar is None or similar(texts[x], texts[y])):
+                root[p] = q
+                out.append((min(node[x], node[y]), max(node[x], node[y])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    placed = placed.join(sketches, "node").select(*tile, "block", "node", "component", "sk")
+    schema = "band int, value long, lo long, hi long, block long, node long, component long, sk array<long>"
+    open_ = cut(placed.groupBy(*tile).applyInPandas(waiting, schema), "open-waiting")
+    texts = texts_of(open_.select("node").distinct())
+    return cut(open_.join(texts, "node").groupBy(*tile).applyInPandas(link, "a long, b long"), "links")
+
+
+def all_components(pairs: DataFrame, verify, best: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+    """Components over all similar pairs that share a value, and the links found: first over
+    the neighbours in ``pairs``, then over ``remaining_links``, which takes ``options``."""
+    labels, links = verified_components(pairs.where("not end").drop("end"), verify, best)
+    more = remaining_links(labels=labels, ends=pairs.where("end").select(F.col("a").alias("value")), **options)
+    if more is None or more.limit(1).count() == 0:
+        return labels, links
+    links = links.unionByName(more)
+    return components(links), links

@@ -6,7 +6,8 @@ smallest hashes are taken and kept in text order; the hash of that ordered tuple
 value.  Equal values need the same windows in the same order, so they follow the edit
 similarity and not only the shared vocabulary.
 
-Candidates come from sorted sketches (``components.candidate_pairs``) and are
+Candidates come from sorted sketches (``components.candidate_pairs``), then from all texts of
+different classes that share sketch values (``components.remaining_links``), and are
 verified by banded alignment of the window sequences: 1 - edits / longer length must be at
 least ``similarity``, and cells farther from the diagonal than the allowed edits are never
 computed.  Texts with the same words are one class from the start.
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import candidate_pairs, verified_components
+from .components import all_components, candidate_pairs
 from .hashing import mix, occurrence_numbers, window_hashes
 
 WORDS = 5
 SKETCHES = 16
 KEPT = 2
+NEAR = 3
+MIN_AGREE = 2
 SIMILARITY = 0.8
 
 _rng = np.random.default_rng(20240229)
@@ -48,9 +51,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split() if text else []
 
 
+def labels_of(h: np.ndarray) -> np.ndarray:
+    return mix(h + occurrence_numbers(h) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def labelled_windows(text: str) -> np.ndarray:
+    """Distinct hashes, as many as the text has windows."""
+    return labels_of(window_hashes(words_of(text), WORDS))
+
+
 def order_sketch(h: np.ndarray) -> np.ndarray:
     """One value per hash function for a sequence of window hashes."""
-    label = mix(h + occurrence_numbers(h) * np.uint64(0x9E3779B97F4A7C15))
+    label = labels_of(h)
     out = np.zeros(SKETCHES, np.uint64)
     keep = min(KEPT, len(h))
     step = max(1, (1 << 22) // len(h))
@@ -175,13 +187,21 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     nodes = cut(
         known.groupBy("node").agg(F.min(F.struct("doc_id", "xx")).alias("at"), F.any_value("sk").alias("sk"), F.count("*").alias("n_copies")), "omh-nodes"
     )
-    pairs = cut(candidate_pairs(nodes.select("node", "sk"), SKETCHES), "omh-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = nodes.join(ends, "node").select("node", F.col("at.doc_id").alias("_doc"), F.col("at.xx").alias("_xx"))
+    pairs = cut(candidate_pairs(nodes.select("node", "sk"), SKETCHES, near=NEAR, min_agree=MIN_AGREE), "omh-pairs")
     rows = documents.select("doc_id", F.xxhash64("text").alias("xx"), "text")
-    texts = rows.join(places, rows["doc_id"].eqNullSafe(places["_doc"]) & (rows["xx"] == places["_xx"]))
-    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "omh-texts")
-    labels, links = verified_components(pairs, _verifier(texts, similarity))
+
+    def texts_of(ends: DataFrame) -> DataFrame:
+        places = nodes.join(ends, "node").select("node", F.col("at.doc_id").alias("_doc"), F.col("at.xx").alias("_xx"))
+        texts = rows.join(places, rows["doc_id"].eqNullSafe(places["_doc"]) & (rows["xx"] == places["_xx"]))
+        return cut(texts.groupBy("node").agg(F.first("text").alias("text")), "omh-texts")
+
+    met = pairs.where("not end")
+    texts = texts_of(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct())
+    labels, links = all_components(
+        pairs, _verifier(texts, similarity), sketches=nodes.select("node", "sk"), texts_of=texts_of, features=labelled_windows,
+        bound=lambda common, n, m: common >= np.maximum(n, m) - np.floor((1 - similarity) * np.maximum(n, m) + 1e-9),
+        similar=lambda x, y: aligned(window_hashes(words_of(x), WORDS), window_hashes(words_of(y), WORDS), similarity), min_agree=MIN_AGREE, small=NEAR + 2,
+    )
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
