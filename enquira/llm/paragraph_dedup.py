@@ -4,7 +4,7 @@ Paragraphs are the lines of a text with at least five words.  Each gets a MinHas
 over its five-word windows, banded for high recall: five bands of three rows, so exact copies
 always collide and paragraphs with a Jaccard similarity of 0.8 do with probability 0.97.
 Colliding paragraphs are verified by exact Jaccard similarity of at least 0.8 and clustered by
-components.  Of a cluster that spans documents, the paragraph of the first document stays.
+components, first neighbours, then all of different clusters (``components.remaining_links``).  Of a cluster that spans documents, the paragraph of the first document stays.
 
 A passage may also stand inside a longer paragraph.  Texts are therefore cut into pieces as
 well, at line ends and at words whose hash is the least of the 7 words on either side;
@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import colliding_pairs, verified_components
+from .components import all_components, colliding_pairs
 from .hashing import SpanHashes, mix, window_hashes
 
 WORDS = 5
 RADIUS = 7
 BANDS, ROWS = 5, 3
+NEAR = 2
 SIMILARITY = 0.8
 RUN_WORDS = 25
 
@@ -171,12 +172,21 @@ def _line_clusters(documents: DataFrame, lines: DataFrame, similarity: float) ->
     nodes = cut(
         lines.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.any_value(b).alias(b) for b in bands)), "line-nodes"
     )
-    pairs = cut(colliding_pairs(nodes.select("node", F.explode(F.array(*bands)).alias("value"))), "line-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # grouped before the join, so that a line of very many documents is summed up in each task
-    places = lines.groupBy("node").agg(F.min(F.struct("doc_id", "xx", "first", "last")).alias("at")).join(ends, "node")
-    texts = cut(_texts_of(documents, places.select("node", "at.doc_id", "at.xx", "at.first", "at.last")), "line-texts")
-    labels, _ = verified_components(pairs, _verifier(texts, similarity))
+    pairs = cut(colliding_pairs(nodes.select("node", F.explode(F.array(*bands)).alias("value")), NEAR), "line-pairs")
+
+    def texts_of(ends: DataFrame) -> DataFrame:
+        # grouped before the join, so that a line of very many documents is summed up in each task
+        places = lines.groupBy("node").agg(F.min(F.struct("doc_id", "xx", "first", "last")).alias("at")).join(ends, "node")
+        return cut(_texts_of(documents, places.select("node", "at.doc_id", "at.xx", "at.first", "at.last")), "line-texts")
+
+    met = pairs.where("not end")
+    texts = texts_of(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct())
+    labels, _ = all_components(
+        pairs, _verifier(texts, similarity), sketches=nodes.select("node", F.array(*bands).alias("sk")), small=NEAR + 2,
+        texts_of=lambda ends: texts_of(ends).withColumnRenamed("words", "text"),
+        features=lambda words: np.unique(window_hashes(bytes(words).split(b" "), WORDS)),
+        bound=lambda common, n, m: common >= similarity * (n + m - common),
+    )
     member = nodes.select("node", "low", "high").join(labels, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     spread = member.groupBy("cluster").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
     return member.select("node", "cluster").join(spread.select("cluster"), "cluster")
