@@ -9,7 +9,7 @@ surrogate (coreference; parts of a name are entities of their own).
 
 Collision check: over all distinct entities of the input, surrogates must be distinct and
 differ from every entity that occurs.  Entities that fail draw again, with the next attempt
-number, until none fails; the least key of equals keeps its draw.  Surrogates of the
+number, until none fails (later ones draw from more room); the least key of equals keeps its draw.  Surrogates of the
 first draw are computed where the text is; only later attempts are looked up, by a join.
 
 Defined cases: null texts stay null; empty texts and texts without entities stay as they are;
@@ -53,10 +53,15 @@ TITLES = {
 _TITLE_OF = {t: g for g, ts in TITLES.items() for t in ts}
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 
+# words that both a pattern and _HINT take
+_SECRETS = "password|passwd|pwd|secret|token|api[_-]?key"
+_KEYS = "AKIA|ASIA|ghp_|sk-"
+_INTRODUCTIONS = "my name is|je m'appelle|ich heiße|me llamo|меня зовут"
+
 PATTERNS = [
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")),
-    ("secret", re.compile(r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*["']?([^\s"',;]{6,})""")),
-    ("key", re.compile(r"\b(?:AKIA|ASIA|ghp_|sk-)[A-Za-z0-9]{12,}\b")),
+    ("secret", re.compile(rf"""(?i)\b(?:{_SECRETS})\s*[=:]\s*["']?([^\s"',;]{{6,}})""")),
+    ("key", re.compile(rf"\b(?:{_KEYS})[A-Za-z0-9]{{12,}}\b")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")),
     ("ssn", re.compile(r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)")),
@@ -67,9 +72,10 @@ PATTERNS = [
         r"|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
         r"|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
     )),
-    ("name", re.compile(rf"\b(?:{'|'.join(_TITLE_OF)})\.?\s+((?:{_WORD})(?:[ \t]+{_WORD})?)|(?i:\b(?:my name is|je m'appelle|ich heiße|me llamo|меня зовут)\s+)((?:{_WORD})(?:[ \t]+{_WORD})?)")),
+    ("name", re.compile(rf"\b(?:{'|'.join(_TITLE_OF)})\.?\s+((?:{_WORD})(?:[ \t]+{_WORD})?)|(?i:\b(?:{_INTRODUCTIONS})\s+)((?:{_WORD})(?:[ \t]+{_WORD})?)")),
 ]
-_HINT = re.compile(rf"[@\d]|\b(?:{'|'.join(_TITLE_OF)})\b|(?i:password|passwd|pwd|secret|token|my name is|je m'appelle|ich heiße|me llamo|меня зовут)")
+# every match of PATTERNS holds a digit, an @, a title or one of those words
+_HINT = re.compile(rf"[@\d]|{_KEYS}|\b(?:{'|'.join(_TITLE_OF)})\b|(?i:{_SECRETS}|{_INTRODUCTIONS})")
 
 
 def luhn(digits: str) -> bool:
@@ -165,16 +171,26 @@ def same_class(c: str, draw: Draw) -> str:
     return c
 
 
+#: Attempts without added characters; each later one adds one.
+PLAIN_ATTEMPTS = 4
+
+
 def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
-    """The canonical surrogate of a canonical entity."""
+    """The canonical surrogate of a canonical entity.
+
+    From attempt ``PLAIN_ATTEMPTS`` on it grows by a keyed character per attempt, so that an
+    entity with few surrogates of its own length finds one; IPv4 addresses draw from all octets of
+    1 to 223 instead, since they cannot grow.
+    """
     draw = Draw(key, kind, value, attempt)
+    more = max(0, attempt - PLAIN_ATTEMPTS + 1)
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, top = domain.split(".")
-        return "".join(same_class(c, draw) for c in local) + "@" + ".".join("".join(same_class(c, draw) for c in x) for x in labels) + "." + top
+        return "".join(same_class(c, draw) for c in local + "a" * more) + "@" + ".".join("".join(same_class(c, draw) for c in x) for x in labels) + "." + top
     if kind == "ip":
         ranges = {1: (1, 10), 2: (11, 100), 3: (100, 224)}
-        return ".".join(str(lo + draw.below(hi - lo)) for lo, hi in (ranges[max(1, len(o.lstrip("0")))] for o in value.split(".")))
+        return ".".join(str(lo + draw.below(hi - lo)) for lo, hi in ((1, 224) if more else ranges[max(1, len(o.lstrip("0")))] for o in value.split(".")))
     if kind == "account":
         body = value[0] + "".join(str(draw.below(10)) for _ in value[1:])
         if luhn(value):
@@ -184,24 +200,27 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         lead = len(value) - 10 if kind == "phone" and len(value) > 10 else 0  # the country code stays
         return value[:lead] + "".join(str(1 + draw.below(9)) if i == 0 else str(draw.below(10)) for i, _ in enumerate(value[lead:]))
     if kind == "iban":
-        return value[:2] + "".join(same_class(c, draw) for c in value[2:])
+        return value[:2] + "".join(same_class(c, draw) for c in value[2:] + "0" * more)
     if kind == "key":
         lead = next(p for p in ("AKIA", "ASIA", "ghp_", "sk-") if value.startswith(p))
-        return lead + "".join(same_class(c, draw) for c in value[len(lead) :])
+        return lead + "".join(same_class(c, draw) for c in value[len(lead) :] + "a" * more)
+    if kind == "secret":
+        masked = not any(c.isalnum() for c in value)  # a mask would stay as it is
+        return "".join(same_class("a" if masked else c, draw) for c in value + "a" * more)
     if kind.startswith("given"):
         pool = NAMES.get((script_of(value[0]), kind[-1]))
         if pool:
             return "-".join(pool[draw.below(len(pool))] for _ in range(1 + attempt)).lower()
-    return "".join(same_class(c, draw) for c in value)
+    return "".join(same_class(c, draw) for c in value + value[-1] * more)
 
 
 def render(original: str, kind: str, canonical: str) -> str:
     """The surrogate in the format of the mention."""
     if kind in ("phone", "ssn", "account", "iban"):
         left = iter(canonical)
-        return "".join(next(left) if c.isalnum() else c for c in original)
+        return "".join(next(left) if c.isalnum() else c for c in original) + "".join(left)
     if kind == "email":
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(original, canonical))
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(original, canonical)) + canonical[len(original) :]
     if kind.startswith(("given", "family")):
         if original.isupper() and len(original) > 1:
             return canonical.upper()
@@ -219,7 +238,7 @@ def rewrite(text: str, key: str, later: dict) -> tuple[str, int]:
     return "".join(out) + text[last:], len(found)
 
 
-def draw_again(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame:
+def draw_again(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     """(kind, value, attempt) of the entities that need a later attempt; ``entities`` is the
     table of all distinct (kind, value)."""
 
