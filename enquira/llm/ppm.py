@@ -1,54 +1,55 @@
 """Language-model scores by prediction by partial matching (PPM).
 
-A text's kind (one of ``KINDS`` clusters of byte pairs, found on a bounded sample) is the
-outermost context; its own code length is part of the score.  The text is then a sequence of
-words and one end.  A word is coded in the longest context that knows it and escapes to
-shorter ones:
-
-1. the words of its kind: ``(1 - e) * n / N``, with the escape ``e`` estimated by Good-Turing
-   from the words seen once;
-2. the words of the other kinds, less those of its own: their counts' share, with an escape
-   estimated from how many words seen once in the kind occur nowhere else;
-3. after another escape, its bytes and a closing space, in contexts of up to ``ORDER`` earlier
-   bytes of the word (and the space before it).  As in update exclusion, the byte contexts
-   learn from escapes alone: from each known word once.  A symbol seen in the longest known
-   context costs ``count / (n + d)``, with n occurrences and d distinct symbols there;
-   otherwise the escape ``d / (n + d)`` is paid and the next shorter context is tried, less
-   the longer one's symbols (symbol exclusion).  Below order 0 all other symbols are equally
-   likely.  The known words, which cannot follow an escape, are excluded by their exact share.
-
-Contexts do not reach into the previous word, so a word costs the same wherever it stands:
-each distinct word is coded once, and the trie is a table of counts (kind, order, context,
-symbol) that grows with the vocabulary.
+A text is coded as its words, joined by single spaces and closed by one end symbol: a stream of
+bytes.  Each byte is predicted in the context of the ``ORDER`` bytes before it, which reach
+across words (``ORDER`` start marks stand before a text).  The trie of contexts is a table of
+counts (order, context, symbol) over the bytes of all training texts.  A symbol that occurs ``c``
+times in a context with ``n`` occurrences of ``d`` distinct symbols costs
+``-log((c - 1/2) / n)``; any other one first pays for an escape, ``-log(d / 2 / n)`` (method D),
+and is then coded in the next shorter context, without the symbols of the longer one (symbol
+exclusion: they leave ``c``, ``n`` and ``d``).  An unknown context is passed over.  Below order 0
+all bytes that are left are equally likely.  All probabilities of a context's 252 possible
+symbols add up to 1, so ``score`` is the log10 probability of the token sequence.
+
+How it runs.  One pass over the texts counts longest grams (context and symbol, six bytes, as
+one long) and words, summed up in each task and then by key.  Spark derives the shorter orders from the
+longest grams, and one cost per distinct gram.  A second pass adds up the costs of every text.
+The most frequent grams and words, at most ``most_grams`` and ``most_words``, go to the tasks as
+a hash table; all other grams and words of a text are joined with the tables of costs and
+counts by key, so nothing is cut off and what is broadcast stays bounded.
+
+The base score is the smoothed unigram of the contract; it is no probability (a word that no training
+text holds is not spelled out), so on little data, where many words are new, it may be higher than
+the score.
 
 Words are lower-cased in A-Z only and split at the six ASCII space characters.
 
-The words above a count threshold, at most ``most_common`` of them, are broadcast; all other
-words of all texts are joined with the table of costs by key.
-
 Defined cases: a null text is empty: it has the end as its only token; a null doc_id is
-trained on and not held out; repeated rows are scored separately; without training rows
-every count is 0 and symbols are equally likely; an empty table gives an empty result.
+trained on and not held out; repeated rows are trained on and scored separately; a very long text is coded
+in slices whose contexts overlap; equally frequent grams are broadcast together or not at all;
+other columns of the table are not read, whatever their names;
+without training rows every count is 0 and symbols are equally likely; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample
+from .common import cut
 
 ORDER = 5
-KINDS = 8
-PAIRS = 1024
-BASE = 257
-SPACE = 33  # a byte's digit is its value plus one; 0 stands before a word's context
+SYMBOLS = 252  # bytes less four of the space characters, which separate words
+START, SPACE, END = b"\r", b" ", b"\n"
 FOLDS, HELD = 7, 2
+SLICE = 1 << 20
 
 
 def held_out() -> Column:
@@ -60,279 +61,264 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def gram_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all (context, symbol) grams of the words, and the word each belongs to.
-
-    A code has the symbol as its lowest digit and earlier bytes above it."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.int64) + 1
-    size = np.array([len(w) + 2 for w in words])
-    at = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    pos = np.flatnonzero(at > 0)
-    back = at[pos]
-    code = np.zeros(len(pos), np.int64)
+def gram_codes(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The longest gram at every byte of some streams, and the stream it belongs to; a gram's
+    lowest byte is the symbol, earlier bytes are above it."""
+    data = np.frombuffer(b"".join(START * ORDER + s for s in streams), np.uint8).astype(np.int64)
+    size = np.array([len(s) for s in streams], np.int64)
+    own = np.repeat(np.arange(len(streams)), size)
+    pos = np.arange(len(own)) + (own + 1) * ORDER
+    code = np.zeros(len(data), np.int64)
     for k in range(ORDER + 1):
-        code += np.where(back >= k, data[np.maximum(pos - k, 0)], 0) * BASE**k
-    return code, np.repeat(np.arange(len(words)), size)[pos]
-
-
-def pair_profile(text: str | None) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs, of length 1."""
-    data = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8).astype(np.int64) if text else np.zeros(0, np.int64)
-    if len(data) < 2:
-        return np.zeros(PAIRS)
-    count = np.bincount((data[:-1] * 167 + data[1:]) % PAIRS, minlength=PAIRS)
-    return np.sqrt(count / count.sum())
-
-
-def kind_centres(documents: DataFrame, sample: int, rounds: int = 20) -> np.ndarray:
-    """Centres of spherical k-means over at most ``sample`` training texts."""
+        code[k:] |= data[: len(data) - k] << (8 * k)
+    return code[pos], own
+
+
+def slices(streams: list[bytes]):
+    """(first stream, codes, owners) of streams taken together up to ``SLICE`` bytes; a longer
+    stream is cut into parts, each after the bytes before it."""
+    at = 0
+    while at < len(streams):
+        if len(streams[at]) > SLICE:
+            s = streams[at]
+            for begin in range(0, len(s), SLICE):
+                before = min(begin, ORDER)
+                code, own = gram_codes([s[begin - before : begin + SLICE]])
+                yield at, code[before:], own[before:]
+            at += 1
+            continue
+        stop, size = at, 0
+        while stop < len(streams) and size + len(streams[stop]) <= SLICE:
+            size += len(streams[stop])
+            stop += 1
+        yield (at, *gram_codes(streams[at:stop]))
+        at = stop
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return code, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def counts(documents: DataFrame, keep: int = 2_000_000) -> DataFrame:
+    """(word, code, n): occurrences in training rows of every word (code is null) and of
+    every longest gram (word is null); grams of held-out rows alone have n = 0.  A task adds
+    up to ``keep`` different ones before it hands them on."""
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"v": [pair_profile(t) for t in pdf["text"]]})
-
-    ids = hash_sample(documents.where(~held_out()).select("doc_id", F.xxhash64("text").alias("_x")), sample, 23, "doc_id", "_x").select("doc_id").distinct()
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``sample`` ids
-    rows = rows.select("text", F.xxhash64("text").alias("_x")).orderBy("_x").limit(2 * sample)
-    found = rows.select("text").mapInPandas(run, "v array<double>").toPandas()
-    if not len(found):
-        return np.zeros((1, PAIRS))
-    x = np.stack(found["v"])
-    x = x[np.lexsort(x.T[:8])]
-    centres = [x.mean(0)]
-    while len(centres) < min(KINDS, len(x)):
-        centres.append(x[np.argmin(np.max(x @ np.stack(centres).T, axis=1))])
-    c = np.stack(centres)
-    for _ in range(rounds):
-        at = np.argmax(x @ c.T, axis=1)
-        for k in range(len(c)):
-            if (at == k).any():
-                c[k] = x[at == k].mean(0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
-def word_counts(documents: DataFrame, centres) -> DataFrame:
-    """(kind, word, n): occurrences in training rows, 0 for words of held-out rows alone."""
+        words: Counter = Counter()
+        grams: list[list] = [[], []]  # held out, trained on
+        waiting = 0
+
+        def out(all_: bool):
+            nonlocal waiting
+            if all_ or len(words) > keep // 8:
+                yield pd.DataFrame({"word": list(words), "code": pd.array([None] * len(words), "Int64"), "n": list(words.values())})
+                words.clear()
+            for train in (0, 1):
+                if grams[train]:
+                    code, n = _summed(grams[train])
+                    grams[train] = [(code, n)]
+                    if all_ or len(code) > keep:
+                        yield pd.DataFrame({"word": None, "code": code, "n": n * train})
+                        grams[train] = []
+            waiting = 0
 
-    def run(batches):
-        c = centres.value
-        train: list[Counter] = [Counter() for _ in c]
-        other: list[set] = [set() for _ in c]
+        for pdf in batches:
+            for train in (0, 1):
+                found = [tokens(t) for t in pdf.loc[pdf["train"] == bool(train), "text"]]
+                if train:
+                    for ws in found:
+                        words.update(ws)
+                for _, code, _ in slices([SPACE.join(ws) + END for ws in found]):
+                    some, n = np.unique(code, return_counts=True)
+                    grams[train].append((some, n))
+                    waiting += len(some)
+                    if waiting > 2 * keep:
+                        yield from out(False)
+        yield from out(True)
 
-        def out():
-            for k in range(len(train)):
-                words = list(train[k]) + [w for w in other[k] if w not in train[k]]
-                yield pd.DataFrame({"kind": np.int32(k), "word": words, "n": np.array([train[k].get(w, 0) for w in words], np.int64)})
-                train[k].clear()
-                other[k].clear()
+    rows = documents.select("text", (~held_out()).alias("train")).mapInPandas(run, "word binary, code long, n long")
+    return rows.groupBy("word", "code").agg(F.sum("n").alias("n"))
 
-        for pdf in batches:
-            for text, held in zip(pdf["text"], pdf["held"]):
-                k = int(np.argmax(c @ pair_profile(text)))
-                if held:
-                    other[k].update(tokens(text))
-                else:
-                    train[k].update(tokens(text))
-                if sum(map(len, train)) + sum(map(len, other)) > 300_000:
-                    yield from out()
-        yield from out()
 
-    rows = documents.select("text", held_out().alias("held")).mapInPandas(run, "kind int, word binary, n long")
-    return rows.groupBy("kind", "word").agg(F.sum("n").alias("n"))
+def _low(code: Column, k: Column) -> Column:
+    """The last k + 1 bytes of a gram."""
+    return code.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (8 * (k + 1)).cast("int")) - 1)
 
 
-def _pow(k) -> Column:
-    return F.pow(F.lit(float(BASE)), k).cast("long")
+def _context(low: Column) -> Column:
+    return F.shiftright(low, 8)
 
 
 def context_trie(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the longest grams (kind, code, n > 0): symbols (kind, k, code, ns) and contexts
-    (kind, k, ctx, n, d, e), where e counts, one order below, the symbols that the context has."""
-    orders = F.filter(F.sequence(F.lit(0), F.lit(ORDER)), lambda k: (k == 0) | ((F.floor(F.col("code") / _pow(k)) % BASE) != 0))
-    rows = grams.where("n > 0").select("kind", "n", "code", F.explode(orders).alias("k"))
-    symbols = rows.groupBy("kind", "k", (F.col("code") % _pow(F.col("k") + 1)).alias("code")).agg(F.sum("n").alias("ns"))
-    symbols = cut(symbols, "ppm-symbols")
-    up = symbols.select("kind", "k", "code", "ns", F.expr(f"code div {BASE}").alias("ctx"))
-    contexts = up.groupBy("kind", "k", "ctx").agg(F.sum("ns").alias("n"), F.count("*").alias("d"))
-    below = symbols.select("kind", (F.col("k") + 1).alias("k"), F.col("code").alias("low"), F.col("ns").alias("below"))
-    excluded = up.where("k > 0").withColumn("low", F.col("code") % _pow(F.col("k"))).join(below, ["kind", "k", "low"]).groupBy("kind", "k", "ctx").agg(F.sum("below").alias("e"))
-    return symbols, cut(contexts.join(excluded, ["kind", "k", "ctx"], "left"), "ppm-contexts")
+    """From the longest grams (code, n > 0): symbols (k, low, c) of every order k and contexts
+    (k, ctx, n, d, e), where e counts, one order below, the symbols that the context has."""
+    rows = grams.where("n > 0").select("n", "code", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k"))
+    symbols = cut(rows.groupBy("k", _low(F.col("code"), F.col("k")).alias("low")).agg(F.sum("n").alias("c")), "ppm-symbols")
+    up = symbols.withColumn("ctx", _context(F.col("low")))
+    contexts = up.groupBy("k", "ctx").agg(F.sum("c").alias("n"), F.count("*").alias("d"))
+    below = symbols.select((F.col("k") + 1).alias("k"), F.col("low").alias("short"), F.col("c").alias("below"))
+    excluded = up.where("k > 0").withColumn("short", _low(F.col("low"), F.col("k") - 1)).join(below, ["k", "short"]).groupBy("k", "ctx").agg(F.sum("below").alias("e"))
+    return symbols, cut(contexts.join(excluded, ["k", "ctx"], "left"), "ppm-contexts")
 
 
 def gram_costs(grams: DataFrame) -> DataFrame:
-    """(kind, code, cost): log10 probability of every gram's symbol in its context."""
+    """(code, n, cost): log10 probability of every gram's symbol in its context."""
     symbols, contexts = context_trie(grams)
-    depth = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(ORDER)), lambda k: (k == 0) | ((F.floor(F.col("code") / _pow(k)) % BASE) != 0)))
-    g = grams.select("kind", "code", F.col("n").alias("own"), depth.alias("k"))
-    seen = g.where("own > 0").withColumn("ctx", F.expr(f"code div {BASE}")).join(contexts, ["kind", "k", "ctx"])
-    seen = seen.select("kind", "code", F.log10(F.col("own") / (F.col("n") + F.col("d"))).alias("cost"))
-    walk = g.where("own = 0").select("kind", "code", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("k"))
-    walk = walk.withColumn("low", F.col("code") % _pow(F.col("k") + 1)).withColumn("ctx", F.expr(f"low div {BASE}"))
-    s = symbols.select("kind", "k", F.col("code").alias("low"), "ns")
-    walk = walk.join(contexts, ["kind", "k", "ctx"], "left").join(s, ["kind", "k", "low"], "left")
-    steps = walk.groupBy("kind", "code").agg(F.sort_array(F.collect_list(F.struct("k", "ns", "n", "d", F.coalesce("e", F.lit(0)).alias("e"))), asc=False).alias("steps"))
+    longest = contexts.where(F.col("k") == ORDER)
+    seen = grams.where("n > 0").withColumn("ctx", _context(F.col("code"))).withColumnRenamed("n", "own").join(longest, "ctx")
+    seen = seen.select("code", F.col("own").alias("n"), F.log10((F.col("own") - 0.5) / F.col("n")).alias("cost"))
+
+    walk = grams.where("n = 0").select("code", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k"))
+    walk = walk.withColumn("low", _low(F.col("code"), F.col("k"))).withColumn("ctx", _context(F.col("low")))
+    walk = walk.join(contexts, ["k", "ctx"]).join(symbols, ["k", "low"], "left")
+    steps = F.sort_array(F.collect_list(F.struct("k", "c", "n", "d", F.coalesce("e", F.lit(0)).alias("e"))), asc=False)  # one per order
     start = F.struct(F.lit(0.0).alias("cost"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("ex"), F.lit(0).cast("long").alias("dx"))
 
     def step(a, x):
         n, d = x["n"] - a["ex"], x["d"] - a["dx"]
-        hit = a["cost"] + F.log10(x["ns"] / (n + d))
-        escape = a["cost"] + F.when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
+        hit = a["cost"] + F.log10((x["c"] - 0.5) / n)
+        escape = a["cost"] + F.when(d > 0, F.log10(0.5 * d / n)).otherwise(0.0)
         return (
-            F.when(a["done"] | x["n"].isNull(), a)
-            .when(x["ns"].isNotNull(), F.struct(hit.alias("cost"), F.lit(True).alias("done"), a["ex"].alias("ex"), a["dx"].alias("dx")))
+            F.when(a["done"], a)
+            .when(x["c"].isNotNull(), F.struct(hit.alias("cost"), F.lit(True).alias("done"), a["ex"].alias("ex"), a["dx"].alias("dx")))
             .otherwise(F.struct(escape.alias("cost"), F.lit(False).alias("done"), x["e"].alias("ex"), x["d"].alias("dx")))
         )
 
-    end = F.aggregate("steps", start, step)
-    unseen = steps.select("kind", "code", end.alias("r"))
-    unseen = unseen.select("kind", "code", F.when(F.col("r.done"), F.col("r.cost")).otherwise(F.col("r.cost") - F.log10(BASE - F.col("r.dx"))).alias("cost"))
-    return seen.unionByName(unseen)
-
-
-def byte_costs(vocabulary: DataFrame, words_per_chunk: int = 100_000) -> DataFrame:
-    """(kind, word, n, cost): log10 probability of every word's bytes and closing space.
+    ended = walk.groupBy("code").agg(F.aggregate(steps, start, step).alias("r"))
+    unseen = grams.where("n = 0").select("code", "n").join(ended, "code", "left")  # without training rows there is no context
+    last = F.col("r.cost") - F.log10(SYMBOLS - F.col("r.dx"))
+    cost = F.when(F.col("r").isNull(), -math.log10(SYMBOLS)).when(F.col("r.done"), F.col("r.cost")).otherwise(last)
+    return seen.unionByName(unseen.select("code", "n", cost.alias("cost")))
 
-    The vocabulary is dealt into chunks by hash; each chunk asks for its distinct grams once.
-    """
-    chunks = max(1, -(-vocabulary.count() // words_per_chunk))
-    table = vocabulary.withColumn("chunk", F.pmod(F.xxhash64("kind", "word"), F.lit(chunks)).cast("int"))
-    span = BASE ** (ORDER + 1)
 
-    def grams(batches):
-        held: dict[int, list] = {}
-        size = 0
-
-        def out():
-            for chunk, parts in held.items():
-                code, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                some, inverse = np.unique(code, return_inverse=True)
-                yield pd.DataFrame({"chunk": np.int32(chunk), "kind": (some // span).astype(np.int32), "code": some % span, "n": np.bincount(inverse, weights=n).astype(np.int64)})
-
-        for pdf in batches:
-            for chunk, part in pdf.groupby("chunk"):
-                code, at = gram_codes([bytes(w) for w in part["word"]])
-                code = code + part["kind"].to_numpy(np.int64)[at] * span
-                held.setdefault(int(chunk), []).append((code, (part["n"] > 0).to_numpy(np.float64)[at]))
-                size += len(code)
-            if size > 3_000_000:
-                yield from out()
-                held.clear()
-                size = 0
-        yield from out()
-
-    ordered = table.repartition(chunks, "chunk").sortWithinPartitions("chunk") if chunks > 1 else table
-    per = cut(ordered.mapInPandas(grams, "chunk int, kind int, code long, n long").groupBy("chunk", "kind", "code").agg(F.sum("n").alias("n")), "ppm-grams")
-    costs = cut(gram_costs(cut(per.groupBy("kind", "code").agg(F.sum("n").alias("n")), "ppm-longest")), "ppm-costs")
-    asked = per.select("chunk", "kind", "code").join(costs, ["kind", "code"]).select("chunk", "kind", "code", "cost")
-
-    def add(words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        key = known["kind"].to_numpy(np.int64) * span + known["code"].to_numpy(np.int64)
-        order = np.argsort(key)
-        key, value = key[order], known["cost"].to_numpy()[order]
-        code, at = gram_codes([bytes(w) for w in words["word"]])
-        code = code + words["kind"].to_numpy(np.int64)[at] * span
-        cost = value[np.searchsorted(key, code)] if len(code) else np.zeros(0)
-        return pd.DataFrame({"kind": words["kind"], "word": words["word"], "n": words["n"], "cost": np.bincount(at, weights=cost, minlength=len(words))})
-
-    return table.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(add, "kind int, word binary, n long, cost double")
-
-
-def word_costs(vocabulary: DataFrame) -> DataFrame:
-    """(kind, word, n, c, cost): n in the kind, c in all kinds, and the word's log10 probability."""
-    c = F.sum("n").over(Window.partitionBy("word"))
-    coded = cut(byte_costs(vocabulary).withColumn("c", c), "ppm-byte-costs")
-    known = F.col("n") > 0
-
-    def rows(condition):
-        return F.sum(condition.cast("long"))
-
-    kinds = coded.groupBy("kind").agg(
-        F.sum("n").alias("total"), rows(F.col("n") == 1).alias("once"), rows((F.col("n") == 1) & (F.col("c") == 1)).alias("once_anywhere"),
-        F.sum(F.when(known, F.pow(F.lit(10.0), F.col("cost"))).otherwise(0.0)).alias("taken"), F.sum(F.when(known, F.col("c")).otherwise(0)).alias("own"),
-    )
-    every = Window.partitionBy()  # one row per kind
-    escape = F.when(F.col("total") > 0, (F.col("once") + 0.5) / (F.col("total") + 1)).otherwise(1.0)
-    rest = F.sum("total").over(every) - F.col("own")  # occurrences of words that the kind lacks
-    unheard = F.when(rest > 0, (F.col("once_anywhere") + 0.5) / (F.col("once") + 1)).otherwise(1.0)
-    kinds = kinds.select("kind", "total", "taken", escape.alias("escape"), rest.alias("rest"), unheard.alias("unheard"))
-    joined = coded.join(F.broadcast(kinds), "kind")  # one row per kind
-    cost = (
-        F.when(known, F.log10((1 - F.col("escape")) * F.col("n") / F.col("total")))
-        .when(F.col("c") > 0, F.log10(F.col("escape") * (1 - F.col("unheard")) * F.col("c") / F.col("rest")))
-        .otherwise(F.log10(F.col("escape") * F.col("unheard")) + F.col("cost") - F.log10(F.greatest(1 - F.col("taken"), F.lit(1e-9))))
-    )
-    return joined.select("kind", "word", "n", "c", cost.alias("cost"))
-
-
-def score_documents(documents: DataFrame, most_common: int = 100_000, kind_sample: int = 2_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = documents.sparkSession
-    centres = spark.sparkContext.broadcast(kind_centres(documents, kind_sample))
-    words = cut(word_costs(cut(word_counts(documents, centres), "ppm-words")), "ppm-word-costs")
-    total = words.agg(F.sum("n").alias("n"), F.countDistinct(F.when(F.col("c") > 0, F.col("word"))).alias("v")).first()
-    ends = documents.where(~held_out()).count()
-    n = (total["n"] or 0) + ends
-    v = (total["v"] or 0) + (ends > 0)
-
-    # the least count that leaves at most most_common words: from counts per step of log2(n)
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows of n > 0 above the least count that leaves at most ``most``, from counts per step of log2(n)."""
     step = F.floor(F.log2("n") * 16).cast("int")
-    steps = words.where("n > 0").groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect()
     taken, least = 0, 1 << 30
-    for r in steps:
+    for r in table.where("n > 0").groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect():
         taken += r["count"]
-        if taken > most_common:
+        if taken > most:
             break
         least = r["step"]
-    top = words.where((F.col("n") > 0) & (step >= least)).select("kind", "word", "c", "cost").toPandas()
-    flag_word, flag_end = math.log10((n - ends + 1) / (n + 2)), math.log10((ends + 1) / (n + 2))
+    return table.where((F.col("n") > 0) & (step >= least))
+
+
+class CodeTable:
+    """A hash table of codes with one number each, for arrays of codes at once."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(codes)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits)
+        left, slot = np.arange(len(codes)), self.slots(codes)
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = codes[left[free]]
+            got = self.keys[slot] == codes[left]
+            self.values[slot[got]] = values[left[got]]
+            left, slot = left[~got], (slot[~got] + 1) & ((1 << self.bits) - 1)
+
+    def slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 for absent codes) and which codes are present."""
+        slot = self.slots(codes)
+        found = self.keys[slot] == codes
+        value = self.values[slot]
+        open_ = np.flatnonzero(~found)
+        value[open_] = 0
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            key = self.keys[slot]
+            hit = key == codes[open_]
+            found[open_[hit]] = True
+            value[open_[hit]] = self.values[slot[hit]]
+            on = ~hit & (key != -1)
+            open_, slot = open_[on], slot[on]
+        return value, found
+
+
+_TABLES: dict = {}
+
+
+def _tables(held) -> tuple[CodeTable, dict, np.ndarray]:
+    """The broadcast tables, built once per worker."""
+    key = held.value[0]
+    if key not in _TABLES:
+        _TABLES.clear()
+        _, codes, costs, words, log_count = held.value
+        _TABLES[key] = (CodeTable(codes, costs), {w: i for i, w in enumerate(words)}, log_count)
+    return _TABLES[key]
+
+
+def score_documents(documents: DataFrame, most_grams: int = 1_000_000, most_words: int = 100_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
+    spark = documents.sparkSession
+    counted = cut(counts(documents), "ppm-counts")
+    words = counted.where("word is not null").select("word", "n")
+    costs = cut(gram_costs(counted.where("code is not null").select("code", "n")), "ppm-costs")
+    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    ends = documents.where(~held_out()).count()
+    n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     log_total = math.log10(n + v + 1)
-    index: list[dict] = [{} for _ in centres.value]
-    for i, (k, w) in enumerate(zip(top["kind"], top["word"])):
-        index[k][bytes(w)] = i
-    held = spark.sparkContext.broadcast((index, np.log10(top["c"].to_numpy(float) + 1), top["cost"].to_numpy(float)))
+
+    top_grams = most_frequent(costs, most_grams).select("code", "cost").toPandas()
+    top_words = most_frequent(words, most_words).toPandas()
+    held = spark.sparkContext.broadcast((
+        uuid.uuid4().hex, top_grams["code"].to_numpy(np.int64), top_grams["cost"].to_numpy(float),
+        [bytes(w) for w in top_words["word"]], np.log10(top_words["n"].to_numpy(float) + 1),
+    ))
+    del top_grams, top_words
 
     def run(batches):
-        index, log_count, cost = held.value
+        table, index, log_count = _tables(held)
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
-                kind = int(np.argmax(centres.value @ pair_profile(text)))
-                get = index[kind].get
-                found = tokens(text)
-                at = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+            found = [tokens(t) for t in pdf["text"]]
+            for ws in found:
+                at = np.fromiter((index.get(w, -1) for w in ws), np.int64, len(ws))
                 hit = at[at >= 0]
-                rare = Counter(found[i] for i in np.flatnonzero(at < 0).tolist())
-                out.append((kind, len(found), len(hit), log_count[hit].sum(), cost[hit].sum(), list(rare), list(rare.values())))
-            cols = list(zip(*out)) if out else [[]] * 7
-            names = ["kind", "words", "known", "log_count", "cost", "rare", "times"]
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "held": pdf["held"], **dict(zip(names, cols))})
-
-    id_type = documents.schema["doc_id"].dataType.simpleString()
+                rare = Counter(ws[i] for i in np.flatnonzero(at < 0).tolist())
+                out.append((len(ws), len(hit), log_count[hit].sum(), list(rare), list(rare.values())))
+            streams = [SPACE.join(ws) + END for ws in found]
+            score = np.zeros(len(streams))
+            others: list[list] = [[] for _ in streams]
+            for first, code, own in slices(streams):
+                value, known = table.get(code)
+                sums = np.bincount(own, weights=value)
+                score[first : first + len(sums)] += sums
+                lost = np.flatnonzero(~known)
+                if len(lost):
+                    edges = np.flatnonzero(np.r_[True, own[lost][1:] != own[lost][:-1], True])
+                    for s, e in zip(edges[:-1], edges[1:]):
+                        others[first + own[lost[s]]].append(code[lost[s:e]])
+            codes = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.int64),) * 2 for x in others]
+            cols = list(zip(*out)) if out else [[]] * 5
+            parts = dict(zip(["words", "known", "log_count", "rare", "times"], cols))
+            yield pd.DataFrame({
+                "row": pdf["row"], "doc_id": pdf["doc_id"], "held": pdf["held"], **parts, "score": score, "n_bytes": [len(s) for s in streams],
+                "codes": pd.Series([c for c, _ in codes], dtype=object), "code_times": pd.Series([t for _, t in codes], dtype=object),
+            })
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", held_out().alias("held"))
-    schema = f"row long, doc_id {id_type}, held boolean, kind int, words long, known long, log_count double, cost double, rare array<binary>, times array<long>"
+    schema = f"row long, doc_id {kind}, held boolean, words long, known long, log_count double, rare array<binary>, times array<long>, score double, n_bytes long, codes array<long>, code_times array<long>"
     rows = cut(rows.mapInPandas(run, schema), "ppm-documents")
-    rare = rows.select("row", "kind", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", "kind", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    sums = (
-        rare.join(words, ["kind", "word"])
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("r_known"),
-            F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("r_log"),
-            F.sum(F.col("times") * F.col("cost")).alias("r_cost"),
-        )
-    )
-    shares = rows.groupBy("kind").agg(F.sum((~F.col("held")).cast("long")).alias("rows_of_kind"))
-    shares = shares.select("kind", F.log10((F.col("rows_of_kind") + 1) / F.lit(float(ends + len(centres.value)))).alias("kind_cost"))
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    rare = rare.join(words.where("n > 0"), "word").groupBy("row").agg(F.sum("times").alias("r_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("r_log"))
+    other = rows.select("row", F.explode(F.arrays_zip("codes", "code_times")).alias("r")).select("row", F.col("r.codes").alias("code"), F.col("r.code_times").alias("times"))
+    other = other.join(costs, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("r_cost"))
     zero = F.lit(0)
-    joined = rows.drop("rare", "times").join(sums, "row", "left").join(F.broadcast(shares), "kind")  # one row per kind
+    joined = rows.drop("rare", "times", "codes", "code_times").join(rare, "row", "left").join(other, "row", "left")
     return joined.select(
         "doc_id", F.col("held").alias("held_out"), (F.col("words") + 1).alias("n_tokens"),
         (F.col("known") + F.coalesce("r_known", zero) + F.lit(int(ends > 0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_count") + F.coalesce("r_log", zero) + math.log10(ends + 1) - (F.col("words") + 1) * log_total).alias("base_score"),
-        (F.col("cost") + F.coalesce("r_cost", zero) + F.col("words") * flag_word + flag_end + F.col("kind_cost")).alias("score"),
+        (F.col("score") + F.coalesce("r_cost", zero)).alias("score"), "n_bytes",
     )
 
 

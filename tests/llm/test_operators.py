@@ -100,37 +100,53 @@ def test_ppm_beats_unigrams(spark):
     assert rows.selectExpr("sum(score) > sum(base_score)").first()[0]
 
 
-def test_ppm_byte_costs(spark):
-    """Escapes and exclusion against a trie of dictionaries."""
-    known = {b"banana": 1, b"band": 3, b"and": 2, b"nab": 1}
-    asked = [b"ban", b"zebra", b"bandana", "é".encode()]
-    vocabulary = spark.createDataFrame([(0, bytearray(w), n) for w, n in known.items()] + [(0, bytearray(w), 0) for w in asked], "kind int, word binary, n long")
-    got = {bytes(r.word): r.cost for r in ppm.byte_costs(vocabulary).collect()}
-    trie = defaultdict(Counter)
-    for w in known:
-        s = b" " + w + b" "
-        for i in range(1, len(s)):
-            for k in range(min(ppm.ORDER, i) + 1):
-                trie[s[i - k : i]][s[i]] += 1
-    for w in [*known, *asked]:
-        s, cost = b" " + w + b" ", 0.0
-        for i in range(1, len(s)):
+def test_ppm_against_trie(docs, texts):
+    """Whole documents against a trie of dictionaries; most grams and words go the way of the join."""
+    order, trie = ppm.ORDER, defaultdict(Counter)
+    streams = {i: b"\r" * order + b" ".join(ppm.tokens(t)) + b"\n" for i, t in texts.items()}
+    for i, s in streams.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for at in range(order, len(s)):
+                for k in range(order + 1):
+                    trie[s[at - k : at]][s[at]] += 1
+    rows = {r.doc_id: r for r in ppm.score_documents(docs, most_grams=3000, most_words=50).collect()}
+    for i, s in streams.items():
+        cost = 0.0
+        for at in range(order, len(s)):
             out: set = set()
-            for k in range(min(ppm.ORDER, i), -1, -1):
-                c = trie.get(s[i - k : i])
+            for k in range(order, -1, -1):
+                c = trie.get(s[at - k : at])
                 if not c:
                     continue
                 n = sum(x for y, x in c.items() if y not in out)
                 d = sum(1 for y in c if y not in out)
-                if s[i] in c:
-                    cost += math.log10(c[s[i]] / (n + d))
+                if s[at] in c:
+                    cost += math.log10((c[s[at]] - 0.5) / n)
                     break
                 if d:
-                    cost += math.log10(d / (n + d))
+                    cost += math.log10(0.5 * d / n)
                 out |= set(c)
             else:
-                cost -= math.log10(257 - len(out))
-        assert abs(got[w] - cost) < 1e-9, w
+                cost -= math.log10(ppm.SYMBOLS - len(out))
+        assert abs(rows[i].score - cost) < 1e-6 and rows[i].n_bytes == len(s) - order
+
+
+def test_ppm_without_training_rows(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = {r.doc_id: r for r in ppm.score_documents(spark.createDataFrame([(held[0], "ab c"), (held[1], None)], "doc_id long, text string")).collect()}
+    for i, (n_tokens, n_bytes) in zip(held, ((3, 5), (1, 1))):
+        r = rows[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, n_tokens, 0, 0, 0.0)
+        assert abs(r.score + n_bytes * math.log10(ppm.SYMBOLS)) < 1e-9
+
+
+def test_ppm_long_text_in_slices(monkeypatch):
+    streams = [b"ab", b"some longer text of many bytes\n", b"c\n"]
+    whole = {0: ppm.gram_codes(streams)[0]}
+    monkeypatch.setattr(ppm, "SLICE", 7)
+    parts = list(ppm.slices(streams))
+    assert len(parts) > 4 and (np.concatenate([p[1] for p in parts]) == whole[0]).all()
+    assert np.concatenate([p[0] + p[2] for p in parts]).tolist() == [0] * 2 + [1] * len(streams[1]) + [2] * 2
 
 
 def test_chat_round_trip(spark):
