@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,12 @@ WORD_TABLE = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
+    """The folder that all executors share.  A temporary one stands in for it only where none is
+    set and everything runs in one JVM; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,6 +66,19 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return joined.select(*df.columns, *((F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums))
 
 
+def ranked(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """The table range-sorted by ``order`` and written, with each row's number ``name`` in it (from 0).
+
+    A row's number is its place in its range plus the sizes of the ranges before, one row each.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = cut(rows.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place")), label)
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_range").select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def hash_sample(df: DataFrame, most: int, seed: int, *keys: str) -> DataFrame:
     """At most ``most`` rows of a table, the same ones in each run: those with the smallest
     hash of ``keys``.  Only about a fifth more rows than these are sorted."""
