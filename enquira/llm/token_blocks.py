@@ -20,7 +20,8 @@ file system that Spark writes.  Starts over all shards follow from sums per run.
 
 Defined cases: a null text is empty and yields the end id alone; null doc_ids come first; rows
 that repeat a doc_id follow one another, ordered by a hash of the text; an empty table
-writes no shard; texts are never shortened; special-token strings in texts are ordinary text.
+writes no shard; texts of any length are encoded whole; the string of a special token in a text becomes that
+token's id, as the library's own call has it; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -169,62 +170,39 @@ _SPACES_INSIDE = re.compile(r"(?<=\s) (?=\s|\Z)")
 _MODELS: dict[str, CachedTokenizer] = {}
 
 
-def byte_letters() -> dict[int, str]:
-    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others
-    as the letters from U+0100 on, in order."""
-    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    other = iter(range(256, 512))
-    return {b: chr(b if b in same else next(other)) for b in range(256)}
-
-
 class CachedTokenizer:
-    """A byte-level BPE tokenizer with caches of whole pieces and of pattern matches.
+    """The library's tokenizer, untouched, with a cache of what it made of pieces of texts.
 
-    The byte-level pattern always ends a match before a space that follows a non-space,
+    A byte-level tokenizer's own pattern always ends a match before a space that follows a non-space,
     and before the last space of a run.  A text without other spaces inside runs of white
-    space is therefore split at spaces, each new piece is matched, and each new match is
-    encoded by the tokenizer's BPE model once per worker.  Other texts, and other kinds of
-    tokenizer, are encoded as they are.
+    space is therefore split at spaces, and the library encodes each new piece, with its space,
+    once per worker.  Other texts, texts that hold an added token's string, and all texts of other kinds
+    of tokenizer, are encoded by the library as a whole.
     """
 
     #: Pieces kept per worker.
     MOST = 700_000
-    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         pre = str(self.tokenizer.pre_tokenizer)
         self.by_piece = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tokenizer.normalizer is None
-        self.matches = regex.compile(self.PATTERN).findall
-        self.letters = byte_letters()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def match_ids(self, match: str) -> bytes:
-        found = self.tokens.get(match)
-        if found is None:
-            mapped = match.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = b"".join(t.id.to_bytes(self.dtype.itemsize, "little") for t in self.tokenizer.model.tokenize(mapped))
-            if len(self.tokens) > self.MOST:
-                self.tokens.clear()
-            self.tokens[match] = found
-        return found
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or (_SPACE_AFTER_SPACE.search(text) and _SPACES_INSIDE.search(text)):
+        if not self.by_piece or any(t in text for t in self.added) or (_SPACE_AFTER_SPACE.search(text) and _SPACES_INSIDE.search(text)):
             return self.raw(text)
         first, *rest = text.split(" ")
-        head = b"".join(map(self.match_ids, self.matches(first)))
+        head = self.raw(first) if first else b""
         try:
             return head + b"".join(map(self.pieces.__getitem__, rest))
         except KeyError:
@@ -232,7 +210,7 @@ class CachedTokenizer:
                 self.pieces.clear()
             for p in rest:
                 if p not in self.pieces:
-                    self.pieces[p] = b"".join(map(self.match_ids, self.matches(" " + p)))
+                    self.pieces[p] = self.raw(" " + p)
             return head + b"".join(map(self.pieces.__getitem__, rest))
 
 
