@@ -194,7 +194,8 @@ class CachedTokenizer:
         self.pieces: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
