@@ -66,3 +66,47 @@ def occurrence_numbers(h: np.ndarray) -> np.ndarray:
     out = np.empty(len(h), np.uint64)
     out[order] = (np.arange(len(s)) - start).astype(np.uint64)
     return out
+
+
+def word_hashes(words: list[bytes], at_once: int = 100_000) -> np.ndarray:
+    """One hash per word, of any number of words."""
+    if not words:
+        return np.zeros(0, np.int64)
+    return np.concatenate([SpanHashes(words[s : s + at_once]).windows(1) for s in range(0, len(words), at_once)]).view(np.int64)
+
+
+class CodeTable:
+    """A hash table of codes with one number each, for arrays of codes at once."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(codes)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits)
+        left, slot = np.arange(len(codes)), self.slots(codes)
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = codes[left[free]]
+            got = self.keys[slot] == codes[left]
+            self.values[slot[got]] = values[left[got]]
+            left, slot = left[~got], (slot[~got] + 1) & ((1 << self.bits) - 1)
+
+    def slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 for absent codes) and which codes are present."""
+        slot = self.slots(codes)
+        found = self.keys[slot] == codes
+        value = self.values[slot]
+        open_ = np.flatnonzero(~found)
+        value[open_] = 0
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            key = self.keys[slot]
+            hit = key == codes[open_]
+            found[open_[hit]] = True
+            value[open_[hit]] = self.values[slot[hit]]
+            on = ~hit & (key != -1)
+            open_, slot = open_[on], slot[on]
+        return value, found
