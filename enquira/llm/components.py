@@ -24,7 +24,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("m"))
         near = labels.join(around, "node").select("node", "component", F.least("component", "m").alias("m"))
         # hook: a label takes the least label that any of its nodes has seen
-        hooks = near.groupBy(F.col("component").alias("c")).agg(F.min("m").alias("h"))
+        near = cut(near, "near")
+        # written, so that the join can split the rows of a large component
+        hooks = cut(near.groupBy(F.col("component").alias("c")).agg(F.min("m").alias("h")), "hooks")
         hooked = near.join(hooks, F.col("component") == F.col("c")).select("node", F.least("m", "h").alias("component"), F.col("component").alias("was"))
         # jump: follow the label of the label
         jump = hooked.select(F.col("node").alias("c"), F.col("component").alias("j"))
