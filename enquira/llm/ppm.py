@@ -230,11 +230,11 @@ def score_documents(documents: DataFrame, most_grams: int = 1_000_000, most_word
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     log_total = math.log10(n + v + 1)
 
-    top_grams = most_frequent(costs, most_grams).select("code", "cost").toPandas()
-    top_words = most_frequent(words, most_words).toPandas()
+    top_grams = most_frequent(costs, most_grams).select("code", "cost").toArrow()
+    top_words = most_frequent(words, most_words).toArrow()
     held = spark.sparkContext.broadcast((
-        uuid.uuid4().hex, top_grams["code"].to_numpy(np.int64), top_grams["cost"].to_numpy(float),
-        [bytes(w) for w in top_words["word"]], np.log10(top_words["n"].to_numpy(float) + 1),
+        uuid.uuid4().hex, top_grams["code"].to_numpy(), top_grams["cost"].to_numpy(),
+        top_words["word"].to_pylist(), np.log10(top_words["n"].to_numpy() + 1.0),
     ))
     del top_grams, top_words
 
