@@ -43,8 +43,11 @@ class SpanHashes:
 
     def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the spans from word ``first`` to word ``last``, both included."""
-        at = self.begins[first]
-        return mix((self.run[self.ends[last]] - self.run[at]) * _powers[1][at])
+        return self.bytes_from(self.begins[first], self.ends[last])
+
+    def bytes_from(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from ``begin`` to before ``end``."""
+        return mix((self.run[end] - self.run[begin]) * _powers[1][begin])
 
     def windows(self, k: int) -> np.ndarray:
         k = min(k, len(self.begins))

@@ -221,20 +221,35 @@ def test_mix_targets(docs, texts):
 
 
 def test_toxicity_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    """At least nine tenths of toxic rows that are not in the fit, and next to no clean ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     scored = ordinal_toxicity.score_documents(docs, labels.where("doc_id % 4 <> 0"))
-    rows = scored.join(labels.where("doc_id % 4 = 0"), "doc_id").select("toxic", "is_toxic", "severity").collect()
-    hits = sum(r.toxic == 1 and r.is_toxic for r in rows)
-    assert hits >= 0.6 * sum(r.toxic for r in rows) and sum(r.toxic == 0 and r.is_toxic for r in rows) <= 2
+    fitted = docs.join(labels.where("doc_id % 4 <> 0").select("doc_id"), "doc_id").select("text")
+    new = scored.join(fitted, "text", "left_anti")  # no copies of fitted texts
+    rows = new.join(labels.where("doc_id % 4 = 0"), "doc_id").select("toxic", "is_toxic", "severity", "grade").collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    assert len(toxic) > 90 and sum(r.is_toxic for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.toxic == 0 and r.is_toxic for r in rows) <= 0.005 * len(rows)
+    assert all((r.grade > 0) == r.is_toxic and 0 <= r.severity <= 2 for r in rows) and {r.grade for r in rows} == {0, 1, 2}
 
 
-def test_ordinal_thresholds_are_ordered():
+def test_ordinal_fit():
+    """Graded rows: thresholds are ordered, all weights point upwards, grades are found again."""
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 4, 400)
-    rows, cols = np.repeat(np.arange(400), grade), np.concatenate([np.arange(g) for g in grade])
-    weights, cuts = ordinal_toxicity.fit_ordinal(rows, cols, grade, 3, 3)
-    assert (np.diff(cuts) > 0).all() and (weights > 0).all()
+    bags = [np.array(sorted({*range(10, 10 + 3 * g), int(rng.integers(1000, 9000))}), np.int32) for g in grade]
+    model = ordinal_toxicity.fit_grades(bags, grade)
+    assert len(model.thetas) == 3 and (np.diff(model.thetas) > 0).all() and (model.weights[10:19] > 0).all()
+    p = model.at_least(np.array([model.weights[b].sum() for b in bags]))
+    assert ((p > 0.5).sum(1) == grade).mean() > 0.95
+
+
+def test_toxicity_without_labels(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    nulls = spark.createDataFrame([(2, 1, None), (None, 0, 1)], labels.schema)
+    for table in (labels, nulls):
+        assert ordinal_toxicity.score_documents(docs, table).where("is_toxic or grade > 0").count() == 0
 
 
 def test_quality_statistics(docs, texts):
