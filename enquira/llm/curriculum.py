@@ -67,11 +67,11 @@ def _keyed(documents: DataFrame, seed: int) -> DataFrame:
 def assign(documents: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, ramps: tuple = RAMPS, seed: int = 11, run_rows: int = 50_000) -> DataFrame:
     """One row per document: ``_row`` (a number of its own), doc_id, source, size, source_size, target, taken, its
     hash ``_h`` and its takes as an array of (copy, words, position).  A source's offsets are summed
-    in runs of about ``run_rows`` documents."""
+    in 1,024 runs, or more where a run would hold over ``run_rows`` documents."""
     sized = _keyed(documents, seed).select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "_h")
     sized = cut(sized.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
     targets = source_targets(sized, weights, share, most)
-    bits = max(1, math.ceil(math.log2(max(1, sized.count()) / run_rows)) if run_rows else 1)
+    bits = max(10, math.ceil(math.log2(max(1, sized.count()) / run_rows)))
     order = [F.col("_h"), F.col("doc_id").asc_nulls_first(), F.col("_row")]
     placed = prefix_sums(sized.withColumn("_run", F.shiftright("_h", 64 - bits)), ["source"], "_run", order, {"_at": "size"})
     t = targets.withColumnRenamed("source", "_source")

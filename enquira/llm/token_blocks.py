@@ -175,27 +175,40 @@ class CachedTokenizer:
 
     A byte-level tokenizer's own pattern always ends a match before a space that follows a non-space,
     and before the last space of a run.  A text without other spaces inside runs of white
-    space is therefore split at spaces, and the library encodes each new piece, with its space,
-    once per worker.  Other texts, texts that hold an added token's string, and all texts of other kinds
+    space is therefore split at spaces, and the library encodes a text's new pieces, each with its
+    space, in one call; where a token begins with that space, a piece begins.  Other texts, texts that hold an added token's string, and all texts of other kinds
     of tokenizer, are encoded by the library as a whole.
     """
 
     #: Pieces kept per worker.
-    MOST = 700_000
+    MOST = 1_200_000
+    #: How byte-level vocabularies write a space.
+    SPACE = "\u0120"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.letter = "H" if self.dtype.itemsize == 2 else "I"
         pre = str(self.tokenizer.pre_tokenizer)
         self.by_piece = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
 
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
     def raw(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def learn(self, pieces: list[str]) -> None:
+        found = self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False)
+        ids = self.packed(found.ids)
+        begins = [self.dtype.itemsize * i for i, t in enumerate(found.tokens) if t[0] == self.SPACE]
+        if len(begins) != len(pieces):
+            raise ValueError("the tokenizer joins pieces over spaces")
+        self.pieces.update(zip(pieces, (ids[a:b] for a, b in zip(begins, [*begins[1:], len(ids)]))))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -209,9 +222,7 @@ class CachedTokenizer:
         except KeyError:
             if len(self.pieces) > self.MOST:
                 self.pieces.clear()
-            for p in rest:
-                if p not in self.pieces:
-                    self.pieces[p] = self.raw(" " + p)
+            self.learn([p for p in dict.fromkeys(rest) if p not in self.pieces])
             return head + b"".join(map(self.pieces.__getitem__, rest))
 
 
