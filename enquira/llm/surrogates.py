@@ -1,20 +1,30 @@
 """Surrogates for personal data.
 
 Entities are e-mail addresses, telephone, account and social security numbers, IPv4
-addresses, IBANs, keys and passwords, and names that follow a title or an introduction.  Each gets a
-keyed surrogate of its type: letters become letters of the same script and case, digits
-digits, separators stay; addresses stay valid, check digits hold where they held before,
-given names keep their gender and script.  One entity, in whatever format, always gets the same
-surrogate (coreference; parts of a name are entities of their own).
+addresses, IBANs, keys and passwords, and names of persons.  Each gets a keyed surrogate of its type:
+letters become letters of the same script and case, digits digits, separators stay; addresses stay
+valid, check digits hold where they held before, names are made of syllables of their script, given
+names with an ending of their gender.
+
+Names are found by context: after a title or an introduction, two capitalised words after a
+word for a role, a known given name before a capitalised word.  Every other mention of a name so
+found in the same text is replaced too (coreference).  A part of a name is one entity wherever
+it stands, whatever its title: whether it is a given name, and of which gender, is decided over all
+its mentions (a known given name's gender first, then titles before full names, the larger number).
+One entity, in whatever format, always gets the same surrogate.
 
 Collision check: over all distinct entities of the input, surrogates must be distinct and
 differ from every entity that occurs.  Entities that fail draw again, with the next attempt
-number, until none fails (later ones draw from more room); the least key of equals keeps its draw.  Surrogates of the
-first draw are computed where the text is; only later attempts are looked up, by a join.
+number, until none fails (later ones draw from more room); the least key of equals keeps its draw.
 
-Defined cases: null texts stay null; empty texts and texts without entities stay as they are;
-overlapping matches go to the earlier, then the longer one; repeated rows are rewritten alike;
-an empty table gives an empty result.
+How it runs.  One pass finds the mentions and writes them beside their texts.  First draws are
+computed where the text is; only entities with a later attempt, or names whose kind all mentions decide,
+are looked up by a join, and only texts with mentions take part in it.
+
+Defined cases: null texts stay null; empty texts and texts without entities stay as they are; texts of
+any length are searched whole; overlapping matches go to the earlier, then the longer one; repeated rows
+are rewritten alike; a name seen as often with either gender's titles has none; other columns are kept,
+whatever their names (``n_entities`` is replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +36,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut
 
-DEFAULT_KEY = "change me"
-
-# Given names by script and gender, for surrogates and for telling the gender of a name.
+# Known given names by script and gender: they tell a name and its gender.
 NAMES = {
     ("LATIN", "f"): "Anna Maria Laura Julia Clara Emma Sofia Helena Paula Martha Irene Nora Alice Lucia Elena Rosa".split(),
     ("LATIN", "m"): "Peter Thomas Martin Daniel David Oscar Hugo Victor Simon Lucas Felix Leon Paul Adam Bruno Mario".split(),
@@ -52,10 +59,13 @@ TITLES = {
 }
 _TITLE_OF = {t: g for g, ts in TITLES.items() for t in ts}
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-Я"
+_CAPITAL = rf"[{_UPPER}]{_WORD}"
 
 # words that both a pattern and _HINT take
 _SECRETS = "password|passwd|pwd|secret|token|api[_-]?key"
 _KEYS = "AKIA|ASIA|ghp_|sk-"
+_ROLES = "manager|director|colleague|engineer|teacher|customer|client|patient|employee|author|agent|assistant|secretary"
 _INTRODUCTIONS = "my name is|je m'appelle|ich heiße|me llamo|меня зовут"
 
 PATTERNS = [
@@ -72,10 +82,15 @@ PATTERNS = [
         r"|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
         r"|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
     )),
-    ("name", re.compile(rf"\b(?:{'|'.join(_TITLE_OF)})\.?\s+((?:{_WORD})(?:[ \t]+{_WORD})?)|(?i:\b(?:{_INTRODUCTIONS})\s+)((?:{_WORD})(?:[ \t]+{_WORD})?)")),
+    ("name", re.compile(
+        rf"\b(?P<title>{'|'.join(_TITLE_OF)})\.?[ \t]+(?P<a>{_WORD})(?:[ \t]+(?P<b>{_WORD}))?"
+        rf"|(?i:\b(?:{_INTRODUCTIONS})[ \t]+)(?P<c>{_WORD})(?:[ \t]+(?P<d>{_WORD}))?"
+        rf"|\b(?:{_ROLES})[ \t]+(?P<e>{_CAPITAL})[ \t]+(?P<f>{_CAPITAL})"
+        rf"|\b(?P<g>{'|'.join(sorted({n for v in NAMES.values() for n in v}))})[ \t]+(?P<h>{_CAPITAL})"
+    )),
 ]
-# every match of PATTERNS holds a digit, an @, a title or one of those words
-_HINT = re.compile(rf"[@\d]|{_KEYS}|\b(?:{'|'.join(_TITLE_OF)})\b|(?i:{_SECRETS}|{_INTRODUCTIONS})")
+# every match of PATTERNS holds a digit, an @, a title, a known name or one of those words
+_HINT = re.compile(rf"[@\d]|{_KEYS}|\b(?:{'|'.join(_TITLE_OF)}|{_ROLES}|{'|'.join(sorted({n for v in NAMES.values() for n in v}))})\b|(?i:{_SECRETS}|{_INTRODUCTIONS})")
 
 
 def luhn(digits: str) -> bool:
@@ -86,45 +101,49 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, key) of all entities, without overlaps."""
+def name_parts(m: re.Match) -> list[tuple[int, int, str, str]]:
+    """(start, end, role, gender by title) of the capitalised parts of a name."""
+    got = [(k, m.start(k), m.end(k)) for k in "abcdefgh" if m.group(k)]
+    parts = []
+    for k, start, end in got:
+        if not m.string[start].isupper():
+            break
+        parts.append((k, start, end))
+    full = len(parts) > 1
+    gender = _TITLE_OF.get(m.group("title") or "", "n")
+    return [(start, end, "given" if k in "ceg" or k == "a" and full else "family", gender if k == "a" and full else "n") for k, start, end in parts]
+
+
+def find_entities(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, key, hint) of all entities, without overlaps; the hint of a name is its
+    role and gender."""
     if not _HINT.search(text):
         return []
     found = []
+    names: dict[str, str] = {}
     for kind, pattern in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
         for m in pattern.finditer(text):
-            group = next((g for g in range(1, (m.re.groups or 0) + 1) if m.group(g)), 0)
-            start, end = m.span(group)
-            value = m.group(group)
-            digits = re.sub(r"\D", "", value)
             if kind == "name":
-                title = m.group(0).split()[0].rstrip(".")
-                at = start
-                parts = [p for p in value.split() if p[0].isupper()]
-                if len(parts) != len(value.split()):
-                    parts = parts[:1] if value.split()[0][0].isupper() else []
-                gender = _TITLE_OF.get(title, "n")
-                for n, part in enumerate(parts):
-                    at = text.index(part, at)
-                    own = "given" if n == 0 and len(parts) > 1 or group == 2 and n == 0 or part.lower() in GENDER_OF else "family"
-                    g = GENDER_OF.get(part.lower(), gender if gender != "n" else "n") if own == "given" else "n"
-                    found.append((at, at + len(part), f"{own}:{g}", part.lower()))
-                    at += len(part)
+                for start, end, role, gender in name_parts(m):
+                    found.append((start, end, kind, text[start:end].lower(), f"{role}:{gender}"))
+                    names.setdefault(text[start:end], "")
                 continue
-            if kind == "phone":
-                key = digits
-            elif kind in ("account", "ssn"):
-                key = digits
+            start, end = m.span(1 if kind == "secret" else 0)
+            value = text[start:end]
+            if kind in ("phone", "account", "ssn"):
+                value = re.sub(r"\D", "", value)
             elif kind == "email":
-                key = value.lower()
+                value = value.lower()
             elif kind == "iban":
-                key = value.replace(" ", "")
-            else:
-                key = value
-            found.append((start, end, kind, key))
-    found.sort(key=lambda x: (x[0], -x[1]))
+                value = value.replace(" ", "")
+            found.append((start, end, kind, value, ""))
+    names = {form: "" for n in names if len(n) > 1 for form in (n, n.upper())}
+    if names:
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)")
+        found += [(*m.span(), "name", m.group().lower(), "") for m in again.finditer(text)]
+    found.sort(key=lambda x: (x[0], -x[1], x[4] == ""))
     out, last = [], 0
     for x in found:
         if x[0] >= last:
@@ -173,17 +192,58 @@ def same_class(c: str, draw: Draw) -> str:
 
 #: Attempts without added characters; each later one adds one.
 PLAIN_ATTEMPTS = 4
+# syllables and endings of names by script; the endings are those of given names by gender
+SYLLABLES = {
+    "LATIN": "ba be bo da de do fa fe ga go ha he ja jo ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wa ze".split(),
+    "CYRILLIC": "ба бе бо да де до га го жа же за зе ка ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва ве".split(),
+    "GREEK": "βα βε γα γε δα δε ζα θα κα κο λα λε μα με να νε πα πε ρα ρε σα σε τα τε φα χα".split(),
+}
+ENDINGS = {
+    "LATIN": {"f": "ria lina nella tha".split(), "m": "rus ldo nter vin".split(), "n": "ni ry lex kim".split()},
+    "CYRILLIC": {"f": "рия лина нова тья".split(), "m": "рий ман лав тор".split(), "n": "ни ши ля".split()},
+    "GREEK": {"f": "ρία λίνα νη".split(), "m": "ρος νης λας".split(), "n": "νι ρι".split()},
+}
+
+
+def iban_checks(country: str, body: str) -> str:
+    """The check digits with which an IBAN's remainder by 97 is 1."""
+    return f"{98 - iban_remainder(country + '00' + body):02d}"
+
+
+def iban_remainder(value: str) -> int:
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
-def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
+def made_name(value: str, hint: str, draw: Draw, more: int) -> str:
+    """A name of syllables, for a given name with an ending of its gender."""
+    script = script_of(value[0])
+    if script not in SYLLABLES:
+        return "".join(same_class(c, draw) for c in value + value[-1] * more)
+    if len(value) == 1 and not more:
+        return same_class(value, draw)
+    role, _, gender = hint.partition(":")
+    stem = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + (role != "given") + more))
+    if role == "given":
+        return stem + ENDINGS[script][gender][draw.below(len(ENDINGS[script][gender]))]
+    return stem + _ALPHABETS[script][draw.below(len(_ALPHABETS[script]))]
+
+
+def plain_hint(kind: str, value: str) -> str:
+    """What a name is without further knowledge: a known given name, or a family name."""
+    return "" if kind != "name" else f"given:{GENDER_OF[value]}" if value in GENDER_OF else "family:n"
+
+
+def surrogate(kind: str, value: str, hint: str, key: str, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical entity.
 
-    From attempt ``PLAIN_ATTEMPTS`` on it grows by a keyed character per attempt, so that an
-    entity with few surrogates of its own length finds one; IPv4 addresses draw from all octets of
-    1 to 223 instead, since they cannot grow.
+    From attempt ``PLAIN_ATTEMPTS`` on (for names, from the second on) it grows by a keyed character or
+    syllable per attempt, so that an entity with few surrogates of its own length finds one; IPv4
+    addresses draw from all octets of 1 to 223 instead, since they cannot grow.
     """
     draw = Draw(key, kind, value, attempt)
     more = max(0, attempt - PLAIN_ATTEMPTS + 1)
+    if kind == "name":
+        return made_name(value, hint, draw, attempt)
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, top = domain.split(".")
@@ -192,26 +252,21 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         ranges = {1: (1, 10), 2: (11, 100), 3: (100, 224)}
         return ".".join(str(lo + draw.below(hi - lo)) for lo, hi in ((1, 224) if more else ranges[max(1, len(o.lstrip("0")))] for o in value.split(".")))
     if kind == "account":
-        body = value[0] + "".join(str(draw.below(10)) for _ in value[1:])
+        body = value[0] + "".join(str(draw.below(10)) for _ in value[1:] + "0" * more)
         if luhn(value):
             body = next(body[:-1] + d for d in "0123456789" if luhn(body[:-1] + d))
         return body
     if kind in ("phone", "ssn"):
         lead = len(value) - 10 if kind == "phone" and len(value) > 10 else 0  # the country code stays
-        return value[:lead] + "".join(str(1 + draw.below(9)) if i == 0 else str(draw.below(10)) for i, _ in enumerate(value[lead:]))
+        return value[:lead] + "".join(str(1 + draw.below(9)) if i == 0 else str(draw.below(10)) for i, _ in enumerate(value[lead:] + "0" * more))
     if kind == "iban":
-        return value[:2] + "".join(same_class(c, draw) for c in value[2:] + "0" * more)
+        body = "".join(same_class(c, draw) for c in value[4:] + "0" * more)
+        return value[:2] + (iban_checks(value[:2], body) if iban_remainder(value) == 1 else "".join(same_class(c, draw) for c in value[2:4])) + body
     if kind == "key":
-        lead = next(p for p in ("AKIA", "ASIA", "ghp_", "sk-") if value.startswith(p))
+        lead = next(p for p in _KEYS.split("|") if value.startswith(p))
         return lead + "".join(same_class(c, draw) for c in value[len(lead) :] + "a" * more)
-    if kind == "secret":
-        masked = not any(c.isalnum() for c in value)  # a mask would stay as it is
-        return "".join(same_class("a" if masked else c, draw) for c in value + "a" * more)
-    if kind.startswith("given"):
-        pool = NAMES.get((script_of(value[0]), kind[-1]))
-        if pool:
-            return "-".join(pool[draw.below(len(pool))] for _ in range(1 + attempt)).lower()
-    return "".join(same_class(c, draw) for c in value + value[-1] * more)
+    masked = not any(c.isalnum() for c in value)  # a mask would stay as it is
+    return "".join(same_class("a" if masked else c, draw) for c in value + "a" * more)
 
 
 def render(original: str, kind: str, canonical: str) -> str:
@@ -221,93 +276,102 @@ def render(original: str, kind: str, canonical: str) -> str:
         return "".join(next(left) if c.isalnum() else c for c in original) + "".join(left)
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, canonical)) + canonical[len(original) :]
-    if kind.startswith(("given", "family")):
+    if kind == "name":
         if original.isupper() and len(original) > 1:
             return canonical.upper()
-        return "-".join(p[:1].upper() + p[1:] for p in canonical.split("-")) if original[:1].isupper() else canonical
+        return canonical[:1].upper() + canonical[1:] if original[:1].isupper() else canonical
     return canonical
 
 
-def rewrite(text: str, key: str, later: dict) -> tuple[str, int]:
-    """The text with surrogates, and the number of entities; ``later`` has attempts above 0."""
+def rewrite(text: str, key: str, later: dict, found: list | None = None) -> tuple[str, int]:
+    """The text with surrogates, and the number of entities; ``later`` has (hint, attempt) of the
+    entities that their own kind and value don't settle."""
     out, last = [], 0
-    found = find_entities(text)
-    for start, end, kind, value in found:
-        out += [text[last:start], render(text[start:end], kind, surrogate(kind, value, key, later.get((kind, value), 0)))]
+    found = find_entities(text) if found is None else found
+    for start, end, kind, value, *_ in found:
+        hint, attempt = later.get((kind, value), (plain_hint(kind, value), 0))
+        out += [text[last:start], render(text[start:end], kind, surrogate(kind, value, hint, key, attempt))]
         last = end
     return "".join(out) + text[last:], len(found)
 
 
+def entity_table(mentions: DataFrame) -> DataFrame:
+    """(kind, value, hint) of all distinct entities; ``mentions`` has a row per mention.
+
+    Mentions are counted per task before they meet by key, so a name of very many texts is no hot key."""
+    votes = {g: F.sum(F.col("hint").endswith(f":{g}").cast("int")) for g in "fm"}
+    by = mentions.groupBy("kind", "value").agg(F.max(F.col("hint").startswith("given")).alias("given"), *(v.alias(g) for g, v in votes.items()))
+    known = F.create_map(*(F.lit(x) for pair in GENDER_OF.items() for x in pair))
+    gender = F.coalesce(F.try_element_at(known, F.col("value")), F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("n"))
+    given = F.col("given") | F.array_contains(F.map_keys(known), F.col("value"))
+    hint = F.when(F.col("kind") != "name", "").when(given, F.concat(F.lit("given:"), gender)).otherwise("family:n")
+    return by.select("kind", "value", hint.alias("hint"))
+
+
 def draw_again(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
-    """(kind, value, attempt) of the entities that need a later attempt; ``entities`` is the
-    table of all distinct (kind, value)."""
+    """(kind, value, hint, attempt) of the entities that kind and value alone don't settle; ``entities``
+    is the table of all distinct (kind, value, hint)."""
 
     def draws(batches):
         for pdf in batches:
-            yield pdf.assign(drawn=[surrogate(k, v, key, a) for k, v, a in zip(pdf["kind"], pdf["value"], pdf["attempt"])])
+            drawn = [surrogate(k, v, h, key, a) for k, v, h, a in zip(pdf["kind"], pdf["value"], pdf["hint"], pdf["attempt"])]
+            yield pdf.assign(drawn=drawn, plain=[h == plain_hint(k, v) for k, v, h in zip(pdf["kind"], pdf["value"], pdf["hint"])])
 
-    schema = "kind string, value string, attempt int, drawn string"
-    family = F.substring_index("kind", ":", 1)  # genders share one space of names
+    schema = "kind string, value string, hint string, attempt int, drawn string, plain boolean"
     current = cut(entities.withColumn("attempt", F.lit(0)).mapInPandas(draws, schema), "pii-draws")
-    real = entities.select(family.alias("_f"), F.col("value").alias("_v")).distinct()
+    real = entities.select(F.col("kind").alias("r_kind"), F.col("value").alias("r_value"))
+    me = F.struct("attempt", "value")
     for _ in range(rounds):
-        owner = current.groupBy(family.alias("_f"), F.col("drawn").alias("_d")).agg(F.min(F.struct("attempt", "kind", "value")).alias("owner"))
-        judged = current.withColumn("_family", family)
-        judged = judged.join(owner, (F.col("_family") == owner["_f"]) & (F.col("drawn") == F.col("_d"))).drop("_f", "_d")
-        judged = judged.join(real, (F.col("_family") == real["_f"]) & (F.col("drawn") == F.col("_v")), "left")
-        bad = (F.col("owner") != F.struct("attempt", "kind", "value")) | F.col("_v").isNotNull()
-        judged = cut(judged.select("kind", "value", "attempt", "drawn", bad.alias("bad")), "pii-judged")
+        owner = current.groupBy(F.col("kind").alias("o_kind"), F.col("drawn").alias("o_drawn")).agg(F.min(me).alias("owner"))
+        judged = current.join(owner, (F.col("kind") == F.col("o_kind")) & (F.col("drawn") == F.col("o_drawn")))
+        judged = judged.join(real, (F.col("kind") == F.col("r_kind")) & (F.col("drawn") == F.col("r_value")), "left")
+        bad = (F.col("owner") != me) | F.col("r_value").isNotNull()
+        judged = cut(judged.select(*current.columns, bad.alias("bad")), "pii-judged")
         if judged.where("bad").limit(1).count() == 0:
             break
-        again = judged.where("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInPandas(draws, schema)
-        current = cut(judged.where(~F.col("bad")).drop("bad").unionByName(again), "pii-draws")
+        again = judged.where("bad").select("kind", "value", "hint", (F.col("attempt") + 1).alias("attempt")).mapInPandas(draws, schema)
+        current = cut(judged.where("not bad").drop("bad").unionByName(again), "pii-draws")
     else:
         raise RuntimeError("surrogates still collide")
-    return current.where("attempt > 0").select("kind", "value", "attempt")
+    return current.where("attempt > 0 or not plain").select("kind", "value", "hint", "attempt")
 
 
-def replace_entities(documents: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def replace_entities(documents: DataFrame, key: str) -> DataFrame:
     """Rows of ``documents`` with rewritten texts and n_entities (which replaces a column of
-    that name)."""
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-
-    def mentions(batches):
-        for pdf in batches:
-            rows = [
-                (doc, xx, kind, value)
-                for doc, xx, text in zip(pdf["doc_id"], pdf["_xx"], pdf["text"])
-                if text
-                for kind, value in {(k, v) for _, _, k, v in find_entities(text)}
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "_xx", "kind", "value"])
-
-    rows = documents.drop("n_entities").withColumn("_xx", F.xxhash64("text"))
-    said = cut(rows.select("doc_id", "_xx", "text").mapInPandas(mentions, f"doc_id {id_type}, _xx long, kind string, value string"), "pii-mentions")
-    later = draw_again(said.select("kind", "value").distinct(), key)
-    by_doc = (
-        said.join(later, ["kind", "value"])
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("_xx").alias("_x"))
-        .agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_later"))
-    )
-    joined = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["_doc"]) & (rows["_xx"] == by_doc["_x"]), "left").drop("_doc", "_x", "_xx")
-    kept = [c for c in joined.columns if c != "_later"]
-
-    def run(batches):
-        for pdf in batches:
-            texts, counts = [], []
-            for text, later in zip(pdf["text"], pdf["_later"]):
-                known = {(x["kind"], x["value"]): x["attempt"] for x in later} if later is not None else {}
-                new, n = rewrite(text, key, known) if text else (text, 0)
-                texts.append(new)
-                counts.append(n)
-            yield pdf[kept].assign(text=pd.Series(texts, dtype=object, index=pdf.index), n_entities=counts)
-
-    schema = T.StructType([*(joined.schema[c] for c in kept), T.StructField("n_entities", T.LongType())])
-    return joined.mapInPandas(run, schema)
+    that name).  ``key`` is the secret that the surrogates depend on."""
+    if not key:
+        raise ValueError("surrogates need a key")
+    documents = documents.drop("n_entities")
+
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("start", "end", "kind", "value", "hint"), x)) for x in find_entities(t)] if t else [] for t in texts], dtype=object)
+
+    finder = F.pandas_udf(find, "array<struct<start:int,end:int,kind:string,value:string,hint:string>>", F.PandasUDFType.SCALAR)
+    rows = documents.select(F.struct("*").alias("d"), finder("text").alias("found"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(rows, "pii-mentions")  # texts and what was found in them
+    said = rows.where(F.size("found") > 0)
+    later = draw_again(entity_table(said.select(F.explode("found").alias("m")).select("m.kind", "m.value", "m.hint")), key)
+    mentions = said.select("row", F.explode("found").alias("m")).select("row", "m.kind", "m.value").distinct()
+    by_row = mentions.join(later, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "hint", "attempt")).alias("later"))  # entities of one text
+    joined = said.join(by_row, "row", "left").select("d", "found", "later", F.col("d.text").alias("text"))
+
+    def run(texts: pd.Series, found: pd.Series, later: pd.Series) -> pd.Series:
+        out = []
+        for text, places, more in zip(texts, found, later):
+            known = {(x["kind"], x["value"]): (x["hint"], x["attempt"]) for x in more} if more is not None else {}
+            out.append(rewrite(text, key, known, [(x["start"], x["end"], x["kind"], x["value"]) for x in places])[0])
+        return pd.Series(out, dtype=object)
+
+    write = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)
+    new = joined.select("d", F.size("found").cast("long").alias("n"), write("text", "found", "later").alias("text"))
+    same = rows.where(F.size("found") == 0).select("d", F.lit(0).cast("long").alias("n"), F.col("d.text").alias("text"))
+    out = new.unionByName(same)
+    return out.select(*(F.col("text") if c == "text" else F.col("d").getField(c).alias(c) for c in documents.columns), F.col("n").alias("n_entities"))
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_entities")
+    found = replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"), key="registered query")
+    return found.select("doc_id", "text", "n_entities")
 
 
 QUERIES = {"op10_surrogates": op10_surrogates}

@@ -37,7 +37,7 @@ OPERATORS = {
     "toxicity": lambda s, d: ordinal_toxicity.score_documents(d, edge.labels(s)),
     "decontamination": lambda s, d: latent_decontamination.find_leaks(d, bench(s)),
     "quality": lambda s, d: isolation_quality.filter_quality(d, edge.labels(s)),
-    "surrogates": lambda s, d: surrogates.replace_entities(d),
+    "surrogates": lambda s, d: surrogates.replace_entities(d, "k"),
 }
 PER_ROW = {"order_minhash", "ppm", "token_blocks", "curriculum", "toxicity", "quality", "surrogates"}
 

@@ -275,7 +275,7 @@ def test_surrogates():
 def test_surrogates_are_distinct(spark):
     names = [f"Mr Robert{chr(97 + i)}x Smith{chr(97 + i)}y said so." for i in range(26)] + [f"mail m{i}@x.org" for i in range(50)] + ["Frau Anna Meier", "Frau Bertha Meier", "Frau Clara Meier", "Frau Emma Meier", "Frau Julia Meier", "Frau Laura Meier"]
     docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
-    rows = surrogates.replace_entities(docs).orderBy("doc_id").collect()
+    rows = surrogates.replace_entities(docs, "k").orderBy("doc_id").collect()
     new = [r.text for r in rows]
     assert len(set(new)) == len(set(names)) and not set(new) & set(names)
     assert len({t.split()[-1] for t in new[-6:]}) == 1
