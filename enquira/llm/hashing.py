@@ -49,6 +49,13 @@ class SpanHashes:
         """Hashes of the bytes from ``begin`` to before ``end``."""
         return mix((self.run[end] - self.run[begin]) * _powers[1][begin])
 
+    def word_sums(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Other hashes of the spans from word ``first`` to word ``last``: polynomials over the hashes of their words."""
+        n = len(self.begins)
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(self.windows(1) + np.uint64(0x2545F4914F6CDD1D)) * _powers[0][:n], out=run[1:])
+        return mix((run[last + 1] - run[first]) * _powers[1][first] + np.uint64(1))
+
     def windows(self, k: int) -> np.ndarray:
         k = min(k, len(self.begins))
         first = np.arange(len(self.begins) - k + 1)

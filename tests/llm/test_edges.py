@@ -73,7 +73,7 @@ def test_identical_rows_count_once(spark):
 
 
 def test_passage_inside_line(spark):
-    rows = paragraph_dedup.repeated_passages(edge.documents(spark)).collect()
+    rows = paragraph_dedup.repeated_passages(edge.documents(spark), run_words=25).collect()
     found = {r.doc_id: r for r in rows if r.doc_id in (9, 10)}
     assert set(found) == {9, 10}
     assert all(r.removed for r in rows if r.doc_id == 10) and not any(r.removed for r in rows if r.doc_id == 9)
@@ -91,3 +91,46 @@ def test_chat_edges(spark):
     assert got[1].n_turns == 3 and got[None].n_turns == 1 and got[2].loss_chars == 0
     assert got[3].loss_chars == len(rows[-1][3])
     assert chat_windows.digest(chat_windows.format_windows(talk.limit(0))).count() == 0
+
+
+def test_short_paragraphs_are_reported(spark):
+    """An exact paragraph of twenty words in five documents; longer runs may be asked for."""
+    same = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"line {i} of this one text\n{same}\nlast {i} has yet other words {i}") for i in range(5)] + [(9, None)], "doc_id long, text string")
+    rows = [r for r in paragraph_dedup.repeated_passages(docs).collect() if r.kind == "line"]
+    assert sorted((r.doc_id, r.first_word, r.last_word, r.first_doc, r.removed) for r in rows) == [(i, 6, 25, 0, i > 0) for i in range(5)]
+    assert paragraph_dedup.repeated_passages(docs, run_words=25).count() == 0
+
+
+def test_line_clusters_against_brute_force(spark):
+    """All lines of sf0.001 and varied copies of some: clusters are the components of all pairs with Jaccard 0.8."""
+    import random
+
+    from enquira.llm.hashing import window_hashes
+
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    lines = [x for t in texts for x in t.split("\n") if len(x.split()) >= 12][:300]
+    for x in lines[:60]:
+        w = x.split()
+        w[rng.randrange(len(w))] = "changed"
+        lines.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r.doc_id: r.first_doc for r in paragraph_dedup.repeated_passages(docs).where("kind = 'line'").collect()}
+    sets = [set(window_hashes(x.lower().encode().split(), 5).tolist()) for x in lines]
+    root = list(range(len(lines)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    members = [top(i) for i in range(len(lines))]
+    expected = {i: m for i, m in enumerate(members) if members.count(m) > 1}
+    hits = sum(found.get(i) == m for i, m in expected.items())
+    assert len(expected) > 20 and hits >= 0.9 * len(expected) and set(found) <= set(expected)
