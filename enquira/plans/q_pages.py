@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from enquira.operators import pages as P
+from enquira.sources import html_items as H
 
 from .adapters import table
 from .entries import query
@@ -130,3 +131,14 @@ _SECTIONED = "(SELECT doc_id, 'Intro' || chr(10) || 'Fees' || chr(10) || text ||
 def split_sections(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Intro\nFees\n"), "text", F.lit("\n entry \nneeds "), "lang", F.lit("\nfees\nend")).alias("t"))
     return P.split_sections(rows, "doc_id", "t", ["Fees", "Entry"])
+
+
+@query(
+    "page_items",
+    """SELECT page_id, CAST(pos AS INT) AS pos, title, CASE WHEN starts_with(h, '/') THEN host || h ELSE h END AS url FROM (SELECT page_id, host, unnest(range(len(l))) AS pos, unnest(l) AS h, unnest(t) AS title FROM (
+      SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS l, regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t FROM (SELECT page_id, url, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav FROM pages)))""",
+)
+def page_items(spark, d):
+    """The entries of every page's menu."""
+    found = H.page_items(table(spark, d, "pages"), "nav li", {"title": "b::text, a::text", "url": "a::attr(href)"})
+    return found.where("error is null").drop("error")

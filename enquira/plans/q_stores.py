@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from enquira.operators import catalog as C
+from enquira.sources import mails as E
 from enquira.sources import stores as W
 from enquira.sources.shared import shared_folder
 
-from .adapters import view
+from .adapters import table, view
 from .entries import query
 from .q_catalog import _CLEAN, _COURSES, courses
 from .q_retrieval import BOTH, faq, gold
@@ -38,11 +39,11 @@ def sink_json(spark, d):
 
 @query("src_corpus", "SELECT idx, question, answer, category, institution FROM a_corpus", ("a_corpus",))
 def src_corpus(spark, d):
-    """The corpus written as one JSON list per 1000 entries and read again."""
+    """The corpus written as JSON lists of 16 entries, a file each in the order of their names, and read again."""
     path = _path(spark, "faq")
-    entry = F.struct("question", "answer", "category", "institution", "keywords")
-    rows = faq(spark, d).groupBy(F.floor(F.col("idx") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("idx", entry.alias("e")))).alias("l"))
-    rows.select(F.to_json(F.transform("l", lambda x: x["e"]))).write.text(path)
+    entry = F.struct("question", "answer", "category", "institution", "keywords", F.col("idx").alias("index"))
+    rows = faq(spark, d).groupBy(F.format_string("p%08d", F.floor(F.col("idx") / 16)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("idx", entry.alias("e")))).alias("l"))
+    rows.select("part", F.to_json(F.transform("l", lambda x: x["e"])).alias("value")).write.partitionBy("part").text(path)
     return W.read_faq(spark, path).select(F.col("idx").cast("long").alias("idx"), "question", "answer", "category", "institution")
 
 
@@ -79,3 +80,49 @@ def store_statistics(spark, d):
 def run_summary(spark, d):
     rows = courses(spark, d)
     return W.run_summary(rows, C.route(rows))
+
+
+_MAIL = """concat('Subject: Form - ', s_name, ' - Good - ', CAST(100000 + s_suppkey AS STRING), chr(10), 'From: forms@example.com', chr(10), 'Content-Type: text/html; charset=utf-8', chr(10), chr(10),
+  '<table id="emailFieldsTable"><tr><td id="question1">Fund amount</td><td id="value1">', CAST(s_acctbal AS STRING), '</td></tr><tr><td id="question2">Study destination?</td><td id="value2">', CAST(s_nationkey AS STRING), ' &amp; UK</td></tr></table>')"""
+_PLAIN = """concat('Subject: Plain ', CAST(s_suppkey AS STRING), chr(10), 'Content-Type: text/plain; charset=utf-8', chr(10), chr(10), 'before', chr(10), 'CRM ID?', chr(10), CAST(100000 + s_suppkey AS STRING), chr(10), 'Comments:', chr(10), 'first', chr(10), 'second ', s_name)"""
+_MAILS = f"SELECT s_suppkey, s_name, s_acctbal, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN {_PLAIN} ELSE {_MAIL} END AS mail FROM supplier"
+
+
+def mails(spark, d):
+    table(spark, d, "supplier").createOrReplaceTempView("supplier")
+    return spark.sql(_MAILS)
+
+
+@query("src_mail_files", f"SELECT s_suppkey AS mail_no, strlen(mail) AS n_bytes, true AS same FROM ({_MAILS.replace('STRING', 'VARCHAR')})")
+def src_mail_files(spark, d):
+    """A mail per supplier, written as one file each and read again."""
+    path = _path(spark, "mails")
+    rows = mails(spark, d)
+    rows.select("s_suppkey", F.col("mail").alias("value")).write.partitionBy("s_suppkey").text(path)
+    found = E.read_mail_files(spark, path, glob="part-*").select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("mail_no"), "content")
+    same = found.join(rows, F.col("mail_no") == F.col("s_suppkey")).select("mail_no", (F.octet_length("content") - 1).cast("long").alias("n_bytes"), (F.decode("content", "UTF-8") == F.concat("mail", F.lit("\n"))).alias("same"))
+    return same
+
+
+@query(
+    "mail_to_pairs",
+    """SELECT CAST(s_suppkey AS VARCHAR) AS source_file, CASE WHEN s_suppkey % 3 = 0 THEN 'Plain ' || s_suppkey ELSE 'Form - ' || s_name || ' - Good - ' || (100000 + s_suppkey) END AS subject, CASE WHEN s_suppkey % 3 = 0 THEN 'plain' ELSE 'html' END AS source,
+      v.pos AS pos, CASE WHEN s_suppkey % 3 = 0 THEN CASE v.k WHEN 0 THEN 'CRM ID?' ELSE 'Comments:' END ELSE CASE v.k WHEN 0 THEN 'Fund amount' ELSE 'Study destination?' END END AS question,
+      CASE WHEN s_suppkey % 3 = 0 THEN CASE v.k WHEN 0 THEN CAST(100000 + s_suppkey AS VARCHAR) ELSE 'first second ' || s_name END ELSE CASE v.k WHEN 0 THEN CAST(s_acctbal AS VARCHAR) ELSE s_nationkey || ' & UK' END END AS answer
+      FROM supplier JOIN (VALUES (0, 0, 1), (1, 1, 1), (0, 1, 0), (1, 3, 0)) AS v(k, pos, html) ON (v.html = 0) = (s_suppkey % 3 = 0)""",
+)
+def mail_to_pairs(spark, d):
+    parsed = E.parsed_mails(mails(spark, d).select(F.col("s_suppkey").cast("string").alias("source_file"), F.encode("mail", "UTF-8").alias("content")))
+    return E.mail_to_pairs(parsed).select("source_file", "subject", "source", "pos", "question", "answer")
+
+
+@query("src_latest_features", "SELECT row_id, crm_id, label, note_word_count, 'real' AS source, 'lead_features_20250202.csv' AS provenance FROM a_leads", ("a_leads",))
+def src_latest_features(spark, d):
+    """An older CSV, the newest CSV and a newer JSON table: the newest CSV is read."""
+    path = _path(spark, "features")
+    rows = view(spark, d, "a_leads").select("row_id", F.col("crm_id").cast("long").alias("crm_id"), "label", "note_word_count")
+    rows.limit(1).write.option("header", True).csv(f"{path}/lead_features_20240101.csv")
+    rows.write.option("header", True).csv(f"{path}/lead_features_20250202.csv")
+    rows.limit(1).write.json(f"{path}/lead_features_20260303.json")
+    found = W.latest_features(spark, path, "lead_features", "real")
+    return found.select(F.col("row_id").cast("long").alias("row_id"), F.col("crm_id").cast("string").alias("crm_id"), "label", "note_word_count", "source", "provenance")

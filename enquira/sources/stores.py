@@ -11,13 +11,19 @@ FIXED = ["url", "title", "description", "institution", "data_type"]
 
 def read_faq(spark: SparkSession, path: str) -> DataFrame:
     """Questions from JSON files: a list, or an object with ``faqs``; entries without question or
-    answer are dropped, ``idx`` is the position in the file."""
-    entry = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("question", "answer", "category", "institution")] + [T.StructField("keywords", T.ArrayType(T.StringType()))]))
-    raw = spark.read.text(path, wholetext=True)
+    answer are dropped.  ``idx`` is the raw position over all files in the order of their names; an entry that
+    states another ``index`` is an error."""
+    names = ("question", "answer", "category", "institution")
+    entry = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("index", T.LongType())]))
+    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     wrapped = F.from_json("value", T.StructType([T.StructField("faqs", entry)]))["faqs"]
     entries = F.when(F.trim("value").startswith("["), F.from_json("value", entry)).otherwise(wrapped)
-    rows = raw.select(F.posexplode(entries).alias("idx", "e"))
-    kept = rows.where((F.coalesce("e.question", F.lit("")) != "") & (F.coalesce("e.answer", F.lit("")) != ""))
+    files = raw.select("file", F.coalesce(entries, F.array().cast(entry)).alias("entries"))
+    above = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offsets = files.select("file", F.size("entries").alias("n")).select("file", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    rows = files.join(F.broadcast(offsets), "file").select("before", F.posexplode("entries").alias("pos", "e")).select((F.col("before") + F.col("pos")).alias("idx"), "e")
+    at = F.when(F.coalesce(F.col("e.index"), F.col("idx")) == F.col("idx"), F.col("idx")).otherwise(F.raise_error(F.format_string("entry %s states index %s", "idx", "e.index")).cast("long"))
+    kept = rows.select(at.alias("idx"), "e").where((F.coalesce("e.question", F.lit("")) != "") & (F.coalesce("e.answer", F.lit("")) != ""))
     return kept.select(
         "idx", "e.question", "e.answer", F.coalesce("e.keywords", F.array().cast("array<string>")).alias("keywords"),
         F.coalesce("e.category", F.lit("General Enquiries")).alias("category"), F.coalesce("e.institution", F.lit("General")).alias("institution"),
@@ -34,10 +40,28 @@ def check_gold(gold: DataFrame) -> DataFrame:
     return gold.withColumn("violations", rules)
 
 
-def read_mail_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all .eml files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.eml").load(root)
-    return files.select("path", "content")
+def latest_features(spark: SparkSession, folder: str, stem: str, source: str, rebuild: DataFrame | None = None) -> DataFrame:
+    """The newest table ``<stem>_*`` below a folder by name, CSV before JSON, with its ``source``.
+
+    Names may be files or folders of part files.  JSON may be a list, or an object with ``data``; a byte
+    order mark is passed over.  Without any file ``rebuild`` is taken, with ``provenance`` "rebuilt".
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    name = F.regexp_extract("path", rf"^(.*/{stem}_[^/]*\.(csv|json))(/|$)", 1)
+    found = files.select(name.alias("path")).where("path <> ''").select("path", F.col("path").endswith(".csv").alias("csv"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    best = found.agg(F.max(F.struct("csv", "name", "path")).alias("m")).first()["m"]
+    if best is None:
+        if rebuild is None:
+            raise FileNotFoundError(f"no {stem}_* in {folder}")
+        return rebuild.withColumn("source", F.lit(source)).withColumn("provenance", F.lit("rebuilt"))
+    if best["csv"]:
+        rows = spark.read.option("header", True).option("inferSchema", True).csv(best["path"])
+    else:
+        rows = spark.read.option("multiLine", True).json(best["path"])
+        if "data" in rows.columns:
+            rows = rows.select(F.explode("data").alias("r")).select("r.*")
+    rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
+    return rows.withColumn("source", F.lit(source)).withColumn("provenance", F.lit(best["name"]))
 
 
 def flatten(df: DataFrame) -> DataFrame:
