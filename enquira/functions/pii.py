@@ -16,6 +16,7 @@ RULES = [
     ("ADDRESS", r"(?i)\b(?:\d{1,5}[\s-])?(?:[a-z0-9.\-]+\s){1,4}?(?:road|street|avenue|lane|boulevard|drive|close|park|estate|floor|plaza|tower|box|chiromo|westlands|nairobi)\s*(?:[a-z0-9.\-]+\s?){0,3}?"),
     ("SOCIAL", r"(?i)\b(?:facebook\.com|twitter\.com|instagram\.com|linkedin\.com|youtube\.com|@)\S+"),
 ]
+# Fixed value: the counsellor's name in a form's subject.
 FORM_NAME = r"(?i)(Counsellor Assessment Form\s*-\s*)[A-Z][A-Za-z&.'\- ]*?(?=\s*-\s*(?:Cold|Good|Excellent|Warm|Hot)\b)"
 
 

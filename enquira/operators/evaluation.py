@@ -67,40 +67,69 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "query_id").select("query_id", "rank_a", "rank_b", F.when(rb < ra, "win").when(rb > ra, "loss").otherwise("tie").alias("outcome"), ((ra == 1) != (rb == 1)).alias("flip"))
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = 200, seed: str = "s") -> DataFrame:
-    """95 % interval of the mean difference of (id, a, b) over resamples of rows.
+def compare_summary(runs: DataFrame, cuts: tuple = (0.80, 0.60)) -> DataFrame:
+    """Metrics of the runs a and b (column ``run``) and their difference (run "delta"), with mean cosines and the shares of
+    answerable queries whose best cosine is above each cut."""
+    a = ~F.col("expected_abstain")
+    shares = [F.round(F.coalesce(F.avg(F.when(a, (F.col("raw") > c).cast("double"))), F.lit(0.0)), 4).alias(f"share_above_{int(100 * c)}") for c in cuts]
+    per = runs.groupBy("run").agg(*_metrics(), F.round(F.avg("raw"), 4).alias("mean_raw"), F.round(F.avg(F.when(a, F.col("raw"))), 4).alias("mean_raw_answerable"), *shares)
+    names = [c for c in per.columns if c != "run"]
+    gap = per.groupBy().agg(*(F.round(F.sum(F.when(F.col("run") == "b", F.col(c)).otherwise(-F.col(c))), 4).alias(c) for c in names))
+    return per.unionByName(gap.select(F.lit("delta").alias("run"), *names))
+
 
-    Rows with the same difference form one cell; a resample draws as many rows as there are
-    by hash, each drawn row is looked up by number.  Numbers are given within the cell order, so
-    the work is resamples x rows of two integers.
+def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: str = "s") -> DataFrame:
+    """delta, mean and 95 % interval of the mean difference of (id, a, b) over resamples of rows.
+
+    Row j of resample r is the row with the number of a hash of both; all draws are dealt over the tasks and joined with the
+    numbered rows, so the work is resamples x rows of two integers.
     """
+    from .mltables import rank_within
+
     rows = pairs.select("id", (F.col("b") - F.col("a")).alias("diff"))
-    numbered = rows.withColumn("i", F.row_number().over(Window.orderBy("id")) - 1)
-    n = rows.agg(F.count("*").alias("n"))
-    draws = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    draws = draws.select("b", (hash32(seed, F.col("b"), F.col("j")) % F.col("n")).alias("i"))
-    means = draws.join(numbered, "i").groupBy("b").agg(F.avg("diff").alias("m"))
-    ci = means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
-    return rows.agg(F.round(F.avg("diff"), 6).alias("delta")).join(ci, F.lit(True))
+    numbered = rank_within(rows.withColumn("_g", F.lit(0)), "_g", hash32("number", F.col("id")), "id").select("diff", (F.col("rank") - 1).alias("i"))
+    n = rows.count()
+    draws = pairs.sparkSession.range(n * resamples).select(F.expr(f"id div {max(n, 1)}").alias("r"), F.expr(f"id % {max(n, 1)}").alias("j"))
+    draws = draws.select("r", (hash32(seed, F.col("r"), F.col("j")) % max(n, 1)).alias("i"))
+    means = draws.join(numbered, "i").groupBy("r").agg(F.avg("diff").alias("m"))
+    ci = means.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("delta")).join(ci, F.lit(True))
 
 
 def withhold(gold: DataFrame, corpus: DataFrame, share: float = 0.3, seed: str = "w") -> tuple[DataFrame, DataFrame]:
-    """(withheld ids, reduced corpus): a share of the distinct needed ids, at least one."""
-    needed = gold.where(F.col("gold_id").isNotNull()).select(F.col("gold_id").alias("idx")).distinct()
-    order = Window.orderBy(hash32(seed, F.col("idx")), "idx")
-    ranked = needed.select("idx", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    gone = ranked.where(F.col("r") <= F.greatest(F.floor(F.col("n") * share), F.lit(1))).select("idx")
+    """(withheld ids, reduced corpus): a share of the distinct needed ids, at least one, the first in hash order."""
+    from .mltables import rank_within
+
+    needed = gold.where(F.col("gold_id").isNotNull()).select(F.col("gold_id").alias("idx"), F.lit(0).alias("_g")).distinct()
+    ranked = rank_within(needed, "_g", hash32(seed, F.col("idx")), "idx")
+    gone = ranked.where(F.col("rank") <= F.greatest(F.floor(F.col("n") * share + 0.5), F.lit(1))).select("idx")
     return gone, corpus.join(gone, "idx", "left_anti")
 
 
+def adaptation_report(stages: DataFrame, boot: DataFrame) -> DataFrame:
+    """One row per stage (full, cold, restored, targeted): its metrics, the gain over the cold stage, the share of the loss that
+    is recovered (NULL if nothing was lost), the gap that is left to the full restore, and the interval of the gain.
+
+    ``stages`` has per-query rows with ``stage``; ``boot`` (stage, metric, low, high)."""
+    per = stages.groupBy("stage").agg(*_metrics())
+    marks = [F.max(F.when(F.col("stage") == s, F.col(m))).alias(f"{s}_{m}") for s in ("full", "cold", "restored") for m in ("recall3", "recall5")]
+    joined = per.join(F.broadcast(per.agg(*marks)), F.lit(True))  # one row
+    extra = []
+    for m in ("recall3", "recall5"):
+        lost, gained = F.col(f"full_{m}") - F.col(f"cold_{m}"), F.col(m) - F.col(f"cold_{m}")
+        extra += [F.round(gained, 4).alias(f"gain_{m}"), F.round(F.when(lost != 0, gained / lost), 4).alias(f"recovery_{m}"), F.round(F.col(f"restored_{m}") - F.col(m), 4).alias(f"residual_{m}")]
+    wide = boot.groupBy("stage").agg(*(F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in ("recall3", "recall5") for e in ("low", "high")))
+    return joined.select(*per.columns, *extra).join(wide, "stage", "left")
+
+
 def probe_gaps(rows: DataFrame) -> DataFrame:
     """Answerable probe queries whose document is missing or below rank 3, with the reason."""
     bad = rows.where(~F.col("expected_abstain") & (F.col("rank").isNull() | (F.col("rank") > 3)))
     return bad.select("query_id", "category", F.when(F.col("rank").isNull(), "not_retrieved").otherwise("low_rank").alias("reason"), F.col("predicted_abstain").alias("below_gate"))
 
 
-def targeted_restore(gaps: DataFrame, gold: DataFrame, withheld: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Withheld ids that failing probes need, and withheld ids of failing categories."""
-    needed = gold.join(gaps.select("query_id"), "query_id", "left_semi").select(F.col("gold_id").alias("idx"))
+def targeted_restore(gaps: DataFrame, probes: DataFrame, withheld: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Withheld ids that the probes need, and withheld ids of the categories of failing ones."""
+    needed = probes.where(F.col("gold_id").isNotNull()).select(F.col("gold_id").alias("idx"))
     alike = corpus.join(gaps.select("category").distinct(), "category", "left_semi").select("idx")
     return withheld.join(needed, "idx", "left_semi").unionByName(withheld.join(alike, "idx", "left_semi")).distinct()

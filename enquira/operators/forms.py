@@ -9,7 +9,10 @@ from enquira.functions.lead_rules import contains_any
 from enquira.functions.pii import has_pii, redact
 
 # Prompts that count as questions in plain mails.
-PROMPTS = "qualifications|english proficiency|study destination|course|intake|funding|crm id|enquiry stage|username|email address".split("|")
+PROMPTS = [
+    "qualifications", "english proficiency", "study destination", "course", "intake", "funding", "crm id", "enquiry stage", "username",
+    "email address",
+]
 # Question words of each form field, tried in order.
 FIELDS = [
     ("crm_id", ["crm id", "lead id", "lead number", "application id"]),
@@ -24,6 +27,7 @@ FIELDS = [
     ("counsellor_id", ["counsellor", "username", "agent", "staff"]),
     ("rating", ["rating", "student readiness", "assessment rating", "grade"]),
 ]
+# Fixed value: questions about the person.
 PERSONAL = r"(?i)(^|\W)(name|email|phone|whatsapp|marital|visa refusal|dependant|nationality|country of residence|address|date of birth|age)(\W|$)"
 
 
@@ -75,17 +79,28 @@ def assemble_records(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def quality_flag(records: DataFrame) -> DataFrame:
-    """CLEAN, CHECK (no rating or id) or REVIEW (personal data left in notes or qualifications)."""
-    notes, quals = has_pii(F.col("assessment_notes")), has_pii(F.col("qualifications"))
-    flag = F.when(notes | quals, "REVIEW").when((F.col("rating") == "") | (F.col("crm_id") == ""), "CHECK").otherwise("CLEAN")
-    issues = F.concat_ws(",", F.when(notes, "assessment_notes"), F.when(quals, "qualifications"))
-    return records.withColumn("quality_flag", flag).withColumn("pii_issues", issues)
+    """CLEAN, CHECK (no rating or id) or REVIEW (personal data left in notes, qualifications or an unredacted counsellor id);
+    a counsellor id that is no marker is redacted afterwards."""
+    left = has_pii(F.col("assessment_notes")) | has_pii(F.col("qualifications"))
+    staff = F.coalesce(F.col("counsellor_id"), F.lit("")) if "counsellor_id" in records.columns else F.lit("")
+    marked = staff.contains("REDACTED") | staff.contains("COUNSELLOR_ID")
+    hidden = F.when((staff != "") & ~marked, "[NAME_REDACTED]").otherwise(staff)
+    named = has_pii(hidden) & ~hidden.contains("REDACTED")
+    flag = F.when(left | named, "REVIEW").when((F.col("rating") == "") | (F.col("crm_id") == ""), "CHECK").otherwise("CLEAN")
+    issues = F.concat_ws("; ", F.when(left, "PII not fully redacted"), F.when(named, "counsellor id"))
+    out = records.withColumn("quality_flag", flag).withColumn("pii_issues", issues)
+    return out.withColumn("counsellor_id", hidden) if "counsellor_id" in records.columns else out
 
 
 def quality_summary(flagged: DataFrame) -> DataFrame:
-    """Counts per flag and per rating as (kind, name, n)."""
-    both = F.explode(F.array(F.struct(F.lit("flag").alias("kind"), F.col("quality_flag").alias("name")), F.struct(F.lit("rating").alias("kind"), F.col("rating").alias("name"))))
-    return flagged.select(both.alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+    """(kind, name, n): the total, counts per flag and per rating, and rows with personal data left in any text column."""
+    texts = [f.name for f in flagged.schema if f.dataType.typeName() == "string" and f.name not in ("quality_flag", "pii_issues")]
+    leak = F.lit(False)
+    for c in texts:
+        leak = leak | has_pii(F.col(c))
+    parts = [("total", F.lit("")), ("flag", F.col("quality_flag")), ("rating", F.col("rating")), ("pii_left", F.when(leak, ""))]
+    rows = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in parts)), lambda x: x["name"].isNotNull()))
+    return flagged.select(rows.alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
 def subject_fallback(records: DataFrame, subject: str = "subject") -> DataFrame:

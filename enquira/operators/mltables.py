@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from .evaluation import hash32
 from .leads import FEATURES
 
-NUMERIC = "english_band note_word_count message_count session_word_count".split()
-CATEGORICAL = "passport_status funding_clarity qual_level".split()
+# The model's numeric and categorical columns; only sessions have engagement.
+ENGAGEMENT = "message_count avg_delay_s question_category_entropy visa_intent_mentioned returning_session session_word_count".split()
+NUMERIC = ["funding_clarity", "funding_method_present", "has_english_test", "note_word_count", *ENGAGEMENT]
+CATEGORICAL = "passport_status qual_level destination_uk has_course has_intake study_gap_mentioned previous_application_mentioned".split()
 LABELS = (0, 1, 2)
 
 
+def category_text(c: Column, missing: str | None = "unknown") -> Column:
+    """2, 2.0, "2" and "2.0" as "2"; missing and blank as ``missing``."""
+    text = F.lower(F.trim(c.cast("string")))
+    text = F.when(text.rlike(r"^-?\d+\.0+$"), F.regexp_extract(text, r"^(-?\d+)", 1)).otherwise(text)
+    return F.coalesce(F.when(text.isin("", "nan"), None).otherwise(text), F.lit(missing).cast("string"))
+
+
 def canonical_id(c: Column) -> Column:
     v = F.trim(F.coalesce(c.cast("string"), F.lit("")))
     return F.when(F.lower(v).isin("", "nan", "none"), "").otherwise(F.regexp_replace(v, r"\.0+$", ""))
@@ -37,11 +46,11 @@ def align_schema(*frames: DataFrame) -> DataFrame:
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    """One row: rows, label counts, medians and modes (the least value on ties)."""
+    """One row: rows, label counts, medians and modes (the least value on ties; missing is "unknown")."""
     return df.agg(
         F.count("*").alias("n"), *(F.count_if(F.col("label") == k).alias(f"label_{k}") for k in LABELS),
         *(F.round(F.percentile(c, F.lit(0.5)), 6).alias(f"median_{c}") for c in NUMERIC),
-        *(F.mode(c, deterministic=True).alias(f"mode_{c}") for c in CATEGORICAL),
+        *(F.mode(category_text(F.col(c)), deterministic=True).alias(f"mode_{c}") for c in CATEGORICAL),
     )
 
 
@@ -70,6 +79,13 @@ def fold_assign(df: DataFrame, k: int = 5, seed: str = "fold") -> DataFrame:
     return ranked.withColumn("fold", (F.pmod(F.col("rank") - 1, F.lit(k))).cast("int")).drop("rank", "n")
 
 
+def fold_groups(df: DataFrame, k: int = 5, seed: str = "fold", group: str = "group_id") -> DataFrame:
+    """Folds 0 to k - 1 of whole groups, stratified by the groups' majority labels."""
+    groups = df.groupBy(group).agg(F.mode("label", deterministic=True).alias("_major"))
+    ranked = rank_within(groups, "_major", hash32(seed, F.col(group)), group)
+    return df.join(ranked.select(group, F.pmod(F.col("rank") - 1, F.lit(k)).cast("int").alias("fold")), group)
+
+
 def grouped_split(df: DataFrame, test: float = 0.2, seed: str = "group") -> DataFrame:
     """``holdout`` by whole groups: per majority label, groups in hash order are taken while
     the rows before them are fewer than the share ``test``."""
@@ -129,17 +145,29 @@ def classification_report(pred: DataFrame) -> DataFrame:
     return out.withColumn("macro_f1", F.round(F.avg("f1").over(Window.partitionBy()), 6))
 
 
-def imputation_table(df: DataFrame) -> DataFrame:
-    """(key, value): medians of numeric and modes of categorical columns."""
+def imputation_table(df: DataFrame, importance: DataFrame | None = None) -> DataFrame:
+    """(key, number, text): medians of numeric columns (0 where all are missing), modes of categories, rows per source
+    and label; with a model's (feature, importance), the share that engagement has."""
     one = schema_report(df)
-    keys = [c for c in one.columns if c.startswith(("median_", "mode_"))]
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys))
-    return one.select(F.explode(pairs).alias("x")).select("x.key", "x.value")
+
+    def row(key: str, number: Column, text: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), number.cast("double").alias("number"), text.cast("string").alias("text"))
+
+    none = F.lit(None)
+    pairs = [row(f"median_{c}", F.coalesce(f"median_{c}", F.lit(0.0)), none) for c in NUMERIC] + [row(f"mode_{c}", none, F.col(f"mode_{c}")) for c in CATEGORICAL]
+    pairs += [row(f"label_{k}", F.col(f"label_{k}"), none) for k in LABELS]
+    out = one.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+    out = out.unionByName(df.groupBy("source").agg(F.count("*").cast("double").alias("number")).select(F.concat(F.lit("rows_"), "source").alias("key"), "number", none.cast("string").alias("text")))
+    if importance is not None:
+        share = F.round(F.sum(F.when(F.col("feature").isin(ENGAGEMENT), F.col("importance")).otherwise(0.0)), 4)
+        out = out.unionByName(importance.agg(share.alias("number")).select(F.lit("engagement_importance_share").alias("key"), "number", none.cast("string").alias("text")))
+    return out
 
 
 def imputation_drift(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Keys whose values differ or that one side lacks."""
-    a, b = stored.withColumnRenamed("value", "stored"), new.withColumnRenamed("value", "recomputed")
+    value = F.coalesce("text", F.col("number").cast("string"))
+    a, b = stored.select("key", value.alias("stored")), new.select("key", value.alias("recomputed"))
     return a.join(b, "key", "full_outer").where(~F.col("stored").eqNullSafe(F.col("recomputed")))
 
 
@@ -155,14 +183,33 @@ def soft_label_expand(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.concat(hard, soft)).alias("x")).select("id", "x.label", F.round("x.weight", 9).alias("weight"), "x.kind")
 
 
+def rule_code(label: Column) -> Column:
+    return F.when(label == "Cold", 0).when(label == "Warm", 1).otherwise(2)
+
+
 def label_agreement(scored: DataFrame) -> DataFrame:
     """Share of rows whose rule label equals the given one, overall (-1) and per class."""
-    code = F.when(F.col("lead_label") == "Cold", 0).when(F.col("lead_label") == "Warm", 1).otherwise(2)
-    same = (code == F.col("label")).cast("double")
+    same = (rule_code(F.col("lead_label")) == F.col("label")).cast("double")
     per = scored.where("label >= 0").rollup("label").agg(F.count("*").alias("n"), F.round(F.avg(same), 6).alias("agreement"))
     return per.withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
+def generated_agreement(rows: DataFrame) -> DataFrame:
+    """How generated labels agree with the label model, the rubric and the label of their source row; overall (-1) and
+    per class.
+
+    ``rows`` has label, source_label, lead_label (of the rubric) and the model's pred and p_cold, p_warm, p_hot."""
+
+    def share(same: Column) -> Column:
+        return F.round(F.avg(same.cast("double")), 6)
+
+    per = rows.rollup("label").agg(
+        F.count("*").alias("n"), share(F.col("pred") == F.col("label")).alias("vs_model"), share(rule_code(F.col("lead_label")) == F.col("label")).alias("vs_rubric"),
+        share(F.col("source_label") == F.col("label")).alias("vs_source"), F.round(F.avg(F.greatest("p_cold", "p_warm", "p_hot")), 6).alias("mean_confidence"),
+    )
+    return per.withColumn("label", F.coalesce("label", F.lit(-1)))
+
+
 def uniform(seed: str, *parts: Column) -> Column:
     return hash32(seed, *parts) / float(1 << 32)
 
@@ -193,6 +240,37 @@ def seed_robustness(results: DataFrame, baseline: str = "real") -> DataFrame:
     return per.withColumn("tier", tier)
 
 
+def bootstrap_f1_ci(pred: DataFrame, resamples: int = 1000, seed: str = "f1", base: str = "real") -> DataFrame:
+    """95 % intervals of macro-F1 and the F1 of the class 2 per variant, and of their differences from ``base``.
+
+    ``pred`` has (id, label, variant, pred).  All variants share a resample's rows (paired): row j of resample b is the row with
+    the number of a hash of both.  A resample's rows are counted per (label, pred) cell before anything else is done with them.
+    """
+    spark = pred.sparkSession
+    rows = rank_within(pred.select("id", "label").distinct().withColumn("_g", F.lit(0)), "_g", hash32("number", F.col("id")), "id").select("id", F.col("rank").alias("i"))
+    n = rows.count()
+    draws = spark.range(n * resamples).select((F.col("id") / n).cast("long").alias("b"), F.expr(f"id % {max(n, 1)}").alias("j")) if n else spark.range(0).select(F.col("id").alias("b"), F.col("id").alias("j"))
+    draws = draws.select("b", (hash32(seed, F.col("b"), F.col("j")) % n + 1).alias("i")).groupBy("b", "i").agg(F.count("*").alias("times"))
+    drawn = draws.join(rows, "i").select("b", "id", "times").unionByName(rows.select(F.lit(-1).cast("long").alias("b"), "id", F.lit(1).cast("long").alias("times")))  # -1: the rows themselves
+    cells = drawn.join(pred, "id").groupBy("b", "variant", "label", "pred").agg(F.sum("times").alias("n"))
+    wide = cells.select("b", "variant", "label", "pred", "n", F.explode(F.array(*map(F.lit, LABELS))).alias("c"))
+    tp = F.sum(F.when((F.col("label") == F.col("c")) & (F.col("pred") == F.col("c")), F.col("n")).otherwise(0))
+    both = F.sum(F.when(F.col("label") == F.col("c"), F.col("n")).otherwise(0) + F.when(F.col("pred") == F.col("c"), F.col("n")).otherwise(0))
+    per = wide.groupBy("b", "variant", "c").agg(F.when(both > 0, 2 * tp / both).otherwise(0.0).alias("f1"))
+    marks = per.groupBy("b", "variant").agg(F.avg("f1").alias("macro_f1"), F.max(F.when(F.col("c") == 2, F.col("f1"))).alias("hot_f1"))
+    against = marks.where(F.col("variant") == base).select("b", F.col("macro_f1").alias("m0"), F.col("hot_f1").alias("h0"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in (
+        ("macro_f1", F.col("macro_f1")), ("hot_f1", F.col("hot_f1")), ("delta_macro_f1", F.col("macro_f1") - F.col("m0")), ("delta_hot_f1", F.col("hot_f1") - F.col("h0"))
+    ))))
+    long = marks.join(against, "b").select("b", "variant", kinds.alias("x")).select("b", "variant", "x.metric", "x.v").where(~((F.col("variant") == base) & F.col("metric").startswith("delta")))
+    v = F.when(F.col("b") >= 0, F.col("v"))
+    out = long.groupBy("variant", "metric").agg(
+        F.round(F.max(F.when(F.col("b") < 0, F.col("v"))), 6).alias("point"), F.round(F.avg(v), 6).alias("mean"),
+        F.round(F.percentile(v, F.lit(0.025)), 6).alias("low"), F.round(F.percentile(v, F.lit(0.975)), 6).alias("high"),
+    )
+    return out.withColumn("significant", F.col("metric").startswith("delta") & ((F.col("low") > 0) | (F.col("high") < 0)))
+
+
 def macro_f1_by(pred: DataFrame, *keys: str) -> DataFrame:
     """Macro-F1 over the three labels for every group of keys."""
     cells = pred.groupBy(*keys, "label", "pred").agg(F.count("*").alias("n"))

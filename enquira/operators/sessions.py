@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from enquira.functions.funding import funding_tier
 from enquira.functions.text import word_count
 
-from .scoring import english_part, score_label
+from .scoring import english_part, hybrid_score, proba_to_score, score_label
 
 # Topics of a chat.
 CATEGORIES = [
@@ -82,19 +82,69 @@ def funding_tier_last(turns: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.coalesce(last, F.lit(0)).alias("funding_tier"))
 
 
-def score_per_turn(turns: DataFrame) -> DataFrame:
-    """Evidence, rule score, label and escalation after every turn, by running windows."""
-    so_far = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = turns.select(
-        "session_id", *ORDER, F.count("*").over(so_far).alias("turn_no"),
-        *(F.max(seen(*EVIDENCE[n])).over(so_far).alias(n) for n in ("has_course", "has_intake", "has_english_test")),
-        F.coalesce(F.last(funding_tier(F.col("user_msg")), ignorenulls=True).over(so_far), F.lit(0)).alias("funding_tier"),
+#: What is known after a turn: flags, the last funding tier, and the engagement so far.
+RUNNING = ["turn_no", *EVIDENCE, "funding_tier", "session_word_count", "mean_response_delay", "category_entropy"]
+
+
+def entropy_of(counts: list[Column]) -> Column:
+    """Entropy in bits of counts per topic."""
+    total = sum(counts[1:], counts[0])
+    parts = [F.when(n > 0, -(n / total) * F.log2(n / total)).otherwise(0.0) for n in counts]
+    return F.round(F.abs(sum(parts[1:], parts[0])), 4)
+
+
+def running_evidence(turns: DataFrame) -> DataFrame:
+    """``RUNNING`` after every turn, by running windows."""
+    ordered = Window.partitionBy("session_id").orderBy(*ORDER)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lag("ts").over(ordered)
+    delay = F.greatest((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1e6, F.lit(0.0))
+    rows = turns.withColumn("_delay", F.when(before.isNotNull(), delay)).withColumn("_tier", funding_tier(F.col("user_msg"))).withColumn("_topic", category())
+    return rows.select(
+        "session_id", *ORDER, F.count("*").over(so_far).alias("turn_no"), *(F.max(seen(*topics)).over(so_far).alias(n) for n, topics in EVIDENCE.items()),
+        F.coalesce(F.last("_tier", ignorenulls=True).over(so_far), F.lit(0)).alias("funding_tier"), F.sum(word_count(F.col("user_msg"))).over(so_far).alias("session_word_count"),
+        F.round(F.avg("_delay").over(so_far), 2).alias("mean_response_delay"), entropy_of([F.count_if(F.col("_topic") == c).over(so_far) for c in CATEGORIES]).alias("category_entropy"),
     )
+
+
+def with_scores(rows: DataFrame, predict=None, alpha: float = 0.5) -> DataFrame:
+    """Rule, model and blended score, label and escalation of rows of ``RUNNING`` evidence, batch or streaming.
+
+    ``predict`` adds ml_score to a table with evidence, ``engagement_`` and ``flags_`` columns; without it the rule decides.
+    """
     rows = rows.withColumn("rule_score", live_rule(F.col("has_course"), F.col("has_intake"), F.col("has_english_test"), F.lit(0.0)))
-    rows = rows.withColumn("label", score_label(F.col("rule_score")))
+    if predict is None:
+        rows = rows.withColumn("ml_score", F.lit(None).cast("double"))
+    else:
+        live = {
+            "engagement_message_count": F.col("turn_no"), "engagement_session_word_count": F.col("session_word_count"), "engagement_avg_delay_s": F.col("mean_response_delay"),
+            "engagement_question_category_entropy": F.col("category_entropy"), "engagement_returning_session": F.lit(0), "flags_visa_intent_mentioned": F.col("visa_intent_mentioned"),
+            "funding_clarity": F.col("funding_tier"),
+        }
+        rows = predict(rows.withColumns(live)).drop(*live)
+    rows = rows.withColumn("hybrid_score", F.round(hybrid_score(F.col("rule_score"), F.col("ml_score"), alpha), 6))
+    rows = rows.withColumn("label", score_label(F.col("hybrid_score")))
     return rows.withColumn("escalate", F.col("label") == "Hot").withColumn("priority", F.when(F.col("label") == "Hot", "high").otherwise("none"))
 
 
+def model_score(model, medians: dict, modes: dict):
+    """A ``predict`` for ``with_scores`` from a trained model and a training table's values."""
+    from .matrix import inference_matrix
+    from .models import PROBABILITIES, predict_proba
+
+    def predict(live: DataFrame) -> DataFrame:
+        own = F.struct("*").alias("own_row")
+        found = predict_proba(model, inference_matrix(live.select(own, "*"), medians, modes, model.names))
+        return found.select("own_row.*", proba_to_score(*map(F.col, PROBABILITIES)).alias("ml_score"))
+
+    return predict
+
+
+def score_per_turn(turns: DataFrame, predict=None, alpha: float = 0.5) -> DataFrame:
+    """Evidence, scores, label and escalation after every turn, by running windows."""
+    return with_scores(running_evidence(turns), predict, alpha)
+
+
 def lead_archive(turns: DataFrame, latest: int = 5) -> DataFrame:
     """Closing snapshots of the sessions that ended last."""
     scored = score_per_turn(turns)

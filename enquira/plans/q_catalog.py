@@ -121,13 +121,16 @@ def faq_similarity(spark, d):
     return C.faq_similarity(_records(spark, d), view(spark, d, "a_corpus")).select("seq", "idx", F.round("score", 6).alias("score"))
 
 
-@query(
-    "related_faqs",
-    f"""SELECT r.seq, coalesce(x.ids, '') AS related FROM ({_RECORD}) r LEFT JOIN (
-      SELECT seq, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY rn) AS ids FROM (
-        SELECT seq, idx, row_number() OVER (PARTITION BY seq ORDER BY score DESC, idx) AS rn FROM ({_PAIRS}) WHERE score >= 0.10) WHERE rn <= 3 GROUP BY seq) x ON r.seq = x.seq""",
-    ("a_catalog", "a_corpus"),
-)
+@query("related_faqs")
 def related_faqs(spark, d):
     found = C.related_faqs(_records(spark, d), view(spark, d, "a_corpus"))
-    return found.select("seq", F.array_join(F.transform("related", lambda x: x["idx"].cast("string")), ",").alias("related"))
+    return found.select("seq", F.array_join(F.transform("related", lambda x: x["idx"].cast("string")), ",").alias("related"), F.array_join(F.transform("related", lambda x: x["score"].cast("string")), ",").alias("scores"))
+
+
+_CANDIDATES = f"SELECT seq, idx, round(score, 6) AS score FROM ({_PAIRS}) WHERE score > 0"
+
+
+@query("faq_candidates", _CANDIDATES, ("a_catalog", "a_corpus"))
+def faq_candidates(spark, d):
+    """Coverage by the join of tokens."""
+    return C.coverage_candidates(_records(spark, d), view(spark, d, "a_corpus")).select("seq", "idx", F.round("score", 6).alias("score"))

@@ -74,32 +74,43 @@ def compare_runs(spark, d):
     return E.compare_runs(run_a(spark, d), run_b(spark, d))
 
 
+_BY_RUN = " UNION ALL ".join(
+    f"SELECT '{r}' AS run, {_METRICS}, round(avg(raw), 4) AS mean_raw, round(avg(CASE WHEN NOT expected_abstain THEN raw END), 4) AS mean_raw_answerable, {_mean('(raw > 0.8)::INT::DOUBLE')} AS share_above_80, {_mean('(raw > 0.6)::INT::DOUBLE')} AS share_above_60 FROM ({_pq(h)})"
+    for r, h in (("a", SCORED), ("b", _OVER))
+)
+_NAMES = ["rank1", "mrr", "recall3", "recall5", "abstention_precision", "abstention_recall", "false_abstention_rate", "mean_raw", "mean_raw_answerable", "share_above_80", "share_above_60"]
+
+
 @query(
     "compare_summary",
-    f"SELECT 'a' AS run, {_METRICS} FROM ({_pq(SCORED)}) UNION ALL SELECT 'b' AS run, {_METRICS} FROM ({_pq(_OVER)})",
+    f"SELECT * FROM (WITH per AS MATERIALIZED ({_BY_RUN}) SELECT * FROM per UNION ALL SELECT 'delta', " + ", ".join(f"round(sum(CASE WHEN run = 'b' THEN {c} ELSE -{c} END), 4)" for c in _NAMES) + " FROM per)",
     BOTH,
 )
 def compare_summary(spark, d):
-    both = run_a(spark, d).withColumn("run", F.lit("a")).unionByName(run_b(spark, d).withColumn("run", F.lit("b")))
-    return both.groupBy("run").agg(*E._metrics())
+    return E.compare_summary(run_a(spark, d).withColumn("run", F.lit("a")).unionByName(run_b(spark, d).withColumn("run", F.lit("b"))))
 
 
 _RR = f"SELECT query_id AS id, a, b FROM (SELECT query_id, coalesce(1.0::DOUBLE / rank_a, 0) AS a, coalesce(1.0::DOUBLE / rank_b, 0) AS b FROM ({_CMP}))"
 
 
-@query(
-    "paired_bootstrap",
-    f"""SELECT * FROM (SELECT round(avg(b - a), 6) AS delta FROM ({_RR})) CROSS JOIN (SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM (
-      SELECT bb, avg(diff) AS m FROM (SELECT g.i AS bb, CAST('0x' || substr(md5('s:' || g.i || ':' || j.i), 1, 8) AS BIGINT) % n AS i FROM range(200) g(i) CROSS JOIN (SELECT count(*) AS n FROM ({_RR})) CROSS JOIN range(1000) j(i) WHERE j.i < n) d
-      JOIN (SELECT row_number() OVER (ORDER BY id) - 1 AS i, b - a AS diff FROM ({_RR})) r ON d.i = r.i GROUP BY bb))""",
-    BOTH,
-)
+def _h(seed: str, c: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {c}), 1, 8) AS BIGINT)"
+
+
+def _boot(rows: str, resamples: int) -> str:
+    """n, delta, mean, low and high of a table (id, a, b)."""
+    return f"""SELECT * FROM (WITH rr AS MATERIALIZED ({rows}) SELECT * FROM (SELECT count(*) AS n, round(avg(b - a), 6) AS delta FROM rr) CROSS JOIN (SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM (
+      SELECT g.r, avg(x.diff) AS m FROM (SELECT unnest(range({resamples})) AS r) g CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM rr))) AS j) j JOIN (SELECT row_number() OVER (ORDER BY {_h('number', 'id')}, id) - 1 AS i, b - a AS diff FROM rr) x
+      ON x.i = {_h('s', "g.r || ':' || j.j")} % (SELECT count(*) FROM rr) GROUP BY g.r)))"""
+
+
+@query("paired_bootstrap", _boot(_RR, 1000), BOTH)
 def paired_bootstrap(spark, d):
     found = compare_runs(spark, d)
     return E.paired_bootstrap(found.select(F.col("query_id").alias("id"), F.coalesce(1 / F.col("rank_a"), F.lit(0.0)).alias("a"), F.coalesce(1 / F.col("rank_b"), F.lit(0.0)).alias("b")))
 
 
-_GONE = """SELECT idx FROM (SELECT idx, row_number() OVER (ORDER BY CAST('0x' || substr(md5('w:' || idx), 1, 8) AS BIGINT), idx) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT gold_id AS idx FROM a_gold WHERE gold_id IS NOT NULL)) WHERE r <= greatest(floor(n * CAST(0.3 AS DOUBLE)), 1)"""
+_GONE = f"SELECT idx FROM (SELECT idx, row_number() OVER (ORDER BY {_h('w', 'idx')}, idx) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT gold_id AS idx FROM a_gold WHERE gold_id IS NOT NULL)) WHERE r <= greatest(floor(n * CAST(0.3 AS DOUBLE) + 0.5), 1)"
 
 
 @query("withhold_corpus", _GONE, BOTH)
@@ -107,36 +118,57 @@ def withhold_corpus(spark, d):
     return E.withhold(gold(spark, d), faq(spark, d))[0]
 
 
+def _run_on(spark, d, corpus):
+    postings, idf = R.tfidf_index(corpus)
+    hits = R.keyword_bonus(R.tfidf_search(gold(spark, d), postings, idf), gold(spark, d), corpus)
+    return E.per_query(hits, gold(spark, d), 0.15)
+
+
 def reduced_run(spark, d):
     gone, rest = E.withhold(gold(spark, d), faq(spark, d))
-    postings, idf = R.tfidf_index(rest)
-    hits = R.keyword_bonus(R.tfidf_search(gold(spark, d), postings, idf), gold(spark, d), rest)
-    return gone, E.per_query(hits, gold(spark, d), 0.15)
+    return gone, _run_on(spark, d, rest)
+
+
+# the same search over a corpus without some rows: the view's name is exchanged in the SQL of the search
+def _without(ids: str) -> str:
+    return _pq(SCORED.replace("FROM a_corpus", f"FROM (SELECT * FROM a_corpus WHERE idx NOT IN ({ids}))"))
 
 
-@query("probe_gaps")
+_COLD = _without(_GONE)
+_GAPS = f"SELECT query_id, category, CASE WHEN rank IS NULL THEN 'not_retrieved' ELSE 'low_rank' END AS reason, predicted_abstain AS below_gate FROM ({_COLD}) WHERE query_id % 2 = 1 AND NOT expected_abstain AND (rank IS NULL OR rank > 3)"
+_BACK = f"SELECT idx FROM ({_GONE}) WHERE idx IN (SELECT gold_id FROM a_gold WHERE query_id % 2 = 1 AND gold_id IS NOT NULL) OR idx IN (SELECT idx FROM a_corpus WHERE category IN (SELECT category FROM ({_GAPS})))"
+
+
+@query("probe_gaps", _GAPS, BOTH)
 def probe_gaps(spark, d):
     return E.probe_gaps(reduced_run(spark, d)[1].where("query_id % 2 = 1"))
 
 
-@query("targeted_restore")
+def _targeted(spark, d, gone, cold):
+    probes = gold(spark, d).where("query_id % 2 = 1")
+    return E.targeted_restore(E.probe_gaps(cold.where("query_id % 2 = 1")), probes, gone, faq(spark, d))
+
+
+@query("targeted_restore", _BACK, BOTH)
 def targeted_restore(spark, d):
-    gone, rows = reduced_run(spark, d)
-    gaps = E.probe_gaps(rows.where("query_id % 2 = 1"))
-    return E.targeted_restore(gaps, gold(spark, d), gone, faq(spark, d))
+    return _targeted(spark, d, *reduced_run(spark, d))
 
 
 @query("adaptation_report")
 def adaptation_report(spark, d):
-    """Metrics of the test half with the full, the reduced and the restored corpus."""
+    """Metrics of the test half with the full, the reduced, the fully restored and the restored corpus."""
     gone, cold = reduced_run(spark, d)
-    back = E.targeted_restore(E.probe_gaps(cold.where("query_id % 2 = 1")), gold(spark, d), gone, faq(spark, d))
-    kept = faq(spark, d).join(gone.join(back, "idx", "left_anti"), "idx", "left_anti")
-    postings, idf = R.tfidf_index(kept)
-    restored = E.per_query(R.keyword_bonus(R.tfidf_search(gold(spark, d), postings, idf), gold(spark, d), kept), gold(spark, d), 0.15)
-    stages = [("full", run_a(spark, d)), ("cold", cold), ("targeted", restored)]
+    back = _targeted(spark, d, gone, cold)
+    restored = _run_on(spark, d, faq(spark, d).join(gone.join(back, "idx", "left_anti"), "idx", "left_anti"))
+    full = run_a(spark, d)
     rows = None
-    for name, part in stages:
+    for name, part in (("full", full), ("cold", cold), ("restored", full), ("targeted", restored)):
         part = part.where("query_id % 2 = 0").withColumn("stage", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("stage").agg(*E._metrics())
+    boot = None
+    for stage in ("restored", "targeted"):
+        for m in ("recall3", "recall5"):
+            pairs = rows.where("not expected_abstain").groupBy(F.col("query_id").alias("id")).agg(*(F.max(F.when(F.col("stage") == s, F.col(m).cast("double"))).alias(n) for n, s in (("a", "cold"), ("b", stage))))
+            part = E.paired_bootstrap(pairs, 200).select(F.lit(stage).alias("stage"), F.lit(m).alias("metric"), "low", "high")
+            boot = part if boot is None else boot.unionByName(part)
+    return E.adaptation_report(rows, boot)

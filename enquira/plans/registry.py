@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .entries import ORACLES, QUERIES
 
-for _name in ("catalog", "leads", "scoring", "retrieval", "sessions", "routing", "evaluation", "mltables", "forms", "pages", "stores"):
+for _name in ("catalog", "leads", "scoring", "retrieval", "sessions", "routing", "evaluation", "mltables", "models", "forms", "pages", "stores"):
     import_module(f"enquira.plans.q_{_name}")
 
 

@@ -2,11 +2,12 @@
 
 A run reads all available files and ends (``availableNow``), so tests and batch callers get a
 finished table; the same plans run continuously with another trigger.  Turns later than the
-watermark are dropped.
+watermark are dropped; turns and sessions that it has not passed yet are still open and come out later.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from enquira.operators.sessions import live_rule, seen
-from enquira.operators.scoring import score_label
+from enquira.functions.funding import funding_tier
+from enquira.functions.text import word_count
+from enquira.operators.sessions import CATEGORIES, EVIDENCE, category, entropy_of, seen, with_scores
 
 LATENESS = "10 minutes"
 
@@ -28,41 +30,55 @@ def stream_sessions(turns: DataFrame, gap: str = "30 minutes", late: str = LATEN
     return per.select("user_id", F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("closes_at"), "n_turns", "n_visa")
 
 
-def stream_score_per_turn(turns: DataFrame, late: str = LATENESS) -> DataFrame:
-    """The evidence flags after every turn, from keyed state; a row per turn.
+def stream_score_per_turn(turns: DataFrame, late: str = LATENESS, predict=None, alpha: float = 0.5, idle: str = "1 day") -> DataFrame:
+    """The scores after every turn, from keyed state; a row per turn.
 
-    State is three flags, a counter and the last (ts, event_id); it expires a day after the
-    watermark passes the session's last turn.  A turn older than the last one is ignored.
+    A turn waits in its session's state until the watermark passes it, so turns that come late within ``late`` are still put in
+    order; one that comes after its time has been passed is dropped.  State is the counts so far and the waiting turns; it goes when the
+    watermark is ``idle`` past the session's last turn.
     """
-    flags = turns.withWatermark("ts", late).select(
-        "session_id", "ts", "event_id", seen("Entry Requirements").alias("c"), seen("Application Process").alias("i"), seen("English Language").alias("e")
-    )
+    rows = turns.withWatermark("ts", late).select(
+        "session_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", *(seen(*topics).alias(n) for n, topics in EVIDENCE.items()),
+        funding_tier(F.col("user_msg")).alias("tier"), word_count(F.col("user_msg")).alias("words"), (F.array_position(F.array(*map(F.lit, CATEGORIES)), category()) - 1).cast("int").alias("topic"),
+    )
+    flags = list(EVIDENCE)
+    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, c, i, e, last_ts, last_id = state.get if state.exists else (0, 0, 0, 0, pd.Timestamp(0), -1)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        now = json.loads(state.get[0]) if state.exists else {"n": 0, "flags": [0] * len(flags), "tier": 0, "words": 0, "delay": 0.0, "last": None, "topics": [0] * len(CATEGORIES), "wait": [], "done": -1}
+        if not state.hasTimedOut:
+            for pdf in batches:
+                new = pdf[["us", "event_id", *flags, "tier", "words", "topic"]]
+                now["wait"] += [[None if pd.isna(v) else int(v) for v in r] for r in new.itertuples(index=False) if r.us > now["done"]]
+        passed = state.getCurrentWatermarkMs() * 1000
+        now["wait"].sort(key=lambda r: r[:2])
         out = []
-        for r in rows.itertuples():
-            if (r.ts, r.event_id) <= (last_ts, last_id):
-                continue
-            n, c, i, e, last_ts, last_id = n + 1, max(c, r.c), max(i, r.i), max(e, r.e), r.ts, r.event_id
-            out.append((key[0], r.ts, r.event_id, n, c, i, e))
-        state.update((n, c, i, e, last_ts, last_id))
-        state.setTimeoutTimestamp(int(last_ts.timestamp() * 1000) + 86_400_000)
-        yield pd.DataFrame(out, columns=["session_id", "ts", "event_id", "turn_no", "has_course", "has_intake", "has_english_test"])
+        while now["wait"] and now["wait"][0][0] <= passed:
+            us, event, *seen_, tier, words, topic = now["wait"].pop(0)
+            now["n"] += 1
+            now["flags"] = [max(a, b) for a, b in zip(now["flags"], seen_)]
+            now["tier"] = tier if tier is not None else now["tier"]
+            now["words"] += words
+            now["topics"][topic] += 1
+            if now["last"] is not None:
+                now["delay"] += max(0.0, (us - now["last"]) / 1e6)
+            now["last"] = us
+            out.append((key[0], pd.Timestamp(us, unit="us"), event, now["n"], *now["flags"], now["tier"], now["words"], now["delay"] / (now["n"] - 1) if now["n"] > 1 else None, list(now["topics"])))
+        now["done"] = max(now["done"], passed)
+        if not now["wait"] and now["last"] is not None and passed > now["last"] + keep * 1000:
+            state.remove()
+        else:
+            state.update((json.dumps(now),))
+            ends = passed // 1000 if not now["wait"] and now["last"] is None else now["wait"][0][0] // 1000 + 1 if now["wait"] else now["last"] // 1000 + keep + 1
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
 
-    scored = flags.groupBy("session_id").applyInPandasWithState(
-        step,
-        "session_id string, ts timestamp, event_id long, turn_no long, has_course int, has_intake int, has_english_test int",
-        "n long, c int, i int, e int, last_ts timestamp, last_id long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    rule = live_rule(F.col("has_course"), F.col("has_intake"), F.col("has_english_test"), F.lit(0.0))
-    return scored.withColumn("rule_score", rule).withColumn("label", score_label(F.col("rule_score")))
+    names = ["session_id", "ts", "event_id", "turn_no", *flags, "funding_tier", "session_word_count", "delay", "topics"]
+    schema = "session_id string, ts timestamp, event_id long, turn_no long, " + ", ".join(f"{n} int" for n in flags) + ", funding_tier int, session_word_count long, delay double, topics array<long>"
+    found = rows.groupBy("session_id").applyInPandasWithState(step, schema, "now string", "append", GroupStateTimeout.EventTimeTimeout)
+    entropy = entropy_of([F.col("topics")[k] for k in range(len(CATEGORIES))])
+    running = found.select(*names[:-2], F.round("delay", 2).alias("mean_response_delay"), entropy.alias("category_entropy"))
+    return with_scores(running, predict, alpha)
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
