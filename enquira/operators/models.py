@@ -139,7 +139,7 @@ def exp_generalization(real: DataFrame, synthetic: DataFrame, drop_engagement: b
     """(metric, real, augmented, delta): models of real training rows, alone and with synthetic rows, on the same real holdout.
 
     ``real`` has ``holdout``; medians come from each frame on its own.  Synthetic rows made of held-out rows (``source_row_id``) are an error."""
-    if "source_row_id" in synthetic.columns and synthetic.join(real.where("holdout"), F.col("source_row_id") == F.col("row_id"), "left_semi").limit(1).count():
+    if "source_row_id" in synthetic.columns and synthetic.select("source_row_id").join(real.where("holdout").select("row_id"), F.col("source_row_id") == F.col("row_id"), "left_semi").limit(1).count():
         raise AssertionError("held-out rows were used for generation")
     train, names = build_matrix(real.where("not holdout"), drop_engagement=drop_engagement)
     test, _ = build_matrix(real.where("holdout"), drop_engagement=drop_engagement)

@@ -35,7 +35,7 @@ def test_late_turns_are_put_in_order(spark, tmp_path):
     got = {(r.session_id, r.event_id): r.asDict() for r in found.where("session_id <> 'end'").collect()}
     kept = [r for part in ROWS[:-1] for r in part if r[2] not in (6, 7)]  # they come after the watermark has passed
     twin = {(r.session_id, r.event_id): r.asDict() for r in sessions.score_per_turn(spark.createDataFrame(kept, SCHEMA)).collect()}
-    assert got == twin and got["a", 2]["turn_no"] == 2 and got["a", 3]["has_intake"] == 1 and got["a", 4]["funding_tier"] == 3
+    assert got == twin and got["a", 2]["turn_no"] == 3 and got["a", 3]["has_intake"] == 1 and got["a", 3]["funding_tier"] == 3 and got["a", 4]["funding_tier"] == 1
 
 
 def test_sessions_that_are_closed(spark, tmp_path):
