@@ -165,7 +165,8 @@ def decode_block(payload: bytes, k: int) -> np.ndarray:
 
 # ---- tokenizing -------------------------------------------------------------------------------
 
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: White space before a space: of ASCII texts, and of all others.
+_PAIRS = {ascii_: [chr(c) + " " for c in range(128 if ascii_ else 0x3001) if chr(c).isspace()] for ascii_ in (True, False)}
 _SPACES_INSIDE = re.compile(r"(?<=\s) (?=\s|\Z)")
 _MODELS: dict[str, CachedTokenizer] = {}
 
@@ -213,17 +214,18 @@ class CachedTokenizer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or any(t in text for t in self.added) or (_SPACE_AFTER_SPACE.search(text) and _SPACES_INSIDE.search(text)):
+        if not self.by_piece or any(t in text for t in self.added) or (any(p in text for p in _PAIRS[text.isascii()]) and _SPACES_INSIDE.search(text)):
             return self.raw(text)
         first, *rest = text.split(" ")
         head = self.raw(first) if first else b""
-        try:
-            return head + b"".join(map(self.pieces.__getitem__, rest))
-        except KeyError:
+        found = list(map(self.pieces.get, rest))
+        if None in found:
             if len(self.pieces) > self.MOST:
                 self.pieces.clear()
-            self.learn([p for p in dict.fromkeys(rest) if p not in self.pieces])
-            return head + b"".join(map(self.pieces.__getitem__, rest))
+            self.learn(list(dict.fromkeys(p for p, ids in zip(rest, found) if ids is None)))
+            get = self.pieces.get
+            found = [get(p) if ids is None else ids for p, ids in zip(rest, found)]
+        return head + b"".join(found)
 
 
 def tokenizer_at(path: str) -> CachedTokenizer:
