@@ -67,11 +67,12 @@ def schema_report(spark, d):
     return M.schema_report(aligned(spark, d))
 
 
-_TABLE = " UNION ALL ".join(
-    [f"SELECT 'median_{c}' AS key, coalesce(median_{c}, 0)::DOUBLE AS number, NULL::VARCHAR AS text FROM ({_REPORT})" for c in M.NUMERIC]
-    + [f"SELECT 'mode_{c}', NULL, mode_{c} FROM ({_REPORT})" for c in M.CATEGORICAL] + [f"SELECT 'label_{k}', label_{k}, NULL FROM ({_REPORT})" for k in M.LABELS]
-    + [f"SELECT 'rows_' || source, count(*), NULL FROM ({_ALIGN}) GROUP BY source"]
+_PARTS = " UNION ALL ".join(
+    [f"SELECT 'median_{c}' AS key, coalesce(median_{c}, 0)::DOUBLE AS number, NULL::VARCHAR AS text FROM report" for c in M.NUMERIC]
+    + [f"SELECT 'mode_{c}', NULL, mode_{c} FROM report" for c in M.CATEGORICAL] + [f"SELECT 'label_{k}', label_{k}, NULL FROM report" for k in M.LABELS]
+    + ["SELECT 'rows_' || source, count(*), NULL FROM al GROUP BY source"]
 )
+_TABLE = f"SELECT * FROM (WITH al AS MATERIALIZED ({_ALIGN}), report AS MATERIALIZED ({_REPORT.replace(f'({_ALIGN})', 'al')}) {_PARTS})"
 
 
 @query("imputation_table", _TABLE, ALL)

@@ -17,10 +17,10 @@ from .q_sessions import _EVID, turns
 
 _VALUES = {c: [*v, *(["unknown"] if c != "qual_level" else [])] for c, v in X.KNOWN_VALUES.items()}
 _FLAGS = ", ".join(f"({_text(c)} = '{v}')::INT::DOUBLE AS {c}_{v}" for c in M.CATEGORICAL for v in _VALUES[c])
-_NUMBERS = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM ({_ALIGN})), 0)::DOUBLE AS {c}" for c in M.NUMERIC)
+_NUMBERS = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM al), 0)::DOUBLE AS {c}" for c in M.NUMERIC)
 
 
-@query("build_matrix", f"SELECT label, source, english_band, {_NUMBERS}, {_FLAGS} FROM ({_ALIGN})", ALL)
+@query("build_matrix", f"SELECT * FROM (WITH al AS MATERIALIZED ({_ALIGN}) SELECT label, source, english_band, {_NUMBERS}, {_FLAGS} FROM al)", ALL)
 def build_matrix(spark, d):
     return X.build_matrix(aligned(spark, d))[0]
 
