@@ -66,6 +66,17 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return joined.select(*df.columns, *((F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def ranked(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
     """The table range-sorted by ``order`` and written, with each row's number ``name`` in it (from 0).
 

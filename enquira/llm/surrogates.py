@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names
 
 # Known given names by script and gender: they tell a name and its gender.
 NAMES = {
@@ -347,26 +347,27 @@ def replace_entities(documents: DataFrame, key: str) -> DataFrame:
         return pd.Series([[dict(zip(("start", "end", "kind", "value", "hint"), x)) for x in find_entities(t)] if t else [] for t in texts], dtype=object)
 
     finder = F.pandas_udf(find, "array<struct<start:int,end:int,kind:string,value:string,hint:string>>", F.PandasUDFType.SCALAR)
-    rows = documents.select(F.struct("*").alias("d"), finder("text").alias("found"), F.monotonically_increasing_id().alias("row"))
-    rows = cut(rows, "pii-mentions")  # texts and what was found in them
-    said = rows.where(F.size("found") > 0)
-    later = draw_again(entity_table(said.select(F.explode("found").alias("m")).select("m.kind", "m.value", "m.hint")), key)
-    mentions = said.select("row", F.explode("found").alias("m")).select("row", "m.kind", "m.value").distinct()
-    by_row = mentions.join(later, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "hint", "attempt")).alias("later"))  # entities of one text
-    joined = said.join(by_row, "row", "left").select("d", "found", "later", F.col("d.text").alias("text"))
-
-    def run(texts: pd.Series, found: pd.Series, later: pd.Series) -> pd.Series:
+    found, row, later, count = free_names(documents.columns, "found", "row", "later", "count")
+    rows = cut(documents.select("*", finder("text").alias(found), F.monotonically_increasing_id().alias(row)), "pii-mentions")  # texts and what was found in them
+    said = rows.where(F.size(found) > 0)
+    mentions = said.select(F.col(row).alias("row"), F.explode(found).alias("m")).select("row", "m.kind", "m.value", "m.hint")
+    others = draw_again(entity_table(mentions), key)
+    by_row = mentions.select("row", "kind", "value").distinct().join(others, ["kind", "value"])
+    by_row = by_row.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "value", "hint", "attempt")).alias(later))  # entities of one text
+    joined = said.join(by_row, row, "left")
+
+    def run(texts: pd.Series, places: pd.Series, more: pd.Series) -> pd.Series:
         out = []
-        for text, places, more in zip(texts, found, later):
-            known = {(x["kind"], x["value"]): (x["hint"], x["attempt"]) for x in more} if more is not None else {}
-            out.append(rewrite(text, key, known, [(x["start"], x["end"], x["kind"], x["value"]) for x in places])[0])
+        for text, at, other in zip(texts, places, more):
+            known = {(x["kind"], x["value"]): (x["hint"], x["attempt"]) for x in other} if other is not None else {}
+            out.append(rewrite(text, key, known, [(x["start"], x["end"], x["kind"], x["value"]) for x in at])[0])
         return pd.Series(out, dtype=object)
 
     write = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)
-    new = joined.select("d", F.size("found").cast("long").alias("n"), write("text", "found", "later").alias("text"))
-    same = rows.where(F.size("found") == 0).select("d", F.lit(0).cast("long").alias("n"), F.col("d.text").alias("text"))
-    out = new.unionByName(same)
-    return out.select(*(F.col("text") if c == "text" else F.col("d").getField(c).alias(c) for c in documents.columns), F.col("n").alias("n_entities"))
+    columns = documents.columns
+    new = joined.select(*(write("text", found, later).alias("text") if c == "text" else c for c in columns), F.size(found).cast("long").alias(count))
+    same = rows.where(F.size(found) == 0).select(*columns, F.lit(0).cast("long").alias(count))
+    return new.unionByName(same).withColumnRenamed(count, "n_entities")
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
