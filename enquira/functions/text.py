@@ -28,7 +28,10 @@ MODES = {
     "other": ["other"],
 }
 # Words that carry no search weight.
-STOPWORDS = "the a an and or of to in for is are do does what how can i my".split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "for", "is", "are", "do", "does", "what", "how",
+    "can", "i", "my",
+]
 
 
 def _lookup(key: Column, groups: dict[str, list[str]]) -> Column:

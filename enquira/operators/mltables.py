@@ -9,9 +9,15 @@ from .evaluation import hash32
 from .leads import FEATURES
 
 # The model's numeric and categorical columns; only sessions have engagement.
-ENGAGEMENT = "message_count avg_delay_s question_category_entropy visa_intent_mentioned returning_session session_word_count".split()
+ENGAGEMENT = [
+    "message_count", "avg_delay_s", "question_category_entropy", "visa_intent_mentioned",
+    "returning_session", "session_word_count",
+]
 NUMERIC = ["funding_clarity", "funding_method_present", "has_english_test", "note_word_count", *ENGAGEMENT]
-CATEGORICAL = "passport_status qual_level destination_uk has_course has_intake study_gap_mentioned previous_application_mentioned".split()
+CATEGORICAL = [
+    "passport_status", "qual_level", "destination_uk", "has_course", "has_intake",
+    "study_gap_mentioned", "previous_application_mentioned",
+]
 LABELS = (0, 1, 2)
 
 

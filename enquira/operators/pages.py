@@ -15,7 +15,10 @@ FRAMEWORKS = [
 SCRIPTS = [r"\.jsx\?", r"\.tsx\?", r"react\.js", r"vue\.js", r"angular\.js", r"main\.[a-f0-9]+\.js", r"chunk-vendors"]
 STRONG = r"__NEXT_DATA__|__NUXT__|ng-version|data-reactroot|window\.__INITIAL_STATE__"
 STATIC = [r"<h1[^>]*>", r"<h2[^>]*>", r"<article", r"<li[^>]*class=[\"']course", r"<div[^>]*class=[\"'][^\"']*course", r"<table"]
-KEYWORDS = "postgraduate|post-graduate|masters|msc|master|bachelor|degree|honours|second class|2:1|2:2|kcse|ielts|english|entry|requirement".split("|")
+KEYWORDS = [
+    "postgraduate", "post-graduate", "masters", "msc", "master", "bachelor", "degree", "honours",
+    "second class", "2:1", "2:2", "kcse", "ielts", "english", "entry", "requirement",
+]
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
@@ -60,13 +63,12 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 # Patterns of requirement fields with the length kept.
-_GRADE = r"second class|upper|lower|2:?[12]|2\.\s*[12]"
 REQUIREMENTS = [
     ("postgraduate_entry_requirement", 1000, [
-        rf"(?:postgraduate|post-graduate|masters|master's|msc|ma\b|mba|meng).{{0,300}}(?:bachelor|degree|honours|{_GRADE})",
-        rf"(?:bachelor|degree|honours).{{0,200}}(?:{_GRADE}).{{0,200}}(?:postgraduate|post-graduate|masters)"]),
+        r"(?:postgraduate|post-graduate|masters|master's|msc|ma\b|mba|meng).{0,300}(?:bachelor|degree|honours|second class|upper|lower|2:?[12]|2\.\s*[12])",
+        r"(?:bachelor|degree|honours).{0,200}(?:second class|upper|lower|2:?[12]|2\.\s*[12]).{0,200}(?:postgraduate|post-graduate|masters)"]),
     ("english_language_requirement", 800, [r"(?:english|ielts|toefl|language).{0,200}(?:requirement|grade|score|level|band|min).{0,300}"]),
-    ("bachelor_degree_requirement", 800, [rf"(?:bachelor|degree|honours).{{0,300}}(?:{_GRADE}|first class|gpa|grade|recognis)"]),
+    ("bachelor_degree_requirement", 800, [r"(?:bachelor|degree|honours).{0,300}(?:second class|upper|lower|2:?[12]|2\.\s*[12]|first class|gpa|grade|recognis)"]),
     ("foundation_requirement", 600, [r"(?:foundation|foundation year|international foundation).{0,300}(?:year|study|kcse|grade|subject)"]),
     ("scholarship_info", 500, [r"(?:scholarship|bursary|funding|award).{0,200}(?:international|available|offer|amount)"]),
     ("contact_info", 400, [r"(?:contact|email|phone|regional manager|representative).{0,200}(?:@|\.com|\.ac|whatsapp|\+[0-9])"]),

@@ -59,16 +59,19 @@ def has_pii(spark, d):
 
 
 _QUESTION = "(regexp_matches(line, '[?:]\\s*$') OR " + " OR ".join(f"contains(lower(line), '{w}')" for w in M.PROMPTS) + ") AND NOT (contains(line, 'Jotform Logo') OR contains(lower(line), 'edit this submission'))"
+_BODY = """concat('before ', rating, chr(10), 'Jotform Logo', chr(10), 'CRM ID?', chr(10), crm_id, chr(10), chr(10), 'Funding', chr(13), chr(10), funding_method, chr(10), '  Edit this submission ', chr(10), 'Comments:', chr(10), assessment_notes, chr(10), qualifications, chr(10), 'Study destination:')"""
 
 
 @query(
     "plain_pairs",
-    f"""SELECT doc_id, min(pos) AS pos, arg_min(line, pos) AS question, coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (WHERE NOT q), '') AS answer FROM (
-      SELECT *, sum(q::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT doc_id, pos, line, {_QUESTION} AS q FROM (
-        SELECT doc_id, unnest(range(len(l))) AS pos, trim(unnest(l)) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS l FROM documents)) WHERE line <> '')) WHERE grp > 0 GROUP BY doc_id, grp""",
+    f"""SELECT row_id, CAST(min(pos) AS INT) AS pos, arg_min(line, pos) AS question, coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (WHERE NOT q), '') AS answer FROM (
+      SELECT *, sum(q::INT) OVER (PARTITION BY row_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT row_id, pos, line, {_QUESTION} AS q FROM (
+        SELECT row_id, unnest(range(len(l))) AS pos, trim(unnest(l)) AS line FROM (SELECT row_id, string_split_regex({_BODY}, '\\r?\\n') AS l FROM a_forms)) WHERE line <> '')) WHERE grp > 0 GROUP BY row_id, grp""",
+    ("a_forms",),
 )
 def plain_pairs(spark, d):
-    return M.plain_pairs(table(spark, d, "documents"), "doc_id", "text")
+    """Plain mails made of the forms."""
+    return M.plain_pairs(view(spark, d, "a_forms").select("row_id", F.expr(_BODY).alias("body")), "row_id", "body")
 
 
 def _field_sql(c: str) -> str:
