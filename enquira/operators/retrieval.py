@@ -99,13 +99,15 @@ def document_hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.sha2(F.col(text), 256).alias("sha"))
 
 
-def corpus_fingerprint(docs: DataFrame, model: str, key: str, text: str) -> DataFrame:
-    """16 hex digits that change with any document, key or model: hashes of 256 buckets of row
-    hashes are combined, so no task holds the whole corpus."""
-    rows = document_hashes(docs, key, text).select(F.sha2(F.concat_ws(":", F.col(key).cast("string"), "sha"), 256).alias("h"))
-    buckets = rows.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("bh"))
-    one = buckets.agg(F.array_sort(F.collect_list("bh")).alias("all"))
-    return one.select(F.substring(F.sha2(F.concat_ws("|", F.lit(model), F.concat_ws("", "all")), 256), 1, 16).alias("fingerprint"))
+def corpus_fingerprint(docs: DataFrame, model: str, key: str, text: str, levels: tuple = (6, 4, 2)) -> DataFrame:
+    """16 hex digits that change with any document, key or model: row hashes are combined by their first digits, then
+    by fewer of them, so no group holds more than 256 parts above the first level and none a share of the corpus."""
+    rows = document_hashes(docs, key, text).select(F.sha2(F.concat_ws(":", F.col(key).cast("string"), "sha"), 256).alias("h")).select("h", F.col("h").alias("p"))
+    for digits in levels:
+        parts = F.array_sort(F.collect_list(F.struct("p", "h")))
+        rows = rows.groupBy(F.substring("p", 1, digits).alias("p")).agg(F.sha2(F.concat_ws("", F.transform(parts, lambda x: x["h"])), 256).alias("h"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("all"))
+    return one.select(F.substring(F.sha2(F.concat_ws("|", F.lit(model), F.concat_ws("", F.transform("all", lambda x: x["h"]))), 256), 1, 16).alias("fingerprint"))
 
 
 def stale_documents(docs: DataFrame, cache: DataFrame, key: str, text: str) -> DataFrame:

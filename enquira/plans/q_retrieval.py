@@ -107,11 +107,12 @@ def top1_confidence(spark, d):
     return R.top1_confidence(gold(spark, d), scored_hits(spark, d))
 
 
-@query(
-    "corpus_fingerprint",
-    """SELECT substr(sha256('model-1|' || string_agg(bh, '' ORDER BY bh)), 1, 16) AS fingerprint FROM (SELECT sha256(string_agg(h, '' ORDER BY h)) AS bh FROM (
-      SELECT sha256(CAST(doc_id AS VARCHAR) || ':' || sha256(text)) AS h FROM documents) GROUP BY substr(h, 1, 2))""",
-)
+_PRINTS = "SELECT h, h AS p FROM (SELECT sha256(CAST(doc_id AS VARCHAR) || ':' || sha256(text)) AS h FROM documents)"
+for _digits in (6, 4, 2):
+    _PRINTS = f"SELECT sha256(string_agg(h, '' ORDER BY p, h)) AS h, substr(p, 1, {_digits}) AS p FROM ({_PRINTS}) GROUP BY substr(p, 1, {_digits})"
+
+
+@query("corpus_fingerprint", f"SELECT substr(sha256('model-1|' || string_agg(h, '' ORDER BY p, h)), 1, 16) AS fingerprint FROM ({_PRINTS})")
 def corpus_fingerprint(spark, d):
     return R.corpus_fingerprint(table(spark, d, "documents"), "model-1", "doc_id", "text")
 
