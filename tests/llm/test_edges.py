@@ -134,3 +134,56 @@ def test_line_clusters_against_brute_force(spark):
     expected = {i: m for i, m in enumerate(members) if members.count(m) > 1}
     hits = sum(found.get(i) == m for i, m in expected.items())
     assert len(expected) > 20 and hits >= 0.9 * len(expected) and set(found) <= set(expected)
+
+
+def test_values_of_odd_rows(spark):
+    """Null, blank, long, tied and repeated texts: the values that the docstrings state."""
+    import zlib
+
+    import numpy as np
+
+    docs = edge.documents(spark)
+
+    def by_id(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r.doc_id, []).append(r)
+        return out
+
+    scored = by_id(ppm.score_documents(docs).collect())
+    for i in (3, 4, 5):
+        assert (scored[i][0].n_tokens, scored[i][0].n_known, scored[i][0].n_bytes) == (1, 1, 1)
+    assert scored[8][0].n_tokens == len(edge.LONG.split()) + 1 and scored[6][0].score == scored[7][0].score
+    assert len({(r.score, r.base_score) for i in (1, 2) for r in scored[i]}) == 1 and not scored[None][0].held_out
+
+    coded = by_id(token_blocks.encode_documents(docs).collect())
+    end = zlib.crc32(np.array([2], "<u4").tobytes())
+    assert all((coded[i][0].n_tokens, coded[i][0].ids_crc32) == (1, end) for i in (3, 4)) and coded[None][0].start == 0
+    order = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens) for rows in coded.values() for r in rows)
+    assert [i for _, i, _ in order] == sorted(i for _, i, _ in order) and all(a[0] + a[2] == b[0] for a, b in zip(order, order[1:]))
+
+    mixed = by_id(curriculum.assign(docs).collect())
+    assert all((mixed[i][0].size, mixed[i][0].taken, mixed[i][0].takes) == (0, 0, []) for i in (3, 4, 5)) and mixed[8][0].size == len(edge.LONG.split())
+    assert {r.source_size for r in mixed[3]} == {sum(r.size for i in (3, 10) for r in mixed[i])}  # null sources are one
+
+    toxic = by_id(ordinal_toxicity.score_documents(docs, edge.labels(spark)).collect())
+    assert all(toxic[i][0].severity == toxic[3][0].severity for i in (4, 5)) and toxic[6][0].p_toxic == toxic[7][0].p_toxic and toxic[1][0].rank == "clash"
+
+    judged = by_id(isolation_quality.filter_quality(docs, edge.labels(spark)).collect())
+    for i in (3, 4, 5):
+        r = judged[i][0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (0, 0, 0, 0, 0, True, False)
+    assert judged[8][0].n_words == len(edge.LONG.split()) and not any(r.kept for rows in judged.values() for r in rows if r.base_failed)
+
+    named = by_id(surrogates.replace_entities(docs, "k").collect())
+    assert named[3][0].text is None and named[4][0].text == "" and named[8][0].text == edge.LONG and all(r.n_entities == 0 for rows in named.values() for r in rows)
+
+
+def test_long_conversation_with_clashing_columns(spark):
+    """A conversation of 500 turns and one long text; extra columns are not read."""
+    turns = [(1, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(500)] + [(2, 0, "assistant", edge.LONG)]
+    talk = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for c in ("window", "tokens", "formatted", "n", "run"):
+        talk = talk.withColumn(c, talk["role"])
+    got = {r.conv_id: r for r in chat_windows.digest(chat_windows.format_windows(talk)).collect()}
+    assert got[1].n_turns == 500 and got[1].loss_chars == sum(len(t[3]) for t in turns[:500] if t[2] == "assistant") and got[2].loss_chars == len(edge.LONG)
