@@ -219,12 +219,13 @@ class CachedTokenizer:
         first, *rest = text.split(" ")
         head = self.raw(first) if first else b""
         found = list(map(self.pieces.get, rest))
-        if None in found:
+        if not all(found):  # a piece has one id at least
+            new = [k for k, ids in enumerate(found) if ids is None]
             if len(self.pieces) > self.MOST:
                 self.pieces.clear()
-            self.learn(list(dict.fromkeys(p for p, ids in zip(rest, found) if ids is None)))
-            get = self.pieces.get
-            found = [get(p) if ids is None else ids for p, ids in zip(rest, found)]
+            self.learn(list(dict.fromkeys(rest[k] for k in new)))
+            for k in new:
+                found[k] = self.pieces[rest[k]]
         return head + b"".join(found)
 
 
