@@ -15,6 +15,8 @@ _MODULES = (
     "chat_windows",
     "curriculum",
     "isolation_quality",
+    "periodic_runs",
+    "line_dedup",
 )
 
 
