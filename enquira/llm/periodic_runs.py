@@ -216,8 +216,9 @@ def planted_text() -> Column:
     n = F.size(words)
     a = (g % n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col("text"))
+    passage = F.array_repeat(F.slice(words, a + 1, p), (3 + g % 8).cast("int"))
+    planted = F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(passage), F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(F.col("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
