@@ -17,6 +17,7 @@ _MODULES = (
     "isolation_quality",
     "periodic_runs",
     "line_dedup",
+    "token_alignment",
 )
 
 
