@@ -78,14 +78,18 @@ def compare_summary(runs: DataFrame, cuts: tuple = (0.80, 0.60)) -> DataFrame:
     return per.unionByName(gap.select(F.lit("delta").alias("run"), *names))
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: str = "s") -> DataFrame:
-    """delta, mean and 95 % interval of the mean difference of (id, a, b) over resamples of rows.
+def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: str = "s", mode: str = "rows") -> DataFrame:
+    """delta, mean and 95 % interval of the mean difference of (id, a, b) over resamples of rows, or of cells of equal
+    differences (``mode="cells"``, for many rows: resamples x cells).
 
-    Row j of resample r is the row with the number of a hash of both; all draws are dealt over the tasks and joined with the
+    Rows: row j of resample r is the row with the number of a hash of both; all draws are dealt over the tasks and joined with the
     numbered rows, so the work is resamples x rows of two integers.
     """
     from .mltables import rank_within
+    from .resampling import paired_cells
 
+    if mode == "cells":
+        return paired_cells(pairs, resamples, seed)
     rows = pairs.select("id", (F.col("b") - F.col("a")).alias("diff"))
     numbered = rank_within(rows.withColumn("_g", F.lit(0)), "_g", hash32("number", F.col("id")), "id").select("diff", (F.col("rank") - 1).alias("i"))
     n = rows.count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .evaluation import hash32
 from .leads import FEATURES
+from .resampling import f1_cells
 
 # The model's numeric and categorical columns; only sessions have engagement.
 ENGAGEMENT = [
@@ -246,12 +247,7 @@ def seed_robustness(results: DataFrame, baseline: str = "real") -> DataFrame:
     return per.withColumn("tier", tier)
 
 
-def bootstrap_f1_ci(pred: DataFrame, resamples: int = 1000, seed: str = "f1", base: str = "real") -> DataFrame:
-    """95 % intervals of macro-F1 and the F1 of the class 2 per variant, and of their differences from ``base``.
-
-    ``pred`` has (id, label, variant, pred).  All variants share a resample's rows (paired): row j of resample b is the row with
-    the number of a hash of both.  A resample's rows are counted per (label, pred) cell before anything else is done with them.
-    """
+def _f1_rows(pred: DataFrame, resamples: int, seed: str) -> DataFrame:
     spark = pred.sparkSession
     rows = rank_within(pred.select("id", "label").distinct().withColumn("_g", F.lit(0)), "_g", hash32("number", F.col("id")), "id").select("id", F.col("rank").alias("i"))
     n = rows.count()
@@ -263,7 +259,17 @@ def bootstrap_f1_ci(pred: DataFrame, resamples: int = 1000, seed: str = "f1", ba
     tp = F.sum(F.when((F.col("label") == F.col("c")) & (F.col("pred") == F.col("c")), F.col("n")).otherwise(0))
     both = F.sum(F.when(F.col("label") == F.col("c"), F.col("n")).otherwise(0) + F.when(F.col("pred") == F.col("c"), F.col("n")).otherwise(0))
     per = wide.groupBy("b", "variant", "c").agg(F.when(both > 0, 2 * tp / both).otherwise(0.0).alias("f1"))
-    marks = per.groupBy("b", "variant").agg(F.avg("f1").alias("macro_f1"), F.max(F.when(F.col("c") == 2, F.col("f1"))).alias("hot_f1"))
+    return per.groupBy("b", "variant").agg(F.avg("f1").alias("macro_f1"), F.max(F.when(F.col("c") == 2, F.col("f1"))).alias("hot_f1"))
+
+
+def bootstrap_f1_ci(pred: DataFrame, resamples: int = 1000, seed: str = "f1", base: str = "real", mode: str = "rows") -> DataFrame:
+    """95 % intervals of macro-F1 and the F1 of the class 2 per variant, and of their differences from ``base``, over resamples
+    of rows, or of cells of equal label and predictions (``mode="cells"``, for many rows: resamples x cells).
+
+    ``pred`` has (id, label, variant, pred).  All variants share a resample's rows (paired): row j of resample b is the row with
+    the number of a hash of both.  A resample's rows are counted per (label, pred) cell before anything else is done with them.
+    """
+    marks = f1_cells(pred, LABELS, resamples, seed, base) if mode == "cells" else _f1_rows(pred, resamples, seed)
     against = marks.where(F.col("variant") == base).select("b", F.col("macro_f1").alias("m0"), F.col("hot_f1").alias("h0"))
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in (
         ("macro_f1", F.col("macro_f1")), ("hot_f1", F.col("hot_f1")), ("delta_macro_f1", F.col("macro_f1") - F.col("m0")), ("delta_hot_f1", F.col("hot_f1") - F.col("h0"))

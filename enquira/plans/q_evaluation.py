@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from enquira.operators import evaluation as E
+from enquira.operators import resampling as S
 from enquira.operators import retrieval as R
+from enquira.sources.shared import stored
 
 from .entries import query
 from .q_retrieval import BOTH, OVERLAP, SCORED, faq, gold, overlap_hits, scored_hits
@@ -110,6 +114,30 @@ def paired_bootstrap(spark, d):
     return E.paired_bootstrap(found.select(F.col("query_id").alias("id"), F.coalesce(1 / F.col("rank_a"), F.lit(0.0)).alias("a"), F.coalesce(1 / F.col("rank_b"), F.lit(0.0)).alias("b")))
 
 
+def weights_sql(cells: str, resamples: int, seed: str) -> str:
+    """(r, cell, w) of a table (cell, n), as ``resampling.weights`` draws them."""
+    key = "g.r || ':' || c.cell || ':' || b.bit"
+    normal = f"sqrt(-2 * ln((h + 1) / {2.0**32})) * cos(h2 * {2 * math.pi / 2.0**32!r})"
+    return f"""SELECT r, cell, sum(w) AS w FROM (
+      SELECT r, cell, CASE WHEN bit <= {S.EXACT_BIT} THEN len(list_filter({S.STEPS}[bit + 1], lambda x: x <= h)) ELSE CAST(greatest(floor(pow(2.0::DOUBLE, bit) + sqrt(pow(2.0::DOUBLE, bit)) * {normal} + 0.5), 0) AS BIGINT) END AS w FROM (
+        SELECT g.r, c.cell, b.bit, {_h(seed, key)} AS h, {_h(f"{seed}-2", key)} AS h2 FROM ({cells}) c JOIN (SELECT unnest(range(41)) AS bit) b ON (c.n >> b.bit) & 1 = 1 CROSS JOIN (SELECT unnest(range({resamples})) AS r) g)) GROUP BY r, cell HAVING sum(w) > 0"""
+
+
+INTERVAL = "round(avg({0}), 6) AS mean, round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.975), 6) AS high"
+_CELLS = f"SELECT CAST(round((b - a) * 1000000) AS BIGINT) AS cell, count(*) AS n FROM ({_RR}) GROUP BY 1"
+
+
+@query(
+    "paired_bootstrap_cells",
+    f"""SELECT * FROM (WITH cells AS MATERIALIZED ({_CELLS}) SELECT * FROM (SELECT coalesce(sum(n), 0)::BIGINT AS n, round(sum(n * cell) / sum(n) / 1000000, 6) AS delta FROM cells)
+      CROSS JOIN (SELECT {INTERVAL.format('m')} FROM (SELECT r, sum(w * cell) / sum(w) / 1000000 AS m FROM ({weights_sql('SELECT * FROM cells', 1000, 's')}) GROUP BY r)))""",
+    BOTH,
+)
+def paired_bootstrap_cells(spark, d):
+    found = compare_runs(spark, d)
+    return E.paired_bootstrap(found.select(F.col("query_id").alias("id"), F.coalesce(1 / F.col("rank_a"), F.lit(0.0)).alias("a"), F.coalesce(1 / F.col("rank_b"), F.lit(0.0)).alias("b")), mode="cells")
+
+
 _GONE = f"SELECT idx FROM (SELECT idx, row_number() OVER (ORDER BY {_h('w', 'idx')}, idx) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT gold_id AS idx FROM a_gold WHERE gold_id IS NOT NULL)) WHERE r <= greatest(floor(n * CAST(0.3 AS DOUBLE) + 0.5), 1)"
 
 
@@ -154,21 +182,36 @@ def targeted_restore(spark, d):
     return _targeted(spark, d, *reduced_run(spark, d))
 
 
-@query("adaptation_report")
+_TARGETED = _without(f"SELECT idx FROM ({_GONE}) WHERE idx NOT IN (SELECT idx FROM ({_BACK}))")
+_STAGES = " UNION ALL ".join(f"SELECT '{stage}' AS stage, * FROM {part} WHERE query_id % 2 = 0" for stage, part in (("full", "whole"), ("cold", "cold"), ("restored", "whole"), ("targeted", "targeted")))
+_BOTH_RECALLS = ("recall3", "recall5")
+_HELD = f"""SELECT query_id, coalesce(string_agg(k, ',' ORDER BY k) FILTER (x), '') AS cell FROM (
+  SELECT query_id, stage || '/' || m.metric AS k, CASE m.metric WHEN 'recall3' THEN recall3 ELSE recall5 END AS x FROM stages CROSS JOIN (VALUES ('recall3'), ('recall5')) m(metric) WHERE NOT expected_abstain) GROUP BY query_id"""
+_GAINED = "sum(w * (list_contains(string_split(cell, ','), stage || '/' || metric)::INT - list_contains(string_split(cell, ','), 'cold/' || metric)::INT)) / sum(w)"
+_EXTRA = ", ".join(
+    f"round(p.{m} - k.cold_{m}, 4) AS gain_{m}, round(CASE WHEN k.full_{m} - k.cold_{m} <> 0 THEN (p.{m} - k.cold_{m}) / (k.full_{m} - k.cold_{m}) END, 4) AS recovery_{m}, round(k.restored_{m} - p.{m}, 4) AS residual_{m}, b.low_{m}, b.high_{m}"
+    for m in _BOTH_RECALLS
+)
+_REPORT = f"""SELECT * FROM (WITH whole AS MATERIALIZED ({_pq(SCORED)}), cold AS MATERIALIZED ({_COLD}), targeted AS MATERIALIZED ({_TARGETED}), stages AS MATERIALIZED ({_STAGES}),
+  per AS (SELECT stage, {_METRICS} FROM stages GROUP BY stage),
+  marks AS (SELECT {', '.join(f"max(CASE WHEN stage = '{s}' THEN {m} END) AS {s}_{m}" for s in ('full', 'cold', 'restored') for m in _BOTH_RECALLS)} FROM per),
+  cells AS MATERIALIZED (SELECT cell, count(*) AS n FROM ({_HELD}) GROUP BY cell),
+  drawn AS MATERIALIZED (SELECT r, stage, metric, {_GAINED} AS v FROM ({weights_sql('SELECT * FROM cells', 1000, 'g')}) CROSS JOIN (VALUES ('full'), ('restored'), ('targeted')) s(stage) CROSS JOIN (VALUES ('recall3'), ('recall5')) m(metric) GROUP BY r, stage, metric),
+  boot AS (SELECT stage, {', '.join(f"round(quantile_cont(v, {q}) FILTER (metric = '{m}'), 6) AS {e}_{m}" for m in _BOTH_RECALLS for e, q in (('low', 0.025), ('high', 0.975)))} FROM drawn GROUP BY stage)
+  SELECT p.*, {_EXTRA} FROM per p CROSS JOIN marks k LEFT JOIN boot b ON p.stage = b.stage)"""
+
+
+@query("adaptation_report", _REPORT, BOTH)
 def adaptation_report(spark, d):
-    """Metrics of the test half with the full, the reduced, the fully restored and the restored corpus."""
+    """Metrics of the test half with the full, the reduced, the fully restored and the restored corpus; each search runs once."""
     gone, cold = reduced_run(spark, d)
+    gone, cold = stored(gone, "gone"), stored(cold, "cold")
     back = _targeted(spark, d, gone, cold)
     restored = _run_on(spark, d, faq(spark, d).join(gone.join(back, "idx", "left_anti"), "idx", "left_anti"))
-    full = run_a(spark, d)
+    full = stored(run_a(spark, d), "full")
     rows = None
     for name, part in (("full", full), ("cold", cold), ("restored", full), ("targeted", restored)):
         part = part.where("query_id % 2 = 0").withColumn("stage", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    boot = None
-    for stage in ("restored", "targeted"):
-        for m in ("recall3", "recall5"):
-            pairs = rows.where("not expected_abstain").groupBy(F.col("query_id").alias("id")).agg(*(F.max(F.when(F.col("stage") == s, F.col(m).cast("double"))).alias(n) for n, s in (("a", "cold"), ("b", stage))))
-            part = E.paired_bootstrap(pairs, 200).select(F.lit(stage).alias("stage"), F.lit(m).alias("metric"), "low", "high")
-            boot = part if boot is None else boot.unionByName(part)
-    return E.adaptation_report(rows, boot)
+    rows = stored(rows, "stages")
+    return E.adaptation_report(rows, S.gain_cells(rows.where("not expected_abstain"), _BOTH_RECALLS, "cold", 1000))

@@ -12,6 +12,7 @@ from enquira.operators import sessions as S
 
 from .adapters import table, view
 from .entries import query
+from .q_evaluation import weights_sql
 from .q_mltables import _ALIGN, _PRED, _TABLE, ALL, _h, _text, aligned, grouped, leads
 from .q_sessions import _EVID, turns
 
@@ -123,7 +124,7 @@ def generated_agreement(spark, d):
     return M.generated_agreement(drawn.join(source, F.col("source_row_id") == F.col("row_id")))
 
 
-_B = 30
+_B = 100
 _DRAWS = f"SELECT g.b, {_h('f1', "g.b || ':' || j.j")} % (SELECT count(*) FROM a_px) + 1 AS i FROM (SELECT unnest(range({_B})) AS b) g CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM a_px))) AS j) j"
 _DRAWN = f"SELECT b, id FROM ({_DRAWS}) d JOIN (SELECT id, row_number() OVER (ORDER BY {_h('number', 'id')}, id) AS i FROM a_px) n ON d.i = n.i UNION ALL SELECT -1, id FROM a_px"
 _PIDS = " UNION ALL ".join(f"SELECT '{v}' AS variant, id, label, pred_{v} AS pred FROM a_px" for v in ("real", "v1", "v2"))
@@ -134,16 +135,34 @@ _LONG = f"""SELECT m.b, m.variant, x.metric, CASE x.metric WHEN 'macro_f1' THEN
   FROM marks m JOIN marks r ON m.b = r.b AND r.variant = 'real' CROSS JOIN (VALUES ('macro_f1'), ('hot_f1'), ('delta_macro_f1'), ('delta_hot_f1')) x(metric) WHERE NOT (m.variant = 'real' AND starts_with(x.metric, 'delta'))"""
 
 
-@query(
-    "bootstrap_f1_ci",
-    f"""SELECT * FROM (WITH marks AS MATERIALIZED ({_MARKS}) SELECT *, starts_with(metric, 'delta') AND (low > 0 OR high < 0) AS significant FROM (SELECT variant, metric, round(max(CASE WHEN b < 0 THEN v END), 6) AS point, round(avg(v) FILTER (WHERE b >= 0), 6) AS mean,
-      round(quantile_cont(v, 0.025) FILTER (WHERE b >= 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE b >= 0), 6) AS high FROM ({_LONG}) GROUP BY variant, metric))""",
-    ("a_px",),
-)
-def bootstrap_f1_ci(spark, d):
-    rows = view(spark, d, "a_px")
+def _f1_intervals(marks: str) -> str:
+    return f"""SELECT * FROM (WITH marks AS MATERIALIZED ({marks}) SELECT *, starts_with(metric, 'delta') AND (low > 0 OR high < 0) AS significant FROM (SELECT variant, metric, round(max(CASE WHEN b < 0 THEN v END), 6) AS point, round(avg(v) FILTER (WHERE b >= 0), 6) AS mean,
+      round(quantile_cont(v, 0.025) FILTER (WHERE b >= 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE b >= 0), 6) AS high FROM ({_LONG}) GROUP BY variant, metric))"""
+
+
+def _variants(spark, d):
     long = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(f"pred_{v}").alias("pred")) for v in ("real", "v1", "v2"))))
-    return M.bootstrap_f1_ci(rows.select("id", "label", long.alias("x")).select("id", "label", "x.variant", "x.pred"), _B)
+    return view(spark, d, "a_px").select("id", "label", long.alias("x")).select("id", "label", "x.variant", "x.pred")
+
+
+@query("bootstrap_f1_ci_rows", _f1_intervals(_MARKS), ("a_px",))
+def bootstrap_f1_ci_rows(spark, d):
+    return M.bootstrap_f1_ci(_variants(spark, d), _B)
+
+
+_CELL = "label || ':real=' || pred_real || ':v1=' || pred_v1 || ':v2=' || pred_v2"
+_CELLS = f"SELECT {_CELL} AS cell, any_value(label) AS label, any_value(pred_real) AS real, any_value(pred_v1) AS v1, any_value(pred_v2) AS v2, count(*) AS n FROM a_px GROUP BY 1"
+_PREDS = " UNION ALL ".join(f"SELECT cell, '{v}' AS variant, label, {v} AS pred FROM cells" for v in ("real", "v1", "v2"))
+_CELL_MARKS = f"""SELECT b, variant, avg(f1) AS macro_f1, max(CASE WHEN c = 2 THEN f1 END) AS hot_f1 FROM (SELECT b, variant, c, CASE WHEN both_ > 0 THEN 2 * tp::DOUBLE / both_ ELSE 0 END AS f1 FROM (
+  SELECT b, variant, c, sum(n * (label = c AND pred = c)::INT) AS tp, sum(n * (label = c)::INT) + sum(n * (pred = c)::INT) AS both_ FROM (
+    WITH cells AS MATERIALIZED ({_CELLS}) SELECT d.b, p.variant, p.label, p.pred, sum(d.w) AS n FROM (SELECT r AS b, cell, w FROM ({weights_sql('SELECT * FROM cells', 1000, 'f1')}) UNION ALL SELECT -1, cell, n FROM cells) d JOIN ({_PREDS}) p ON d.cell = p.cell GROUP BY ALL)
+  CROSS JOIN (VALUES (0), (1), (2)) v(c) GROUP BY b, variant, c)) GROUP BY b, variant"""
+
+
+@query("bootstrap_f1_ci", _f1_intervals(_CELL_MARKS), ("a_px",))
+def bootstrap_f1_ci(spark, d):
+    """1,000 resamples of the cells of equal label and predictions."""
+    return M.bootstrap_f1_ci(_variants(spark, d), 1000, mode="cells")
 
 
 def _docs(spark, d):

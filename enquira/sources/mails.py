@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
 import email
 import email.policy
-from html.parser import HTMLParser
+import html
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from enquira.functions.pii import redact
 from enquira.operators.forms import plain_pairs
@@ -23,85 +25,78 @@ def read_mail_files(spark: SparkSession, root: str, glob: str = "*.eml") -> Data
     return files.select("path", redact(F.element_at(F.split("path", "/"), -1)).alias("source_file"), "content")
 
 
-class _Fields(HTMLParser):
-    """Texts of the cells whose ids name a question or a value, in the form's table."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.pairs: list[tuple[str, str]] = []
-        self.inside, self.cell, self.question, self.words = False, None, None, []
-
-    def handle_starttag(self, tag, attrs):
-        name = dict(attrs).get("id") or ""
-        if tag == "table" and "emailFieldsTable" in name:
-            self.inside = True
-        if self.inside and tag == "td":
-            kind = next((k for k in ("question", "value") if k in name), None)
-            if kind:
-                self.cell, self.words = kind, []
-
-    def handle_data(self, data):
-        if self.inside and self.cell:
-            self.words.append(data)
-
-    def handle_endtag(self, tag):
-        if not self.inside:
-            return
-        if tag == "td" and self.cell:
-            said = " ".join(self.words).strip()
-            if self.cell == "question":
-                self.question = said
-            elif self.question is not None:
-                self.pairs.append((self.question, said))
-                self.question = None
-            self.cell, self.words = None, []
-        elif tag == "table":
-            self.inside = False
-
-
-def read_mail(content: bytes) -> dict:
-    """Headers, the pairs of the form's table and the plain body of one mail."""
-    mail = email.message_from_bytes(content, policy=email.policy.default)
-    bodies = {"text/html": "", "text/plain": ""}
-    for part in mail.walk():
-        kind = part.get_content_type()
-        if kind in bodies and (data := part.get_payload(decode=True)) is not None:
-            try:
-                bodies[kind] += data.decode(part.get_content_charset() or "utf-8", "ignore")
-            except LookupError:
-                bodies[kind] += data.decode("utf-8", "ignore")
-    fields = _Fields()
-    fields.feed(bodies["text/html"])
-    return {"headers": {h: str(mail.get(h, "")).strip() for h in HEADERS}, "pairs": fields.pairs, "plain": bodies["text/plain"]}
+#: The form's table, up to its end or that of the body; cells with their tags; a cell's id; any tag.
+TABLE = r"(?is)<table\b[^>]*\bid\s*=\s*[\"']?[^\"'>]*emailFieldsTable[^>]*>.*?(?:</table|\z)"
+CELL = r"(?is)<td\b[^>]*>.*?</td"
+CELL_ID = r"(?is)^<td\b[^>]*?\bid\s*=\s*[\"']?([^\"'>\s]*)"
+TAG = r"(?s)<[^>]*(?:>|\z)"
+
+
+def field_pairs(body: Column) -> Column:
+    """Questions and answers of the form's table as an array of (pos, question, answer), with entities as they stand.
+
+    Of the cells whose ids name a question or a value, each value right after a question makes a pair."""
+    cells = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(TABLE), F.lit(0)), lambda t: F.regexp_extract_all(t, F.lit(CELL), F.lit(0))))
+
+    def read(cell: Column) -> Column:
+        of = F.regexp_extract(cell, CELL_ID, 1)
+        texts = F.filter(F.split(cell, TAG), lambda x: x != "")
+        kind = F.when(of.contains("question"), "q").when(of.contains("value"), "v")
+        return F.struct(kind.alias("kind"), F.regexp_replace(F.array_join(texts, " "), r"^\s+|\s+$", "").alias("said"))
+
+    found = F.filter(F.transform(cells, read), lambda c: c["kind"].isNotNull())
+    follows = F.zip_with(found, F.slice(found, F.lit(2), F.greatest(F.size(found), F.lit(0))), lambda q, v: F.struct(q.alias("q"), v.alias("v")))
+    pairs = F.filter(follows, lambda p: (p["q"]["kind"] == "q") & (p["v"]["kind"] == "v"))
+    return F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["q"]["said"].alias("question"), p["v"]["said"].alias("answer")))
+
+
+@F.pandas_udf(StringType())
+def plain_entities(texts: pd.Series) -> pd.Series:
+    """Character references as the characters they stand for."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def _text(part: email.message.Message) -> str:
+    try:
+        codec = codecs.lookup(part.get_content_charset("utf-8")).name
+    except LookupError:
+        codec = "utf-8"
+    return (part.get_payload(decode=True) or b"").decode(codec, "ignore")
 
 
 def parsed_mails(mails: DataFrame) -> DataFrame:
-    """(source_file, from, to, subject, date, pairs, plain, error): one row per mail of (source_file, content);
-    a mail that cannot be read has its error and no pairs."""
+    """(source_file, from, to, subject, date, html, plain, error): one row per mail of (source_file, content), with
+    its HTML and its plain parts joined; a mail that cannot be read has its error and no text."""
+
+    def opened(content: bytes) -> list:
+        mail = email.message_from_bytes(bytes(content), policy=email.policy.default)
+        parts = [(p.get_content_subtype(), _text(p)) for p in mail.walk() if p.get_content_maintype() == "text"]
+        return [*(str(mail.get(h) or "").strip() for h in HEADERS), *("".join(t for kind, t in parts if kind == k) for k in ("html", "plain")), None]
 
     def run(batches):
         for pdf in batches:
             rows = []
             for name, content in zip(pdf["source_file"], pdf["content"]):
                 try:
-                    m = read_mail(bytes(content))
-                    rows.append((name, *m["headers"].values(), [{"pos": i, "question": q, "answer": a} for i, (q, a) in enumerate(m["pairs"])], m["plain"], None))
+                    rows.append([name, *opened(content)])
                 except Exception as e:  # failures are counted, not fatal
-                    rows.append((name, *[""] * len(HEADERS), [], "", f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["source_file", *HEADERS, "pairs", "plain", "error"])
+                    rows.append([name, *[""] * (len(HEADERS) + 2), f"{type(e).__name__}: {e}"])
+            yield pd.DataFrame(rows, columns=["source_file", *HEADERS, "html", "plain", "error"])
 
-    heads = ", ".join(f"`{h}` string" for h in HEADERS)
-    return mails.select("source_file", "content").mapInPandas(run, f"source_file string, {heads}, pairs array<struct<pos:int,question:string,answer:string>>, plain string, error string")
+    columns = ", ".join(f"`{c}` string" for c in ("source_file", *HEADERS, "html", "plain", "error"))
+    return mails.select("source_file", "content").mapInPandas(run, columns)
 
 
 def mail_to_pairs(parsed: DataFrame) -> DataFrame:
     """(source_file, headers, source, pos, question, answer): the pairs of the form's table, or, for mails
     without any, those of the plain body."""
     columns = ["source_file", *HEADERS]
-    html = parsed.where(F.size("pairs") > 0).select(*columns, F.lit("html").alias("source"), F.explode("pairs").alias("p")).select(*columns, "source", "p.pos", "p.question", "p.answer")
-    bare = parsed.where((F.size("pairs") == 0) & (F.col("plain") != ""))
+    rows = parsed.select(*columns, "plain", field_pairs(F.col("html")).alias("pairs"))
+    form = rows.select(*columns, F.lit("html").alias("source"), F.explode("pairs").alias("p"))
+    form = form.select(*columns, "source", "p.pos", plain_entities("p.question").alias("question"), plain_entities("p.answer").alias("answer"))
+    bare = rows.where((F.size("pairs") == 0) & (F.col("plain") != ""))
     plain = plain_pairs(bare, "source_file", "plain").join(bare.select(*columns), "source_file")
-    return html.unionByName(plain.select(*columns, F.lit("plain").alias("source"), "pos", "question", "answer"))
+    return form.unionByName(plain.select(*columns, F.lit("plain").alias("source"), "pos", "question", "answer"))
 
 
 def mail_summary(parsed: DataFrame) -> DataFrame:
