@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from enquira.functions.text import tokenize
 
@@ -77,17 +80,65 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.nullif(length, F.lit(0.0)))
 
 
-def vector_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """The k documents with the largest dot product of unit vectors, clipped to [0, 1].
+def dot_score(a: str, b: str) -> Column:
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return F.round(F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0)), 4)
 
-    The queries are a stated set against all rows; Spark broadcasts it below its threshold,
+
+#: Random directions, and in how many buckets a vector lies and a query looks.
+DIRECTIONS, BUCKETS, PROBES = 2048, 36, 36
+
+
+def direction_buckets(directions: int, most: int, seed: int = 0):
+    """A column function: the ``most`` random directions that a vector points along best, each a bucket."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def buckets(vectors: pd.Series) -> pd.Series:
+        out: list = [None] * len(vectors)
+        filled = [i for i, v in enumerate(vectors) if v is not None and len(v) and np.isfinite(np.asarray(v, float)).all()]
+        sizes = {len(vectors.iloc[i]) for i in filled}
+        for size in sizes:
+            rows = [i for i in filled if len(vectors.iloc[i]) == size]
+            planes = np.random.default_rng([seed, size]).standard_normal((size, directions)).astype(np.float32)
+            planes /= np.linalg.norm(planes, axis=0)
+            for at in range(0, len(rows), 1024):
+                part = rows[at : at + 1024]
+                along = np.stack([np.asarray(vectors.iloc[i], np.float32) for i in part]) @ planes
+                best = np.argpartition(-along, min(most, directions) - 1, axis=1)[:, :most]
+                for i, x in zip(part, best.astype(np.int32)):
+                    out[i] = x
+        return pd.Series(out)
+
+    return buckets
+
+
+def vector_candidates(queries: DataFrame, docs: DataFrame, directions: int = DIRECTIONS, buckets: int = BUCKETS, probes: int = PROBES) -> DataFrame:
+    """Distinct pairs (query_id, idx) that share a bucket, of (query_id, qv) and (idx, dv)."""
+    placed = docs.select("idx", F.explode(direction_buckets(directions, buckets)("dv")).alias("bucket"))
+    looked = queries.select("query_id", F.explode(direction_buckets(directions, probes)("qv")).alias("bucket"))
+    return looked.join(placed, "bucket").where("query_id <> idx").select("query_id", "idx").distinct()
+
+
+def vector_search(queries: DataFrame, docs: DataFrame, k: int = 5, mode: str = "exact", directions: int = DIRECTIONS, buckets: int = BUCKETS, probes: int = PROBES) -> DataFrame:
+    """The k documents with the largest dot product of unit vectors, clipped to [0, 1]; ties go to the smaller id.
+
+    ``mode="exact"``: the queries are a stated set against all rows; Spark broadcasts it below its threshold,
     and the window keeps k hits per query in each task before the shuffle.
+
+    ``mode="candidates"``, for many queries against many rows: every vector lies in the buckets of the ``buckets`` random directions
+    that it points along best, a query looks into its ``probes`` best ones, and what they share is scored exactly.  The join is
+    on the bucket, so its work is about queries x rows x buckets x probes / directions: more directions suit more rows.  Of equal vectors only
+    the k + 1 with the smallest ids can be among the k best, so no more of them enter a bucket.  Vectors without a length are in no bucket.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("qv"))
     d = docs.select(F.col("vec_id").alias("idx"), unit(F.col("embedding")).alias("dv"))
-    pairs = d.join(q, F.col("idx") != F.col("query_id"))
-    dot = F.aggregate(F.zip_with("dv", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return top_k(pairs.select("query_id", "idx", F.round(F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0)), 4).alias("score")), "query_id", "score", "idx", k)
+    if mode == "candidates":
+        nth = F.row_number().over(Window.partitionBy("dv").orderBy("idx"))
+        d = d.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
+        pairs = vector_candidates(q, d, directions, buckets, probes).join(q, "query_id").join(d, "idx")
+    else:
+        pairs = d.join(q, F.col("idx") != F.col("query_id"))
+    return top_k(pairs.select("query_id", "idx", dot_score("dv", "qv").alias("score")), "query_id", "score", "idx", k)
 
 
 def top1_confidence(queries: DataFrame, hits: DataFrame, score: str = "score") -> DataFrame:

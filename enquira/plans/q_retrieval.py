@@ -102,6 +102,13 @@ def vector_search(spark, d):
     return R.vector_search(rows.where("vec_id % 20 = 0"), rows).select("query_id", "idx", "score")
 
 
+@query("vector_search_candidates")
+def vector_search_candidates(spark, d):
+    """The same search over hash buckets; its recall is tested against the exact one."""
+    rows = table(spark, d, "embeddings")
+    return R.vector_search(rows.where("vec_id % 20 = 0"), rows, mode="candidates").select("query_id", "idx", "score")
+
+
 @query("top1_confidence", f"SELECT g.query_id, coalesce(max(s.score), 0) AS confidence FROM a_gold g LEFT JOIN ({SCORED}) s ON g.query_id = s.query_id GROUP BY g.query_id", BOTH)
 def top1_confidence(spark, d):
     return R.top1_confidence(gold(spark, d), scored_hits(spark, d))
