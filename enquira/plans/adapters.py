@@ -79,6 +79,9 @@ SELECT session_id, CAST(min(user_id) % 3 AS INT) AS label,
        'synthetic' AS source
 FROM a_turns
 GROUP BY session_id
+""",
+    "a_notes": """
+SELECT doc_id AS seq, coalesce(split_part(text, chr(10), 1), '') AS record_text FROM documents
 """,
     "a_corpus": """
 SELECT item_id AS idx,

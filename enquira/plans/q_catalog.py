@@ -79,13 +79,14 @@ def route_valid_error_dropped(spark, d):
     return C.route(courses(spark, d)).select("seq", "status")
 
 
-_RECORD = f"SELECT seq, concat_ws(' ', title, description, level, study_type) AS record_text FROM ({_COURSES})"
+_RECORD = f"""SELECT seq, concat_ws(' ', title, description, level, study_type) AS record_text FROM ({_COURSES})
+  UNION ALL SELECT seq, concat_ws(' ', title, description) AS record_text FROM ({_ROOMS})"""
 
 
 @query("record_text", _RECORD, ("a_catalog",))
 def record_text(spark, d):
-    rows = courses(spark, d)
-    return rows.select("seq", C.record_text(rows).alias("record_text"))
+    """Courses and accommodation."""
+    return _records(spark, d)
 
 
 @query("token_set", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' ') AS tokens FROM documents")
@@ -102,18 +103,24 @@ def _share(c: str) -> str:
 
 
 _PAIRS = f"""SELECT seq, idx, CASE WHEN len(tokens) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(0.45 AS DOUBLE) * {_share('kt')} + CAST(0.25 AS DOUBLE) * {_share('qt')} + CAST(0.15 AS DOUBLE) * {_share('ans')} END AS score
- FROM (SELECT seq, {_tok('record_text')} AS tokens FROM ({_RECORD})) r
+ FROM (SELECT seq, {_tok('record_text')} AS tokens FROM a_notes) r
  CROSS JOIN (SELECT idx, {_tok("concat_ws(' ', kw1, kw2)")} AS kt, {_tok('question')} AS qt, {_tok('answer')} AS ans FROM a_corpus) q"""
 
 
 def _records(spark, d):
-    rows = courses(spark, d)
-    return rows.select("seq", C.record_text(rows).alias("record_text"))
+    parts = [courses(spark, d), C.clean_accommodation(view(spark, d, "a_catalog").where("data_type = 'accommodation'"))]
+    one, two = (rows.select("seq", C.record_text(rows).alias("record_text")) for rows in parts)
+    return one.unionByName(two)
 
 
-@query("faq_coverage", f"SELECT seq, idx, round(score, 6) AS score FROM ({_PAIRS})", ("a_catalog", "a_corpus"))
+def notes(spark, d):
+    """First lines of documents, which share words with the questions."""
+    return view(spark, d, "a_notes")
+
+
+@query("faq_coverage", f"SELECT seq, idx, round(score, 6) AS score FROM ({_PAIRS})", ("a_notes", "a_corpus"))
 def faq_coverage(spark, d):
-    return C.coverage_scores(_records(spark, d), view(spark, d, "a_corpus")).select("seq", "idx", F.round("score", 6).alias("score"))
+    return C.coverage_scores(notes(spark, d), view(spark, d, "a_corpus")).select("seq", "idx", F.round("score", 6).alias("score"))
 
 
 @query("faq_similarity")
@@ -123,14 +130,16 @@ def faq_similarity(spark, d):
 
 @query("related_faqs")
 def related_faqs(spark, d):
-    found = C.related_faqs(_records(spark, d), view(spark, d, "a_corpus"))
+    """For courses, accommodation and first lines of documents."""
+    parts = [rows.select(F.concat(F.lit(kind), F.col("seq").cast("string")).alias("seq"), "record_text") for kind, rows in (("catalog-", _records(spark, d)), ("note-", notes(spark, d)))]
+    found = C.related_faqs(parts[0].unionByName(parts[1]), view(spark, d, "a_corpus"))
     return found.select("seq", F.array_join(F.transform("related", lambda x: x["idx"].cast("string")), ",").alias("related"), F.array_join(F.transform("related", lambda x: x["score"].cast("string")), ",").alias("scores"))
 
 
 _CANDIDATES = f"SELECT seq, idx, round(score, 6) AS score FROM ({_PAIRS}) WHERE score > 0"
 
 
-@query("faq_candidates", _CANDIDATES, ("a_catalog", "a_corpus"))
+@query("faq_candidates", _CANDIDATES, ("a_notes", "a_corpus"))
 def faq_candidates(spark, d):
     """Coverage by the join of tokens."""
-    return C.coverage_candidates(_records(spark, d), view(spark, d, "a_corpus")).select("seq", "idx", F.round("score", 6).alias("score"))
+    return C.coverage_candidates(notes(spark, d), view(spark, d, "a_corpus")).select("seq", "idx", F.round("score", 6).alias("score"))

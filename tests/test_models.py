@@ -100,7 +100,9 @@ def test_related_questions(spark):
         ("What visa do I need?", "A student visa for the UK", "visa", "permit"), ("How much are fees?", "Fees are 9,250 pounds", "fees", "tuition"), ("Is there housing?", "Rooms on campus", "housing", "room"),
         ("Which masters in data science?", "MSc data science, one year", "data", "science"), ("MSc Data Science fees", "See the fee table for science", "fees", "science"),
     ])]
+    faq += [(10, "admission deadline", "x", "y", "z"), (11, "admission deadlines!", "x", "y", "z"), (12, "q" * 3000, "", "", ""), (13, "", "", "", "")]
     records = [(1, "MSc Data Science with fees of 12,000 pounds"), (2, "Student housing and a room near campus"), (3, ""), (4, "zzz qqq"), (5, "visa fees housing data the and is")]
+    records += [(6, "admissions deadlines"), (7, "Admissions  deadlines"), (8, "q" * 2500), (9, "!!!"), (10, "admissions")]
     r, f = spark.createDataFrame(records, "seq long, record_text string"), spark.createDataFrame(faq, "idx long, question string, answer string, kw1 string, kw2 string")
 
     def tokens(s):
@@ -112,14 +114,15 @@ def test_related_questions(spark):
         for i, q, a, k1, k2 in faq:
             have = tokens(said)
             cover = sum(w * len(have & tokens(s)) / max(1, len(tokens(s))) for w, s in ((0.45, f"{k1} {k2}"), (0.25, q), (0.15, a)))
-            score = cover + 0.15 * SequenceMatcher(None, said.lower(), q.lower()).ratio() if have else 0.0
-            if score >= 0.10 and cover > 0:
+            score = cover + 0.15 * SequenceMatcher(None, said.lower()[:2000], q.lower()).ratio() if have else 0.0
+            if score >= 0.10:
                 scores.append((-score, i))
         expected[seq] = [(i, round(-s, 4)) for s, i in sorted(scores)[:3]]
     got = {x.seq: [(y.idx, y.score) for y in x.related] for x in catalog.related_faqs(r, f).collect()}
     assert got == expected and len(expected[1]) == 3 and expected[3] == expected[4] == []
     exact = {(x.seq, x.idx): x.score for x in catalog.faq_similarity(r, f).collect()}
-    assert len(exact) == 25 and all(abs(x.score - exact[x.seq, x.idx]) < 1e-9 for x in catalog.faq_similarity(r, f, "candidates").collect())
+    assert [y[0] for y in expected[6]] == [11, 10] and expected[8] and expected[9] == []
+    assert len(exact) == len(records) * len(faq) and all(abs(x.score - exact[x.seq, x.idx]) < 1e-9 for x in catalog.faq_similarity(r, f, "candidates").collect())
 
 
 def test_quality_of_records(spark):
@@ -147,3 +150,19 @@ def test_imputation_share(spark):
     got = {r.key: (r.number, r.text) for r in mltables.imputation_table(leads(spark, (1, 0, {"note_word_count": 2, "qual_level": 3})), importance).collect()}
     assert got["engagement_importance_share"] == (0.75, None) and got["mode_qual_level"] == (None, "3") and got["mode_has_course"] == (None, "unknown")
     assert got["median_note_word_count"] == (2.0, None) and got["median_message_count"] == (0.0, None) and got["rows_real"] == (1.0, None)
+
+
+def test_related_questions_lose_nothing(spark):
+    """First lines of documents and changed copies of the questions, against all pairs."""
+    faq = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS idx", "substr(text, 1, 60) AS question", "text AS answer", "lower(split_part(text, ' ', 2)) AS kw1", "'' AS kw2")
+    notes = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS seq", "coalesce(split_part(text, chr(10), 1), '') AS record_text")
+    forms = faq.selectExpr("100000 + idx AS seq", "regexp_replace(lower(question), '([a-z]+)', '$1x') AS record_text")  # no token is shared
+    records = notes.unionByName(forms)
+    ranked = catalog.faq_similarity(records, faq).where("score >= 0.1").withColumn("rank", F.expr("row_number() OVER (PARTITION BY seq ORDER BY score DESC, idx)")).where("rank <= 3")
+    exact = {}
+    for r in ranked.orderBy("seq", "rank").collect():
+        exact.setdefault(r.seq, []).append((r.idx, round(r.score, 4)))
+    got = {r.seq: [(x.idx, x.score) for x in r.related] for r in catalog.related_faqs(records, faq).collect()}
+    assert {k: v for k, v in got.items() if v} == exact and len(got) == records.count()
+    covered = {(r.seq, r.idx) for r in catalog.coverage_candidates(records, faq).collect()}
+    assert any((seq, idx) not in covered for seq, found in exact.items() for idx, _ in found)
