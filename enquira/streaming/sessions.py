@@ -7,13 +7,12 @@ watermark are dropped; turns and sessions that it has not passed yet are still o
 
 from __future__ import annotations
 
-import json
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from enquira.functions.funding import funding_tier
 from enquira.functions.text import word_count
@@ -30,60 +29,111 @@ def stream_sessions(turns: DataFrame, gap: str = "30 minutes", late: str = LATEN
     return per.select("user_id", F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("closes_at"), "n_turns", "n_visa")
 
 
-def stream_score_per_turn(turns: DataFrame, late: str = LATENESS, predict=None, alpha: float = 0.5, idle: str = "1 day") -> DataFrame:
-    """The scores after every turn, from keyed state; a row per turn.
+class TurnScores(StatefulProcessor):
+    """The evidence after every turn of a session.
 
-    A turn waits in its session's state until the watermark passes it, so turns that come late within ``late`` are still put in
-    order; one that comes after its time has been passed is dropped.  State is the counts so far and the waiting turns; it goes when the
-    watermark is ``idle`` past the session's last turn.
+    State is typed: ``running`` (the counts so far and until when turns are out) and ``waiting`` (turns that the watermark has not passed).
+    A timer stands for the first waiting turn, or, when none waits, for the end of the session's idle time.
     """
-    rows = turns.withWatermark("ts", late).select(
-        "session_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", *(seen(*topics).alias(n) for n, topics in EVIDENCE.items()),
-        funding_tier(F.col("user_msg")).alias("tier"), word_count(F.col("user_msg")).alias("words"), (F.array_position(F.array(*map(F.lit, CATEGORIES)), category()) - 1).cast("int").alias("topic"),
-    )
-    flags = list(EVIDENCE)
-    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key, batches, state: GroupState):
-        now = json.loads(state.get[0]) if state.exists else {"n": 0, "flags": [0] * len(flags), "tier": 0, "words": 0, "delay": 0.0, "last": None, "topics": [0] * len(CATEGORIES), "wait": [], "done": -1}
-        if not state.hasTimedOut:
-            for pdf in batches:
-                new = pdf[["us", "event_id", *flags, "tier", "words", "topic"]]
-                now["wait"] += [[None if pd.isna(v) else int(v) for v in r] for r in new.itertuples(index=False) if r.us > now["done"]]
-        passed = state.getCurrentWatermarkMs() * 1000
-        now["wait"].sort(key=lambda r: r[:2])
-        out = []
-        while now["wait"] and now["wait"][0][0] <= passed:
-            us, event, *seen_, tier, words, topic = now["wait"].pop(0)
+
+    def __init__(self, flags: list[str], topics: int, idle_ms: int):
+        self.flags, self.topics, self.idle_ms = flags, topics, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.running = handle.getValueState("running", "n long, flags int, tier int, words long, delay double, last long, done long, timer long, topics array<long>")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, flags int, tier int, words long, topic int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        now = self.now()
+        new = [
+            (int(r.us), int(r.event_id), int(r.flags), None if pd.isna(r.tier) else int(r.tier), int(r.words), int(r.topic))
+            for pdf in rows for r in pdf.itertuples(index=False) if r.us > now["done"]
+        ]
+        yield from self.move_on(key, now, [*self.waiting.get(), *new], passed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = self.now()
+        if expiredTimerInfo.getExpiryTimeInMs() == now["timer"]:
+            now["timer"] = None
+            yield from self.move_on(key, now, list(self.waiting.get()), timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+    def now(self) -> dict:
+        names = ("n", "flags", "tier", "words", "delay", "last", "done", "timer", "topics")
+        found = self.running.get()
+        return dict(zip(names, found or (0, 0, 0, 0, 0.0, None, -1, None, [0] * self.topics)))
+
+    def move_on(self, key, now: dict, turns: list[tuple], passed: int):
+        """Score the turns that the watermark has passed, keep the others and set the timer."""
+        turns.sort(key=lambda t: t[:2])
+        out, topics = [], list(now["topics"])
+        for us, event, flags, tier, words, topic in turns:
+            if us > passed:
+                break
             now["n"] += 1
-            now["flags"] = [max(a, b) for a, b in zip(now["flags"], seen_)]
-            now["tier"] = tier if tier is not None else now["tier"]
+            now["flags"] |= flags
+            now["tier"] = now["tier"] if tier is None else tier
             now["words"] += words
-            now["topics"][topic] += 1
-            if now["last"] is not None:
-                now["delay"] += max(0.0, (us - now["last"]) / 1e6)
+            now["delay"] += 0.0 if now["last"] is None else max(0.0, (us - now["last"]) / 1e6)
             now["last"] = us
-            out.append((key[0], pd.Timestamp(us, unit="us"), event, now["n"], *now["flags"], now["tier"], now["words"], now["delay"] / (now["n"] - 1) if now["n"] > 1 else None, list(now["topics"])))
-        now["done"] = max(now["done"], passed)
-        if not now["wait"] and now["last"] is not None and passed > now["last"] + keep * 1000:
-            state.remove()
+            topics[topic] += 1
+            seen_ = [now["flags"] >> k & 1 for k in range(len(self.flags))]
+            out.append((key[0], pd.Timestamp(us, unit="us"), event, now["n"], *seen_, now["tier"], now["words"], now["delay"] / (now["n"] - 1) if now["n"] > 1 else None, list(topics)))
+        left = turns[len(out) :]
+        now["done"], now["topics"] = max(now["done"], passed), topics
+        self.handle.deleteTimer(now["timer"]) if now["timer"] is not None else None
+        if not left and now["last"] is not None and passed > now["last"] + self.idle_ms * 1000:
+            self.running.clear()
+            self.waiting.clear()
         else:
-            state.update((json.dumps(now),))
-            ends = passed // 1000 if not now["wait"] and now["last"] is None else now["wait"][0][0] // 1000 + 1 if now["wait"] else now["last"] // 1000 + keep + 1
-            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+            ends = left[0][0] // 1000 if left else (passed if now["last"] is None else now["last"]) // 1000 + self.idle_ms
+            now["timer"] = max(ends, passed // 1000) + 1
+            self.handle.registerTimer(now["timer"])
+            self.running.update(tuple(now.values()))
+            self.waiting.put(left) if left else self.waiting.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "ts", "event_id", "turn_no", *self.flags, "funding_tier", "session_word_count", "delay", "topics"])
+
+
+def stream_score_per_turn(turns: DataFrame, late: str = LATENESS, predict=None, alpha: float = 0.5, idle: str = "1 day") -> DataFrame:
+    """The scores after every turn, from keyed state; a row per turn.  The session needs the RocksDB state store (``run_to_table`` sets it).
 
-    names = ["session_id", "ts", "event_id", "turn_no", *flags, "funding_tier", "session_word_count", "delay", "topics"]
+    A turn waits in its session's state until the watermark passes it, so turns that come late within ``late`` are still put in
+    order; one that comes after its time has been passed is dropped.  State goes when the watermark is ``idle`` past the session's last turn.
+    """
+    flags = list(EVIDENCE)
+    packed = [F.when(seen(*topics) == 1, 1 << k).otherwise(0) for k, topics in enumerate(EVIDENCE.values())]
+    rows = turns.withWatermark("ts", late).select(
+        "session_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", sum(packed[1:], packed[0]).cast("int").alias("flags"),
+        funding_tier(F.col("user_msg")).alias("tier"), word_count(F.col("user_msg")).alias("words"), (F.array_position(F.array(*map(F.lit, CATEGORIES)), category()) - 1).cast("int").alias("topic"),
+    )
     schema = "session_id string, ts timestamp, event_id long, turn_no long, " + ", ".join(f"{n} int" for n in flags) + ", funding_tier int, session_word_count long, delay double, topics array<long>"
-    found = rows.groupBy("session_id").applyInPandasWithState(step, schema, "now string", "append", GroupStateTimeout.EventTimeTimeout)
+    scores = TurnScores(flags, len(CATEGORIES), int(pd.Timedelta(idle).total_seconds() * 1000))
+    found = rows.groupBy("session_id").transformWithStateInPandas(scores, schema, "Append", "EventTime")
     entropy = entropy_of([F.col("topics")[k] for k in range(len(CATEGORIES))])
-    running = found.select(*names[:-2], F.round("delay", 2).alias("mean_response_delay"), entropy.alias("category_entropy"))
+    running = found.select(
+        "session_id", "ts", "event_id", "turn_no", *flags, "funding_tier", "session_word_count", F.round("delay", 2).alias("mean_response_delay"), entropy.alias("category_entropy")
+    )
     return with_scores(running, predict, alpha)
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available into Parquet files and read them."""
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
-    started = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Run a stream over what is available into Parquet files and read them.  A run with the ``name`` of an earlier one goes on
+    where that one ended or was stopped."""
+    out = f"{folder}/stream-{name or uuid.uuid4().hex}"
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        started = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    finally:
+        spark.conf.set(STORE, before)
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

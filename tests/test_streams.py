@@ -38,6 +38,26 @@ def test_late_turns_are_put_in_order(spark, tmp_path):
     assert got == twin and got["a", 2]["turn_no"] == 3 and got["a", 3]["has_intake"] == 1 and got["a", 3]["funding_tier"] == 3 and got["a", 4]["funding_tier"] == 1
 
 
+def test_restart_in_the_middle(spark, tmp_path):
+    """A run over the first files and one over the rest, from its checkpoint, give the rows of one run."""
+    source = tmp_path / "in"
+    for n, part in enumerate((ROWS[:2], ROWS[2:])):
+        stream = streams.stream_score_per_turn(files(spark, source, *part))
+        found = streams.run_to_table(spark, stream, str(tmp_path), name="again")
+        if n == 0:
+            assert found.count() == 0  # the watermark has passed no turn
+    whole = streams.run_to_table(spark, streams.stream_score_per_turn(files(spark, tmp_path / "whole", *ROWS)), str(tmp_path))
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) and found.count() > 6
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """A session that goes on after its idle time begins anew."""
+    day = 24 * 60
+    rows = [[turn("a", 1, 0)], [turn("b", 2, 3 * day)], [turn("b", 3, 3 * day + 1)], [turn("a", 4, 3 * day + 5), turn("b", 5, 9 * day)], [turn("b", 6, 9 * day)]]
+    found = streams.run_to_table(spark, streams.stream_score_per_turn(files(spark, tmp_path / "in", *rows)), str(tmp_path)).collect()
+    assert {(r.session_id, r.event_id): r.turn_no for r in found} == {("a", 1): 1, ("b", 2): 1, ("b", 3): 2, ("a", 4): 1}
+
+
 def test_sessions_that_are_closed(spark, tmp_path):
     rows = [r for part in ROWS[:3] for r in part]
     found = streams.run_to_table(spark, streams.stream_sessions(files(spark, tmp_path / "in", *ROWS[:3])), str(tmp_path)).collect()
