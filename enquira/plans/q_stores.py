@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from enquira.operators import catalog as C
+from enquira.sources import exports as J
 from enquira.sources import mails as E
 from enquira.sources import stores as W
+from enquira.sources import upserts as U
 from enquira.sources.shared import shared_folder
 
 from .adapters import table, view
@@ -37,6 +39,19 @@ def sink_json(spark, d):
     return spark.read.schema("seq long, title string, institution string, data_type string").json(path).select("seq", "title", "institution", "data_type")
 
 
+@query(
+    "sink_json_export",
+    "SELECT seq, title, url, level, institution, 'processed' AS kind, 'nightly' AS scraper, count(*) OVER () AS n_rows FROM (" + _COURSES + ")",
+    ("a_catalog",),
+)
+def sink_json_export(spark, d):
+    """Courses with a metadata block, written by the export's own data source and read back."""
+    rows = courses(spark, d).select("seq", "title", "url", "level", "institution")
+    path = J.export_json(rows, _path(spark, "export"), "all", "courses", {"scraper_used": "nightly"})
+    block = J.export_metadata(spark, path)
+    return J.read_export(spark, path).select("*", F.lit(block["kind"]).alias("kind"), F.lit(block["metadata"]["scraper_used"]).alias("scraper"), F.lit(block["rows"]).cast("long").alias("n_rows"))
+
+
 @query("src_corpus", "SELECT idx, question, answer, category, institution FROM a_corpus", ("a_corpus",))
 def src_corpus(spark, d):
     """The corpus written as JSON lists of 16 entries, a file each in the order of their names, and read again."""
@@ -67,6 +82,36 @@ def sink_upsert_by_url(spark, d):
     return W.upsert_by_url(rows.where("seq % 2 = 1"), old).select("seq", "url", "title")
 
 
+_STORED = f"""SELECT seq, source, url, title, level, seq % 2 AS batch FROM (SELECT *, concat_ws('_', institution, data_type) AS source, row_number() OVER (PARTITION BY institution, data_type, url ORDER BY seq % 2, seq) AS n
+  FROM (SELECT seq, {_CLEAN.format(c='title')} AS title, url, institution, data_type, level FROM a_catalog) WHERE title IS NOT NULL) WHERE n = 1 OR url IS NULL"""
+
+
+def _two_batches(spark, d) -> U.UpsertStore:
+    """The catalogue as two batches, the first of which comes twice."""
+    from enquira.functions.text import clean_text
+
+    rows = view(spark, d, "a_catalog").withColumn("title", clean_text(F.col("title")))
+    store = U.UpsertStore(spark, _path(spark, "store"), buckets=4)
+    for batch in (0, 0, 1):
+        store.upsert(rows.where(F.col("seq") % 2 == batch), batch)
+    return store
+
+
+@query("sink_upsert_store", _STORED, ("a_catalog",))
+def sink_upsert_store(spark, d):
+    """Per-source tables after two batches."""
+    return _two_batches(spark, d).rows().select("seq", "source", "url", "title", F.get_json_object("extra", "$.level").alias("level"), "batch")
+
+
+@query(
+    "store_statistics_of_sources",
+    f"SELECT count_if(ends_with(source, '_courses')) AS courses, count_if(ends_with(source, '_accommodation')) AS accommodation, count(DISTINCT regexp_extract(source, '^inst_[0-9]+')) AS institutions FROM ({_STORED})",
+    ("a_catalog",),
+)
+def store_statistics_of_sources(spark, d):
+    return _two_batches(spark, d).statistics()
+
+
 @query("store_statistics", "SELECT count_if(data_type = 'courses') AS courses, count_if(data_type = 'accommodation') AS accommodation, count(DISTINCT institution) AS institutions FROM a_catalog", ("a_catalog",))
 def store_statistics(spark, d):
     return W.store_statistics(view(spark, d, "a_catalog"))
