@@ -233,13 +233,13 @@ def bootstrap_with_sampled_labels(pool: DataFrame, n: int, seed: str = "boot") -
     return draws.join(numbered, "rank").select("draw", F.col("id").alias("source_row_id"), F.col("label").alias("source_label"), label.alias("label"))
 
 
-def seed_robustness(results: DataFrame, baseline: str = "real") -> DataFrame:
-    """Per variant, the gain over the baseline of the same seed: mean, least, most, count and tier.
+def seed_robustness(results: DataFrame, baseline: str = "real", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per keys and variant, the gain over the baseline of the same keys and seed: mean, least, most, count and tier.
 
-    ``results`` has (variant, seed, macro_f1)."""
-    base = results.where(F.col("variant") == baseline).select("seed", F.col("macro_f1").alias("_base"))
-    rows = results.where(F.col("variant") != baseline).join(base, "seed").select("variant", (F.col("macro_f1") - F.col("_base")).alias("delta"))
-    per = rows.groupBy("variant").agg(F.round(F.avg("delta"), 6).alias("mean"), F.round(F.min("delta"), 6).alias("least"), F.round(F.max("delta"), 6).alias("most"), F.count("*").alias("n"))
+    ``results`` has (keys, variant, seed, macro_f1), such as the ``macro_f1`` rows of an experiment grid."""
+    base = results.where(F.col("variant") == baseline).select(*keys, "seed", F.col("macro_f1").alias("_base"))
+    rows = results.where(F.col("variant") != baseline).join(base, [*keys, "seed"]).select(*keys, "variant", (F.col("macro_f1") - F.col("_base")).alias("delta"))
+    per = rows.groupBy(*keys, "variant").agg(F.round(F.avg("delta"), 6).alias("mean"), F.round(F.min("delta"), 6).alias("least"), F.round(F.max("delta"), 6).alias("most"), F.count("*").alias("n"))
     tier = (
         F.when(F.col("least") > 0.02, "ROBUST").when((F.col("least") > 0) & (F.col("most") > 0.15) & (F.col("least") < 0.05), "PARTIALLY")
         .when(F.col("least") <= 0, "SEED-SENSITIVE").otherwise("INCONCLUSIVE")

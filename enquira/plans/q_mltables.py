@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from enquira.operators import experiments as X
 from enquira.operators import mltables as M
 from enquira.operators import scoring as S
 
@@ -207,6 +208,59 @@ def seed_robustness(spark, d):
     return M.seed_robustness(_f1s(spark, d))
 
 
+#: The predictions as results of two feature sets and two kinds of split.
+_SETS = "CASE WHEN id % 2 = 0 THEN 'full' ELSE 'no-engagement' END"
+_GRID_PRED = " UNION ALL ".join(f"SELECT '{v}' AS variant, seed, label, pred_{v} AS pred, {_SETS} AS feature_set, CASE WHEN id % 4 < 2 THEN 'rows' ELSE 'grouped' END AS split FROM a_px" for v in _VARIANTS)
+
+
+def _grid_f1(*keys: str) -> str:
+    by = ", ".join((*keys, "variant", "seed"))
+    return f"""SELECT {by}, round(avg(CASE WHEN b > 0 THEN 2 * tp::DOUBLE / b ELSE 0 END), 9) AS macro_f1 FROM (SELECT {by}, c, count_if(label = c AND pred = c) AS tp, count_if(label = c) + count_if(pred = c) AS b
+      FROM ({_GRID_PRED}) CROSS JOIN (VALUES (0), (1), (2)) v(c) GROUP BY {by}, c) GROUP BY {by}"""
+
+
+def _grid_deltas(*keys: str) -> str:
+    same = " AND ".join(f"a.{k} = b.{k}" for k in (*keys, "seed"))
+    return f"SELECT {', '.join(f'a.{k}' for k in keys)}, a.variant, a.seed, a.macro_f1 - b.macro_f1 AS delta FROM ({_grid_f1(*keys)}) a JOIN ({_grid_f1(*keys)}) b ON {same} AND b.variant = 'real' WHERE a.variant <> 'real'"
+
+
+def _grid(spark, d, *keys: str):
+    rows = view(spark, d, "a_px").withColumn("feature_set", F.expr(_SETS)).withColumn("split", F.expr("CASE WHEN id % 4 < 2 THEN 'rows' ELSE 'grouped' END"))
+    long = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(f"pred_{v}").alias("pred")) for v in _VARIANTS)))
+    return M.macro_f1_by(rows.select("seed", "label", *keys, long.alias("x")).select("seed", "label", *keys, "x.variant", "x.pred"), *keys, "variant", "seed")
+
+
+@query(
+    "seed_robustness_by_features",
+    f"""SELECT *, CASE WHEN least > 0.02 THEN 'ROBUST' WHEN least > 0 AND most > 0.15 AND least < 0.05 THEN 'PARTIALLY' WHEN least <= 0 THEN 'SEED-SENSITIVE' ELSE 'INCONCLUSIVE' END AS tier FROM (
+      SELECT feature_set, variant, round(avg(delta), 6) AS mean, round(min(delta), 6) AS least, round(max(delta), 6) AS most, count(*) AS n FROM ({_grid_deltas('feature_set')}) GROUP BY feature_set, variant)""",
+    ("a_px",),
+)
+def seed_robustness_by_features(spark, d):
+    return M.seed_robustness(_grid(spark, d, "feature_set"), keys=("feature_set",))
+
+
+@query(
+    "distill_check",
+    f"""SELECT feature_set, seed, round(a, 6) AS d_augmented, round(b, 6) AS d_distilled, round(a - b, 6) AS increment, coalesce(abs(a - b) < 0.02, false) AS confirmed FROM (
+      SELECT feature_set, seed, max(CASE WHEN variant = 'v2' THEN delta END) AS a, max(CASE WHEN variant = 'v1' THEN delta END) AS b FROM ({_grid_deltas('feature_set')}) GROUP BY feature_set, seed)""",
+    ("a_px",),
+)
+def distill_check(spark, d):
+    return X.distill_check(_grid(spark, d, "feature_set"), "v2", "v1")
+
+
+@query(
+    "split_comparison",
+    "SELECT r.feature_set, r.variant, count(*) AS n_seeds, " + ", ".join(f"round({f}({t}.delta), 6) AS {c}_{n}" for t, c in (("r", "rows"), ("g", "grouped")) for n, f in (("mean", "avg"), ("least", "min"), ("most", "max")))
+    + f" FROM (SELECT * FROM ({_grid_deltas('feature_set', 'split')}) WHERE split = 'rows') r JOIN (SELECT * FROM ({_grid_deltas('feature_set', 'split')}) WHERE split = 'grouped') g ON r.feature_set = g.feature_set AND r.variant = g.variant AND r.seed = g.seed GROUP BY r.feature_set, r.variant",
+    ("a_px",),
+)
+def split_comparison(spark, d):
+    rows = _grid(spark, d, "feature_set", "split")
+    return X.split_comparison(rows.where("split = 'rows'"), rows.where("split = 'grouped'"))
+
+
 @query(
     "cv_interval",
     f"SELECT variant, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS std, round(avg(macro_f1) - 1.96::DOUBLE * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS low, round(avg(macro_f1) + 1.96::DOUBLE * stddev_samp(macro_f1) / sqrt(count(*)), 6) AS high FROM ({_F1S}) GROUP BY variant",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from enquira.operators import experiments as N
 from enquira.operators import matrix as X
 from enquira.operators import mltables as M
 from enquira.operators import models as P
@@ -99,6 +100,18 @@ def exp_generalization(spark, d):
     return P.exp_generalization(M.stratified_split(_known(spark, d)), synthetic, kind="logreg", iterations=ITERATIONS)
 
 
+@query("exp_grid")
+def exp_grid(spark, d):
+    """Real, augmented and distilled models over two feature sets and two seeds of a lead-grouped split."""
+
+    def drawn(train, seed):
+        pool = train.select(F.col("row_id").alias("id"), "label", *((F.col("label") == k).cast("double").alias(w) for k, w in enumerate(("w_cold", "w_warm", "w_hot"))))
+        rows = M.bootstrap_with_sampled_labels(pool, 400, f"grid-{seed}").select("source_row_id", F.col("label").alias("drawn"))
+        return rows.join(train, F.col("source_row_id") == F.col("row_id")).select("source_row_id", F.col("drawn").alias("label"), *(c for c in train.columns if c not in ("row_id", "label", "group_id")))
+
+    return N.experiment_grid(_known(spark, d), {"redrawn": drawn}, [1, 7], kind="logreg", split="grouped", distill={"trees": 10, "depth": 8}, iterations=ITERATIONS)
+
+
 @query("label_model")
 def label_model(spark, d):
     """P(label | profile) of every distinct profile, by a model of training rows."""
