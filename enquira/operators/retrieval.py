@@ -58,6 +58,26 @@ def keyword_bonus(hits: DataFrame, queries: DataFrame, faq: DataFrame, bonus: fl
     return joined.select("query_id", "idx", "rank", "cosine", F.round(F.least(F.col("cosine") + bonus * found, F.lit(1.0)), 4).alias("score"))
 
 
+#: Characters of a keyword that are looked up before the keyword itself is.
+GRAM = 4
+
+
+def keyword_hits(queries: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(query_id, idx), a row per keyword of (idx, kw) that a query text of (query_id, _q) contains, in any case.
+
+    A keyword meets the queries that hold its first characters, by a join; only these are searched for all of it.  Equal keywords
+    are looked up once."""
+    kw = keywords.where("kw <> ''").select("idx", F.lower("kw").alias("_k"))
+    distinct = kw.select("_k").distinct().select("_k", F.substring("_k", 1, GRAM).alias("_g"))
+
+    def cut(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length("_q")), lambda i: F.substr(F.col("_q"), i, F.lit(n)))
+
+    grams = F.filter(F.array_distinct(F.concat(*map(cut, range(1, GRAM + 1)))), lambda g: g != "")
+    held = queries.where("_q <> ''").select("query_id", "_q", F.explode(grams).alias("_g"))
+    return held.join(distinct, "_g").where(F.col("_q").contains(F.col("_k"))).select("query_id", "_k").join(kw, "_k").select("query_id", "idx")
+
+
 def overlap_search(queries: DataFrame, faq: DataFrame, k: int = 5) -> DataFrame:
     """Shared tokens per query token, plus 0.5 per keyword found in the query."""
     q = queries.select("query_id", F.lower("query").alias("_q"), F.array_distinct(tokenize(F.col("query"))).alias("qt"))
@@ -68,8 +88,7 @@ def overlap_search(queries: DataFrame, faq: DataFrame, k: int = 5) -> DataFrame:
         .groupBy("query_id", "idx")
         .agg(F.count("*").alias("shared"))
     )
-    kw = d.select("idx", F.explode("keywords").alias("kw")).where("kw <> ''")
-    boosts = q.join(kw, F.col("_q").contains(F.lower(F.col("kw")))).groupBy("query_id", "idx").agg(F.count("*").alias("boosts"))
+    boosts = keyword_hits(q.select("query_id", "_q"), d.select("idx", F.explode("keywords").alias("kw"))).groupBy("query_id", "idx").agg(F.count("*").alias("boosts"))
     both = shared.join(boosts, ["query_id", "idx"], "full_outer").join(q.select("query_id", F.size("qt").alias("n")), "query_id")
     score = F.coalesce("shared", F.lit(0)) / F.greatest("n", F.lit(1)) + 0.5 * F.coalesce("boosts", F.lit(0))
     return top_k(both.select("query_id", "idx", F.round(score, 4).alias("score")), "query_id", "score", "idx", k)

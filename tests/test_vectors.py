@@ -33,3 +33,14 @@ def test_copies_and_odd_vectors(spark):
     for r in R.vector_search(queries, table).collect():
         exact.setdefault(r.query_id, []).append(r.idx)
     assert got == {0: [1, 2, 3, 4, 5], 500: [0, 1, 2, 3, 4]} and all(exact[k] == v for k, v in got.items())
+
+
+def test_keywords_are_looked_up_by_their_beginning(spark):
+    queries = spark.createDataFrame([(1, "a visa, VISAS and fees"), (2, ""), (3, "x"), (4, None), (5, "naïve café – fees")], "query_id long, text string").select("query_id", F.lower("text").alias("_q"))
+    words = [(1, "Visa"), (1, "visa"), (2, "x"), (3, "fe"), (4, ""), (5, "café – FEES"), (6, "as and"), (7, "absent word"), (8, None)]
+    keywords = spark.createDataFrame(words, "idx long, kw string")
+    got = sorted(map(tuple, R.keyword_hits(queries, keywords).collect()))
+    want = sorted((q.query_id, i) for q in queries.collect() for i, w in words if w and q._q and w.lower() in q._q)
+    assert got == want and len(got) == 7
+    found = R.keyword_hits(queries.hint("merge"), keywords)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in found and "Cartesian" not in found
