@@ -74,3 +74,33 @@ def route_answers(queries: DataFrame, hits: DataFrame, faq: DataFrame, fallback:
         F.when(abstained, F.col("_fallback")).otherwise(F.col("faq_category")).alias("category"), "institution",
         F.coalesce(F.size("candidates"), F.lit(0)).alias("n_candidates"), decision(forced, has, confidence, gate).alias("decision"),
     )
+
+
+def audit_rows(queries: DataFrame, hits: DataFrame, faq: DataFrame, fallback: Column, label: Column | None = None, expected: Column | None = None, gate: float = GATE) -> DataFrame:
+    """One row per query with all that its decision rests on: top score and gate, intent groups and guard, reasons, decision, escalation, the
+    cited question's id, title, category and institution, whether the category comes from retrieval or the classifier, and where the expected
+    category stands (its best rank among the hits, NULL if it is not there; whether the classifier names it).
+
+    ``hits`` has (query_id, idx, rank, score); ``fallback`` is the classifier's category, ``label`` the lead's, both of the query's row."""
+    own = queries.select("query_id", "query", fallback.alias("_fallback"), (label if label is not None else F.lit(None).cast("string")).alias("_label"), (expected if expected is not None else F.lit(None).cast("string")).alias("_expected"))
+    known = faq.select("idx", F.col("question").alias("_title"), F.col("category").alias("_category"), F.col("institution").alias("_institution"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "idx", "score", "_title", "_category", "_institution")))
+    kept = hits.select("query_id", "idx", "rank", "score").join(known, "idx").groupBy("query_id").agg(listed.alias("_hits"))  # as many as the search keeps
+    rows = own.join(kept, "query_id", "left").withColumn("_top", F.get("_hits", F.lit(0))).withColumn("groups", intent_groups(F.col("query")))
+    forced, has = F.size("groups") > MOST_INTENTS, F.col("_top").isNotNull()
+    confidence = F.coalesce("_top.score", F.lit(0.0))
+    abstained = forced | ~has | (confidence < gate)
+    lead = F.coalesce("_label", F.lit(""))
+    place = F.array_min(F.transform(F.filter("_hits", lambda h: h["_category"] == F.col("_expected")), lambda h: h["rank"]))
+
+    def cited(c: str) -> Column:
+        return F.when(~abstained, F.col(f"_top.{c}"))
+
+    return rows.select(
+        "query_id", confidence.alias("top1"), F.lit(gate).alias("gate"), "groups", F.size("groups").alias("n_groups"), forced.alias("guard_fired"), abstained.alias("abstained"),
+        decision(forced, has, confidence, gate).alias("decision"), reasons(forced, has, confidence, lead, gate).alias("reasons"),
+        escalate(lead, abstained).alias("escalate"), priority(lead, abstained).alias("priority"),
+        cited("idx").alias("faq_id"), cited("_title").alias("title"), F.when(abstained, F.col("_fallback")).otherwise(F.col("_top._category")).alias("category"), cited("_institution").alias("institution"),
+        F.when(abstained, "classifier").otherwise("retrieval").alias("category_source"), F.coalesce(F.size("_hits"), F.lit(0)).alias("n_candidates"),
+        place.alias("expected_rank"), (F.col("_fallback") == F.col("_expected")).alias("expected_by_classifier"),
+    )

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from enquira.operators import routing as R
 from enquira.operators.scoring import score_label
+from enquira.sources.shared import shared_folder
+from enquira.streaming.answers import IndexSnapshot, answer_stream
 
 from .adapters import table, view
 from .entries import query
@@ -92,3 +95,38 @@ def decision_audit(spark, d):
 )
 def route_answers(spark, d):
     return R.route_answers(gold(spark, d), scored_hits(spark, d), faq(spark, d), F.lit("General Enquiries"))
+
+
+#: The lead label of a query, as in the view below.
+_LEAD = "CASE WHEN g.query_id % 7 = 0 THEN 'Hot' ELSE 'Warm' END"
+_ROWS = f"""SELECT query_id, conf AS top1, CAST(0.15 AS DOUBLE) AS gate, shown AS groups, n_groups, forced AS guard_fired, abstained, {_DEC} AS decision,
+  coalesce(nullif(concat_ws(',', CASE WHEN forced THEN 'multi_intent_guard' END, CASE WHEN NOT has THEN 'no_retrieval_hits' END, CASE WHEN has AND conf < 0.15 THEN 'low_confidence' END, CASE WHEN label = 'Hot' THEN 'hot_lead' END), ''), 'none') AS reasons,
+  abstained OR label = 'Hot' AS escalate, CASE WHEN label = 'Hot' THEN 'high' WHEN abstained THEN 'normal' ELSE 'none' END AS priority,
+  CASE WHEN NOT abstained THEN idx END AS faq_id, CASE WHEN NOT abstained THEN question END AS title, CASE WHEN abstained THEN 'cat_1' ELSE faq_category END AS category, CASE WHEN NOT abstained THEN institution END AS institution,
+  CASE WHEN abstained THEN 'classifier' ELSE 'retrieval' END AS category_source, n_candidates, expected_rank, category = 'cat_1' AS expected_by_classifier FROM (SELECT *, forced OR NOT has OR conf < 0.15 AS abstained FROM (
+    SELECT g.query_id, g.category, {_LEAD} AS label, {_groups('g.query')} AS shown, {_n_groups('g.query')} AS n_groups, ({_n_groups('g.query')}) > 2 AS forced, h.idx IS NOT NULL AS has, coalesce(h.score, 0) AS conf, h.idx, c.question, c.category AS faq_category, c.institution, coalesce(n.n, 0) AS n_candidates, e.expected_rank
+    FROM a_gold g LEFT JOIN (SELECT * FROM ({SCORED}) WHERE rank = 1) h ON g.query_id = h.query_id LEFT JOIN a_corpus c ON h.idx = c.idx LEFT JOIN (SELECT query_id, count(*) AS n FROM ({SCORED}) GROUP BY query_id) n ON n.query_id = g.query_id
+    LEFT JOIN (SELECT s.query_id, min(s.rank) AS expected_rank FROM ({SCORED}) s JOIN a_gold x ON s.query_id = x.query_id JOIN a_corpus k ON s.idx = k.idx AND k.category = x.category GROUP BY s.query_id) e ON e.query_id = g.query_id))"""
+
+
+def _audit_of(queries, hits, corpus):
+    label = F.when(F.col("query_id") % 7 == 0, "Hot").otherwise("Warm")
+    rows = R.audit_rows(queries, hits, corpus, F.lit("cat_1"), label, F.col("category"))
+    shown = F.array_join(F.transform("groups", lambda g: F.concat(F.lit("g"), g["group"].cast("string"), F.lit(":"), F.array_join(g["keywords"], "/"))), ";")
+    return rows.withColumn("groups", shown).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("audit_rows", _ROWS, BOTH)
+def audit_rows(spark, d):
+    """One audit row per query."""
+    return _audit_of(gold(spark, d), scored_hits(spark, d), faq(spark, d))
+
+
+@query("stream_audit", _ROWS, BOTH)
+def stream_audit(spark, d):
+    """The same rows from a stream of files, against a stored index."""
+    folder = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    rows = gold(spark, d)
+    rows.repartitionByRange(3, "query_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return answer_stream(stream, IndexSnapshot.build(faq(spark, d), f"{folder}/index"), _audit_of, folder)

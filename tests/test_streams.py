@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from enquira.operators import sessions
+from pyspark.sql import functions as F
+
+from enquira.operators import routing, sessions
+from enquira.streaming import answers
 from enquira.streaming import sessions as streams
 
 SCHEMA = "session_id string, user_id long, event_id long, ts timestamp, category string, user_msg string"
@@ -72,3 +75,17 @@ def test_scores_with_a_model(spark):
     rows = sessions.score_per_turn(spark.createDataFrame(ROWS[0][:1] + ROWS[1], SCHEMA), half).orderBy("turn_no").collect()
     assert [(r.turn_no, round(r.ml_score, 6), r.hybrid_score) for r in rows] == [(1, 0.1, 0.188889), (2, 0.2, 0.377778), (3, 0.3, 0.538889)]
     assert [r.label for r in rows] == ["Cold", "Warm", "Warm"] and rows[2].mean_response_delay == 180.0 and rows[1].category_entropy == 1.0
+
+
+def test_answers_go_on_after_a_restart(spark, tmp_path):
+    """Files that come later are answered by a second run, and nothing is answered twice."""
+    faq = spark.createDataFrame([(0, "visa permit rules", "q0", "a0", "Visa", "i", ["visa"]), (1, "tuition fees", "q1", "a1", "Fees", "j", ["fees"])], "idx long, document string, question string, answer string, category string, institution string, keywords array<string>")
+    snapshot = answers.IndexSnapshot.build(faq, str(tmp_path / "index"))
+    schema = "query_id long, query string"
+    route = lambda q, hits, corpus: routing.audit_rows(q, hits, corpus, F.lit("Fees"), expected=F.lit("Visa"))
+    for n, (query, want) in enumerate([("visa rules", 1), ("unknown words", 2), ("fees", 3)]):
+        spark.createDataFrame([(n, query)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = answers.answer_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), snapshot, route, str(tmp_path / "out")).orderBy("query_id").collect()
+        assert len(rows) == want
+    assert [(r.faq_id, r.category, r.category_source, r.expected_rank, r.expected_by_classifier) for r in rows] == [(0, "Visa", "retrieval", 1, False), (None, "Fees", "classifier", None, False), (1, "Fees", "retrieval", None, False)]
+    assert [r.decision for r in rows] == ["answer", "abstain: no hits", "answer"] and rows[1].reasons == ["no_retrieval_hits"]
