@@ -39,16 +39,71 @@ def top_k(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def tfidf_search(queries: DataFrame, postings: DataFrame, idf: DataFrame, k: int = 5, qkey: str = "query_id", qtext: str = "query", key: str = "idx") -> DataFrame:
+def query_vectors(queries: DataFrame, idf: DataFrame, qkey: str = "query_id", qtext: str = "query") -> DataFrame:
+    """(query, term, qw): vectors of length 1 over the terms that the index knows."""
+    q = term_counts(queries, qkey, qtext).join(idf, "term").select(qkey, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    return q.select(qkey, "term", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(qkey)))).alias("qw"))
+
+
+def term_impacts(postings: DataFrame) -> DataFrame:
+    """(term, df, max_w): in how many documents a term stands and its largest weight in one."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("max_w"))
+
+
+def skipping_scores(q: DataFrame, postings: DataFrame, impacts: DataFrame, n_docs: int, k: int, common: float, qkey: str, key: str) -> DataFrame:
+    """(query, document, s) of all documents that can be among a query's k best, without reading the postings of common terms
+    for queries that they cannot decide.
+
+    The other terms give partial sums, whose k-th best no result falls below.  All common terms of a query add at most their
+    largest weights.  Where that alone stays below the k-th best, a document without another term is out, and only the documents
+    that can still reach it have their common terms looked up, by term and document.  Other queries read those postings in full.
+    """
+    q = q.join(impacts, "term").withColumn("often", F.col("df") > F.lit(common * n_docs))
+    rare, often = q.where("not often"), q.where("often")
+    partial = rare.select(qkey, "term", "qw").join(postings, "term").groupBy(qkey, key).agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    by_score = Window.partitionBy(qkey).orderBy(F.col("s").desc(), key)
+    kth = partial.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") == k).select(qkey, F.col("s").alias("kth"))
+    limits = q.groupBy(qkey).agg(F.sum(F.when(F.col("often"), F.col("qw") * F.col("max_w")).otherwise(0.0)).alias("rest"))
+    limits = limits.join(kth, qkey, "left").select(qkey, "rest", "kth", (F.col("rest") + SLACK < F.coalesce("kth", F.lit(0.0))).alias("safe"))
+    limits = limits.withColumn("safe", F.col("safe") | (F.col("rest") == 0))
+    reach = partial.join(limits, qkey).where(~F.col("safe") | (F.col("s") + F.col("rest") + SLACK >= F.coalesce("kth", F.lit(0.0))))
+    more = often.select(qkey, "term", "qw").join(limits.select(qkey, "safe"), qkey)
+    looked = reach.where("safe").select(qkey, key).join(more.where("safe").drop("safe"), qkey).join(postings, ["term", key])
+    in_full = more.where("not safe").drop("safe").join(postings, "term")
+    added = looked.select(qkey, key, (F.col("qw") * F.col("w")).alias("s")).unionByName(in_full.select(qkey, key, (F.col("qw") * F.col("w")).alias("s")))
+    return reach.select(qkey, key, "s").unionByName(added).groupBy(qkey, key).agg(F.sum("s").alias("s"))
+
+
+#: Above the rounding of sums.
+SLACK = 1e-8
+
+
+def zero_hits(found: DataFrame, queries: DataFrame, keys: DataFrame, k: int, qkey: str, qtext: str, key: str) -> DataFrame:
+    """``found`` with documents of cosine 0, in their order, for queries with a text and fewer than k hits."""
+    first = keys.select(key).distinct().orderBy(key).limit(2 * k)  # k of these are no hits of a query that has fewer than k
+    asked = queries.where(F.trim(F.coalesce(qtext, F.lit(""))) != "").select(qkey)
+    short = asked.join(found.groupBy(qkey).agg(F.count("*").alias("_have")), qkey, "left").withColumn("_have", F.coalesce("_have", F.lit(0))).where(F.col("_have") < k)
+    fill = short.join(F.broadcast(first), F.lit(True)).join(found.select(qkey, key), [qkey, key], "left_anti")  # 2k rows
+    fill = fill.withColumn("rank", (F.row_number().over(Window.partitionBy(qkey).orderBy(key)) + F.col("_have")).cast("int")).where(F.col("rank") <= k)
+    return found.unionByName(fill.select(qkey, key, F.lit(0.0).alias("cosine"), "rank"))
+
+
+def tfidf_search(
+    queries: DataFrame, postings: DataFrame, idf: DataFrame, k: int = 5, qkey: str = "query_id", qtext: str = "query", key: str = "idx", common: float | None = None, pad_zero: bool = False
+) -> DataFrame:
     """Hits (query, document, cosine, rank) of the k best documents with a positive cosine.
 
-    The join is on the term, so its work follows the postings of the queries' terms.
-    Cosines are compared at 9 digits; ties go to the earlier document.
+    The join is on the term, so its work follows the postings of the queries' terms.  With ``common``, terms that stand in
+    more than this share of the documents are read only where they can change the k best (the same hits, see ``skipping_scores``).
+    Cosines are compared at 9 digits; ties go to the earlier document.  ``pad_zero`` fills up with documents of cosine 0.
     """
-    q = term_counts(queries, qkey, qtext).join(idf, "term").select(qkey, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    q = q.select(qkey, "term", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(qkey)))).alias("qw"))
-    scored = q.join(postings, "term").groupBy(qkey, key).agg(F.round(F.least(F.sum(F.col("qw") * F.col("w")), F.lit(1.0)), 9).alias("cosine"))
-    return top_k(scored, qkey, "cosine", key, k)
+    q = query_vectors(queries, idf, qkey, qtext)
+    if common is None:
+        sums = q.join(postings, "term").groupBy(qkey, key).agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    else:
+        sums = skipping_scores(q, postings, term_impacts(postings), postings.select(key).distinct().count(), k, common, qkey, key)
+    found = top_k(sums.select(qkey, key, F.round(F.least("s", F.lit(1.0)), 9).alias("cosine")), qkey, "cosine", key, k)
+    return zero_hits(found, queries, postings, k, qkey, qtext, key) if pad_zero else found
 
 
 def keyword_bonus(hits: DataFrame, queries: DataFrame, faq: DataFrame, bonus: float = 0.10) -> DataFrame:

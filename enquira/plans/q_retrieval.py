@@ -67,6 +67,24 @@ def tfidf_search(spark, d):
     return hits(spark, d).select("query_id", "idx", F.round("cosine", 4).alias("score"), "rank")
 
 
+@query("tfidf_search_skipping", f"SELECT query_id, idx, round(cosine, 4) AS score, rank FROM ({HITS})", BOTH)
+def tfidf_search_skipping(spark, d):
+    """The same hits with terms of more than a tenth of the documents read only where they matter."""
+    postings, idf = R.tfidf_index(faq(spark, d))
+    return R.tfidf_search(gold(spark, d), postings, idf, common=0.1).select("query_id", "idx", F.round("cosine", 4).alias("score"), "rank")
+
+
+_PADDED = f"""SELECT query_id, idx, round(cosine, 4) AS score, rank FROM (SELECT g.query_id, c.idx, coalesce(s.cosine, 0) AS cosine, row_number() OVER (PARTITION BY g.query_id ORDER BY coalesce(s.cosine, 0) DESC, c.idx) AS rank
+  FROM a_gold g CROSS JOIN a_corpus c LEFT JOIN (SELECT query_id, idx, round(least(sum(qw * w), 1), 9) AS cosine FROM ({_QV}) q JOIN ({_POST}) p ON q.term = p.term GROUP BY query_id, idx) s ON g.query_id = s.query_id AND c.idx = s.idx WHERE trim(g.query) <> '') WHERE rank <= 25"""
+
+
+@query("tfidf_search_padded", _PADDED, BOTH)
+def tfidf_search_padded(spark, d):
+    """The 25 best documents of every query, filled up with documents of cosine 0."""
+    postings, idf = R.tfidf_index(faq(spark, d))
+    return R.tfidf_search(gold(spark, d), postings, idf, k=25, pad_zero=True).select("query_id", "idx", F.round("cosine", 4).alias("score"), "rank")
+
+
 @query("keyword_bonus", f"SELECT query_id, idx, rank, score FROM ({SCORED})", BOTH)
 def keyword_bonus(spark, d):
     return scored_hits(spark, d).drop("cosine")
