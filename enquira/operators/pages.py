@@ -106,8 +106,10 @@ def keyword_snippet(df: DataFrame, key: str, text: str, words: list[str], length
 
 
 def first_good_source(pages: DataFrame, key: str, least: int = 100) -> DataFrame:
-    """The first page per key, by try number, with enough text; 5000 characters are kept."""
-    rows = pages.withColumn("_t", page_text(F.col("html"))).where(F.length("_t") >= least)
+    """The first page per key, by try number, with enough text; 5000 characters are kept.  Where the table has a ``status``, pages that
+    came with 400 or more are passed over; an unknown status is no error."""
+    tried = pages.where(F.coalesce(F.col("status"), F.lit(0)) < 400) if "status" in pages.columns else pages
+    rows = tried.withColumn("_t", page_text(F.col("html"))).where(F.length("_t") >= least)
     first = F.row_number().over(Window.partitionBy(key).orderBy("try_no"))
     return rows.withColumn("_r", first).where("_r = 1").select(key, "try_no", F.substring("_t", 1, 5000).alias("page_text"), F.length("_t").alias("text_length"))
 

@@ -101,6 +101,13 @@ def first_good_source(spark, d):
     return P.first_good_source(_by_host(spark, d), "host", 1000)
 
 
+@query("first_good_source_by_status", _FIRST.replace("WHERE length(t) >= 1000", "WHERE length(t) >= 1000 AND coalesce(CASE try_no % 5 WHEN 0 THEN 404 WHEN 1 THEN NULL ELSE 200 END, 0) < 400"))
+def first_good_source_by_status(spark, d):
+    """Every fifth page came with 404, every other fifth one has no status."""
+    status = F.when(F.col("try_no") % 5 == 0, 404).when(F.col("try_no") % 5 != 1, 200)
+    return P.first_good_source(_by_host(spark, d).withColumn("status", status), "host", 1000)
+
+
 @query("fill_missing_sources", f"SELECT h.host, page_text, coalesce(text_length, 0) AS text_length, CASE WHEN page_text IS NULL THEN 'Could not access page' END AS error FROM (SELECT DISTINCT {_HOST} AS host FROM pages) h LEFT JOIN ({_FIRST}) f ON h.host = f.host")
 def fill_missing_sources(spark, d):
     return P.fill_missing_sources(_by_host(spark, d), first_good_source(spark, d), "host")

@@ -138,6 +138,28 @@ def mails(spark, d):
     return spark.sql(_MAILS)
 
 
+_JOBS = """SELECT institution, data_type, 'static' AS scraper, concat('2026-01-0', CAST(1 + min(seq) % 9 AS STRING), 'T08:00:00') AS started, concat('2026-01-0', CAST(1 + min(seq) % 9 AS STRING), 'T09:00:00') AS completed, count(DISTINCT url) AS pages,
+  CAST(min(seq) % 3 AS BIGINT) AS scrape_errors, CASE WHEN min(seq) % 5 = 0 THEN 'timeout' END AS error FROM a_catalog GROUP BY institution, data_type"""
+_TITLED = f"SELECT institution, data_type, seq, {_CLEAN.format(c='title')} AS title FROM a_catalog"
+
+
+@query(
+    "job_summary",
+    f"""SELECT j.institution, j.data_type, CASE WHEN j.error IS NULL THEN 'success' ELSE 'failed' END AS status, j.error, j.scraper, j.started, j.completed, j.pages, c.scraped, c.processed, c.enriched, c.bad + j.scrape_errors AS errors
+      FROM ({_JOBS.replace('STRING', 'VARCHAR')}) j JOIN (SELECT institution, data_type, count(*) AS scraped, count_if(title IS NOT NULL) AS processed, count_if(title IS NULL) AS bad, count_if(title IS NOT NULL AND seq % 2 = 0) AS enriched FROM ({_TITLED}) GROUP BY institution, data_type) c
+      ON j.institution = c.institution AND j.data_type = c.data_type""",
+    ("a_catalog",),
+)
+def job_summary(spark, d):
+    """Jobs of courses and accommodation; every other valid row counts as enriched."""
+    rows = view(spark, d, "a_catalog")
+    rows.createOrReplaceTempView("a_catalog")
+    keys = ["seq", "institution", "data_type", "title", "url"]
+    cleaned = C.clean_courses(rows.where("data_type = 'courses'")).select(*keys).unionByName(C.clean_accommodation(rows.where("data_type = 'accommodation'")).select(*keys))
+    routed = C.route(cleaned)
+    return W.job_summary(spark.sql(_JOBS), rows, routed, routed.where("status = 'valid' AND seq % 2 = 0"))
+
+
 @query("src_mail_files", f"SELECT s_suppkey AS mail_no, strlen(mail) AS n_bytes, true AS same FROM ({_MAILS.replace('STRING', 'VARCHAR')})")
 def src_mail_files(spark, d):
     """A mail per supplier, written as one file each and read again."""

@@ -73,12 +73,21 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*(text(df.schema[c]) for c in sorted(df.columns)))
 
 
+NOTHING = "No data scraped"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    flatten(df).write.option("header", True).option("escape", '"').csv(path)
+    """Flattened rows with a header; an empty table gives one line that says so."""
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([(NOTHING,)], "value string").coalesce(1).write.text(path)
+    else:
+        flatten(df).write.option("header", True).option("escape", '"').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in sorted(columns))
+    if [r[0] for r in spark.read.text(path).take(2)] == [NOTHING]:
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path).fillna("")
 
 
@@ -111,3 +120,17 @@ def run_summary(raw: DataFrame, routed: DataFrame) -> DataFrame:
     a = raw.groupBy(*keys).agg(F.count("*").alias("scraped"))
     b = routed.groupBy(*keys).agg(F.count_if(F.col("status") == "valid").alias("processed"), F.count_if(F.col("status") != "valid").alias("errors"))
     return a.join(b, keys, "full_outer").select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("scraped", "processed", "errors")))
+
+
+def job_summary(jobs: DataFrame, raw: DataFrame, routed: DataFrame, enriched: DataFrame) -> DataFrame:
+    """One row per job of (institution, data_type, scraper, started, completed, pages, scrape_errors, error): its status ("failed" with an
+    error, else "success"), its times, and the rows scraped, processed and enriched; errors are those of processing and of scraping."""
+    keys = ["institution", "data_type"]
+    scraped = raw.groupBy(*keys).agg(F.count("*").alias("scraped"))
+    done = routed.groupBy(*keys).agg(F.count_if(F.col("status") == "valid").alias("processed"), F.count_if(F.col("status") != "valid").alias("bad"))
+    more = enriched.groupBy(*keys).agg(F.count("*").alias("enriched"))
+    rows = jobs.join(scraped, keys, "left").join(done, keys, "left").join(more, keys, "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("scraped", "processed", "enriched")]
+    errors = F.coalesce("bad", F.lit(0)) + F.coalesce("scrape_errors", F.lit(0))
+    status = F.when(F.col("error").isNotNull(), "failed").otherwise("success")
+    return rows.select(*keys, status.alias("status"), "error", "scraper", "started", "completed", F.coalesce("pages", F.lit(0)).alias("pages"), *counts, errors.alias("errors"))

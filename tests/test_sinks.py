@@ -7,7 +7,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from enquira.sources import exports, upserts
+from enquira.operators import pages
+from enquira.sources import exports, stores, upserts
 
 SCHEMA = "seq long, title string, url string, institution string, data_type string, level string, tags array<string>"
 
@@ -85,3 +86,20 @@ def test_failed_export_leaves_nothing(spark, tmp_path):
     assert not (tmp_path / "i_c_processed_x").exists()
     with pytest.raises(Exception):
         exports.read_export(spark, f"{tmp_path}/i_c_processed_x")
+
+
+def test_csv_of_nested_and_of_no_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(2, None, ["a", 'b"'], {"k": 1}), (1, "x, \"y\"\nz", [], None)], "n long, said string, tags array<string>, more map<string,int>")
+    stores.write_csv(rows, str(tmp_path / "c"))
+    got = stores.read_csv(spark, str(tmp_path / "c"), rows.columns).orderBy("n").collect()
+    assert [tuple(r) for r in got] == [("", "1", 'x, "y"\nz', "[]"), ('{"k":1}', "2", "", '["a","b\\""]')]
+    stores.write_csv(rows.limit(0), str(tmp_path / "none"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "none")).collect()] == ["No data scraped"]
+    assert stores.read_csv(spark, str(tmp_path / "none"), rows.columns).count() == 0
+
+
+def test_sources_with_errors_are_passed_over(spark):
+    text = "<p>" + "word " * 60 + "</p>"
+    rows = [("a", 1, text, 404), ("a", 2, "<p>short</p>", 200), ("a", 3, text, 200), ("b", 1, text, None), ("c", 1, text, 500)]
+    found = pages.first_good_source(spark.createDataFrame(rows, "host string, try_no int, html string, status int"), "host")
+    assert {r.host: r.try_no for r in found.collect()} == {"a": 3, "b": 1}
