@@ -41,7 +41,6 @@ class JsonExportWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         """One file of the task's records, which come as JSON texts."""
         files, path = _filesystem(self.path)
-        files.create_dir(path)
         name, n = f"part-{uuid.uuid4().hex}.json", 0
         with files.open_output_stream(f"{path}/{name}") as out:
             for row in iterator:
@@ -75,6 +74,9 @@ class JsonExport(DataSource):
         return "record string"
 
     def writer(self, schema: T.StructType, overwrite: bool) -> JsonExportWriter:
+        """The folder is made here and not by tasks, so that one that still runs after an abort cannot make it again."""
+        files, path = _filesystem(self.options["path"].rstrip("/"))
+        files.create_dir(path)
         return JsonExportWriter(self.options["path"], json.loads(self.options["block"]))
 
 
