@@ -38,77 +38,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     raise RuntimeError("components did not settle")
 
 
-def candidate_pairs(sketches: DataFrame, bands: int, values: int = 3, near: int = 3, min_agree: int = 2) -> DataFrame:
-    """Pairs (a, b, agree) of nodes that share a band's value; ``sketches`` is (node, sk array<long>).
-
-    The rows of a band are range-sorted by its value and the values that follow it, so
-    that nodes which agree on most of a sketch become neighbours (a prefix forest), and a hot
-    value is dealt over many tasks.  A node is paired with the ``near`` nodes before it and
-    with the first node of its run; so pairs grow with the nodes, not with their squares.
-    Pairs that agree on fewer than ``min_agree`` values of the whole sketch are left out.
-    """
-    n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["band", *(f"v{k}" for k in range(values))]
-    low = F.concat(*(F.unhex(F.lpad(F.hex(F.col("sk")[k].bitwiseAND(0xFFFF)), 4, "0")) for k in range(bands)))
-    rotated = F.array(*(
-        F.struct(F.lit(b).alias("band"), *(F.col("sk")[(b + k) % bands].alias(f"v{k}") for k in range(values))) for b in range(bands)
-    ))
-    rows = sketches.select("node", low.alias("sig"), F.explode(rotated).alias("x")).select("node", "sig", "x.*")
-    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "node")
-
-    def pair(batches):
-        tail = None  # rows that the next batch may pair with: the last ones and the run's first
-        for pdf in batches:
-            node, band, value = (pdf[c].to_numpy(np.int64) for c in ("node", "band", "v0"))
-            sig = np.frombuffer(b"".join(pdf["sig"]), ">u2").reshape(len(pdf), bands)
-            old = 0
-            if tail is not None:
-                old = len(tail[0])
-                node, band, value, sig = (np.concatenate([t, x]) for t, x in zip(tail, (node, band, value, sig)))
-            new_run = np.r_[True, (band[1:] != band[:-1]) | (value[1:] != value[:-1])]
-            first = np.maximum.accumulate(np.where(new_run, np.arange(len(node)), 0))
-            at = np.arange(old, len(node))
-            left, right = [first[at]], [at]
-            for lag in range(1, near + 1):
-                left.append(at - lag)
-                right.append(at)
-            i, j = np.concatenate(left), np.concatenate(right)
-            ok = (i >= 0) & (i < j)
-            i, j = i[ok], j[ok]
-            ok = (first[i] == first[j]) & (node[i] != node[j])
-            i, j = i[ok], j[ok]
-            agree = (sig[i] == sig[j]).sum(1)
-            ok = agree >= min_agree
-            x, y, agree = node[i[ok]], node[j[ok]], agree[ok]
-            out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "agree": agree.astype(np.int32)})
-            yield out.drop_duplicates().assign(end=False)
-            if tail is None:
-                yield _end(value[0])
-            last = len(node) - 1
-            keep = np.unique(np.r_[first[last], np.arange(max(first[last], last - near + 1), last + 1)])
-            tail = tuple(x[keep] for x in (node, band, value, sig))
-        if tail is not None:
-            yield _end(tail[2][-1])
-
-    found = ordered.select("node", "band", "v0", "sig").mapInPandas(pair, "a long, b long, agree int, end boolean")
-    return found.groupBy("a", "b", "end").agg(F.max("agree").alias("agree"))
-
-
 def _end(value: int) -> pd.DataFrame:
     return pd.DataFrame({"a": [value], "b": [0], "agree": [0], "end": [True]})
 
 
 def colliding_pairs(rows: DataFrame, near: int = 2) -> DataFrame:
-    """Pairs (a, b, agree) of nodes that share a value; ``rows`` is (node, value).
+    """Pairs (a, b, agree) of nodes that share a value; ``rows`` is (node, value) or (node, value, then).
 
-    Rows are range-sorted by value and node, so that a hot value is dealt over many tasks; a
+    Rows are range-sorted by value (and by ``then``, another value of the node, so that nodes which
+    agree on both become neighbours) and node, so that a hot value is dealt over many tasks; a
     node is paired with the ``near`` nodes before it and with the first node of its run in the
     same task, so pairs grow with the nodes.  ``agree`` counts the shared values at which a pair
-    met.  Rows with ``end`` are as in ``candidate_pairs``; so is what is left to
-    ``remaining_links``.
+    met.  Rows with ``end`` hold in ``a`` the first and last value of a task, whose runs may be cut; what
+    such and longer runs leave out is left to ``remaining_links``.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "value", "node").sortWithinPartitions("value", "node")
+    order = ["value", *(c for c in rows.columns if c == "then"), "node"]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def pair(batches):
         tail = None
@@ -170,8 +116,26 @@ def _salted(rows: DataFrame, few: DataFrame, keys: list[str], salts: int = 16) -
     return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(dealt, [*keys, "_salt"]).drop("_salt")
 
 
+def _common(arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many values the arrays ``left`` and the arrays ``right`` have in common, per pair; an array's values are distinct."""
+    common = np.zeros((len(left), len(right)), np.float32)
+    owner, value = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays]), np.unique(np.concatenate(arrays), return_inverse=True)[1]
+    shared = np.bincount(value, minlength=1) > 1
+    column = np.cumsum(shared) - 1
+    owner, value = owner[shared[value]], column[value[shared[value]]]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    for c in range(0, int(shared.sum()), width):
+        s, e = np.searchsorted(value, [c, c + width])
+        held = np.zeros((len(arrays), width), np.float32)
+        held[owner[s:e], value[s:e] - c] = 1
+        common += held[left] @ held[right].T
+    return common
+
+
 def remaining_links(
-    sketches: DataFrame, labels: DataFrame, ends: DataFrame, texts_of, features, bound, similar=None, min_agree: int = 1, small: int = 4, block: int = 256
+    sketches: DataFrame, labels: DataFrame, ends: DataFrame, texts_of, features, bound, similar=None, min_agree: int = 1, small: int = 4, block: int = 256,
+    ratio: float | None = None,
 ) -> DataFrame | None:
     """Links (a, b) between components that the pass over neighbours has not met, or None.
 
@@ -185,21 +149,39 @@ def remaining_links(
     A run is dealt into blocks of about ``block`` nodes, a component of that size into blocks
     of its own; every two blocks that hold different components meet in one task, so a
     large component costs no more than its nodes.  Inside a task, pairs that its links
-    connect already are not compared.  ``texts_of`` maps (node) to (node, text), ``features`` a text
+    connect already are not compared.
+
+    With ``ratio`` a sketch is a set of values, whatever their places (``min_agree`` is 1), and ``sketches`` has the
+    column size, the number of a text's features; texts are similar only if the smaller size is at least
+    ``ratio`` of the larger.  A run is split by classes of sizes before it is dealt: a node lies in its own class
+    and in the next one, so two nodes that can be similar meet in the class of the larger, and a value that texts
+    of all lengths share costs no comparisons between lengths.
+
+    ``texts_of`` maps (node) to (node, text), ``features`` a text
     to an array of distinct hashes; ``bound`` tells by the number of common hashes and both
     sizes whether a pair may be similar, ``similar`` (by texts) whether it is.
     """
     run, tile = ["band", "value"], ["band", "value", "lo", "hi"]
-    rows = sketches.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("sk").alias("band", "value"))
+    known = sketches.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if ratio is None:
+        rows = known.select("node", "component", F.posexplode("sk").alias("band", "value"))
+    else:
+        class_ = F.floor(F.log("size") / F.log(F.lit(1 / ratio)) + 1e-9).cast("int")
+        rows = known.select("node", "component", class_.alias("class"), F.lit(0).alias("band"), F.explode("sk").alias("value"))
     runs = rows.groupBy(*run).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     cut_ = runs.where(F.col("n") <= small).join(F.broadcast(ends.select("value").distinct()), "value", "left_semi")  # two values a task at most
     runs = cut(runs.where(F.col("n") > small).select(*run).unionByName(cut_.select(*run)), "open-runs")
     if runs.limit(1).count() == 0:
         return None
-    members = cut(_salted(rows, runs, run), "open-rows")
+    members = _salted(rows, runs, run)
+    if ratio is not None:
+        members = members.withColumn("band", F.explode(F.array("class", F.col("class") + 1))).drop("class")
+    members = cut(members, "open-rows")
     parts = members.groupBy(*run, "component").agg(F.count("*").alias("n"))
     few, large = F.col("n") < block, F.struct("component", F.ceil(F.col("n") / block).cast("int").alias("k"))
-    shape = parts.groupBy(*run).agg(F.sum(F.when(few, F.col("n")).otherwise(0)).alias("few"), F.collect_list(F.when(~few, large)).alias("large"))
+    shape = parts.groupBy(*run).agg(
+        F.sum(F.when(few, F.col("n")).otherwise(0)).alias("few"), F.collect_list(F.when(~few, large)).alias("large"), F.count("*").alias("parts")
+    ).where("parts > 1")
 
     def numbered(home, k):
         return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(home.alias("home"), F.xxhash64(home, i).alias("id")))
@@ -214,17 +196,29 @@ def remaining_links(
     placed = placed.withColumn("other", F.explode(F.transform(met, lambda x: x["id"]))).drop("blocks")
     placed = placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
 
+    carried = ["sk"] if ratio is None else ["sk", "size"]
+
     def pairs_of(pdf):
-        sk, component, block_ = np.stack(pdf["sk"]), pdf["component"].to_numpy(), pdf["block"].to_numpy()
+        component, block_ = pdf["component"].to_numpy(), pdf["block"].to_numpy()
         left = np.flatnonzero(block_ == pdf["lo"].iloc[0])
         right = np.flatnonzero(block_ == pdf["hi"].iloc[0])
-        agree, before = np.zeros((len(left), len(right)), np.int32), np.zeros((len(left), len(right)), bool)
-        for k in range(sk.shape[1]):
-            same = sk[left, k][:, None] == sk[right, k][None, :]
-            agree += same
-            if k < pdf["band"].iloc[0]:
-                before |= same
-        ok = (agree >= min_agree) & ~before & (component[left][:, None] != component[right][None, :])
+        ok = component[left][:, None] != component[right][None, :]
+        if ratio is None:
+            sk = np.stack(pdf["sk"])
+            agree, before = np.zeros(ok.shape, np.int32), np.zeros(ok.shape, bool)
+            for k in range(sk.shape[1]):
+                same = sk[left, k][:, None] == sk[right, k][None, :]
+                agree += same
+                if k < pdf["band"].iloc[0]:
+                    before |= same
+            ok &= (agree >= min_agree) & ~before
+        else:
+            size = pdf["size"].to_numpy()
+            n, m = size[left][:, None], size[right][None, :]
+            class_ = np.floor(np.log(np.maximum(n, m)) / np.log(1 / ratio) + 1e-9)
+            ok &= bound(np.minimum(n, m), n, m) & (class_ == pdf["band"].iloc[0])
+            if ok.any():
+                ok &= _common([x[x < pdf["value"].iloc[0]] for x in pdf["sk"]], left, right) == 0
         if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
             ok = np.triu(ok, 1)
         return left, right, ok
@@ -232,26 +226,14 @@ def remaining_links(
     def waiting(pdf):
         left, right, ok = pairs_of(pdf)
         at = np.unique(np.r_[left[ok.any(1)], right[ok.any(0)]])
-        return pdf.iloc[at][[*tile, "block", "node", "component", "sk"]]
+        return pdf.iloc[at][[*tile, "block", "node", "component", *carried]]
 
     def link(pdf):
         left, right, ok = pairs_of(pdf)
         texts, node, component = pdf["text"].tolist(), pdf["node"].to_numpy(), pdf["component"].to_numpy()
         hashes = [features(t) for t in texts]
         size = np.array([len(x) for x in hashes])
-        common = np.zeros(ok.shape, np.float32)
-        owner, value = np.repeat(np.arange(len(pdf)), size), np.unique(np.concatenate(hashes), return_inverse=True)[1]
-        shared = np.bincount(value) > 1
-        column = np.cumsum(shared) - 1
-        owner, value = owner[shared[value]], column[value[shared[value]]]
-        order = np.argsort(value, kind="stable")
-        owner, value = owner[order], value[order]
-        width = 4096
-        for c in range(0, int(shared.sum()), width):
-            s, e = np.searchsorted(value, [c, c + width])
-            held = np.zeros((len(pdf), width), np.float32)
-            held[owner[s:e], value[s:e] - c] = 1
-            common += held[left] @ held[right].T
+        common = _common(hashes, left, right)
         i, j = np.nonzero(ok & bound(common, size[left][:, None], size[right][None, :]))
         i, j = left[i], right[j]
         degree = np.bincount(np.r_[i, j], minlength=len(pdf))
@@ -271,8 +253,8 @@ def remaining_links(
                 out.append((min(node[x], node[y]), max(node[x], node[y])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    placed = placed.join(sketches, "node").select(*tile, "block", "node", "component", "sk")
-    schema = "band int, value long, lo long, hi long, block long, node long, component long, sk array<long>"
+    placed = placed.join(sketches, "node").select(*tile, "block", "node", "component", *carried)
+    schema = "band int, value long, lo long, hi long, block long, node long, component long, sk array<long>" + ("" if ratio is None else ", size long")
     open_ = cut(placed.groupBy(*tile).applyInPandas(waiting, schema), "open-waiting")
     texts = texts_of(open_.select("node").distinct())
     return cut(open_.join(texts, "node").groupBy(*tile).applyInPandas(link, "a long, b long"), "links")

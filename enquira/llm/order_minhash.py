@@ -1,21 +1,21 @@
 """Near-duplicate documents by Order MinHash.
 
 A text becomes the sequence of its five-word windows, each labelled with how often it has
-occurred before.  For every one of ``SKETCHES`` hash functions the ``KEPT`` windows with the
-smallest hashes are taken and kept in text order; the hash of that ordered tuple is one sketch
+occurred before.  For every one of ``FUNCTIONS`` hash functions the ``KEPT`` windows with the
+smallest hashes are sampled and kept in text order; every two of them, in that order, make one sketch
 value.  Equal values need the same windows in the same order, so they follow the edit
-similarity and not only the shared vocabulary.
+similarity and not only the shared vocabulary; and two samples that agree on any two of their
+windows share a value, whichever others they hold.
 
-Candidates come from sorted sketches (``components.candidate_pairs``), then from all texts of
-different classes that share a sketch value (``components.remaining_links``), and are
+Candidates come from sorted values (``components.colliding_pairs``), then from all texts of
+different classes that share a value (``components.remaining_links``), and are
 verified by banded alignment of the words: 1 - edits / longer length must be at
 least ``similarity``, and cells farther from the diagonal than the allowed edits are never
 computed.  Texts with the same words are one class from the start.
 
-Recall: a changed word breaks five windows.  At an edit similarity of 0.95 (a Jaccard similarity
-of about 0.63 of the windows) a sketch value agrees with probability of about 0.4, so one of 16 does
-with 0.9997; at 0.92 with 0.99, at 0.9 with 0.95; at a Jaccard similarity of 0.8 practically always.
-Between 0.8 and 0.9 edit similarity recall falls, as few windows are left.
+Recall: a changed word breaks five windows, so at an edit similarity of 0.8 about a third of the
+windows, a Jaccard similarity of 0.2, is left. There two samples of four agree on two windows or more with a probability of about
+0.25, and on all of the functions together practically always at 0.85 and above.
 
 Defined cases: words are lower-cased and split at white space; a text without words
 (null, empty) is no duplicate of anything; texts of one to four words have one window and
@@ -35,19 +35,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import all_components, candidate_pairs
+from .components import all_components, colliding_pairs
 from .hashing import mix, occurrence_numbers, window_hashes
 
 WORDS = 5
-SKETCHES = 16
-KEPT = 2
+FUNCTIONS = 10
+KEPT = 4
 NEAR = 3
-MIN_AGREE = 1
 SIMILARITY = 0.8
 
 _rng = np.random.default_rng(20240229)
-_MULTIPLY = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,21 +67,22 @@ def similar(x: str, y: str, similarity: float) -> bool:
 
 
 def order_sketch(h: np.ndarray) -> np.ndarray:
-    """One value per hash function for a sequence of window hashes."""
+    """The values of a sequence of window hashes: per hash function, one for every two of its sampled windows
+    in text order.  A single window is a value of its own."""
+    if len(h) == 1:
+        return mix(h + np.uint64(1))
     label = labels_of(h)
-    out = np.zeros(SKETCHES, np.uint64)
     keep = min(KEPT, len(h))
+    first, second = np.triu_indices(keep, 1)
+    out = []
     step = max(1, (1 << 22) // len(h))
-    for s in range(0, SKETCHES, step):
+    for s in range(0, FUNCTIONS, step):
         rows = label[None, :] * _MULTIPLY[s : s + step, None] + _ADD[s : s + step, None]
         rows ^= rows >> np.uint64(29)
         at = np.argpartition(rows, keep - 1, axis=1)[:, :keep] if keep < len(h) else np.tile(np.arange(keep), (len(rows), 1))
         at.sort(axis=1)
-        value = np.zeros(len(rows), np.uint64)
-        for k in range(keep):
-            value = mix(value * np.uint64(31) + h[at[:, k]])
-        out[s : s + step] = value
-    return out
+        out.append(mix(mix(h[at[:, first]]) * np.uint64(31) + h[at[:, second]]).ravel())
+    return np.concatenate(out)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -145,24 +145,28 @@ def _within_band(a: np.ndarray, b: np.ndarray, most: int) -> bool:
 
 
 def sketch_table(documents: DataFrame) -> DataFrame:
-    """(doc_id, xx, node, sk): node is a hash of the words, null without any."""
+    """(doc_id, xx, node, sk, size): node is a hash of the words, null without any; sk are the distinct
+    values, function by function; size is the number of words."""
 
     def run(batches):
         for pdf in batches:
-            nodes, sks = [], []
+            nodes, sks, sizes = [], [], []
             for text in pdf["text"]:
                 words = words_of(text)
+                sizes.append(len(words))
                 if not words:
                     nodes.append(None)
                     sks.append(None)
                     continue
                 nodes.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "big", signed=True))
-                sks.append(order_sketch(window_hashes(words, WORDS)).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "xx": pdf["xx"], "node": pd.array(nodes, "Int64"), "sk": pd.Series(sks, dtype=object)})
+                values = order_sketch(window_hashes(words, WORDS)).view(np.int64)
+                sks.append(values[np.sort(np.unique(values, return_index=True)[1])])
+            sketch = {"node": pd.array(nodes, "Int64"), "sk": pd.Series(sks, dtype=object), "size": sizes}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "xx": pdf["xx"], **sketch})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.xxhash64("text").alias("xx"), "text")
-    return rows.mapInPandas(run, f"doc_id {kind}, xx long, node long, sk array<long>")
+    return rows.mapInPandas(run, f"doc_id {kind}, xx long, node long, sk array<long>, size long")
 
 
 def _verifier(texts: DataFrame, similarity: float):
@@ -189,9 +193,12 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     table = cut(sketch_table(documents), "omh-sketches")
     known = table.where("node is not null")
     nodes = cut(
-        known.groupBy("node").agg(F.min(F.struct("doc_id", "xx")).alias("at"), F.any_value("sk").alias("sk"), F.count("*").alias("n_copies")), "omh-nodes"
+        known.groupBy("node").agg(F.min(F.struct("doc_id", "xx")).alias("at"), F.any_value("sk").alias("sk"), F.any_value("size").alias("size"), F.count("*").alias("n_copies")), "omh-nodes"
     )
-    pairs = cut(candidate_pairs(nodes.select("node", "sk"), SKETCHES, near=NEAR, min_agree=MIN_AGREE), "omh-pairs")
+    # beside each value one of another function, so that texts which agree on both become neighbours
+    step = KEPT * (KEPT - 1) // 2
+    other = F.transform("sk", lambda x, i: F.struct(x.alias("value"), F.element_at("sk", (i + step) % F.size("sk") + 1).alias("then")))
+    pairs = cut(colliding_pairs(nodes.select("node", F.explode(other).alias("x")).select("node", "x.*"), NEAR), "omh-pairs")
     rows = documents.select("doc_id", F.xxhash64("text").alias("xx"), "text")
 
     def texts_of(ends: DataFrame) -> DataFrame:
@@ -202,9 +209,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     met = pairs.where("not end")
     texts = texts_of(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct())
     labels, links = all_components(
-        pairs, _verifier(texts, similarity), sketches=nodes.select("node", "sk"), texts_of=texts_of, features=labelled_words,
+        pairs, _verifier(texts, similarity), sketches=nodes.select("node", "sk", "size"), texts_of=texts_of, features=labelled_words,
         bound=lambda common, n, m: common >= np.maximum(n, m) - np.floor((1 - similarity) * np.maximum(n, m) + 1e-9),
-        similar=lambda x, y: similar(x, y, similarity), min_agree=MIN_AGREE, small=NEAR + 2,
+        similar=lambda x, y: similar(x, y, similarity), small=NEAR + 2, ratio=min(similarity, 0.99),
     )
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
@@ -224,7 +231,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
         ), "omh-members",
     )
     keepers = nodes.select(F.col("node").alias("_knode"), F.col("at.doc_id").alias("_kdoc"), F.col("at.xx").alias("_kxx"))
-    out = table.drop("sk").join(member, table["node"] == member["_node"], "left").join(keepers, F.col("_keeper") == F.col("_knode"), "left")
+    out = table.drop("sk", "size").join(member, table["node"] == member["_node"], "left").join(keepers, F.col("_keeper") == F.col("_knode"), "left")
     first = F.col("doc_id").eqNullSafe(F.col("_kdoc")) & F.col("xx").eqNullSafe(F.col("_kxx"))
     return out.select(
         "doc_id", "xx",
