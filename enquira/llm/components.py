@@ -42,28 +42,32 @@ def _end(value: int) -> pd.DataFrame:
     return pd.DataFrame({"a": [value], "b": [0], "agree": [0], "end": [True]})
 
 
-def colliding_pairs(rows: DataFrame, near: int = 2) -> DataFrame:
-    """Pairs (a, b, agree) of nodes that share a value; ``rows`` is (node, value) or (node, value, then).
+def colliding_pairs(rows: DataFrame, near: int = 2, may=None) -> DataFrame:
+    """Pairs (a, b, agree) of nodes that share a value; ``rows`` is (node, value), with ``then`` and size if wanted.
 
     Rows are range-sorted by value (and by ``then``, another value of the node, so that nodes which
     agree on both become neighbours) and node, so that a hot value is dealt over many tasks; a
     node is paired with the ``near`` nodes before it and with the first node of its run in the
     same task, so pairs grow with the nodes.  ``agree`` counts the shared values at which a pair
     met.  Rows with ``end`` hold in ``a`` the first and last value of a task, whose runs may be cut; what
-    such and longer runs leave out is left to ``remaining_links``.
+    such and longer runs leave out is left to ``remaining_links``.  ``may`` tells by both sizes whether a pair can be
+    similar; others are not returned.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["value", *(c for c in rows.columns if c == "then"), "node"]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
+    columns = ["node", "value", *(["size"] if may else [])]
+
     def pair(batches):
         tail = None
         for pdf in batches:
-            node, value = pdf["node"].to_numpy(np.int64), pdf["value"].to_numpy(np.int64)
+            held = [pdf[c].to_numpy(np.int64) for c in columns]
             old = 0
             if tail is not None:
                 old = len(tail[0])
-                node, value = np.concatenate([tail[0], node]), np.concatenate([tail[1], value])
+                held = [np.concatenate([t, x]) for t, x in zip(tail, held)]
+            node, value = held[:2]
             first = np.maximum.accumulate(np.where(np.r_[True, value[1:] != value[:-1]], np.arange(len(node)), 0))
             at = np.arange(old, len(node))
             at = at[first[at] < at]
@@ -71,16 +75,18 @@ def colliding_pairs(rows: DataFrame, near: int = 2) -> DataFrame:
             j = np.tile(at, near + 1)
             x, y = node[i], node[j]
             ok = x != y
+            if may:
+                ok &= may(held[2][i], held[2][j])
             yield pd.DataFrame({"a": np.minimum(x, y)[ok], "b": np.maximum(x, y)[ok]}).drop_duplicates().assign(agree=1, end=False)
             if tail is None:
                 yield _end(value[0])
             last = len(node) - 1
             keep = np.unique(np.r_[first[last], np.arange(max(first[last], last - near + 1), last + 1)])
-            tail = (node[keep], value[keep])
+            tail = [x[keep] for x in held]
         if tail is not None:
             yield _end(tail[1][-1])
 
-    found = ordered.select("node", "value").mapInPandas(pair, "a long, b long, agree int, end boolean")
+    found = ordered.select(*columns).mapInPandas(pair, "a long, b long, agree int, end boolean")
     return found.groupBy("a", "b", "end").agg(F.sum("agree").cast("int").alias("agree"))
 
 

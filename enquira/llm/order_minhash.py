@@ -178,7 +178,14 @@ def _verifier(texts: DataFrame, similarity: float):
 
         def run(batches):
             for pdf in batches:
-                ok = [similar(x, y, similarity) for x, y in zip(pdf["ta"], pdf["tb"])]
+                words = {}  # a node's hashes, once a batch
+
+                def hashed(node, text):
+                    if node not in words:
+                        words[node] = window_hashes(words_of(text), 1)
+                    return words[node]
+
+                ok = [aligned(hashed(a, x), hashed(b, y), similarity) for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"])]
                 yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
         return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
@@ -198,7 +205,13 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     # beside each value one of another function, so that texts which agree on both become neighbours
     step = KEPT * (KEPT - 1) // 2
     other = F.transform("sk", lambda x, i: F.struct(x.alias("value"), F.element_at("sk", (i + step) % F.size("sk") + 1).alias("then")))
-    pairs = cut(colliding_pairs(nodes.select("node", F.explode(other).alias("x")).select("node", "x.*"), NEAR), "omh-pairs")
+
+    def bound(common, n, m):
+        longer = np.maximum(n, m)
+        return common >= longer - np.floor((1 - similarity) * longer + 1e-9)
+
+    values = nodes.select("node", "size", F.explode(other).alias("x")).select("node", "size", "x.*")
+    pairs = cut(colliding_pairs(values, NEAR, lambda n, m: bound(np.minimum(n, m), n, m)), "omh-pairs")
     rows = documents.select("doc_id", F.xxhash64("text").alias("xx"), "text")
 
     def texts_of(ends: DataFrame) -> DataFrame:
@@ -209,8 +222,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     met = pairs.where("not end")
     texts = texts_of(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct())
     labels, links = all_components(
-        pairs, _verifier(texts, similarity), sketches=nodes.select("node", "sk", "size"), texts_of=texts_of, features=labelled_words,
-        bound=lambda common, n, m: common >= np.maximum(n, m) - np.floor((1 - similarity) * np.maximum(n, m) + 1e-9),
+        pairs, _verifier(texts, similarity), sketches=nodes.select("node", "sk", "size"), texts_of=texts_of, features=labelled_words, bound=bound,
         similar=lambda x, y: similar(x, y, similarity), small=NEAR + 2, ratio=min(similarity, 0.99),
     )
 
