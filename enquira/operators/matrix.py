@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mltables import CATEGORICAL, ENGAGEMENT, NUMERIC, category_text
+from .quantiles import exact_quantiles
 
 # Known values of the categories, and what an unobserved one is taken to be.
 KNOWN_VALUES = {
@@ -29,12 +30,13 @@ def build_matrix(df: DataFrame, drop_english: bool = False, drop_engagement: boo
     where all are missing), categories as ``<column>_<value>`` flags, a missing one as ``unknown``.  All other
     columns are kept.
 
-    The driver sees one row of medians and the distinct values of the categories.
+    The driver sees the counts of ``exact_quantiles`` and the distinct values of the categories.
     """
     numbers = numeric_columns(drop_english, drop_engagement)
-    stats = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in numbers), *(F.sort_array(F.collect_set(category_text(F.col(c)))).alias(c) for c in CATEGORICAL)).first()
+    medians = exact_quantiles(df, numbers)
+    stats = df.agg(*(F.sort_array(F.collect_set(category_text(F.col(c)))).alias(c) for c in CATEGORICAL)).first()
     kept = [c for c in df.columns if c not in {*NUMERIC, *CATEGORICAL}]
-    features = [F.coalesce(F.col(c).cast("double"), F.lit(float(stats[c] or 0.0))).alias(c) for c in numbers]
+    features = [F.coalesce(F.col(c).cast("double"), F.lit(medians[c] or 0.0)).alias(c) for c in numbers]
     flags = [(category_text(F.col(c)) == v).cast("double").alias(f"{c}_{v}") for c in CATEGORICAL for v in stats[c]]
     names = [*numbers, *(f"{c}_{v}" for c in CATEGORICAL for v in stats[c])]
     return df.select(*kept, *features, *flags), names

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .evaluation import hash32
 from .leads import FEATURES
+from .quantiles import exact_quantiles
 from .resampling import f1_cells
 
 # The model's numeric and categorical columns; only sessions have engagement.
@@ -53,10 +54,14 @@ def align_schema(*frames: DataFrame) -> DataFrame:
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    """One row: rows, label counts, medians and modes (the least value on ties; missing is "unknown")."""
+    """One row: rows, label counts, medians and modes (the least value on ties; missing is "unknown").
+
+    The medians are found by passes over ``df`` when this is called (``exact_quantiles``), the rest when the result is read.
+    """
+    medians = exact_quantiles(df, NUMERIC)
     return df.agg(
         F.count("*").alias("n"), *(F.count_if(F.col("label") == k).alias(f"label_{k}") for k in LABELS),
-        *(F.round(F.percentile(c, F.lit(0.5)), 6).alias(f"median_{c}") for c in NUMERIC),
+        *(F.round(F.lit(medians[c]).cast("double"), 6).alias(f"median_{c}") for c in NUMERIC),
         *(F.mode(category_text(F.col(c)), deterministic=True).alias(f"mode_{c}") for c in CATEGORICAL),
     )
 
