@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from enquira.functions.funding import funding_tier
 from enquira.functions.text import word_count
 
-from .scoring import english_part, hybrid_score, proba_to_score, score_label
+from .scoring import WEIGHTS, english_part, hybrid_score, proba_to_score, score_label
 
 # Topics of a chat.
 CATEGORIES = [
@@ -140,27 +140,87 @@ def model_score(model, medians: dict, modes: dict):
     return predict
 
 
-def score_per_turn(turns: DataFrame, predict=None, alpha: float = 0.5) -> DataFrame:
-    """Evidence, scores, label and escalation after every turn, by running windows."""
-    return with_scores(running_evidence(turns), predict, alpha)
+NO_TURNS = "Awaiting first message"
 
 
-def lead_archive(turns: DataFrame, latest: int = 5) -> DataFrame:
-    """Closing snapshots of the sessions that ended last."""
-    scored = score_per_turn(turns)
-    per = scored.groupBy("session_id").agg(
-        F.max("turn_no").alias("turns"), F.max_by("rule_score", "turn_no").alias("rule_score"), F.max_by("label", "turn_no").alias("label"),
-        F.min("ts").alias("started_at"), F.max("ts").alias("closed_at"),
+def score_per_turn(turns: DataFrame, predict=None, alpha: float = 0.5, sessions: DataFrame | None = None) -> DataFrame:
+    """Evidence, scores, label and escalation after every turn, by running windows.
+
+    With ``sessions`` (session_id, further columns are not read) a session without turns has one row: turn 0, scores of 0 that no
+    model has a part in, the label ``NO_TURNS``."""
+    scored = with_scores(running_evidence(turns), predict, alpha)
+    return scored if sessions is None else scored.unionByName(awaiting(sessions, turns), allowMissingColumns=True)
+
+
+def awaiting(sessions: DataFrame, turns: DataFrame) -> DataFrame:
+    """The rows of sessions without turns."""
+    none = sessions.select("session_id").where("session_id is not null").distinct().join(turns.select("session_id"), "session_id", "left_anti")
+    zeros = {"turn_no": F.lit(0).cast("long"), **{n: F.lit(0) for n in EVIDENCE}, "funding_tier": F.lit(0), "session_word_count": F.lit(0).cast("long")}
+    scores = {"rule_score": F.lit(0.0), "hybrid_score": F.lit(0.0), "label": F.lit(NO_TURNS), "escalate": F.lit(False), "priority": F.lit("none")}
+    return none.select("session_id", *(c.alias(n) for n, c in (zeros | scores).items()))
+
+
+def clarity_trace(scored: DataFrame) -> DataFrame:
+    """Scored turns with what the rubric of the whole form gives for the funding that is known by then, its weight there, and the level.
+    The score of a chat leaves that part out."""
+    tier = F.col("funding_tier")
+    weight = WEIGHTS["funding_clarity"]
+    got = F.round(F.when(tier == 3, weight).when(tier == 2, 0.33 * weight).otherwise(0.0), 4)
+    return scored.withColumns({"clarity_contribution": got, "clarity_weight": F.lit(weight), "clarity_detail": F.concat(F.lit("level="), tier.cast("string"))})
+
+
+def closing_evidence(turns: DataFrame) -> DataFrame:
+    """``RUNNING`` after the last turn of each session, with started_at and last_at.  Partial sums, no window: as the turns are in order, the
+    mean delay is the time from the first to the last over the number of steps."""
+    tier = funding_tier(F.col("user_msg"))
+    seconds = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    steps = F.count("*") - 1
+    return turns.withColumn("_tier", tier).withColumn("_topic", category()).groupBy("session_id").agg(
+        F.count("*").alias("turn_no"), *(F.max(seen(*topics)).alias(n) for n, topics in EVIDENCE.items()),
+        F.coalesce(F.max_by("_tier", F.when(F.col("_tier").isNotNull(), F.struct(*ORDER))), F.lit(0)).alias("funding_tier"), F.sum(word_count(F.col("user_msg"))).alias("session_word_count"),
+        F.round(F.when(steps > 0, seconds / steps), 2).alias("mean_response_delay"), entropy_of([F.count_if(F.col("_topic") == c) for c in CATEGORIES]).alias("category_entropy"),
+        F.min("ts").alias("started_at"), F.max("ts").alias("last_at"),
+    )
+
+
+def lead_entries(turns: DataFrame, exported_at: Column, idle: str = "30 minutes", predict=None, alpha: float = 0.5) -> DataFrame:
+    """The last state of every lead at the time ``exported_at``: rule, hybrid, label, turns, started_at.  A lead without a turn for ``idle``
+    is closed, closed_at is its last turn; an open one has exported_at in its place."""
+    rows = with_scores(closing_evidence(turns), predict, alpha)
+    is_closed = F.col("last_at") + F.expr(f"INTERVAL {idle}") <= exported_at
+    return rows.select(
+        "session_id", F.round("rule_score", 4).alias("final_rule_score"), F.round("hybrid_score", 4).alias("final_hybrid_score"), F.col("label").alias("final_label"),
+        F.col("turn_no").alias("turns"), "started_at", F.when(is_closed, F.col("last_at")).alias("closed_at"), F.when(~is_closed, exported_at).alias("exported_at"),
     )
+
+
+def lead_archive(turns: DataFrame, latest: int = 5, predict=None, alpha: float = 0.5) -> DataFrame:
+    """Closing snapshots of the sessions that ended last, with what was said and the topic of each turn."""
+    scored = with_scores(closing_evidence(turns), predict, alpha)
+    per = scored.select("session_id", F.col("turn_no").alias("turns"), "rule_score", "hybrid_score", "label", "started_at", F.col("last_at").alias("closed_at"))
     top = per.orderBy(F.col("closed_at").desc(), "session_id").limit(latest)
     said = turns.join(F.broadcast(top.select("session_id")), "session_id")  # at most ``latest`` ids
-    texts = said.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "user_msg"))).alias("said"))
-    return top.join(texts, "session_id").withColumn("transcript", F.transform("said", lambda x: x["user_msg"])).drop("said")
+    texts = said.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "user_msg", category().alias("topic")))).alias("said"))
+    joined = top.join(texts, "session_id")
+    return joined.withColumn("transcript", F.transform("said", lambda x: x["user_msg"])).withColumn("topics", F.transform("said", lambda x: x["topic"])).drop("said")
+
+
+#: What a transcript tells of the answer to a turn, besides category and confidence.
+DECISION = {"escalate": "boolean", "priority": "string", "lead_label": "string", "lead_score": "double", "retrieval_backend": "string"}
+
 
+def turn_pairs(messages: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """One row per user turn with the assistant turn that follows it, "" without one.
 
-def turn_pairs(messages: DataFrame) -> DataFrame:
-    """One row per user turn with the assistant turn that follows it, "" without one."""
+    ``signals``, one row per (conv_id, turn), adds the classifier's category and confidence and the columns of ``DECISION``.  A
+    turn without signals has "" as its category, 0 as its confidence, and no decision: "" in texts, NULL otherwise."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = messages.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("_r"), F.lead("text").over(w).alias("_t"))
     reply = F.when(F.col("_r") == "assistant", F.coalesce("_t", F.lit(""))).otherwise("")
-    return rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_msg"), reply.alias("reply"))
+    pairs = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_msg"), reply.alias("reply"))
+    if signals is None:
+        return pairs
+    number = F.row_number().over(w).cast("long")
+    joined = pairs.withColumn("turn_no", number).join(signals.select("conv_id", "turn", "category", "confidence", *DECISION), ["conv_id", "turn"], "left")
+    blank = {n: F.coalesce(n, F.lit("")) for n in ["category", *(n for n, kind in DECISION.items() if kind == "string")]}
+    return joined.withColumns(blank | {"confidence": F.coalesce("confidence", F.lit(0.0))})

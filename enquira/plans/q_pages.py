@@ -55,7 +55,12 @@ def resolve_links(spark, d):
     return P.links(table(spark, d, "pages"))
 
 
-@query("extract_requirements")
+def _field(c: str, length: int, patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"trim(substr(nullif(regexp_extract({c}, '(?i){_q(p)}'), ''), 1, {length}))" for p in patterns) + ")"
+
+
+# the text of a page is one line already
+@query("extract_requirements", "SELECT page_id, " + ", ".join(f"{_field('t', n, patterns)} AS {name}" for name, n, patterns in P.REQUIREMENTS) + f" FROM (SELECT page_id, {TEXT} AS t FROM pages)")
 def extract_requirements(spark, d):
     rows = table(spark, d, "pages").withColumn("t", P.page_text(F.col("html")))
     return rows.select("page_id", *P.extract_requirements(F.col("t")))

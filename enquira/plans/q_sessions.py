@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from enquira.functions import funding as M
+from enquira.operators import routing as R
 from enquira.operators import sessions as S
 from enquira.sources.shared import shared_folder
 from enquira.streaming import sessions as X
@@ -100,6 +102,9 @@ _PER_TURN = f"""SELECT *, {_LABEL} AS label, rule_score >= CAST(2 AS DOUBLE) / 3
   FROM (SELECT *, {_TIER} AS tier FROM a_turns) WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))"""
 
 
+#: Sessions that were opened, most of them without a turn.
+_OPENED = "SELECT concat(CAST(c_custkey AS STRING), '-2024-01-0') AS session_id FROM customer"
+
 _TURN_COLUMNS = ["session_id", "event_id", "turn_no", "has_course", "has_intake", "has_english_test", "funding_tier", "rule_score", "hybrid_score", "label", "escalate", "priority"]
 
 
@@ -124,14 +129,54 @@ def score_per_turn_model(spark, d):
     return S.score_per_turn(turns(spark, d), predict).select(*_TURN_COLUMNS, "ml_score", "mean_response_delay", "category_entropy")
 
 
+@query(
+    "score_trace",
+    f"""SELECT session_id, event_id, turn_no, funding_method_present, funding_tier, rule_score, rule_score AS hybrid_score, label, escalate, priority, CAST(CASE funding_tier WHEN 3 THEN 0.2 WHEN 2 THEN 0.066 ELSE 0 END AS DOUBLE) AS clarity_contribution,
+      CAST(0.2 AS DOUBLE) AS clarity_weight, 'level=' || funding_tier AS clarity_detail FROM ({_PER_TURN.replace("coalesce(last_value", _run("funding_method_present") + ", coalesce(last_value")})
+      UNION ALL SELECT session_id, NULL, 0, 0, 0, 0, 0, '{S.NO_TURNS}', false, 'none', 0, CAST(0.2 AS DOUBLE), 'level=0' FROM ({_OPENED}) WHERE session_id NOT IN (SELECT session_id FROM a_turns)""",
+    TURNS,
+)
+def score_trace(spark, d):
+    """Every turn with the part of funding in its score, and the sessions that nothing was said in yet."""
+    said = turns(spark, d)
+    opened = table(spark, d, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("-2024-01-0")).alias("session_id"))
+    scored = S.clarity_trace(S.score_per_turn(said, sessions=opened))
+    return scored.select("session_id", "event_id", "turn_no", "funding_method_present", "funding_tier", "rule_score", "hybrid_score", "label", "escalate", "priority", "clarity_contribution", "clarity_weight", "clarity_detail")
+
+
+def _at(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c.split('.')[-1]}"
+
+
+def _times(df, *names):
+    return df.withColumns({n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in names})
+
+
+_LAST = f"SELECT session_id, max(turn_no) AS turns, arg_max(rule_score, turn_no) AS rule_score, arg_max(label, turn_no) AS label, min(ts) AS started_at, max(ts) AS closed_at FROM ({_PER_TURN}) GROUP BY session_id"
+
+
 @query(
     "lead_archive",
-    f"""SELECT a.session_id, a.turns, a.rule_score, a.label, t.transcript FROM (SELECT session_id, max(turn_no) AS turns, arg_max(rule_score, turn_no) AS rule_score, arg_max(label, turn_no) AS label, max(ts) AS closed_at FROM ({_PER_TURN}) GROUP BY session_id ORDER BY closed_at DESC, session_id LIMIT 5) a
-      JOIN (SELECT session_id, string_agg(user_msg, '|' ORDER BY ts, event_id) AS transcript FROM a_turns GROUP BY session_id) t ON a.session_id = t.session_id""",
+    f"""SELECT a.session_id, a.turns, a.rule_score, a.rule_score AS hybrid_score, a.label, {_at('a.started_at')}, {_at('a.closed_at')}, t.transcript, t.topics FROM (SELECT * FROM ({_LAST}) ORDER BY closed_at DESC, session_id LIMIT 5) a
+      JOIN (SELECT session_id, string_agg(user_msg, '|' ORDER BY ts, event_id) AS transcript, string_agg(category, '|' ORDER BY ts, event_id) AS topics FROM a_turns GROUP BY session_id) t ON a.session_id = t.session_id""",
     TURNS,
 )
 def lead_archive(spark, d):
-    return S.lead_archive(turns(spark, d)).select("session_id", "turns", "rule_score", "label", F.array_join("transcript", "|").alias("transcript"))
+    rows = _times(S.lead_archive(turns(spark, d)), "started_at", "closed_at")
+    return rows.select("session_id", "turns", "rule_score", "hybrid_score", "label", "started_at", "closed_at", F.array_join("transcript", "|").alias("transcript"), F.array_join("topics", "|").alias("topics"))
+
+
+@query(
+    "lead_entries",
+    f"""SELECT session_id, round(rule_score, 4) AS final_rule_score, round(rule_score, 4) AS final_hybrid_score, label AS final_label, turns, {_at('started_at')}, CASE WHEN closed_at + INTERVAL 1 DAY <= now_ THEN 'closed' ELSE 'open' END AS state,
+      strftime(CASE WHEN closed_at + INTERVAL 1 DAY <= now_ THEN closed_at END, '%Y-%m-%d %H:%M:%S') AS closed_at, strftime(CASE WHEN closed_at + INTERVAL 1 DAY > now_ THEN now_ END, '%Y-%m-%d %H:%M:%S') AS exported_at FROM ({_LAST}), (SELECT max(ts) AS now_ FROM a_turns)""",
+    TURNS,
+)
+def lead_entries(spark, d):
+    """All leads at the time of the last turn; those with a turn in the day before are open."""
+    said = turns(spark, d)
+    rows = S.lead_entries(said, F.lit(said.agg(F.max("ts")).first()[0]), "1 day")
+    return _times(rows.withColumn("state", F.when(F.col("closed_at").isNull(), "open").otherwise("closed")), "started_at", "closed_at", "exported_at")
 
 
 @query(
@@ -143,6 +188,31 @@ def turn_pairs(spark, d):
     return S.turn_pairs(table(spark, d, "conversations"))
 
 
+_N_GROUPS = " + ".join("CASE WHEN " + " OR ".join(rf"regexp_matches(regexp_replace(lower(text), '\bof course\b', ' ', 'g'), '(?:^|[^0-9A-Za-z_]){re.escape(w)}(?:[^0-9A-Za-z_]|$)')" for w in words) + " THEN 1 ELSE 0 END" for words in R.INTENTS)
+_SIGNALS = f"""SELECT *, coalesce(forced OR confidence < 0.15, false) AS abstained, CASE conv_id % 7 WHEN 0 THEN 'Hot' WHEN 1 THEN 'Cold' ELSE 'Warm' END AS lead_label
+  FROM (SELECT conv_id, turn, ({_N_GROUPS}) > 2 AS forced, CAST((conv_id + turn) % 100 AS DOUBLE) / 250 AS confidence FROM conversations WHERE conv_id % 5 <> 0)"""
+
+
+@query(
+    "transcript",
+    f"""SELECT p.*, CASE WHEN s.conv_id IS NULL THEN '' WHEN s.abstained THEN 'General Enquiries' ELSE 'Entry Requirements' END AS category, coalesce(s.confidence, 0) AS confidence, s.abstained OR s.lead_label = 'Hot' AS escalate,
+      CASE WHEN s.conv_id IS NULL THEN '' WHEN s.lead_label = 'Hot' THEN 'high' WHEN s.abstained THEN 'normal' ELSE 'none' END AS priority, coalesce(s.lead_label, '') AS lead_label, s.confidence AS lead_score, CASE WHEN s.conv_id IS NULL THEN '' ELSE 'tfidf' END AS retrieval_backend
+    FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no, text AS user_msg, CASE WHEN r = 'assistant' THEN coalesce(t, '') ELSE '' END AS reply FROM (
+      SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations) WHERE role = 'user') p LEFT JOIN ({_SIGNALS}) s ON p.conv_id = s.conv_id AND p.turn = s.turn""",
+)
+def transcript(spark, d):
+    """All user turns with reply and decision; every fifth conversation is from before decisions were recorded."""
+    messages = table(spark, d, "conversations")
+    confidence = (F.col("conv_id") + F.col("turn")) % 100 / 250.0
+    label = F.when(F.col("conv_id") % 7 == 0, "Hot").when(F.col("conv_id") % 7 == 1, "Cold").otherwise("Warm")
+    known = messages.where("conv_id % 5 <> 0").select("conv_id", "turn", confidence.alias("confidence"), label.alias("lead_label"), F.coalesce(R.multi_intent(F.col("text")) | (confidence < R.GATE), F.lit(False)).alias("abstained"))
+    signals = known.select(
+        "*", F.when(F.col("abstained"), "General Enquiries").otherwise("Entry Requirements").alias("category"), R.escalate(F.col("lead_label"), F.col("abstained")).alias("escalate"),
+        R.priority(F.col("lead_label"), F.col("abstained")).alias("priority"), F.col("confidence").alias("lead_score"), F.lit("tfidf").alias("retrieval_backend"),
+    )
+    return S.turn_pairs(messages, signals)
+
+
 def _turn_stream(spark, d):
     """The turns as a stream of eight files by time, and a last turn of no session that closes all others: its time is so late
     that the watermark passes them."""
