@@ -59,10 +59,18 @@ def _field(c: str, length: int, patterns: list[str]) -> str:
     return "coalesce(" + ", ".join(f"trim(substr(nullif(regexp_extract({c}, '(?i){_q(p)}'), ''), 1, {length}))" for p in patterns) + ")"
 
 
-# the text of a page is one line already
-@query("extract_requirements", "SELECT page_id, " + ", ".join(f"{_field('t', n, patterns)} AS {name}" for name, n, patterns in P.REQUIREMENTS) + f" FROM (SELECT page_id, {TEXT} AS t FROM pages)")
+#: What a page says of its course, by page_id; the given pages are of invented words.
+_SAYS = [
+    "Postgraduate applicants hold a Bachelor degree, upper second class.", "A Bachelor degree of 2:1 is asked of all who begin their Masters.", "English: an IELTS score of 6.5, no part below 6.",
+    "International Foundation Year for holders of a KCSE, grade C+.", "A scholarship is available to international students.", "Contact our regional manager: office@example.com or WhatsApp.", "",
+]
+_SAID = "CASE page_id % 7 " + " ".join(f"WHEN {n} THEN '{_q(x)}'" for n, x in enumerate(_SAYS)) + " END"
+
+
+# a page's text is one line, the sentence another
+@query("extract_requirements", "SELECT page_id, " + ", ".join(f"{_field('t', n, patterns)} AS {name}" for name, n, patterns in P.REQUIREMENTS) + f" FROM (SELECT page_id, trim({TEXT} || ' ' || {_SAID}) AS t FROM pages)")
 def extract_requirements(spark, d):
-    rows = table(spark, d, "pages").withColumn("t", P.page_text(F.col("html")))
+    rows = table(spark, d, "pages").withColumn("t", F.concat_ws("\n", P.page_text(F.col("html")), F.concat(F.lit("  "), F.expr(_SAID))))
     return rows.select("page_id", *P.extract_requirements(F.col("t")))
 
 
