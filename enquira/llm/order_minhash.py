@@ -107,41 +107,67 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     gap = np.bincount(inverse[: len(a)], minlength=len(values)) - np.bincount(inverse[len(a) :], minlength=len(values))
     if max(int(gap[gap > 0].sum()), int(-gap[gap < 0].sum())) > most:
         return False
-    return _within_band(inverse[: len(a)], inverse[len(a) :], most)
+    parts = sorted([inverse[: len(a)].tolist(), inverse[len(a) :].tolist()], key=len)
+    return _within_band(*parts, most)
 
 
-def _within_band(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Row by row over a band that doubles until the distance fits in it or ``most`` does."""
-    n, m = len(a), len(b)
-    band = min(most, max(8, abs(n - m) + 4))
-    while True:
-        width = 2 * band + 1
-        shift = np.arange(width, dtype=np.int64)
-        far = 1 << 40
-        padded = np.full(max(n, m) + 2 * width, -1, np.int64)
-        padded[band : band + m] = b
-        row = np.where(shift >= band, shift - band, far)  # row 0: insertions of b's first words
-        row[shift - band > m] = far
-        for i in range(1, n + 1):
-            same = padded[i - 1 : i - 1 + width] == a[i - 1]  # column j = i + shift - band
-            step = row + (~same)
-            step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-            row = np.minimum.accumulate(step - shift) + shift
-            j0 = band - i
-            if j0 >= 0:
-                row[:j0] = far
-                row[j0] = min(int(row[j0]), i)
-            cut_ = m - i + band + 1
-            if cut_ < width:
-                row[max(0, cut_) :] = far
-            if row.min() > band:
-                break
-        else:
-            if row[m - n + band] <= band:
-                return True
+def _within_band(a: list[int], b: list[int], most: int) -> bool:
+    """Over a band that doubles until the distance fits in it or ``most`` does; b is the longer one."""
+    band = min(most, max(64, 2 * (len(b) - len(a))))
+    while _distance(a, b, band) > band:
         if band >= most:
             return False
         band = min(most, 2 * band)
+    return True
+
+
+def _distance(a: list[int], b: list[int], band: int) -> int:
+    """Edit distance if at most ``band``, else some larger number.
+
+    Cell (i, j) compares b's first i words with a's first j.  The cells of a column within ``band`` of
+    the diagonal are the bits of one integer, bit k the row j - band + k, so a column takes a dozen
+    operations on integers: ``up`` and ``down`` tell whether a cell is one more or one less than
+    the cell above it, ``same`` whether it equals the cell diagonally before it.
+    """
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    top = 1 << (width - 1)
+    gap = len(b) - len(a)
+    ends = 1 << (band + gap)  # the diagonal that ends in the last cell
+    cost = gap
+    up, down = full & ~((1 << band) - 1), 0  # column 0 counts b's words; rows above it are no cells
+    at: dict[int, tuple[int, int]] = {}  # word -> its places in b as bits, from a first place on
+    for i in range(min(band, len(b))):
+        bits, base = at.get(b[i], (0, i))
+        at[b[i]] = (bits | 1 << (i - base), base)
+    for j in range(len(a)):
+        i = j + band
+        if i < len(b):  # enters the band
+            bits, base = at.get(b[i], (0, i))
+            at[b[i]] = (bits | 1 << (i - base), base)
+        low = j - band
+        equal = 0
+        if a[j] in at:
+            bits, base = at[a[j]]
+            if base < low:
+                bits >>= low - base
+                if bits:
+                    at[a[j]] = (bits, low)
+                else:
+                    del at[a[j]]
+                base = low
+            equal = bits << (base - low)
+        same = (((equal & up) + up) ^ up) | equal | down
+        right = down | (full & ~(same | up))
+        left = same & up
+        if not same & ends:
+            cost += 1
+            if cost > band:
+                return cost
+        below = (same & full) >> 1
+        up = (left | ~(below | right)) & full | top
+        down = below & right & ~top
+    return cost
 
 
 def sketch_table(documents: DataFrame) -> DataFrame:
