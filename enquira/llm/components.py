@@ -161,7 +161,7 @@ def remaining_links(
     column size, the number of a text's features; texts are similar only if the smaller size is at least
     ``ratio`` of the larger.  A run is split by classes of sizes before it is dealt: a node lies in its own class
     and in the next one, so two nodes that can be similar meet in the class of the larger, and a value that texts
-    of all lengths share costs no comparisons between lengths.
+    of all lengths share costs no comparisons between lengths.  A class that holds nodes of the one before alone is passed over.
 
     ``texts_of`` maps (node) to (node, text), ``features`` a text
     to an array of distinct hashes; ``bound`` tells by the number of common hashes and both
@@ -180,14 +180,19 @@ def remaining_links(
     if runs.limit(1).count() == 0:
         return None
     members = _salted(rows, runs, run)
-    if ratio is not None:
-        members = members.withColumn("band", F.explode(F.array("class", F.col("class") + 1))).drop("class")
+    if ratio is None:
+        members = members.withColumn("larger", F.lit(True))
+    else:
+        members = cut(members, "open-values")
+        # the values of open runs alone tell where two nodes meet first; of other values a sketch need not be carried
+        sketches = members.groupBy("node").agg(F.collect_set("value").alias("sk")).join(sketches.select("node", "size"), "node")
+        members = members.withColumn("band", F.explode(F.array("class", F.col("class") + 1))).withColumn("larger", F.col("class") == F.col("band")).drop("class")
     members = cut(members, "open-rows")
-    parts = members.groupBy(*run, "component").agg(F.count("*").alias("n"))
+    parts = members.groupBy(*run, "component").agg(F.count("*").alias("n"), F.max("larger").alias("larger"))
     few, large = F.col("n") < block, F.struct("component", F.ceil(F.col("n") / block).cast("int").alias("k"))
     shape = parts.groupBy(*run).agg(
-        F.sum(F.when(few, F.col("n")).otherwise(0)).alias("few"), F.collect_list(F.when(~few, large)).alias("large"), F.count("*").alias("parts")
-    ).where("parts > 1")
+        F.sum(F.when(few, F.col("n")).otherwise(0)).alias("few"), F.collect_list(F.when(~few, large)).alias("large"), F.count("*").alias("parts"), F.max("larger").alias("larger")
+    ).where("parts > 1 and larger")
 
     def numbered(home, k):
         return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(home.alias("home"), F.xxhash64(home, i).alias("id")))
@@ -260,6 +265,8 @@ def remaining_links(
         return pd.DataFrame(out, columns=["a", "b"])
 
     placed = placed.join(sketches, "node").select(*tile, "block", "node", "component", *carried)
+    if ratio is not None:
+        placed = placed.withColumn("sk", F.filter("sk", lambda x: x < F.col("value")))
     schema = "band int, value long, lo long, hi long, block long, node long, component long, sk array<long>" + ("" if ratio is None else ", size long")
     open_ = cut(placed.groupBy(*tile).applyInPandas(waiting, schema), "open-waiting")
     texts = texts_of(open_.select("node").distinct())
