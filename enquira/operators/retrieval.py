@@ -193,26 +193,98 @@ def vector_candidates(queries: DataFrame, docs: DataFrame, directions: int = DIR
     return looked.join(placed, "bucket").where("query_id <> idx").select("query_id", "idx").distinct()
 
 
+#: Documents and queries of a cell of the exact search, queries scored at once, and what rounding to 4 digits may hide.
+CHUNK, QUERY_BLOCK, AT_ONCE, MARGIN = 20_000, 4_000, 256, 1.1e-4
+
+
+def _filled(vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, with zeros after their end, and their lengths; those that are null or have no direction are zeros."""
+    out, sizes = np.zeros((len(vectors), width)), np.zeros(len(vectors), np.int64)
+    for i, v in enumerate(vectors):
+        if v is not None and len(v):
+            sizes[i] = len(v)
+            row = np.array([np.nan if x is None else x for x in v], float) if v.dtype == object else v
+            out[i, : len(v)] = row
+    return out, sizes
+
+
+def _best_pairs(k: int):
+    """A function of the queries (query_id, qv) and documents (idx, dv) of a cell: (query_id, idx, score), the k best documents of each query.
+
+    Products of blocks in single precision find what can be among them; these are added up again as ``dot_score`` adds, in double precision."""
+
+    def best(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        width = max((len(v) for s in (queries["qv"], docs["dv"]) for v in s if v is not None), default=0)
+        docs = docs.sort_values("idx")
+        (q, q_size), (d, d_size) = _filled(queries["qv"], width), _filled(docs["dv"], width)
+        asked, ids = queries["query_id"].to_numpy(), docs["idx"].to_numpy()
+        # a product with a null is null, which counts as 0; vectors without a direction have only nulls
+        q_none, d_none = np.isnan(q).any(1), np.isnan(d).any(1)
+        q32, d32 = np.nan_to_num(q).astype(np.float32), np.nan_to_num(d).astype(np.float32).T.copy()
+        one_size = len(set(q_size) | set(d_size)) <= 1
+        for at in range(0, len(asked) if len(ids) else 0, AT_ONCE):
+            near = np.clip(q32[at : at + AT_ONCE] @ d32, 0.0, 1.0)
+            if not one_size:
+                near[q_size[at : at + AT_ONCE, None] != d_size[None, :]] = 0.0
+            if d_none.any() or q_none.any():
+                near[:, d_none], near[q_none[at : at + AT_ONCE]] = 0.0, 0.0
+            most = min(k + 1, near.shape[1])  # the query itself may be one of them
+            least = np.partition(near, near.shape[1] - most, axis=1)[:, near.shape[1] - most]
+            for i in range(len(near)):
+                some = np.flatnonzero(near[i] >= least[i] - MARGIN)
+                some = some[ids[some] != asked[at + i]]
+                total = np.zeros(len(some))
+                for c in range(width):
+                    total += d[some, c] * q[at + i, c]
+                total[(d_size[some] != q_size[at + i]) | np.isnan(total)] = 0.0
+                total = np.clip(total, 0.0, 1.0)
+                keep = np.unique(np.concatenate([np.argsort(-np.round(total + e, 4), kind="stable")[:k] for e in (-1e-12, 1e-12)])) if len(some) else some
+                out.append(pd.DataFrame({"query_id": asked[at + i], "idx": ids[some[keep]], "score": total[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": asked[:0], "idx": ids[:0], "score": np.zeros(0)})
+
+    return best
+
+
+def _cells_of(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with a ``cell``: every query meets every document in one cell, of bounded size."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks, blocks = max(parts, -(-docs.count() // CHUNK)), max(1, -(-queries.count() // QUERY_BLOCK))
+
+    def number(c: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n))
+
+    q = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_o")).select("query_id", "qv", (number("query_id", blocks) * chunks + F.col("_o")).alias("cell"))
+    d = docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")).select("idx", "dv", (F.col("_o") * chunks + number("idx", chunks)).alias("cell"))
+    return q, d
+
+
 def vector_search(queries: DataFrame, docs: DataFrame, k: int = 5, mode: str = "exact", directions: int = DIRECTIONS, buckets: int = BUCKETS, probes: int = PROBES) -> DataFrame:
     """The k documents with the largest dot product of unit vectors, clipped to [0, 1]; ties go to the smaller id.
 
-    ``mode="exact"``: the queries are a stated set against all rows; Spark broadcasts it below its threshold,
-    and the window keeps k hits per query in each task before the shuffle.
+    ``mode="exact"``: the queries are a stated set against all rows.  Blocks of queries meet chunks of rows in cells of bounded size,
+    and each cell gives k hits a query; the products are queries x rows by nature.
 
     ``mode="candidates"``, for many queries against many rows: every vector lies in the buckets of the ``buckets`` random directions
-    that it points along best, a query looks into its ``probes`` best ones, and what they share is scored exactly.  The join is
-    on the bucket, so its work is about queries x rows x buckets x probes / directions: more directions suit more rows.  Of equal vectors only
-    the k + 1 with the smallest ids can be among the k best, so no more of them enter a bucket.  Vectors without a length are in no bucket.
+    that it points along best, a query looks into its ``probes`` best ones, and what they share is scored exactly, bucket by bucket: no
+    pair leaves its bucket but the k best of a query there.  The work is about queries x rows x buckets x probes / directions: more
+    directions suit more rows.  Of equal vectors only the k + 1 with the smallest ids can be among the k best, so no more of them enter
+    a bucket.  Vectors without a length are in no bucket.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("qv"))
     d = docs.select(F.col("vec_id").alias("idx"), unit(F.col("embedding")).alias("dv"))
     if mode == "candidates":
         nth = F.row_number().over(Window.partitionBy("dv").orderBy("idx"))
         d = d.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
-        pairs = vector_candidates(q, d, directions, buckets, probes).join(q, "query_id").join(d, "idx")
+        q = q.select("*", F.explode(direction_buckets(directions, probes)("qv")).alias("cell"))
+        d = d.select("*", F.explode(direction_buckets(directions, buckets)("dv")).alias("cell"))
     else:
-        pairs = d.join(q, F.col("idx") != F.col("query_id"))
-    return top_k(pairs.select("query_id", "idx", dot_score("dv", "qv").alias("score")), "query_id", "score", "idx", k)
+        q, d = _cells_of(q, d)
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, idx {d.schema['idx'].dataType.simpleString()}, score double"
+    best = _best_pairs(k)
+    found = q.groupBy("cell").cogroup(d.groupBy("cell")).applyInPandas(lambda a, b: best(a, b), schema)
+    scored = found.groupBy("query_id", "idx").agg(F.round(F.max("score"), 4).alias("score"))
+    return top_k(scored, "query_id", "score", "idx", k)
 
 
 def top1_confidence(queries: DataFrame, hits: DataFrame, score: str = "score") -> DataFrame:

@@ -44,3 +44,17 @@ def test_keywords_are_looked_up_by_their_beginning(spark):
     assert got == want and len(got) == 7
     found = R.keyword_hits(queries.hint("merge"), keywords)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in found and "Cartesian" not in found
+
+
+def test_searches_make_no_table_of_pairs(spark):
+    """Odd vectors and many ties against the plain product of all pairs; no join in either plan."""
+    rows = [(i, [float((i * 7 + j * j) % 5 - 2) for j in range(4)]) for i in range(300)] + [(900, [0.0] * 4), (901, None), (902, [1.0, 2.0]), (903, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = table.where("vec_id % 20 = 0 or vec_id > 899")
+    q = queries.select(F.col("vec_id").alias("query_id"), R.unit(F.col("embedding")).alias("qv"))
+    d = table.select(F.col("vec_id").alias("idx"), R.unit(F.col("embedding")).alias("dv"))
+    plain = R.top_k(d.join(q, F.col("idx") != F.col("query_id")).select("query_id", "idx", R.dot_score("dv", "qv").alias("score")), "query_id", "score", "idx", 5)
+    found = R.vector_search(queries, table)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (found, R.vector_search(queries, table, mode="candidates"))):
+        assert "Join" not in plan and "Cartesian" not in plan
