@@ -25,6 +25,19 @@ def read_mail_files(spark: SparkSession, root: str, glob: str = "*.eml") -> Data
     return files.select("path", redact(F.element_at(F.split("path", "/"), -1)).alias("source_file"), "content")
 
 
+#: Mails that a task writes.
+FILES = 500
+
+
+def write_mail_files(mails: DataFrame, key: str, path: str) -> None:
+    """A file per row of (key, value) in a folder.
+
+    A small table holds many mails: they are dealt out by key before they are written, and each task puts its own files in place,
+    so neither one task nor the driver handles all of them; no mail has a folder of its own."""
+    parts = max(1, -(-mails.count() // FILES))
+    mails.repartition(parts, key).select("value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("maxRecordsPerFile", 1).text(path)
+
+
 #: The form's table, up to its end or that of the body; cells with their tags; a cell's id; any tag.
 TABLE = r"(?is)<table\b[^>]*\bid\s*=\s*[\"']?[^\"'>]*emailFieldsTable[^>]*>.*?(?:</table|\z)"
 CELL = r"(?is)<td\b[^>]*>.*?</td"
