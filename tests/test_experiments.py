@@ -66,3 +66,22 @@ def test_union_and_splits(spark):
     table = spark.createDataFrame(rows, "feature_set string, variant string, seed int, macro_f1 double")
     both = experiments.split_comparison(table, table.where("seed = 2")).first()
     assert (both.n_seeds, both.rows_mean, both.grouped_most) == (1, 0.3, 0.3)
+
+
+def test_no_table_of_rows_is_broadcast(spark, monkeypatch):
+    """What a fit, a split or a check of sources reads by row id is not sent to the driver, however small its files are."""
+    plans = []
+    kept = experiments.stored
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, label):
+        plans.append(plan(df)) if label == "tagged" else None
+        return kept(df, label)
+
+    monkeypatch.setattr(experiments, "stored", noted)
+    rows = noted(experiments.tagged(rows_of(spark), [1], "rows"), "tagged")
+    cells = experiments.cells_of(rows, {}, [1], ["full"], {"trees": 2, "depth": 2})
+    plans += [plan(c.train) for c in cells]
+    assert len(cells) == 2 and not any("BroadcastHashJoin [row_id" in p for p in plans)
