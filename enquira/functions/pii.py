@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ RULES = [
     ("ADDRESS", r"(?i)\b(?:\d{1,5}[\s-])?(?:[a-z0-9.\-]+\s){1,4}?(?:road|street|avenue|lane|boulevard|drive|close|park|estate|floor|plaza|tower|box|chiromo|westlands|nairobi)\s*(?:[a-z0-9.\-]+\s?){0,3}?"),
     ("SOCIAL", r"(?i)\b(?:facebook\.com|twitter\.com|instagram\.com|linkedin\.com|youtube\.com|@)\S+"),
 ]
+_EMAIL = r"[A-Za-z0-9._%+\-]"
+#: The same matches for Spark's engine with less trying: a match starts where its run of characters or the search does, what
+#: the next part cannot give back is not tried again, and a first character says whether a rule can begin.
+_QUICK = {
+    "EMAIL": rf"(?:(?<!{_EMAIL})|\G){_EMAIL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}",
+    "PHONE": r"(?=[+(\d])" + dict(RULES)["PHONE"],
+    "AMOUNT": dict(RULES)["AMOUNT"].replace("(?i)", r"(?i)(?=[$£€\d,kugeapsd])", 1),
+    "ADDRESS": r"\b(?:\d{1,5}[\s-])?(?:[A-Za-z0-9.\-]++\s){1,4}?(?=[RrSsAaLlBbDdCcPpEeFfTtWwNn])(?i:" + re.search(r"\?:(road.*nairobi)\)", dict(RULES)["ADDRESS"])[1] + r")\s*",
+}
+_RUN = [(m, _QUICK.get(m, p)) for m, p in RULES]
 # Fixed value: the counsellor's name in a form's subject.
 FORM_NAME = r"(?i)(Counsellor Assessment Form\s*-\s*)[A-Z][A-Za-z&.'\- ]*?(?=\s*-\s*(?:Cold|Good|Excellent|Warm|Hot)\b)"
 
@@ -28,7 +40,7 @@ def redact(c: Column, names: list[str] | None = None) -> Column:
     """Two passes of all rules, then of counsellor and listed names; NULL becomes ""."""
     v = F.trim(F.coalesce(c, F.lit("")))
     for _ in range(2):
-        for marker, pattern in RULES:
+        for marker, pattern in _RUN:
             v = F.regexp_replace(v, pattern, f"[{marker}_REDACTED]")
         v = F.regexp_replace(v, FORM_NAME, "$1[NAME_REDACTED]")
         if names:
@@ -38,7 +50,7 @@ def redact(c: Column, names: list[str] | None = None) -> Column:
 
 def counts(c: Column, names: list[str] | None = None) -> Column:
     """A map from marker to the number of matches."""
-    found = [(F.lit(m), F.regexp_count(c, F.lit(p))) for m, p in RULES]
+    found = [(F.lit(m), F.regexp_count(c, F.lit(p))) for m, p in _RUN]
     by_name = F.regexp_count(c, F.lit(FORM_NAME))
     if names:
         by_name = by_name + F.regexp_count(c, F.lit(name_pattern(names)))
@@ -46,7 +58,7 @@ def counts(c: Column, names: list[str] | None = None) -> Column:
 
 
 def has_pii(c: Column, names: list[str] | None = None) -> Column:
-    patterns = [p for _, p in RULES] + [FORM_NAME] + ([name_pattern(names)] if names else [])
+    patterns = [p for _, p in _RUN] + [FORM_NAME] + ([name_pattern(names)] if names else [])
     out = F.lit(False)
     for p in patterns:
         out = out | c.rlike(p)
