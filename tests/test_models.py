@@ -166,3 +166,16 @@ def test_related_questions_lose_nothing(spark):
     assert {k: v for k, v in got.items() if v} == exact and len(got) == records.count()
     covered = {(r.seq, r.idx) for r in catalog.coverage_candidates(records, faq).collect()}
     assert any((seq, idx) not in covered for seq, found in exact.items() for idx, _ in found)
+
+
+def test_topic_terms_are_read_once(spark):
+    """Ties of the vocabulary go by order, texts may be split before, and counts may be given."""
+    docs = spark.createDataFrame([(i, "zeta alpha" if i % 2 else "mid alpha", "ab"[i % 2]) for i in range(20)], "row_id long, text string, topic string")
+    terms = models.topic_terms(docs)
+    assert sorted(terms.first().terms) in (["alpha", "zeta", "zeta alpha"], ["alpha", "mid", "mid alpha"])
+    counts = models.term_counts(terms)
+    for given in (None, counts):
+        model = models.topic_train(terms, iterations=5, vocabulary=2, counts=given)
+        assert sorted(model.fitted.stages[3].vocabulary) == ["alpha", "mid"]  # of the terms found ten times the first
+    asked = [[(r.row_id, r.predicted, r.confidence) for r in models.topic_predict(model, x).orderBy("row_id").collect()] for x in (docs, terms)]
+    assert asked[0] == asked[1]
