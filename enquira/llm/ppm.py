@@ -62,6 +62,15 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def portions(batches, most: int = SLICE):
+    """Batches in parts of about ``most`` characters, since a text's words take ten times its memory."""
+    for pdf in batches:
+        part = np.cumsum([len(t) if t else 0 for t in pdf["text"]]) // most
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(pdf) else []
+        for s, e in zip(edges[:-1], edges[1:]):
+            yield pdf.iloc[s:e]
+
+
 def gram_codes(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The longest gram at every byte of some streams, and the stream it belongs to; a gram's
     lowest byte is the symbol, earlier bytes are above it."""
@@ -97,16 +106,20 @@ def slices(streams: list[bytes]):
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return code, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+    code = np.concatenate([p[0] for p in parts])
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[first], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], first)
 
 
-def counts(documents: DataFrame, keep: int = 2_000_000) -> DataFrame:
+def counts(documents: DataFrame, keep: int = 1_000_000) -> DataFrame:
     """(word, code, n): occurrences in training rows of every word (code is null) and of
     every longest gram (word is null); grams of held-out rows alone have n = 0.  A task adds
     up to ``keep`` different ones before it hands them on."""
 
     def run(batches):
+        _TABLES.clear()  # of a run before
         words: Counter = Counter()
         grams: list[list] = [[], []]  # held out, trained on
         waiting = 0
@@ -125,7 +138,7 @@ def counts(documents: DataFrame, keep: int = 2_000_000) -> DataFrame:
                         grams[train] = []
             waiting = 0
 
-        for pdf in batches:
+        for pdf in portions(batches):
             for train in (0, 1):
                 found = [tokens(t) for t in pdf.loc[pdf["train"] == bool(train), "text"]]
                 if train:
@@ -240,7 +253,7 @@ def score_documents(documents: DataFrame, most_grams: int = 1_000_000, most_word
 
     def run(batches):
         table, index, log_count = _tables(held)
-        for pdf in batches:
+        for pdf in portions(batches):
             out = []
             found = [tokens(t) for t in pdf["text"]]
             for ws in found:
@@ -264,7 +277,7 @@ def score_documents(documents: DataFrame, most_grams: int = 1_000_000, most_word
             cols = list(zip(*out)) if out else [[]] * 5
             parts = dict(zip(["words", "known", "log_count", "rare", "times"], cols))
             yield pd.DataFrame({
-                "row": pdf["row"], "doc_id": pdf["doc_id"], "held": pdf["held"], **parts, "score": score, "n_bytes": [len(s) for s in streams],
+                "row": pdf["row"].array, "doc_id": pdf["doc_id"].array, "held": pdf["held"].array, **parts, "score": score, "n_bytes": [len(s) for s in streams],
                 "codes": pd.Series([c for c, _ in codes], dtype=object), "code_times": pd.Series([t for _, t in codes], dtype=object),
             })
 

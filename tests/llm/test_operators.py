@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from enquira.llm import chat_windows, components, curriculum, hashing, isolation_quality, order_minhash, ordinal_toxicity, ppm, surrogates, token_blocks
@@ -279,3 +280,11 @@ def test_surrogates_are_distinct(spark):
     new = [r.text for r in rows]
     assert len(set(new)) == len(set(names)) and not set(new) & set(names)
     assert len({t.split()[-1] for t in new[-6:]}) == 1
+
+
+def test_ppm_parts_of_a_batch():
+    from enquira.llm.ppm import portions
+
+    pdf = pd.DataFrame({"text": ["a" * 6, None, "", "b" * 6, "c" * 30, "d"]})
+    parts = list(portions([pdf, pdf.iloc[:0]], 10))
+    assert [x for p in parts for x in p["text"]] == pdf["text"].tolist() and [len(p) for p in parts] == [3, 1, 2]
