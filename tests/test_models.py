@@ -179,3 +179,11 @@ def test_topic_terms_are_read_once(spark):
         assert sorted(model.fitted.stages[3].vocabulary) == ["alpha", "mid"]  # of the terms found ten times the first
     asked = [[(r.row_id, r.predicted, r.confidence) for r in models.topic_predict(model, x).orderBy("row_id").collect()] for x in (docs, terms)]
     assert asked[0] == asked[1]
+
+
+def test_fits_read_a_written_matrix(spark):
+    from enquira.plans import q_models
+
+    train, held, _ = q_models._matrix(spark, "/root/testdata/sf0.001")
+    for rows in (train, held):
+        assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
