@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from enquira.operators import routing, sessions
@@ -89,3 +91,33 @@ def test_answers_go_on_after_a_restart(spark, tmp_path):
         assert len(rows) == want
     assert [(r.faq_id, r.category, r.category_source, r.expected_rank, r.expected_by_classifier) for r in rows] == [(0, "Visa", "retrieval", 1, False), (None, "Fees", "classifier", None, False), (1, "Fees", "retrieval", None, False)]
     assert [r.decision for r in rows] == ["answer", "abstain: no hits", "answer"] and rows[1].reasons == ["no_retrieval_hits"]
+
+
+def test_a_call_reads_and_writes_a_sessions_state_once():
+    """However many turns wait: one read and one write of the state, and one row for all turns that come out."""
+    calls, rows = [], [Row(us=n * 1_000_000, event_id=n, flags=1, tier=None, words=2, topic=0) for n in range(500)]
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    handle = SimpleNamespace(getValueState=lambda *_: Value(), registerTimer=lambda _: calls.append("timer"), deleteTimer=lambda _: calls.append("no timer"))
+    scores = streams.TurnScores(7, 86_400_000)
+    scores.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms, getExpiryTimeInMs=lambda: 1)
+    assert list(scores.handleInputRows(("a",), iter(rows), at(0)))[0].event_id == [0] and calls == ["get", "update", "timer"]
+    calls.clear()
+    timer = SimpleNamespace(getExpiryTimeInMs=lambda: 1001)
+    (out,) = scores.handleExpiredTimer(("a",), at(10**12), timer)
+    assert calls == ["get", "clear"] and out.event_id == list(range(1, 500)) and out.turn_no == list(range(2, 501)) and out.words[-1] == 1000 and out.delay[-1] == 1.0
