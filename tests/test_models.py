@@ -187,3 +187,31 @@ def test_fits_read_a_written_matrix(spark):
     train, held, _ = q_models._matrix(spark, "/root/testdata/sf0.001")
     for rows in (train, held):
         assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_regression_is_fitted_over_cells(spark, monkeypatch):
+    """Repeated rows are one cell, with and without weights, and the coefficients are those over rows and standardised columns."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    rows = leads(spark, *((i, (i * i + i // 7) % 3, {"note_word_count": i % 5, "funding_clarity": i % 3, "qual_level": i % 4}) for i in range(300)))
+    table, names = matrix.build_matrix(rows, drop_engagement=True)
+    fitted = []
+    over = models._weighted
+    monkeypatch.setattr(models, "_weighted", lambda cells: fitted.append(cells.count()) or over(cells))
+    for weighted in (models.with_weights(table), table.withColumn("weight", 1.0 + F.col("row_id") % 2)):
+        given = table if not fitted else weighted
+        stages = [VectorAssembler(inputCols=names, outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True), LogisticRegression(featuresCol="z", labelCol="label", weightCol="weight", maxIter=20, regParam=1 / 300)]
+        want = Pipeline(stages=stages).fit(weighted.select("label", "weight", *names))
+        got = models.train_model(given, names, "logreg", iterations=20)
+        assert abs(want.stages[-1].coefficientMatrix.toArray() - got.fitted.stages[-1].coefficientMatrix.toArray()).max() < 1e-4
+        a, b = want.transform(table).select("row_id", "probability"), models.predict_proba(got, table).select("row_id", *models.PROBABILITIES)
+        held = {r[0]: r[1].toArray() for r in a.collect()}
+        assert max(abs(held[r[0]] - r[1:]).max() for r in b.collect()) < 1e-5
+    assert len(fitted) == 2 and max(fitted) <= 180
+
+
+def test_label_matrix_is_written_once_and_forests_keep_nodes(spark):
+    model, table = models.label_matrix_model(many(spark), trees=3)
+    assert table.inputFiles() and model.fitted.stages[-1].getCacheNodeIds() and "label" in table.columns
