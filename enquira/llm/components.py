@@ -139,8 +139,41 @@ def _common(arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray, width
     return common
 
 
+SIGNATURE_BITS = (1 << 10, 1 << 14)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """Parities of the numbers of distinct hashes at each of 2**k places, about two places a hash.  Texts whose
+    signatures differ in d places have at least d features that only one of them has."""
+    least, most = SIGNATURE_BITS
+    bits = min(most, max(least, 1 << (2 * len(hashes)).bit_length()))
+    at = (hashes.astype(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of words, all as long as the shortest: a half of one laid over the other is the shorter one."""
+    size = min(map(len, signatures))
+    out = np.empty((len(signatures), size // 8), np.uint64)
+    for k, x in enumerate(signatures):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def _most_common(signatures: list[bytes], size: np.ndarray, left: np.ndarray, right: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+    """How many features the texts ``left`` and ``right`` can have in common at most, by sizes and signatures."""
+    n, m = size[left][:, None], size[right][None, :]
+    words = _folded(signatures)
+    x, y = words[left], words[right]
+    differ = np.empty((len(left), len(right)), np.int64)
+    step = max(1, at_once // max(1, y.size))
+    for k in range(0, len(left), step):
+        differ[k : k + step] = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+    return np.minimum(np.minimum(n, m), (n + m - differ) // 2)
+
+
 def remaining_links(
-    sketches: DataFrame, labels: DataFrame, ends: DataFrame, texts_of, features, bound, similar=None, min_agree: int = 1, small: int = 4, block: int = 256,
+    sketches: DataFrame, labels: DataFrame, ends: DataFrame, texts_of, features, bound, similar=None, min_agree: int = 1, small: int = 4, block: int = 512,
     ratio: float | None = None,
 ) -> DataFrame | None:
     """Links (a, b) between components that the pass over neighbours has not met, or None.
@@ -154,8 +187,9 @@ def remaining_links(
 
     A run is dealt into blocks of about ``block`` nodes, a component of that size into blocks
     of its own; every two blocks that hold different components meet in one task, so a
-    large component costs no more than its nodes.  Inside a task, pairs that its links
-    connect already are not compared.
+    large component costs no more than its nodes.  Nodes bring a signature of their features along, from which
+    ``bound`` rules out most pairs without their texts (an exact filter); texts are joined to the nodes of the pairs
+    that are left.  Inside a task, pairs that its links connect already are not compared.
 
     With ``ratio`` a sketch is a set of values, whatever their places (``min_agree`` is 1), and ``sketches`` has the
     column size, the number of a text's features; texts are similar only if the smaller size is at least
@@ -172,22 +206,35 @@ def remaining_links(
     if ratio is None:
         rows = known.select("node", "component", F.posexplode("sk").alias("band", "value"))
     else:
-        class_ = F.floor(F.log("size") / F.log(F.lit(1 / ratio)) + 1e-9).cast("int")
-        rows = known.select("node", "component", class_.alias("class"), F.lit(0).alias("band"), F.explode("sk").alias("value"))
+        rows = known.select("node", "component", F.lit(0).alias("band"), F.explode("sk").alias("value"))
     runs = rows.groupBy(*run).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     cut_ = runs.where(F.col("n") <= small).join(F.broadcast(ends.select("value").distinct()), "value", "left_semi")  # two values a task at most
     runs = cut(runs.where(F.col("n") > small).select(*run).unionByName(cut_.select(*run)), "open-runs")
     if runs.limit(1).count() == 0:
         return None
-    members = _salted(rows, runs, run)
+    # one row per node, with its open runs: all that its rows below need is joined to it here, once
+    nodes = _salted(rows, runs, run).groupBy("node").agg(F.any_value("component").alias("component"), F.collect_set(F.struct(*run)).alias("open"))
     if ratio is None:
-        members = members.withColumn("larger", F.lit(True))
+        nodes = nodes.join(sketches.select("node", "sk"), "node")
     else:
-        members = cut(members, "open-values")
         # the values of open runs alone tell where two nodes meet first; of other values a sketch need not be carried
-        sketches = members.groupBy("node").agg(F.collect_set("value").alias("sk")).join(sketches.select("node", "size"), "node")
-        members = members.withColumn("band", F.explode(F.array("class", F.col("class") + 1))).withColumn("larger", F.col("class") == F.col("band")).drop("class")
-    members = cut(members, "open-rows")
+        nodes = nodes.withColumn("sk", F.col("open.value"))
+    nodes = cut(nodes, "open-nodes")
+    texts = texts_of(nodes.select("node"))
+
+    def sign(batches):
+        for pdf in batches:
+            found = [features(t) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "size": [len(x) for x in found], "signature": [signature(x) for x in found]})
+
+    signed = texts.select("node", "text").mapInPandas(sign, "node long, size long, signature binary")
+    nodes = cut(nodes.join(signed, "node"), "open-values")
+    members = nodes.withColumn("x", F.explode("open")).select("node", "component", "sk", "size", "signature", "x.*")
+    if ratio is None:
+        members = members.withColumn("larger", F.lit(True))
+    else:
+        class_ = F.floor(F.log("size") / F.log(F.lit(1 / ratio)) + 1e-9).cast("int")
+        members = members.withColumn("class", class_).withColumn("band", F.explode(F.array("class", F.col("class") + 1))).withColumn("larger", F.col("class") == F.col("band")).drop("class")
     parts = members.groupBy(*run, "component").agg(F.count("*").alias("n"), F.max("larger").alias("larger"))
     few, large = F.col("n") < block, F.struct("component", F.ceil(F.col("n") / block).cast("int").alias("k"))
     shape = parts.groupBy(*run).agg(
@@ -203,41 +250,52 @@ def remaining_links(
     own = F.filter("blocks", lambda x: x["home"] == F.col("component"))
     home = F.when(F.size(own) > 0, own).otherwise(F.filter("blocks", lambda x: x["home"].isNull()))
     met = F.filter("blocks", lambda x: x["home"].isNull() | (x["home"] != F.col("component")))
-    placed = _salted(members, shape, run).withColumn("block", home[F.pmod(F.xxhash64(F.lit(1), "node"), F.size(home)).cast("int")]["id"])
+    placed = _salted(members.drop("larger"), shape, run).withColumn("block", home[F.pmod(F.xxhash64(F.lit(1), "node"), F.size(home)).cast("int")]["id"])
+    if ratio is not None:
+        placed = placed.withColumn("sk", F.filter("sk", lambda x: x < F.col("value")))
     placed = placed.withColumn("other", F.explode(F.transform(met, lambda x: x["id"]))).drop("blocks")
     placed = placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
 
-    carried = ["sk"] if ratio is None else ["sk", "size"]
+    carried = [*tile, "block", "node", "component", "sk", "size", "signature"]
 
     def pairs_of(pdf):
         component, block_ = pdf["component"].to_numpy(), pdf["block"].to_numpy()
         left = np.flatnonzero(block_ == pdf["lo"].iloc[0])
         right = np.flatnonzero(block_ == pdf["hi"].iloc[0])
         ok = component[left][:, None] != component[right][None, :]
+        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
+            ok = np.triu(ok, 1)
+        if not ok.any():
+            return left, right, ok
+        size = pdf["size"].to_numpy()
+        n, m = size[left][:, None], size[right][None, :]
+        ok &= bound(_most_common(pdf["signature"].tolist(), size, left, right), n, m)
+        if ratio is not None:
+            ok &= np.floor(np.log(np.maximum(n, m)) / np.log(1 / ratio) + 1e-9) == pdf["band"].iloc[0]
+        # of the pairs that are left, those that met at an earlier value
+        some, others = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+        if not len(some):
+            return left, right, ok
+        i, j = left[some], right[others]
         if ratio is None:
             sk = np.stack(pdf["sk"])
-            agree, before = np.zeros(ok.shape, np.int32), np.zeros(ok.shape, bool)
+            agree, before = np.zeros((len(i), len(j)), np.int32), np.zeros((len(i), len(j)), bool)
             for k in range(sk.shape[1]):
-                same = sk[left, k][:, None] == sk[right, k][None, :]
+                same = sk[i, k][:, None] == sk[j, k][None, :]
                 agree += same
                 if k < pdf["band"].iloc[0]:
                     before |= same
-            ok &= (agree >= min_agree) & ~before
+            new = (agree >= min_agree) & ~before
         else:
-            size = pdf["size"].to_numpy()
-            n, m = size[left][:, None], size[right][None, :]
-            class_ = np.floor(np.log(np.maximum(n, m)) / np.log(1 / ratio) + 1e-9)
-            ok &= bound(np.minimum(n, m), n, m) & (class_ == pdf["band"].iloc[0])
-            if ok.any():
-                ok &= _common([x[x < pdf["value"].iloc[0]] for x in pdf["sk"]], left, right) == 0
-        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
-            ok = np.triu(ok, 1)
+            sk = pdf["sk"].tolist()
+            new = _common([sk[k] for k in np.r_[i, j]], np.arange(len(i)), len(i) + np.arange(len(j))) == 0
+        ok[np.ix_(some, others)] &= new
         return left, right, ok
 
     def waiting(pdf):
         left, right, ok = pairs_of(pdf)
         at = np.unique(np.r_[left[ok.any(1)], right[ok.any(0)]])
-        return pdf.iloc[at][[*tile, "block", "node", "component", *carried]]
+        return pdf.iloc[at][carried]
 
     def link(pdf):
         left, right, ok = pairs_of(pdf)
@@ -264,12 +322,8 @@ def remaining_links(
                 out.append((min(node[x], node[y]), max(node[x], node[y])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    placed = placed.join(sketches, "node").select(*tile, "block", "node", "component", *carried)
-    if ratio is not None:
-        placed = placed.withColumn("sk", F.filter("sk", lambda x: x < F.col("value")))
-    schema = "band int, value long, lo long, hi long, block long, node long, component long, sk array<long>" + ("" if ratio is None else ", size long")
-    open_ = cut(placed.groupBy(*tile).applyInPandas(waiting, schema), "open-waiting")
-    texts = texts_of(open_.select("node").distinct())
+    schema = "band int, value long, lo long, hi long, block long, node long, component long, sk array<long>, size long, signature binary"
+    open_ = cut(placed.select(*carried).groupBy(*tile).applyInPandas(waiting, schema), "open-waiting")
     return cut(open_.join(texts, "node").groupBy(*tile).applyInPandas(link, "a long, b long"), "links")
 
 
