@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,24 +47,51 @@ _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
+#: Words that are hashed together, whole texts.
+AT_ONCE = 20_000
+
+
+def split_words(text: str | None) -> tuple[list[bytes], list[int]]:
+    """Words of a text, and the last word of each of its lines (-1 before the first word)."""
+    words: list[bytes] = []
+    ends = []
+    for line in (text or "").lower().encode("utf-8", "replace").split(b"\n"):
+        words += line.split()
+        ends.append(len(words) - 1)
+    return words, ends
+
+
+def least_around(h: np.ndarray, radius: int) -> np.ndarray:
+    """Minima of all stretches of 2 * radius + 1 values."""
+    width, size, least = 2 * radius + 1, 1, h
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    return np.minimum(least[: len(h) - width + 1], least[width - size :][: len(h) - width + 1])
+
+
 class Cut:
-    """Words of a text; first and last words of its lines and of its pieces, of those with at
-    least five words."""
+    """Words of some texts, one after another; first and last words of their lines and of their pieces, of those
+    with at least five words.  ``begins`` has the first word of each text, and the number of all words."""
 
-    def __init__(self, text: str | None):
+    def __init__(self, *texts: str | None, split: list | None = None):
         self.words: list[bytes] = []
-        ends = []
-        for line in (text or "").lower().encode("utf-8", "replace").split(b"\n"):
-            self.words += line.split()
-            ends.append(len(self.words) - 1)
+        ends, begins = [], [0]
+        for words, last in split or map(split_words, texts):
+            ends += [len(self.words) + e for e in last]
+            self.words += words
+            begins.append(len(self.words))
+        self.begins = np.array(begins)
         self.lines = self.pieces = (np.zeros(0, np.int64),) * 2
         if len(self.words) < WORDS:
             return
         self.hashes = SpanHashes(self.words)
         h = self.hashes.windows(1)
-        padded = np.full(len(h) + 2 * RADIUS, np.uint64(0xFFFFFFFFFFFFFFFF))
-        padded[RADIUS:-RADIUS] = h
-        least = np.flatnonzero(sliding_window_view(padded, 2 * RADIUS + 1).min(1) == h)
+        # the texts lie apart, so that no word is compared with another text's
+        at = np.arange(len(h)) + RADIUS * np.repeat(np.arange(1, len(begins)), np.diff(self.begins))
+        padded = np.full(len(h) + RADIUS * len(begins), np.uint64(0xFFFFFFFFFFFFFFFF))
+        padded[at] = h
+        least = np.flatnonzero(least_around(padded, RADIUS)[at - RADIUS] == h)
         self.lines = self._spans(np.array(ends))
         self.pieces = self._spans(np.r_[least, ends])
 
@@ -75,6 +101,16 @@ class Cut:
         enough = last - first + 1 >= WORDS
         return first[enough], last[enough]
 
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """Of all lines, then all pieces: kind, text, number in its text, first and last word there, two hashes; bands of the lines."""
+        first, last = (np.concatenate(x) for x in zip(self.lines, self.pieces))
+        kind = np.repeat([0, 1], [len(self.lines[0]), len(self.pieces[0])])
+        text = np.searchsorted(self.begins, first, side="right") - 1
+        new = np.r_[True, (text[1:] != text[:-1]) | (kind[1:] != kind[:-1])]
+        number = np.arange(len(first)) - np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
+        node, more = self.hashes.spans(first, last).view(np.int64), self.hashes.word_sums(first, last).view(np.int64)
+        return kind, text, number, first - self.begins[text], last - self.begins[text], node, more, band_values(self.hashes, *self.lines).view(np.int64)
+
 
 def band_values(hashes: SpanHashes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """(paragraphs, bands): hashes of ROWS minima over the five-word windows."""
@@ -82,6 +118,8 @@ def band_values(hashes: SpanHashes, first: np.ndarray, last: np.ndarray) -> np.n
     edges = np.column_stack([first, last - WORDS + 2]).ravel()
     out = np.zeros((len(first), BANDS), np.uint64)
     h = np.r_[h, np.uint64(0)]  # so that the last edge is a valid index
+    if not len(first):
+        return out
     for k in range(BANDS * ROWS):
         least = np.minimum.reduceat(mix(h * _MULTIPLY[k] + _ADD[k]), edges)[::2]
         out[:, k // ROWS] = mix(out[:, k // ROWS] * np.uint64(31) + least + np.uint64(k // ROWS))
@@ -93,19 +131,31 @@ def paragraph_table(documents: DataFrame) -> DataFrame:
     more are two hashes of the words."""
     names = [f"b{k}" for k in range(BANDS)]
 
+    def groups(texts):
+        at, split, size = [], [], 0
+        for k, text in enumerate(texts):
+            at.append(k)
+            split.append(split_words(text))
+            size += len(split[-1][0])
+            if size >= AT_ONCE:
+                yield np.array(at), Cut(split=split)
+                at, split, size = [], [], 0
+        if at:
+            yield np.array(at), Cut(split=split)
+
     def run(batches):
         for pdf in batches:
-            parts = []
-            for doc, xx, text in zip(pdf["doc_id"], pdf["xx"], pdf["text"]):
-                c = Cut(text)
-                for kind, (first, last) in enumerate((c.lines, c.pieces)):
-                    if len(first):
-                        bands = band_values(c.hashes, first, last).view(np.int64) if kind == 0 else None
-                        node = c.hashes.spans(first, last).view(np.int64)
-                        parts.append((kind, doc, xx, first, last, node, bands, c.hashes.word_sums(first, last).view(np.int64)))
-                if len(parts) >= 2000:
+            doc, xx = pdf["doc_id"], pdf["xx"].to_numpy()
+            doc = (doc.astype(object) if doc.isna().any() else doc).to_numpy()
+            parts, size = [], 0
+            for at, c in groups(pdf["text"]):
+                if len(c.lines[0]) + len(c.pieces[0]):
+                    kind, text, *rest = c.rows()
+                    parts.append((kind, doc[at[text]], xx[at[text]], *rest))
+                    size += len(kind)
+                if size >= 50_000:
                     yield _frame(parts, names)
-                    parts = []
+                    parts, size = [], 0
             if parts:
                 yield _frame(parts, names)
 
@@ -115,24 +165,12 @@ def paragraph_table(documents: DataFrame) -> DataFrame:
 
 
 def _frame(parts: list, names: list[str]) -> pd.DataFrame:
-    size = [len(p[3]) for p in parts]
-
-    def each(k: int, dtype=None):
-        return np.repeat(np.array([p[k] for p in parts], dtype=dtype), size)
-
-    out = pd.DataFrame({
-        "kind": each(0), "doc_id": each(1, object), "xx": each(2), "no": np.concatenate([np.arange(n) for n in size]),
-        "first": np.concatenate([p[3] for p in parts]), "last": np.concatenate([p[4] for p in parts]), "node": np.concatenate([p[5] for p in parts]),
-        "more": np.concatenate([p[7] for p in parts]),
-    })
-    bands = np.zeros((len(out), len(names)), np.int64)
-    at = 0
-    for p, n in zip(parts, size):
-        if p[6] is not None:
-            bands[at : at + n] = p[6]
-        at += n
+    kind, doc, xx, no, first, last, node, more, lines = (np.concatenate(x) for x in zip(*parts))
+    out = pd.DataFrame({"kind": kind, "doc_id": doc, "xx": xx, "no": no, "first": first, "last": last, "node": node, "more": more})
+    bands = np.zeros((len(names), len(out)), np.int64)
+    bands[:, kind == 0] = lines.T
     for k, n in enumerate(names):
-        out[n] = pd.Series(bands[:, k]).where(out["kind"] == 0).astype("Int64")
+        out[n] = pd.arrays.IntegerArray(bands[k], kind != 0)
     return out
 
 
@@ -161,7 +199,7 @@ def _texts_of(documents: DataFrame, places: DataFrame) -> DataFrame:
         for pdf in batches:
             words = []
             for text, spots in zip(pdf["text"], pdf["spots"]):
-                found = Cut(text).words
+                found, _ = split_words(text)
                 words.append([{"node": s["node"], "words": b" ".join(found[s["first"] : s["last"] + 1])} for s in spots])
             yield pd.DataFrame({"found": words})
 
