@@ -181,8 +181,8 @@ class CachedTokenizer:
     of tokenizer, are encoded by the library as a whole.
     """
 
-    #: Pieces kept per worker.
-    MOST = 1_200_000
+    #: Pieces kept per worker; when the newer half is full, the older one goes, with the pieces not used since.
+    MOST = 300_000
     #: How byte-level vocabularies write a space.
     SPACE = "\u0120"
 
@@ -196,6 +196,7 @@ class CachedTokenizer:
         self.by_piece = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
@@ -221,9 +222,12 @@ class CachedTokenizer:
         found = list(map(self.pieces.get, rest))
         if not all(found):  # a piece has one id at least
             new = [k for k, ids in enumerate(found) if ids is None]
-            if len(self.pieces) > self.MOST:
-                self.pieces.clear()
-            self.learn(list(dict.fromkeys(rest[k] for k in new)))
+            if len(self.pieces) > self.MOST // 2:
+                self.pieces, self.older = {}, self.pieces
+            wanted = dict.fromkeys(rest[k] for k in new)
+            self.pieces.update((p, self.older[p]) for p in wanted if p in self.older)
+            if unknown := [p for p in wanted if p not in self.pieces]:
+                self.learn(unknown)
             for k in new:
                 found[k] = self.pieces[rest[k]]
         return head + b"".join(found)
