@@ -18,7 +18,7 @@ def sizes_of(spark, monkeypatch, name, kind, size):
     return rows, found
 
 
-@pytest.mark.parametrize(("name", "fits"), [("exp_generalization", 2)])
+@pytest.mark.parametrize(("name", "fits"), [("exp_generalization", 2), ("predict_proba", 1)])
 def test_regressions_may_converge(spark, monkeypatch, name, fits):
     rows, found = sizes_of(spark, monkeypatch, name, "LogisticRegression", "maxIter")
     assert rows and found == [5000] * fits
