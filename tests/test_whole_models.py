@@ -22,3 +22,20 @@ def sizes_of(spark, monkeypatch, name, kind, size):
 def test_regressions_may_converge(spark, monkeypatch, name, fits):
     rows, found = sizes_of(spark, monkeypatch, name, "LogisticRegression", "maxIter")
     assert rows and found == [5000] * fits
+
+
+def test_folds_share_their_terms(spark, monkeypatch):
+    """Terms are looked up once for all folds, and the predictions are those of a model of each fold's own vocabulary."""
+    words = ["visa passport permit", "tuition price cost", "room flat housing"]
+    data = [(i, f"{words[i % 3]} {words[i * 7 % 3]} extra{i % 11} only{i}" if i % 13 else " ", "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(data, "row_id long, text string, topic string")
+    looked, made = [], models.CountVectorizer
+    monkeypatch.setattr(models, "CountVectorizer", lambda **options: looked.append(options) or made(**options))
+    got = {r.row_id: (r.fold, r.predicted) for r in models.topic_folds(docs, k=3, iterations=30, vocabulary=20).collect()}
+    assert len(looked) == 1 and len(got) == 60
+    held = spark.createDataFrame([(i, f) for i, (f, _) in got.items()], "row_id long, fold int")
+    terms = models.topic_terms(docs.join(held, "row_id"))
+    for fold in range(3):
+        model = models.topic_train(terms.where(f"fold <> {fold}"), iterations=30, vocabulary=20)
+        want = {r.row_id: (fold, r.predicted) for r in models.topic_predict(model, terms.where(f"fold = {fold}")).collect()}
+        assert want == {i: x for i, x in got.items() if x[0] == fold}
