@@ -24,6 +24,11 @@ def test_regressions_may_converge(spark, monkeypatch, name, fits):
     assert rows and found == [5000] * fits
 
 
+def test_topics_are_fitted_to_their_end(spark, monkeypatch):
+    rows, found = sizes_of(spark, monkeypatch, "topic_cv", "LogisticRegression", "maxIter")
+    assert rows and found == [1000] * 5
+
+
 def test_folds_share_their_terms(spark, monkeypatch):
     """Terms are looked up once for all folds, and the predictions are those of a model of each fold's own vocabulary."""
     words = ["visa passport permit", "tuition price cost", "room flat housing"]
