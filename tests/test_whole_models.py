@@ -44,3 +44,8 @@ def test_folds_share_their_terms(spark, monkeypatch):
         model = models.topic_train(terms.where(f"fold <> {fold}"), iterations=30, vocabulary=20)
         want = {r.row_id: (fold, r.predicted) for r in models.topic_predict(model, terms.where(f"fold = {fold}")).collect()}
         assert want == {i: x for i, x in got.items() if x[0] == fold}
+
+
+def test_forest_has_all_trees(spark, monkeypatch):
+    rows, found = sizes_of(spark, monkeypatch, "train_model", "RandomForestClassifier", "numTrees")
+    assert rows == 9 and found == [500]
